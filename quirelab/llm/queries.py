@@ -13,6 +13,12 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.licence_scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan,)}
+def op9_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import pages
+
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op9_extract_pages)}
 
 SQL: dict[str, str] = {}
