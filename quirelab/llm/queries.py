@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirelab.session import table
 
@@ -13,12 +14,26 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.licence_scan(table(spark, sf_dir, "documents")))
 
 
+def remainder(n: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import languages
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = languages.prototypes(docs.where(remainder(4) != 2))
+    found = languages.identify(docs, profiles)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelab.llm import pages
 
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op9_extract_pages)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op5_language_id, op9_extract_pages)}
 
 SQL: dict[str, str] = {}
