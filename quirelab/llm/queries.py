@@ -28,12 +28,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelab.llm import pages
 
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op5_language_id, op9_extract_pages)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op5_language_id, op8_toxicity, op9_extract_pages)}
 
 SQL: dict[str, str] = {}
