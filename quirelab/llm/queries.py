@@ -19,6 +19,12 @@ def remainder(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import bpe
+
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), with_decoded=True))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelab.llm import languages
 
@@ -43,6 +49,6 @@ def op9_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op5_language_id, op8_toxicity, op9_extract_pages)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op3_bpe, op5_language_id, op8_toxicity, op9_extract_pages)}
 
 SQL: dict[str, str] = {}
