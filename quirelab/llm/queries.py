@@ -19,6 +19,12 @@ def remainder(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import token_files
+
+    return token_files.write_and_read(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelab.llm import bpe
 
@@ -49,6 +55,6 @@ def op9_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op3_bpe, op5_language_id, op8_toxicity, op9_extract_pages)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op5_language_id, op8_toxicity, op9_extract_pages)}
 
 SQL: dict[str, str] = {}
