@@ -55,6 +55,12 @@ def op9_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op5_language_id, op8_toxicity, op9_extract_pages)}
+def op10_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import vectors
+
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op5_language_id, op8_toxicity, op9_extract_pages, op10_vector_copies)}
 
 SQL: dict[str, str] = {}
