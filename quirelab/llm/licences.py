@@ -22,14 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelab.llm.rows import map_rows
-
-#: A-Z become lower case; what is neither an ASCII letter or digit nor beyond ASCII separates words.
-_FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
-
+from quirelab.llm.words import words_of
 
 @dataclass(frozen=True)
 class Template:

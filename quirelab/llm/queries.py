@@ -31,6 +31,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), with_decoded=True))
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import copies
+
+    return copies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelab.llm import languages
 
@@ -61,6 +67,6 @@ def op10_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op5_language_id, op8_toxicity, op9_extract_pages, op10_vector_copies)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op4_near_copies, op5_language_id, op8_toxicity, op9_extract_pages, op10_vector_copies)}
 
 SQL: dict[str, str] = {}
