@@ -76,7 +76,8 @@ def _tile(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
     b, i, j = table["block"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
     nodes, copies, halo = table["node"].to_numpy(), table["copies"].to_numpy(), table["halo"].to_numpy(zero_copy_only=False)
     chunk = table["chunk"].to_numpy()
-    vectors = np.array(table["vector"].to_pylist(), np.float64)
+    vectors = table["vector"].combine_chunks()
+    vectors = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(nodes), -1)
     n = vectors.shape[1]
     limit = 2 - 2 * cosine
     q, blocks = rotation(n)
@@ -97,16 +98,22 @@ def _tile(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         u, v = rotated[np.ix_(xs, blocks[k])], rotated[np.ix_(ys, blocks[k])]
         return (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * u @ v.T <= budget(k) + ROUNDING
 
-    for at in range(0, len(left), 500):
-        xs = left[at : at + 500]
-        found = near(b, xs, right) & ~(halo[xs][:, None] & halo[right][None, :])
+    # Both sides in the order of the block's last axis, on which a pair is no farther apart than the radius either.
+    axis, radius = blocks[b][-1], math.sqrt(budget(b)) + 1e-7
+    left, right = (x[rotated[x, axis].argsort(kind="stable")] for x in (left, right))
+    along = rotated[right, axis]
+    for at in range(0, len(left), 128):
+        xs = left[at : at + 128]
+        ys = right[np.searchsorted(along, rotated[xs[0], axis] - radius) : np.searchsorted(along, rotated[xs[-1], axis] + radius, "right")]
+        p, o = np.nonzero(near(b, xs, ys))
+        px, py = xs[p], ys[o]
+        keep = ~(halo[px] & halo[py])
         if i == j:
-            found &= nodes[xs][:, None] < nodes[right][None, :]
-        p, o = np.nonzero(found)
-        if not len(p):
+            keep &= nodes[px] < nodes[py]
+        px, py = px[keep], py[keep]
+        if not len(px):
             continue
         # A pair belongs to the first block that proposes it.
-        px, py = xs[p], right[o]
         keep = share(b, px, py) <= budget(b)
         for k in range(b):
             keep[keep] = share(k, px[keep], py[keep]) > budget(k)
