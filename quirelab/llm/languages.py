@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelab.llm.filters import keep_rows
 from quirelab.llm.rows import map_rows
 
 NGRAM, DIMENSIONS, SEED = 3, 1024, 20_240_607
@@ -150,27 +151,43 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return {k: found[k] / n for k in sorted(found) if (n := np.linalg.norm(found[k]))}
 
 
+def _best(matrix: np.ndarray, names: list[str], text: str | None) -> tuple[str, float]:
+    codes, counts = ngram_counts(text)
+    if not len(codes) or not names:
+        return UNKNOWN, 0.0
+    v = _space().bundle(codes, counts)
+    cosines = matrix @ v / max(np.linalg.norm(v), 1e-12)
+    k = int(cosines.argmax())
+    return names[k], min(1.0, max(0.0, float(cosines[k])))
+
+
+def _matrix(profiles: dict[str, np.ndarray]) -> tuple[np.ndarray, list[str]]:
+    names = list(profiles)
+    return np.array([profiles[k] for k in names]).reshape(len(names), DIMENSIONS), names
+
+
+def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, enough: int, text_col: str = "text") -> DataFrame:
+    """docs without texts that have no letters, and without texts of at least `enough` n-grams whose cosine with every
+    language is below `least`; without languages, only the former go."""
+    matrix, names = _matrix(profiles)
+
+    def known(text: str | None) -> bool:
+        counts = ngram_counts(text)[1]
+        return len(counts) > 0 and (not names or counts.sum() < enough or _best(matrix, names, text)[1] >= least)
+
+    return keep_rows(docs, text_col, lambda: lambda texts: [known(t) for t in texts])
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each text: id, the columns in keep, lang_pred, score (the cosine, 0 if it is negative)."""
-    names = list(profiles)
-    matrix = np.array([profiles[k] for k in names]).reshape(len(names), DIMENSIONS)
+    matrix, names = _matrix(profiles)
     fields = [docs.schema[c] for c in (id_col, *keep)]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def make():
         def call(*columns):
-            langs, scores = [], []
-            for text in columns[-1]:
-                codes, counts = ngram_counts(text)
-                lang, cosine = UNKNOWN, 0.0
-                if len(codes) and names:
-                    v = _space().bundle(codes, counts)
-                    all_cosines = matrix @ v / max(np.linalg.norm(v), 1e-12)
-                    k = int(all_cosines.argmax())
-                    lang, cosine = names[k], min(1.0, max(0.0, float(all_cosines[k])))
-                langs.append(lang)
-                scores.append(cosine)
-            return *columns[:-1], langs, scores
+            found = [_best(matrix, names, text) for text in columns[-1]]
+            return *columns[:-1], [lang for lang, _ in found], [score for _, score in found]
 
         return call
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelab.llm.filters import keep_rows
 from quirelab.llm.rows import map_rows
 from quirelab.session import discard, materialise
 
@@ -177,3 +178,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("score", T.DoubleType())])
     text = F.col(text_col).alias("_quire_text")
     return map_rows(docs.select(*(docs[c] for c in (id_col, *keep)), text), [id_col, *keep, "_quire_text"], schema, lambda: lambda *columns: (*columns[:-1], [model.score(t) for t in columns[-1]]))
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """docs without the texts that score `limit` or more."""
+    return keep_rows(docs, text_col, lambda: lambda texts: [model.score(t) < limit for t in texts])
