@@ -1,16 +1,63 @@
-"""The corpus pipeline: language, toxicity, near copies, benchmark passages, token ids."""
+"""The corpus pipeline: language, toxicity, near copies, benchmark passages, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
+of documents. run() applies them to the table documents, writing and rereading each stage's rows in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quirelab.llm import bpe, copies, languages, leaks, toxicity
+from quirelab.session import materialise, table
+
+#: A text of enough n-grams whose cosine with every language is below this is in none of them; one without letters goes, too.
+LEAST_COSINE, LEAST_NGRAMS = 0.15, 100
+#: A text that is at least this likely to be toxic goes.
+TOXIC = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the documents' own lang column teaches. Without any lang, only texts without
+    letters go."""
+    profiles = languages.prototypes(docs)
+    return languages.keep_known(docs, profiles, LEAST_COSINE, LEAST_NGRAMS)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC in a model of all labels."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_below(docs, model, TOXIC)
+
+
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, and all others."""
+    return copies.drop_copies(docs)
+
+
+def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("toxicity", toxicity_stage),
+    ("near copies", copies_stage),
+    ("decontamination", leaks_stage),
+    ("token ids", tokens_stage),
+]
+
+#: None of the five decisions can be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirelab.session import materialise, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
