@@ -46,6 +46,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import scoring
+
+    found = scoring.score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    return found.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelab.llm import leaks
 
@@ -73,6 +80,6 @@ def op10_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op4_near_copies, op5_language_id, op7_decontamination, op8_toxicity, op9_extract_pages, op10_vector_copies)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op4_near_copies, op5_language_id, op6_lm_scoring, op7_decontamination, op8_toxicity, op9_extract_pages, op10_vector_copies)}
 
 SQL: dict[str, str] = {}
