@@ -33,8 +33,8 @@ BITS = 256
 #: standard deviation below 6; this is over three and a half of them more.
 RADIUS = 60
 BLOCKS = BITS // 16
-#: Items whose index is broadcast at once.
-ITEMS = 20_000
+#: Items whose index is broadcast at once, and items of one size up to which no table is kept.
+ITEMS, FEW = 20_000, 64
 
 _PLANES = np.random.default_rng(7_007).integers(0, 1 << 63, BITS // 64, np.uint64)
 
@@ -85,28 +85,36 @@ class Index:
         # Weights lie between 1 and 2 a place: a similar window has at least this many of the item's different shingles.
         self.least = np.array([0.5 * wanted * len(h) for h, _ in self.bags])
         self.short = sorted({n for n in self.sizes if n < SHINGLE})
-        self.tables: dict[tuple[int, int], np.ndarray] = {}
+        self.by_size = {n: np.flatnonzero(self.size == n) for n in set(self.sizes)}
+        self.tables: dict[tuple[int, int, int], np.ndarray] = {}
 
-    def _near_block(self, block: int, value: int) -> np.ndarray:
-        found = self.tables.get((block, value))
+    def _near_block(self, size: int, block: int, value: int) -> np.ndarray:
+        found = self.tables.get((size, block, value))
         if found is None:
             if len(self.tables) > 200_000:
                 self.tables.clear()
-            found = self.tables[block, value] = np.flatnonzero(np.bitwise_count(self.prints[:, block] ^ np.uint16(value)) <= RADIUS // BLOCKS)
+            own = self.by_size[size]
+            found = self.tables[size, block, value] = own[np.bitwise_count(self.prints[own, block] ^ np.uint16(value)) <= RADIUS // BLOCKS]
         return found
 
-    def candidates(self, prints: np.ndarray) -> set[tuple[int, int]]:
-        """(window, item) of all fingerprints within RADIUS."""
+    def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """(window, item of `size` words) of all fingerprints within RADIUS."""
+        own = self.by_size[size]
+        if len(own) <= FEW:
+            # So few that the blocks of all are compared at once.
+            bits = np.bitwise_count(prints[:, None, :] ^ self.prints[own][None, :, :])
+            rows, items = np.nonzero((bits <= RADIUS // BLOCKS).any(2) & (bits.sum(2) <= RADIUS))
+            return list(zip(rows.tolist(), own[items].tolist()))
         found = set()
         for block in range(BLOCKS):
             values, which = np.unique(prints[:, block], return_inverse=True)
             for k, v in enumerate(values.tolist()):
-                items = self._near_block(block, v)
+                items = self._near_block(size, block, v)
                 if len(items):
                     rows = np.flatnonzero(which == k)
-                    far = np.bitwise_count(prints[rows][:, None, :] ^ self.prints[items][None, :, :]).sum(2) > RADIUS
-                    found.update((int(rows[i]), int(items[j])) for i, j in zip(*np.nonzero(~far)))
-        return found
+                    near = np.bitwise_count(prints[rows][:, None, :] ^ self.prints[items][None, :, :]).sum(2) <= RADIUS
+                    found.update((int(rows[i]), int(items[j])) for i, j in zip(*np.nonzero(near)))
+        return sorted(found)
 
     def find(self, text: str | None) -> list[tuple[Any, int, int, float]]:
         """(item id, first word, words, similarity) of the passages; of overlapping windows of an item the most similar."""
@@ -161,9 +169,7 @@ class Index:
                     sums = np.zeros((b - a + 1, BITS), np.float32)
                     np.cumsum(_signs(h[a:b]) * w[a:b, None], axis=0, out=sums[1:])
                     prints = _pack(sums[s - a + n] - sums[s - a])
-                    for row, item in sorted(self.candidates(prints)):
-                        if self.sizes[item] != size:
-                            continue
+                    for row, item in self.candidates(prints, size):
                         start = int(s[row])
                         sim = similarity(_bag(h[start : start + n], w[start : start + n]), self.bags[item])
                         if sim >= self.wanted:

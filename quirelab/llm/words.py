@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from quirelab.llm.rows import map_rows
 from quirelab.session import discard, materialise
 
-#: Words of a shingle.
-SHINGLE = 5
+#: Words of a shingle, and how much more one of rare words weighs than one of words that all documents hold.
+SHINGLE, RANGE = 5, 0.5
 #: Words in fewer than this share of the documents all weigh as much as words in this share; it bounds the table that is
 #: broadcast to (distinct words of a mean document) / RARE entries, and LARGEST bounds it whatever the documents are like.
 RARE, LARGEST = 1e-3, 1_000_000
@@ -71,35 +71,45 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nda
     return h[order], w[order]
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.fresh.append(word)
+        return k
+
+
 class Shingler:
-    """Weighted shingles of texts: a shingle weighs its number of places times (1 + the mean weight of its words), between
-    1 and 2 for each place. So a shingle's weight follows the rarity of its words, but neither a passage that very many
-    documents share nor a word that occurs once can decide a comparison alone. A text of one to four words is one shingle;
-    one without words has none."""
+    """Weighted shingles of texts: a shingle weighs its number of places times (1 + RANGE times the mean weight of its words).
+    So a shingle's weight follows the rarity of its words, but neither a passage that very many documents share nor a word
+    that occurs once can decide a comparison alone. A text of one to four words is one shingle; one without words has none."""
 
     def __init__(self, frequencies: tuple[np.ndarray, np.ndarray]):
         self.hashes, self.weights = frequencies
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.h, self.w = np.empty(KEPT, np.uint64), np.empty(KEPT)
 
     def _look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) + len(words) > len(self.h):
+            self.known = _Numbers()
+            if len(words) > len(self.h):
+                self.h, self.w = np.empty(len(words), np.uint64), np.empty(len(words))
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > KEPT:
-                known.clear()
-                new = list(dict.fromkeys(words))
-                if len(new) > KEPT:
-                    self.h, self.w = np.empty(len(new), np.uint64), np.empty(len(new))
-            h = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
-            weight = np.ones(len(new))
-            if len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                weight = np.where(self.hashes[at] == h, self.weights[at], 1.0)
-            start = len(known)
-            self.h[start : start + len(new)], self.w[start : start + len(new)] = h, weight
-            known.update(zip(new, range(start, start + len(new))))
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.fresh:
+            h = np.array(list(map(xxhash.xxh64_intdigest, known.fresh)), np.uint64)
+            weight = np.ones(len(h))
+            if len(self.hashes):
+                k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                weight = np.where(self.hashes[k] == h, self.weights[k], 1.0)
+            start = len(known) - len(h)
+            self.h[start : len(known)], self.w[start : len(known)] = h, weight
+            known.fresh = []
         return self.h[at], self.w[at]
 
     def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +123,7 @@ class Shingler:
         for i in range(k):
             out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
             weight += w[i : i + n]
-        return mix(out), 1 + weight / k
+        return mix(out), 1 + RANGE / k * weight
 
     def bag(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The different shingles, ascending, and their weights."""
