@@ -6,8 +6,8 @@ by ROWS: at a similarity of 0.8, fewer than 3 in 100,000 pairs agree in no band.
 
 In a first round each member of a bucket is compared with the bucket's most central member only, the one that meets the most
 others over all its buckets; a large group of copies is mostly linked by that. In a second round, buckets that still hold
-several components compare their members across components, in tiles. Pairs whose samples agree too rarely are left out in
-both rounds; at 0.8 that takes an agreement over three and a half standard deviations below the mean. All others are
+several components compare each member with those it agrees with most, in a third all members that are still apart, in
+tiles. Pairs whose samples agree too rarely are left out in all rounds; at 0.8 that takes an agreement over three and a half standard deviations below the mean. All others are
 compared exactly by weighted Jaccard similarity. Components of the links are the groups; every text in a group has its id.
 
 Cases: null and empty texts and texts without words are copies of nothing, each a group of its own. Texts of one to four
@@ -43,37 +43,47 @@ TILE = 1500
 KEPT = 64
 
 _TABLE = 1 << 16
+#: Weights up to 2 are taken to the nearest of these steps of a doubling, so that the scheme's values can be looked up.
+_STEPS = 24
 
 
 def _tables() -> tuple[np.ndarray, ...]:
-    """r, 1 / r, ln c and beta of the scheme, by 16 bits of a shingle's and a sample's hash."""
+    """r, ln c and beta of the scheme, by 16 bits of a shingle's and a sample's hash; ln a and the level by weight step, too."""
     rng = np.random.default_rng(20_100)
-    r, c = rng.gamma(2, 1, _TABLE), rng.gamma(2, 1, _TABLE)
-    r = np.maximum(r, 1e-6)
-    return r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32), rng.random(_TABLE).astype(np.float32)
+    r, log_c, beta = np.maximum(rng.gamma(2, 1, _TABLE), 1e-6), np.log(rng.gamma(2, 1, _TABLE)), rng.random(_TABLE)
+    level = np.floor(np.arange(_STEPS + 1)[:, None] * np.log(2) / _STEPS / r + beta)
+    return r, log_c, beta, (log_c - r * (level - beta + 1)).astype(np.float32).ravel(), level.astype(np.int32).ravel()
 
 
-_R, _INVERSE, _LOG_C, _BETA = _tables()
+_R, _LOG_C, _BETA, _LOG_A, _LEVEL = _tables()
 _ODD = np.random.default_rng(20_101).integers(1 << 62, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
 
 
 def samples(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """SAMPLES consistent weighted samples, each a 64-bit hash of the shingle and the level that were drawn."""
     h, w = bag
-    best = np.full(SAMPLES, np.inf, np.float32)
+    best = np.full(SAMPLES, np.inf)
     out = np.zeros(SAMPLES, np.uint64)
     rows = np.arange(SAMPLES)
-    for at in range(0, len(h), 2048):
-        part, log_w = h[at : at + 2048], np.log(w[at : at + 2048]).astype(np.float32)
-        k = ((part[None, :] * _ODD[:, None]) >> np.uint64(48)).astype(np.int32)
-        r, beta = _R[k], _BETA[k]
-        level = np.floor(log_w * _INVERSE[k] + beta)
-        a = _LOG_C[k] - r * (level - beta + 1)
-        least = a.argmin(1)
-        value = a[rows, least]
-        better = value < best
-        drawn = mix(part[least] ^ mix(level[rows, least].astype(np.int64).astype(np.uint64) + _ODD))
-        best, out = np.where(better, value, best), np.where(better, drawn, out)
+    light = w <= 2
+    for looked_up, every, weight in ((True, h[light], w[light]), (False, h[~light], w[~light])):
+        for at in range(0, len(every), 2048):
+            part, log_w = every[at : at + 2048], np.log(weight[at : at + 2048])
+            k = ((part[None, :] * _ODD[:, None]) >> np.uint64(48)).view(np.int64)
+            if looked_up:
+                k += np.rint(log_w * (_STEPS / np.log(2))).astype(np.int64) * _TABLE
+                a = _LOG_A.take(k)
+                least = a.argmin(1)
+                level = _LEVEL.take(k[rows, least])
+            else:
+                level = np.floor(log_w / _R[k] + _BETA[k])
+                a = _LOG_C[k] - _R[k] * (level - _BETA[k] + 1)
+                least = a.argmin(1)
+                level = level[rows, least]
+            value = a[rows, least]
+            drawn = mix(part[least] ^ mix(level.astype(np.int64).astype(np.uint64) + _ODD))
+            out = np.where(value < best, drawn, out)
+            best = np.minimum(value, best)
     return out
 
 
@@ -141,27 +151,38 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, floor: int) -> DataFrame:
     return map_rows(pairs, ["a", "b", "sa", "sb"], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), make)
 
 
-def _across(buckets: DataFrame, floor: int) -> DataFrame:
-    """Pairs within a bucket (h, n, node, component, short) that are in different components and agree in enough samples."""
+def _across(buckets: DataFrame, floor: int, best: int | None = None) -> DataFrame:
+    """Pairs within a bucket (h, band, n, node, component, short) that are in different components and agree in at least
+    `floor` samples; each is given in the first band in which the two meet. With best, of each node and tile only so many
+    that agree with it most."""
     ship(buckets.sparkSession)
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     chunked = buckets.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("h", "i", "j", "node", "component", "short", "chunk")
+    tiles = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("h", "i", "j", "band", "node", "component", "short", "chunk")
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
         node, component, chunk = (table[c].to_numpy() for c in ("node", "component", "chunk"))
         short = np.frombuffer(b"".join(table["short"].to_pylist()), "<u2").reshape(-1, SAMPLES)
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         a, b = [], []
         for x in left.tolist():
             ys = right[component[right] != component[x]]
-            if i == j:
+            if i == j and not best:
                 ys = ys[node[ys] > node[x]]
-            if len(ys):
-                ys = ys[(short[ys] == short[x]).sum(1) >= floor]
-                a.append(np.maximum(node[ys], node[x]))
-                b.append(np.minimum(node[ys], node[x]))
+            if not len(ys):
+                continue
+            same = short[ys] == short[x]
+            agree = same.sum(1)
+            if best:
+                most = np.lexsort((node[ys], -agree))[:best]
+                ys = ys[most[agree[most] >= floor]]
+            else:
+                near = agree >= floor
+                ys, same = ys[near], same[near]
+                ys = ys[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+            a.append(np.maximum(node[ys], node[x]))
+            b.append(np.minimum(node[ys], node[x]))
         join = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), pa.int64())
         return pa.table({"a": join(a), "b": join(b)})
 
@@ -204,7 +225,7 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
     classes = known.groupBy("class").agg(first, F.count(F.lit(1)).alias("copies"), F.first("short").alias("short"), F.first("bands").alias("bands"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("node", F.explode("bands").alias("h"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "h"))
     several = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialise(banded.join(several, "h"), "buckets")
     central = buckets.groupBy("node").agg(F.sum("n").alias("met"))
@@ -218,16 +239,19 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
         found = docs.join(wanted_rows, docs["id"].eqNullSafe(wanted_rows["k"]) & (docs["text_hash"] == wanted_rows["text_hash"]))
         return materialise(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    links = materialise(_compared(star, texts(star), frequencies, wanted), "star-links")
-    reached = materialise(components(links), "components")
-    placed = buckets.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_buckets = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    placed = placed.join(open_buckets, "h").join(classes.select("node", "short"), "node")
-    rest = materialise(_across(placed, floor).distinct(), "rest")
-    tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    more = materialise(_compared(rest, texts(rest), frequencies, wanted), "rest-links")
-    reached = components(links.select("a", "b").union(more.select("a", "b")))
+    tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = materialise(_compared(star, texts(star), frequencies, wanted), "links").select("a", "b")
+    # First each member's likeliest partners in other components, then all others that are still apart.
+    for best in (3, None):
+        reached = materialise(components(links), "components")
+        placed = buckets.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        still_open = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+        placed = placed.join(still_open, "h").join(classes.select("node", "short"), "node")
+        pairs = _across(placed, floor, best)
+        pairs = materialise((pairs.distinct() if best else pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(_compared(pairs, texts(pairs), frequencies, wanted), "links")
+        links, tested = links.union(more.select("a", "b")), tested.union(pairs)
+    reached = components(links)
 
     grouped = classes.select("class", "node", "first", "copies").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped, "grouped")
