@@ -63,10 +63,10 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nda
     counts = materialise(map_rows(docs, [text_col], schema, make).groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
     # The row without a word has the number of documents.
     total = counts.where("w IS NULL").agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("w").isNotNull() & (F.col("n") > RARE * total)).orderBy(F.desc("n"), "w").limit(LARGEST).toPandas()
+    top = counts.where(F.col("w").isNotNull() & (F.col("n") > RARE * total)).orderBy(F.desc("n"), "w").limit(LARGEST).toArrow()
     discard(counts)
-    h = (top["w"].to_numpy(np.int64).astype(np.uint64)) + np.uint64(1 << 63)
-    w = np.clip(np.log(total / top["n"].to_numpy(np.float64)) / np.log(1 / RARE), 0, 1)
+    h = top["w"].to_numpy().astype(np.uint64) + np.uint64(1 << 63)
+    w = np.clip(np.log(total / top["n"].to_numpy().astype(np.float64)) / np.log(1 / RARE), 0, 1)
     order = h.argsort()
     return h[order], w[order]
 
