@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from quirelab.plans import documents, exports, library, search, timeseries  # noqa: F401  they register
+from quirelab.plans.registry import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "search_documents"
