@@ -38,7 +38,7 @@ SAMPLES = ROWS * BANDS
 #: Standard deviations of the sampled agreement below the wanted similarity at which a pair is not compared.
 DEVIATIONS = 3.5
 #: Rows of a bucket on either side of a tile.
-TILE = 1500
+TILE = 1000
 #: Texts whose shingles a worker keeps while it compares.
 KEPT = 64
 

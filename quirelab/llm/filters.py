@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quirelab.llm.rows import slices
+from quirelab.llm.rows import settle, slices
 from quirelab.session import ship
 
 
@@ -23,5 +23,7 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
                 keep = part.filter(pa.array(call(part.column(at).to_pylist()), pa.bool_()))
                 if keep.num_rows:
                     yield keep
+        del call
+        settle()
 
     return df.mapInArrow(run, df.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +23,15 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTE
         yield batch.slice(at, step)
 
 
+def settle() -> None:
+    """Give memory that a finished task no longer needs back to the system; workers live on and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, columns: Sequence[str], schema: T.StructType, make: Callable[[], Callable[..., Sequence]], rows: int = SLICE_ROWS) -> DataFrame:
     """Run make()'s function over slices of the named columns; it gets a list for each column and returns one for each field of schema.
 
@@ -38,9 +49,9 @@ def map_rows(df: DataFrame, columns: Sequence[str], schema: T.StructType, make:
                 out = call(*(c.to_pylist() for c in part.columns))
                 if out is not None:
                     yield pack(out)
-        finish = getattr(call, "finish", None)
-        if finish is not None:
-            for out in finish():
-                yield pack(out)
+        for out in getattr(call, "finish", list)():
+            yield pack(out)
+        del call
+        settle()
 
     return df.select(*(df[c] for c in columns)).mapInArrow(run, schema)
