@@ -6,8 +6,8 @@ by ROWS: at a similarity of 0.8, fewer than 3 in 100,000 pairs agree in no band.
 
 In a first round each member of a bucket is compared with the bucket's most central member only, the one that meets the most
 others over all its buckets; a large group of copies is mostly linked by that. In a second round, buckets that still hold
-several components compare each member with those it agrees with most, in a third all members that are still apart, in
-tiles. Pairs whose samples agree too rarely are left out in all rounds; at 0.8 that takes an agreement over three and a half standard deviations below the mean. All others are
+several components compare their members across components, in tiles. Pairs whose samples agree too rarely are left out in
+both rounds; at 0.8 that takes an agreement over three and a half standard deviations below the mean. All others are
 compared exactly by weighted Jaccard similarity. Components of the links are the groups; every text in a group has its id.
 
 Cases: null and empty texts and texts without words are copies of nothing, each a group of its own. Texts of one to four
@@ -19,6 +19,7 @@ ignored by near_copies; drop_copies keeps them all, whatever their names.
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SAMPLES = ROWS * BANDS
 DEVIATIONS = 3.5
 #: Rows of a bucket on either side of a tile.
 TILE = 1000
+#: Shingles that a tile holds at once (16 bytes each).
+TILE_SHINGLES = 4_000_000
 #: Texts whose shingles a worker keeps while it compares.
 KEPT = 64
 
@@ -151,42 +154,78 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, floor: int) -> DataFrame:
     return map_rows(pairs, ["a", "b", "sa", "sb"], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), make)
 
 
-def _across(buckets: DataFrame, floor: int, best: int | None = None) -> DataFrame:
-    """Pairs within a bucket (h, band, n, node, component, short) that are in different components and agree in at least
-    `floor` samples; each is given in the first band in which the two meet. With best, of each node and tile only so many
-    that agree with it most."""
+def _across(buckets: DataFrame, frequencies, floor: int, wanted: float) -> DataFrame:
+    """Links between members of a bucket (h, band, n, node, component, short, text) that are in different components.
+
+    A tile takes its pairs that agree in at least `floor` samples, each in the first band in which the two meet, the likeliest
+    first, and compares them exactly; a pair that links of the same tile already connect needs no comparison."""
     ship(buckets.sparkSession)
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     chunked = buckets.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("h", "i", "j", "band", "node", "component", "short", "chunk")
+    tiles = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("h", "i", "j", "band", "node", "component", "short", "text", "chunk")
 
     def run(table: pa.Table) -> pa.Table:
         i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
         node, component, chunk = (table[c].to_numpy() for c in ("node", "component", "chunk"))
         short = np.frombuffer(b"".join(table["short"].to_pylist()), "<u2").reshape(-1, SAMPLES)
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [], []
+        pairs = []
         for x in left.tolist():
             ys = right[component[right] != component[x]]
-            if i == j and not best:
+            if i == j:
                 ys = ys[node[ys] > node[x]]
-            if not len(ys):
-                continue
-            same = short[ys] == short[x]
-            agree = same.sum(1)
-            if best:
-                most = np.lexsort((node[ys], -agree))[:best]
-                ys = ys[most[agree[most] >= floor]]
-            else:
-                near = agree >= floor
-                ys, same = ys[near], same[near]
-                ys = ys[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
-            a.append(np.maximum(node[ys], node[x]))
-            b.append(np.minimum(node[ys], node[x]))
-        join = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), pa.int64())
-        return pa.table({"a": join(a), "b": join(b)})
-
-    return tiles.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
+            if len(ys):
+                same = short[ys] == short[x]
+                agree = same.sum(1)
+                near = np.flatnonzero(agree >= floor)
+                near = near[same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                pairs.append(np.column_stack([-agree[near], np.full(len(near), x), ys[near]]))
+        every = np.concatenate(pairs) if pairs else np.empty((0, 3), np.int64)
+        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+        shingler = _shingler(frequencies)
+        texts = table["text"]
+        bags: OrderedDict[int, tuple] = OrderedDict()
+        held = 0
+
+        def bag(k: int) -> tuple:
+            nonlocal held
+            if k not in bags:
+                bags[k] = shingler.bag(words_of(texts[k].as_py()))
+                held += len(bags[k][0])
+                while held > TILE_SHINGLES and len(bags) > 2:
+                    held -= len(bags.popitem(last=False)[1][0])
+            return bags[k]
+
+        root = {c: c for c in np.unique(component).tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a, b, sims = [], [], []
+        for _, x, y in every.tolist():
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q and (sim := similarity(bag(x), bag(y))) >= wanted:
+                root[max(p, q)] = min(p, q)
+                a.append(int(node[x]))
+                b.append(int(node[y]))
+                sims.append(sim)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sims, pa.float64())})
+
+    return tiles.groupBy("h", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
+@lru_cache(maxsize=1)
+def _shingler_of(key: bytes, hashes: bytes, weights: bytes) -> Shingler:
+    return Shingler((np.frombuffer(hashes, np.uint64), np.frombuffer(weights)))
+
+
+def _shingler(frequencies) -> Shingler:
+    """One for a worker, so that tiles share what it knows of words."""
+    hashes, weights = frequencies
+    return _shingler_of(xxhash.xxh3_128_digest(hashes.tobytes() + weights.tobytes()), hashes.tobytes(), weights.tobytes())
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, frequencies, wanted: float) -> DataFrame:
@@ -233,25 +272,18 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
     star = buckets.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     star = materialise(_agreeing(star, classes, floor), "star")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted_rows = classes.join(nodes, "node").select("node", F.col("first.id").alias("k"), F.col("first.text_hash").alias("text_hash"))
-        found = docs.join(wanted_rows, docs["id"].eqNullSafe(wanted_rows["k"]) & (docs["text_hash"] == wanted_rows["text_hash"]))
-        return materialise(found.select("node", "text").dropDuplicates(["node"]), "texts")
-
-    tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = materialise(_compared(star, texts(star), frequencies, wanted), "links").select("a", "b")
-    # First each member's likeliest partners in other components, then all others that are still apart.
-    for best in (3, None):
-        reached = materialise(components(links), "components")
-        placed = buckets.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        still_open = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-        placed = placed.join(still_open, "h").join(classes.select("node", "short"), "node")
-        pairs = _across(placed, floor, best)
-        pairs = materialise((pairs.distinct() if best else pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_compared(pairs, texts(pairs), frequencies, wanted), "links")
-        links, tested = links.union(more.select("a", "b")), tested.union(pairs)
-    reached = components(links)
+    # Texts of all that share a bucket, fetched once.
+    rows_of = classes.join(buckets.select("node").distinct(), "node").select("node", F.col("first.id").alias("k"), F.col("first.text_hash").alias("text_hash"))
+    texts = docs.join(rows_of, docs["id"].eqNullSafe(rows_of["k"]) & (docs["text_hash"] == rows_of["text_hash"]))
+    texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    links = materialise(_compared(star, texts, frequencies, wanted), "links").select("a", "b")
+    reached = materialise(components(links), "components")
+    placed = buckets.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    still_open = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    placed = placed.join(still_open, "h").join(classes.select("node", "short"), "node").join(texts, "node")
+    more = materialise(_across(placed, frequencies, floor, wanted), "links")
+    reached = components(links.union(more.select("a", "b")))
 
     grouped = classes.select("class", "node", "first", "copies").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped, "grouped")
