@@ -193,3 +193,82 @@ def test_plans_push_down_and_prune(spark, sf):
 
     plan = catalog.QUERIES["list_filtered"](spark, sf)._jdf.queryExecution().toString()
     assert "o_custkey" not in plan.split("ReadSchema")[1]
+
+
+def test_jats_and_latex_bodies():
+    from quirelab.sources import papers
+
+    xml = "<article><body><sec><title>A</title><p>one <b>two</b></p><sec><p>inner</p></sec></sec></body><back><ref-list><ref>r 1</ref></ref-list></back></article>"
+    assert [(s, k, t) for _, s, k, t in papers.jats_body(xml)] == [("s1", "heading", "A"), ("s1", "paragraph", "one two"), ("s1/s1", "paragraph", "inner"), ("back", "reference_entry", "r 1")]
+    assert papers.jats_body("<!DOCTYPE x [<!ENTITY a 'b'>]><article/>") == [] == papers.jats_body("<article>") == papers.jats_body(None)
+    tex = r"""\documentclass{article}\newcommand{\us}{our method}
+\begin{document} % note
+\section{Intro} We show \us{} \cite{a}.
+
+Second \emph{part}.
+\begin{equation}a = b\end{equation}
+\subsection{More}
+\begin{itemize}\item one \item two\end{itemize}
+\end{document} after"""
+    assert [(s, k, t) for _, s, k, t in papers.latex_body(tex)] == [("s1", "heading", "Intro"), ("s1", "paragraph", "We show our method ."), ("s1", "paragraph", "Second part."), ("s1", "equation", "a = b"), ("s1/s1", "heading", "More"), ("s1/s1", "list", "one two")]
+    assert papers.main_tex({"a/x.tex": tex, "b.tex": tex, "c.tex": "no"}) == "b.tex" and papers.main_tex({}) is None
+
+
+def test_archives_are_bounded(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from quirelab.sources import papers
+
+    def tar(files):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as t:
+            for name, data in files:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    assert papers.unpacked("x", tar([("a.tex", b"hi"), ("../up", b"no"), ("/abs", b"no")])) == [("a.tex", b"hi", ""), ("../up", b"", "outside"), ("/abs", b"", "outside")]
+    assert papers.unpacked("x", tar([("bomb", b"0" * 5_000_000)]))[-1][2] == "too large"
+    assert papers.unpacked("x", b"nothing")[-1][2] == "damaged"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("d/f.py", "print()")
+    (tmp_path / "f.zip").write_bytes(out.getvalue())
+    found = papers.read_archives(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert [(r["path"], bytes(r["content"])) for r in found.collect()] == [("d/f.py", b"print()")]
+
+
+def test_layout_by_hand(spark):
+    from quirelab.operators import layout
+
+    lines = [(1, 0, 0, 40.0, 50.0, 10.0, "First line of a para-"), (1, 1, 0, 52.0, 50.0, 10.0, "graph goes on"), (1, 2, 0, 90.0, 50.0, 10.0, "New one"), (1, 3, 0, 102.0, 62.0, 10.0, "indented"), (1, 4, 1, 40.0, 50.0, 10.0, "next page")]
+    df = spark.createDataFrame(lines, "doc_id long, position int, page int, y double, x double, height double, text string")
+    assert [r["paragraph"] for r in layout.paragraphs(df).orderBy("position").collect()] == [0, 0, 1, 2, 3]
+    assert spark.range(1).select(layout.joined(F.array(F.lit("para-"), F.lit("graph A-"), F.lit("Bee  ")))).first()[0] == "paragraph A- Bee"
+    boxes = [F.lit(float(x)) for x in (0, 0, 2, 2)], [F.lit(float(x)) for x in (1, 1, 3, 3)]
+    assert spark.range(1).select(layout.intersection_over_union(*boxes)).first()[0] == pytest.approx(1 / 7)
+    rows_ = [(1, 0, 0, "Ends here."), (1, 1, 0, "goes on without"), (1, 2, 1, "a break here"), (1, 3, 1, "Last")]
+    merged = layout.continued_paragraphs(spark.createDataFrame(rows_, "doc_id int, paragraph int, page int, text string"))
+    assert [r["merged"] for r in merged.orderBy("paragraph").collect()] == [0, 1, 1, 2]
+    refs = spark.createDataFrame([(1, 0, "References"), (1, 1, "[1] A. One,"), (1, 2, "Title."), (1, 3, "[2] B. Two")], "doc_id int, position int, text string")
+    assert [tuple(r) for r in layout.grouped_references(refs).orderBy("reference").collect()] == [(1, 0, "References"), (1, 1, "[1] A. One, Title."), (1, 2, "[2] B. Two")]
+
+
+def test_greedy_assignment_and_evidence(spark):
+    from quirelab.operators import anchors
+
+    pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.95), (1, 2, 2, 0.94), (1, 2, 1, 0.5)], "doc_id int, a int, b int, score double")
+    assert sorted((r["a"], r["b"]) for r in anchors.assigned_pairs(pairs).collect()) == [(1, 2), (2, 1)]
+    known = spark.range(1).select(anchors.known_evidence(F.array(*map(F.lit, "bxab")), F.array(*map(F.lit, "ab"))))
+    assert known.first()[0] == ["b", "a"]
+
+
+def test_published_blocks_keep_titles_only(spark):
+    from quirelab.operators import views
+
+    row = ([{"kind": "text", "text": "t", "evidence": [{"title": "T", "quote": "secret"}]}, {"kind": "private", "text": "p", "evidence": []}],)
+    df = spark.createDataFrame([row], "b array<struct<kind: string, text: string, evidence: array<struct<title: string, quote: string>>>>")
+    assert [x.asDict() for x in df.select(views.published(F.col("b"), ("text",))).first()[0]] == [{"kind": "text", "text": "t", "evidence": ["T"]}]
