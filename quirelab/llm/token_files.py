@@ -22,6 +22,7 @@ import io
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
@@ -199,6 +200,11 @@ def _numbered(ids: list[Any]) -> list[tuple[Any, int]]:
     return out
 
 
+def _bound(i: Any) -> str:
+    """An id as the manifest compares it: null first."""
+    return json.dumps([i is not None, i if isinstance(i, int | float | str) else str(i)])
+
+
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | Callable[[], str] = default_path, end_id: int = 2) -> dict:
     """Encode, append end_id, write the shards, and the manifest, which is returned. To the driver comes a row for each shard."""
     spark = docs.sparkSession
@@ -206,7 +212,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     fs, where = _open(folder)
     fs.create_dir(where, recursive=True)
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("bits", T.IntegerType())])
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path() if callable(path) else path)
@@ -242,7 +248,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         sink = io.BytesIO()
         np.savez(sink, sizes=perfect.sizes, bits=perfect.bits, fingerprint=(h2[by_slot] >> np.uint64(32)).astype(np.uint32), offset=starts[by_slot], count=sizes[by_slot])
         _put(folder, f"{name}.idx", sink.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([8 * encoder.dtype.itemsize], pa.int32())], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([8 * encoder.dtype.itemsize], pa.int32()), pa.array([_bound(ids[0])]), pa.array([_bound(ids[-1])])], names=schema.names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
@@ -251,8 +257,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     shards = sorted(tuple(r) for r in sharded.mapInArrow(run, schema).collect())
     manifest = {"bits": shards[0][3] if shards else 32, "end_id": end_id, "id_type": str(id_type), "shards": []}
     start = 0
-    for shard, n_docs, n_ids, _ in shards:
-        manifest["shards"].append({"name": f"shard-{shard:06d}", "n_docs": n_docs, "n_ids": n_ids, "start": start})
+    for shard, n_docs, n_ids, _, first, last in shards:
+        manifest["shards"].append({"name": f"shard-{shard:06d}", "n_docs": n_docs, "n_ids": n_ids, "start": start, "first": json.loads(first), "last": json.loads(last)})
         start += n_ids
     _put(folder, "manifest.json", json.dumps(manifest).encode())
     return manifest
@@ -288,11 +294,14 @@ class Shard:
 
 
 def lookup(folder: str, wanted: Any) -> list[np.ndarray]:
-    """The ids of every document with this id, in shard order. Fingerprints have 32 bits: an absent id is found by mistake
-    once in four thousand million look-ups a shard."""
+    """The ids of every document with this id, in shard order; only shards whose range holds the id are opened. Fingerprints
+    have 32 bits: an absent id within a range is found by mistake once in four thousand million look-ups."""
     manifest = json.loads(_get(folder, "manifest.json"))
-    out = []
-    for s in manifest["shards"]:
+    out, key = [], json.loads(_bound(wanted))
+    shards = manifest["shards"]
+    for s in shards[bisect_left(shards, key, key=lambda s: s["last"]) :]:
+        if s["first"] > key:
+            break
         shard, k = Shard(folder, s["name"], manifest["bits"]), 0
         while (at := shard.find([(wanted, k)]))[0][0] >= 0:
             out.append(shard.ids(int(at[0][0]), int(at[1][0])))
