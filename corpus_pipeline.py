@@ -12,7 +12,7 @@ from quirelab.llm import bpe, copies, languages, leaks, toxicity
 from quirelab.session import materialise, table
 
 #: A text of enough n-grams whose cosine with every language is below this is in none of them; one without letters goes, too.
-LEAST_COSINE, LEAST_NGRAMS = 0.15, 100
+LEAST_COSINE, LEAST_NGRAMS = 0.1, 100
 #: A text that is at least this likely to be toxic goes.
 TOXIC = 0.5
 
