@@ -23,7 +23,7 @@ from quirelab.llm.rows import map_rows
 from quirelab.session import materialise
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>""")
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -33,6 +33,8 @@ _DROP_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|aside|nav|navbar|navigation|menu|breadcrumbs?|foot|footer|masthead|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend\w*|widget|toolbar|pagination|pager|skip-link|disclaimer|copyright|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Class words that say what else a page has or lacks.
+_ABOUT = re.compile(r"(?<![\w-])(?:has|with|no|without|is|show|hide)-[\w-]+", re.I)
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _HEADER_CLASS = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header|top-?bar|head)(?:$|[\s_-])", re.I)
 _GOOD_CLASS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
@@ -53,9 +55,10 @@ class Node:
         self.clean = self.total = 0
 
 
-def _segment(tag: str, classes: str) -> str:
-    general = sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})
-    return ".".join([tag, *general])
+def _segment(tag: str, classes: str, name: str) -> str:
+    """The tag with its classes and id, numbers in them made equal."""
+    general = sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})
+    return ".".join([tag, *general]) + (f"#{re.sub(r'[0-9]+', '0', name.lower())}" if name else "")
 
 
 def _join(path: str, segment: str) -> str:
@@ -145,7 +148,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
             continue
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
         classes, role = attrs.get("class", ""), attrs.get("role", "").lower()
-        named = f"{classes} {attrs.get('id', '')}"
+        named = _ABOUT.sub("", f"{classes} {attrs.get('id', '')}")
         parent = stack[-1]
         inside = parent.inside or tag in ("article", "main") or role == "main"
         whole = tag in ("html", "body", "article", "main")
@@ -153,7 +156,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
         if not drop and not whole:
             drop = role in _DROP_ROLE or bool(named.strip() and _DROP_CLASS.search(named)) or (not parent.inside and (tag == "header" or bool(named.strip() and _HEADER_CLASS.search(named))))
         bonus = 1.3 if tag in ("article", "main") or role == "main" else 1.15 if named.strip() and _GOOD_CLASS.search(named) else 1.0
-        node = Node(tag, parent, drop, bonus, "" if drop or not block else _join(parent.path, _segment(tag, classes)), len(pieces), inside)
+        node = Node(tag, parent, drop, bonus, "" if drop or not block else _join(parent.path, _segment(tag, classes, attrs.get("id", ""))), len(pieces), inside)
         if not block:
             node.path = parent.path
         nodes.append(node)

@@ -448,3 +448,18 @@ def test_pipeline_stages(spark, sf):
     empty = docs.limit(0)
     for name, stage in p.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<body><div id='content' class='has-sidebar'><p>Main text is here.</p></div><div id='sidebar'><p>Not this one at all.</p></div></body>", "Main text is here."),
+        ("<body><div class='menu'><ul><li><a href='x'>A</a></ul></div><div class='post'><h2>T</h2>Loose text<p>and more.</div><div class='cookie-notice'>We use them</div></body>", "T Loose text and more."),
+        ("<main><section><p>One.</p></section><form><input><p>no</p></form><section id='comments'><p>said a reader</p></section><div class='share'>share</div></main>", "One."),
+        ("<article><header><h1>Title</h1></header><p>A<sup>2</sup>&nbsp;&lt;b&gt; x</p><p hidden>no</p><noscript>no</noscript></article>", "Title A2 <b> x"),
+        ("<article data-id='7'><p title='a hidden gem' data-class=ad>kept <i class='hidden-xs'>too</i></p></article>", "kept too"),
+        ("<article><p>cut <a href=\"x>y\">link</a> in <!-- not > this --> two", "cut link in two"),
+    ],
+)
+def test_page_shapes(page, wanted):
+    assert pages.extract(page) == wanted
