@@ -164,7 +164,12 @@ def reference_fields(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", f["arxiv_id"].alias("arxiv_id"), f["doi"].alias("doi"), f["year"].alias("year"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BLOCKS}, t AS (SELECT doc_id, position, CAST(ceil(length(text) / 4 * 1.1) AS INTEGER) AS tokens FROM blocks),
+ g(doc_id, position, batch, n, total) AS (SELECT doc_id, position, 0, 1, tokens FROM t WHERE position = 0 UNION ALL
+  SELECT t.doc_id, t.position, CASE WHEN g.n >= 8 OR g.total + t.tokens > 2800 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.n >= 8 OR g.total + t.tokens > 2800 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 8 OR g.total + t.tokens > 2800 THEN t.tokens ELSE g.total + t.tokens END
+  FROM g JOIN t ON t.doc_id = g.doc_id AND t.position = g.position + 1) SELECT doc_id, position, batch FROM g"""
+)
 def greedy_batches(spark, sf):
     return ops.greedy_batches(blocks(spark, sf))
 

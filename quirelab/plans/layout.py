@@ -88,7 +88,11 @@ def claim_scores(spark, sf):
     return anchors.claims(plain, ("the", "that"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BLOCKS}, s AS (SELECT doc_id, section, max(position) % 7 = 3 AS anchored, sum((length(text) - length(replace(text, 'that', ''))) // 4) AS matches, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens FROM blocks GROUP BY doc_id, section),
+ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY anchored DESC, matches DESC, section) AS k FROM s),
+ g(doc_id, k, section, rest, promoted) AS (SELECT doc_id, k, section, CASE WHEN tokens <= 400 THEN 400 - tokens ELSE 400 END, tokens <= 400 FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, o.section, CASE WHEN o.tokens <= g.rest THEN g.rest - o.tokens ELSE g.rest END, o.tokens <= g.rest FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1) SELECT doc_id, section, promoted FROM g"""
+)
 def promoted_sections(spark, sf):
     s = blocks(spark, sf).groupBy("doc_id", "section").agg((F.max("position") % 7 == 3).alias("anchored"), F.sum(F.regexp_count("text", F.lit("that"))).alias("matches"), F.sum(F.ceil(F.length("text") / 4)).alias("tokens"))
     return anchors.promoted_sections(s, 400)

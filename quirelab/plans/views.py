@@ -100,7 +100,10 @@ def accepted_candidates(spark, sf):
     return ops.accepted_candidates(p.where("entry_id >= 20").select(F.col("entry_id").alias("candidate_id"), "term"), p.where("entry_id < 20"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BLOCKS}, o AS (SELECT doc_id, position, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'heading' THEN 0 WHEN 'figure' THEN 1 ELSE 2 END, position) AS k FROM blocks),
+ g(doc_id, k, position, rest, taken) AS (SELECT doc_id, k, position, CASE WHEN n <= 1200 THEN 1200 - n ELSE 1200 END, n <= 1200 FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, o.position, CASE WHEN o.n <= g.rest THEN g.rest - o.n ELSE g.rest END, o.n <= g.rest FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1) SELECT doc_id, position FROM g WHERE taken"""
+)
 def slide_material(spark, sf):
     return ops.slide_material(blocks(spark, sf), {"heading": 0, "figure": 1, "paragraph": 2}, 1200)
 
