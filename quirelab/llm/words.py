@@ -71,7 +71,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nda
     return h[order], w[order]
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers words as they are first asked for."""
 
     def __init__(self):
@@ -91,12 +91,12 @@ class Shingler:
 
     def __init__(self, frequencies: tuple[np.ndarray, np.ndarray]):
         self.hashes, self.weights = frequencies
-        self.known = _Numbers()
+        self.known = Numbers()
         self.h, self.w = np.empty(KEPT, np.uint64), np.empty(KEPT)
 
     def _look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) + len(words) > len(self.h):
-            self.known = _Numbers()
+            self.known = Numbers()
             if len(words) > len(self.h):
                 self.h, self.w = np.empty(len(words), np.uint64), np.empty(len(words))
         known = self.known
