@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Tables that materialise() has written and nobody has deleted.
+_written: set[str] = set()
 
 
 def local_session(app: str = "quirelab", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -63,12 +65,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that lineage ends here and no result is computed twice."""
+    """Write df as a table in the shared folder and read it back, so that lineage ends here and no result is computed twice.
+
+    Tables that a returned DataFrame still reads stay until cleanup()."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelab_path = path
+    _written.add(path)
     return out
 
 
@@ -76,6 +81,16 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by materialise() whose readers have all finished."""
     path = getattr(df, "_quirelab_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables of materialise() that are left, once no result that reads them is needed any more."""
+    for path in sorted(_written):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
