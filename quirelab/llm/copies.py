@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quirelab.llm.graph import components
 from quirelab.llm.rows import map_rows
 from quirelab.llm.words import Shingler, inverse_frequencies, mix, similarity, words_of
-from quirelab.session import materialise, ship
+from quirelab.session import discard, materialise, ship
 
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 20
@@ -277,19 +277,22 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
     texts = docs.join(rows_of, docs["id"].eqNullSafe(rows_of["k"]) & (docs["text_hash"] == rows_of["text_hash"]))
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    links = materialise(_compared(star, texts, frequencies, wanted), "links").select("a", "b")
-    reached = materialise(components(links), "components")
+    links = materialise(_compared(star, texts, frequencies, wanted), "links")
+    reached = components(links.select("a", "b"))
     placed = buckets.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still_open = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
     placed = placed.join(still_open, "h").join(classes.select("node", "short"), "node").join(texts, "node")
     more = materialise(_across(placed, frequencies, floor, wanted), "links")
-    reached = components(links.union(more.select("a", "b")))
+    all_reached = components(links.select("a", "b").union(more.select("a", "b")))
 
-    grouped = classes.select("class", "node", "first", "copies").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = classes.select("class", "node", "first", "copies").join(all_reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped, "grouped")
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("rows")).where("rows > 1")
     told = grouped.join(heads, "component").select("class", F.col("head.id").alias("group_id"), F.col("head.text_hash").alias("keep_hash"))
-    return rows, materialise(told, "told")
+    told = materialise(told, "told")
+    for used in (classes, buckets, hubs, star, texts, links, reached, more, all_reached, grouped):
+        discard(used)
+    return rows, told
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -31,8 +31,11 @@ def components(links: DataFrame) -> DataFrame:
         if graph.isEmpty():
             break
     discard(graph)
-    found = levels.pop().select("node", F.col("label").alias("component"))
-    while levels:
+    found = levels[-1].select("node", F.col("label").alias("component"))
+    for level in reversed(levels[:-1]):
         upper = found.select(F.col("node").alias("label"), "component")
-        found = levels.pop().join(upper, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+        found = level.join(upper, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    found = materialise(found, "components")
+    for level in levels:
+        discard(level)
     return found

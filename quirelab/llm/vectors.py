@@ -185,5 +185,6 @@ def near_copies(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id"
     told = materialise(told, "vector-told")
     out = rows.join(told, ["label", "vector"], "left")
     component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    discard(found)
+    for used in (found, reached, classes, by_node):
+        discard(used)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
