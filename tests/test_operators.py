@@ -272,3 +272,17 @@ def test_published_blocks_keep_titles_only(spark):
     row = ([{"kind": "text", "text": "t", "evidence": [{"title": "T", "quote": "secret"}]}, {"kind": "private", "text": "p", "evidence": []}],)
     df = spark.createDataFrame([row], "b array<struct<kind: string, text: string, evidence: array<struct<title: string, quote: string>>>>")
     assert [x.asDict() for x in df.select(views.published(F.col("b"), ("text",))).first()[0]] == [{"kind": "text", "text": "t", "evidence": ["T"]}]
+
+
+def test_written_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from quirelab import session
+
+    a, b = (session.materialise(spark.range(3).toDF("x"), "t") for _ in range(2))
+    paths = [Path(t._quirelab_path.removeprefix("file://")) for t in (a, b)]
+    assert a.count() == 3 and all(p.exists() for p in paths)
+    session.discard(a)
+    assert [p.exists() for p in paths] == [False, True]
+    session.cleanup(spark)
+    assert not any(p.exists() for p in paths)
