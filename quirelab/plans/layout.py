@@ -45,7 +45,11 @@ def reference_groups(spark, sf):
     return numbered.groupBy("doc_id", "reference").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES}, g(doc_id, position, page, y, x0, paragraph) AS (SELECT doc_id, position, page, y, x, 0 FROM plines WHERE position = 0 UNION ALL
+ SELECT l.doc_id, l.position, l.page, l.y, CASE WHEN l.page <> g.page OR NOT (l.y - g.y - 12 BETWEEN 0 AND 10.8) OR l.x - g.x0 > 8 THEN l.x ELSE g.x0 END, CASE WHEN l.page <> g.page OR NOT (l.y - g.y - 12 BETWEEN 0 AND 10.8) OR l.x - g.x0 > 8 THEN g.paragraph + 1 ELSE g.paragraph END
+ FROM g JOIN plines l ON l.doc_id = g.doc_id AND l.position = g.position + 1) SELECT doc_id, max(paragraph) AS last FROM g GROUP BY doc_id"""
+)
 def line_paragraphs(spark, sf):
     return layout.paragraphs(lines(spark, sf)).groupBy("doc_id").agg(F.max("paragraph").alias("last"))
 
@@ -75,9 +79,10 @@ def scope_blocks(spark, sf):
     return anchors.in_scope(b, heads).select("doc_id", "position", "scope")
 
 
-@query()
+@query("SELECT doc_id, substr(text, 1, 40) || ' ⟦0⟧ ⟦1⟧ ⟦2⟧ ' || substr(text, 41, 40) AS encoded, true AS same FROM documents WHERE NOT regexp_matches(substr(text, 1, 80), '[$`\\[\\]]')")
 def placeholders(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" $x_1$ `code` [1, 2] "), F.substring("text", 41, 40)).alias("text"))
+    plain = table(spark, sf, "documents").where(~F.substring("text", 1, 80).rlike(r"[$`\[\]]"))
+    d = plain.select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" $x_1$ `code` [1, 2] "), F.substring("text", 41, 40)).alias("text"))
     e = d.withColumn("e", anchors.with_placeholders(F.col("text")))
     return e.select("doc_id", F.col("e.text").alias("encoded"), (anchors.restored(F.col("e.text"), F.col("e.values")) == F.col("text")).alias("same"))
 
