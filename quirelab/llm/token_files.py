@@ -47,6 +47,22 @@ SPREAD, LEVELS = 2, 40
 #: Beyond these characters, or with these, a text goes to the library as a whole: normalisation or white space could differ.
 _RARE = re.compile("[\x00\x1c-\x1fİɐ-\U0010ffff]")
 _MARKS = ".,!?;:%&$*#|"
+#: A full stop or comma next to another mark, with which it would be one piece.
+_TIGHT = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
+
+
+class _Words(dict):
+    """Words and their numbers; a word that is not there gets the next number and is noted as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids: list[bytes] = []
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self.ids) + len(self.fresh)
+        self.fresh.append(word)
+        return k
 
 
 class WordEncoder:
@@ -64,37 +80,50 @@ class WordEncoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.words = _Words()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, split, missing, whole = self.words, [], {}, []
+        words, whole, numbers = self.words, [], []
         for k, text in enumerate(texts):
             if text and ("<|" in text or _RARE.search(text)):
                 whole.append(k)
                 text = None
-            keys = text.lower().split() if text else []
-            split.append(keys)
-            missing.update((w, None) for w in keys if w not in known)
-        parts = {}
+            if text:
+                text = text.lower()
+                if not _TIGHT.search(text):
+                    # Stops and commas become words of their own.
+                    text = text.replace(",", " ,").replace(".", " .")
+            numbers.append(list(map(words.__getitem__, text.split())) if text else [])
+        fresh, ids = words.fresh, words.ids
+        known = len(ids)
+        parts: dict[str, tuple[str, str]] = {}
         asked: dict[str, None] = {}
-        for w in missing:
+        for w in fresh:
             body = w.rstrip(_MARKS)
             if len(body) < len(w) and body.isalpha():
                 parts[w] = body, w[len(body) :]
-                asked.update((p, None) for p in parts[w] if p not in known)
+                asked.update((p, None) for p in parts[w] if words.get(p, known) >= known)
             else:
                 asked[w] = None
         new = dict(zip(asked, self._ask(list(asked))))
-        look = lambda p: known[p] if p in known else new[p]
-        found = new | {w: look(a) + look(b) for w, (a, b) in parts.items()}
-        out = [b"".join([known[w] if w in known else found[w] for w in keys]) for keys in split]
-        for k, ids in zip(whole, self._ask([texts[k] for k in whole])):
-            out[k] = ids
-        if len(known) < KEPT:
-            known.update((w, v) for w, v in new.items() if len(w) < 64)
+        look = lambda p: new[p] if p in new else ids[words[p]]
+        ids.extend([new[w] if w in new else look(parts[w][0]) + look(parts[w][1]) for w in fresh])
+        out = [b"".join(map(ids.__getitem__, ns)) for ns in numbers]
+        for k, found in zip(whole, self._ask([texts[k] for k in whole])):
+            out[k] = found
+        # What is kept are words that the library was asked for, while there is room.
+        del ids[known:]
+        for w in fresh:
+            del words[w]
+        words.fresh = []
+        if known < KEPT:
+            for w, found in new.items():
+                if len(w) < 64:
+                    words[w] = len(ids)
+                    ids.append(found)
         return out
 
 
@@ -182,7 +211,18 @@ def _put(folder: str, name: str, data: bytes) -> None:
     part = f"{path}/.{name}.{context.taskAttemptId() if context else 'driver'}"
     with fs.open_output_stream(part) as out:
         out.write(data)
-    fs.move(part, f"{path}/{name}")
+    _settle(fs, part, f"{path}/{name}")
+
+
+def _settle(fs: pafs.FileSystem, part: str, final: str) -> None:
+    """Give a written file its final name; where an earlier attempt of the same task has left one, it has the same content."""
+    try:
+        fs.move(part, final)
+    except OSError:
+        if fs.get_file_info(final).type != pafs.FileType.File:
+            raise
+        fs.delete_file(final)
+        fs.move(part, final)
 
 
 def _get(folder: str, name: str) -> bytes:
@@ -232,7 +272,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         if not ids:
             fs.delete_file(payload)
             return
-        fs.move(payload, f"{base}/{name}.ids")
+        _settle(fs, payload, f"{base}/{name}.ids")
         keys = pa.table({"id": pa.array(ids, id_type)})
         sink = io.BytesIO()
         with pa.ipc.new_file(sink, keys.schema) as w:
