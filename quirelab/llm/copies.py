@@ -41,7 +41,7 @@ DEVIATIONS = 3.5
 #: Rows of a bucket on either side of a tile.
 TILE = 1000
 #: Shingles that a tile holds at once (16 bytes each).
-TILE_SHINGLES = 4_000_000
+TILE_SHINGLES = 2_000_000
 #: Texts whose shingles a worker keeps while it compares.
 KEPT = 64
 

@@ -19,7 +19,7 @@ SHINGLE, RANGE = 5, 0.5
 #: broadcast to (distinct words of a mean document) / RARE entries, and LARGEST bounds it whatever the documents are like.
 RARE, LARGEST = 1e-3, 1_000_000
 #: Words whose hashes a worker keeps, and different words that it counts before it passes the counts on.
-KEPT, COUNTED = 300_000, 300_000
+KEPT, COUNTED = 200_000, 200_000
 
 #: A-Z become lower case; what is neither an ASCII letter or digit nor beyond ASCII separates words.
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
