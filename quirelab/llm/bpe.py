@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from quirelab.llm.rows import map_rows
 
 #: Words whose tokens a worker keeps; beyond it new words are encoded without being kept.
-KEPT = 320_000
+KEPT = 400_000
 #: Of words so long that merging by scanning for the lowest rank would be quadratic.
 LONG = 48
 
