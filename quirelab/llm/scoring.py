@@ -1,10 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigrams and bigrams of the training texts are counted in Spark over all of them. Those that make up at least RELATIVE of
-all tokens, of which there can be at most 1 / RELATIVE of either order, go into a Bloom filter with their counts on a
-logarithmic scale: an n-gram of level q is put in once for each level from 1 to q, so that a count is read back by asking
-for level after level until one is missing. The filter is broadcast. A token's probability mixes the bigram's share with the
-unigram's; tokens below the limit share what probability the others leave.
+All unigrams and bigrams of the training texts are counted in Spark. Those that occur LEAST times or more, however large the
+corpus, go into a Bloom filter with their counts on a logarithmic scale: an n-gram of level q is put in once for each level
+from 1 to q, so that a count is read back by asking for level after level until one is missing. The filter grows with the
+corpus: it consists of segments of about SEGMENT n-grams each by the n-grams' hash, which tasks build and write into the shared
+folder. A task reads one segment after the other and asks it for the n-grams of up to PASS tokens. A token's probability mixes
+the bigram's share with the unigram's; tokens that occur less than LEAST times share what probability the others leave.
 
 The base score needs every token's exact count. Counts of the HEAD most frequent tokens are broadcast; each text's other
 tokens are joined with the table of all counts by shuffle and summed.
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelab.llm.rows import map_rows
+from quirelab.llm.token_files import _get, _open, _put
 from quirelab.llm.words import Numbers, mix, most_frequent
-from quirelab.session import materialise
-
-#: Share of all tokens from which an n-gram is kept; the filter then holds at most 2 / RELATIVE n-grams.
-RELATIVE = 1e-6
-#: Most frequent tokens whose exact counts are broadcast (16 bytes each), and those whose bigrams are counted.
-HEAD, SHORT = 1 << 18, 1 << 13
+from quirelab.session import _delete, discard, fresh_path, materialise, ship
+
+#: Occurrences from which an n-gram is kept.
+LEAST = 2
+#: Most frequent tokens whose exact counts are broadcast (16 bytes each).
+HEAD = 1 << 18
+#: N-grams in a segment of the filter, tokens that are scored in one pass over the segments, bigrams that a task counts at once.
+SEGMENT, PASS, COUNTED = 1 << 20, 1 << 21, 1 << 21
 #: Bits of the filter for each entry, hash functions, the scale's base.
 BITS, HASHES, BASE = 12, 6, 1.5
 #: Weight of the bigram's share where its first token is known.
@@ -90,38 +94,35 @@ def bigram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)).astype(np.int64)
 
 
-def bigram_counts(texts: DataFrame, short: dict[int, int]) -> DataFrame:
-    """(h, n) of the pairs of neighbouring tokens that are both in short; before the first stands an end."""
-    names = np.fromiter(short, np.int64, len(short))
+class Hashes(dict):
+    """Hashes of words as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = _hash(word)
+        return h
+
+
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """(h, n) of the pairs of neighbouring tokens; before the first stands an end."""
 
     def make():
-        known: dict[bytes, int] = {}
-        size = len(short)
+        known = Hashes()
         kept: list[np.ndarray] = []
 
         def flush():
-            if not kept:
-                return [], []
-            pairs, n = np.unique(np.concatenate(kept), return_counts=True)
+            pairs, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.empty(0, np.int64), np.empty(0, np.int64))
             kept.clear()
-            return bigram_key(names[pairs // size], names[pairs % size]).tolist(), n.tolist()
+            return pa.array(pairs), pa.array(n)
 
         def call(texts):
-            flat: list[int] = []
-            for t in texts:
-                words = tokens_of(t)
-                for w in set(words).difference(known):
-                    if len(known) > KEPT:
-                        known.clear()
-                    known[w] = short.get(_hash(w), -1)
-                flat.append(short[END])
-                flat.extend(known[w] if w in known else short.get(_hash(w), -1) for w in words)
-            flat.append(short[END])
-            x = np.array(flat, np.int64)
-            a, b = x[:-1], x[1:]
-            both = (a >= 0) & (b >= 0)
-            kept.append(a[both] * size + b[both])
-            return flush() if sum(map(len, kept)) > 6_000_000 else None
+            if len(known) > KEPT:
+                known.clear()
+            known[None] = END
+            words = [tokens_of(t) for t in texts]
+            flat = chain((None,), chain.from_iterable(chain(w, (None,)) for w in words))
+            x = np.fromiter(map(known.__getitem__, flat), np.int64, 1 + sum(map(len, words)) + len(words))
+            kept.append(bigram_key(x[:-1], x[1:]))
+            return flush() if sum(map(len, kept)) > COUNTED else None
 
         call.finish = lambda: [flush()]
         return call
@@ -143,6 +144,12 @@ class LogFrequencyFilter:
             for at in self._places(keys[levels >= q], q):
                 np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
+    @classmethod
+    def stored(cls, least: float, levels: int, size: int, bits: bytes) -> LogFrequencyFilter:
+        out = cls.__new__(cls)
+        out.least, out.levels, out.size, out.bits = least, levels, size, np.frombuffer(bits, np.uint8)
+        return out
+
     def level(self, counts: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(np.maximum(counts / self.least, 1)) / np.log(BASE) + 1e-12).astype(np.int64)
 
@@ -173,12 +180,55 @@ class LogFrequencyFilter:
         return out
 
 
+@dataclass
+class Segments:
+    """The filter in the shared folder: `total` parts of the range of hashes, (levels, size) of those that hold n-grams."""
+
+    folder: str
+    total: int
+    sizes: dict[int, tuple[int, int]]
+
+    def counts(self, *asked: np.ndarray) -> list[np.ndarray]:
+        """For arrays of different keys, their counts; one segment is held at a time."""
+        out = [np.zeros(len(keys)) for keys in asked]
+        orders, places = [], []
+        for keys in asked:
+            of = (keys.astype(np.uint64) >> np.uint64(32)) * np.uint64(self.total) >> np.uint64(32)
+            orders.append(of.argsort(kind="stable"))
+            places.append(np.searchsorted(of[orders[-1]], np.arange(self.total + 1, dtype=np.uint64)))
+        for k, (levels, size) in self.sizes.items():
+            at = [order[place[k] : place[k + 1]] for order, place in zip(orders, places)]
+            if any(map(len, at)):
+                part = LogFrequencyFilter.stored(LEAST, levels, size, _get(self.folder, f"{k}.bits"))
+                for keys, found, i in zip(asked, out, at):
+                    found[i] = part.counts(keys[i])
+        return out
+
+
+def build_segments(ngrams: DataFrame) -> Segments:
+    """ngrams: (h, n), written."""
+    ship(ngrams.sparkSession)
+    folder = fresh_path(ngrams.sparkSession, "filter")
+    total = max(1, -(-ngrams.count() // SEGMENT))
+
+    def build(rows: pa.Table) -> pa.Table:
+        k = rows["segment"][0].as_py()
+        part = LogFrequencyFilter(rows["h"].to_numpy(), rows["n"].to_numpy(), LEAST)
+        fs, path = _open(folder)
+        fs.create_dir(path, recursive=True)
+        _put(folder, f"{k}.bits", part.bits.tobytes())
+        return pa.table({"segment": [k], "levels": [part.levels], "size": [part.size]})
+
+    segment = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(total).cast("long"), 32)
+    built = ngrams.withColumn("segment", segment).groupBy("segment").applyInArrow(build, "segment long, levels long, size long").collect()
+    return Segments(folder, total, {r["segment"]: (r["levels"], r["size"]) for r in sorted(built)})
+
+
 @dataclass
 class Model:
-    filter: LogFrequencyFilter
+    filter: Segments
     head: np.ndarray
     head_counts: np.ndarray
-    short: dict[int, int]
     n: int
     v: int
     #: Probability of a token that is not in the filter.
@@ -186,40 +236,39 @@ class Model:
 
 
 def train(texts: DataFrame, counts: DataFrame) -> Model:
-    """counts: those of unigram_counts(texts), written. To the driver come HEAD counts and the n-grams above the limit."""
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    """counts: those of unigram_counts(texts), written. To the driver come HEAD counts and the sizes of the segments."""
+    often = F.col("n") >= LEAST
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    n, v, n_kept, v_kept = counts.agg(total(F.col("n")), F.count(F.lit(1)), total(F.when(often, F.col("n"))), F.count_if(often)).first()
     top = most_frequent(counts, HEAD).select("h", "n").toArrow()
     h, c = top["h"].to_numpy(), top["n"].to_numpy()
-    order = np.lexsort((h, -c))
-    h, c = h[order], c[order]
-    least = max(2.0, RELATIVE * n)
-    keep = c >= least
-    short = {x: k for k, x in enumerate(dict.fromkeys([END, *h[:SHORT].tolist()]))}
-    pairs = bigram_counts(texts, short).where(F.col("n") >= least).toArrow()
-    keys, amounts = np.concatenate([h[keep], pairs["h"].to_numpy()]), np.concatenate([c[keep], pairs["n"].to_numpy()])
-    filter = LogFrequencyFilter(keys, amounts, least)
-    left = max(1, n - int(c[keep].sum())) / max(1, n)
+    ngrams = materialise(counts.where(often).select("h", "n").union(bigram_counts(texts).where(often)), "ngrams")
+    filter = build_segments(ngrams)
+    discard(ngrams)
+    left = max(1, n - n_kept) / max(1, n)
     order = h.argsort()
-    return Model(filter, h[order], c[order], short, n, v, left / (v - int(keep.sum()) + 1))
+    return Model(filter, h[order], c[order], n, v, left / (v - v_kept + 1))
 
 
 class Scorer:
-    """Scores slices of texts; what is known of a word is looked up once while the worker keeps it."""
+    """Scores texts; what is known of a word is looked up once while the worker keeps it. Slices wait for a pass over the
+    filter's segments."""
 
     def __init__(self, model: Model):
         self.m = model
         self._reset(KEPT)
+        self.waiting: list[tuple] = []
+        self.tokens = 0
 
     def _reset(self, size: int) -> None:
         self.known = Numbers()
-        self.h, self.c = np.empty(size, np.int64), np.empty(size, np.int64)
-        self.p, self.log_c, self.q, self.short = np.empty(size), np.empty(size), np.empty(size), np.empty(size, bool)
+        self.h, self.c, self.log_c = np.empty(size, np.int64), np.empty(size, np.int64), np.empty(size)
         # Number 0 is the end, which no word can be.
         self.known[None] = 0
         self._put(0, np.array([END], np.int64))
 
     def _put(self, at: int, h: np.ndarray) -> None:
-        """Hash, exact count (-1: not in the head), unigram count and probability, and whether bigrams are counted."""
+        """Hash and exact count (-1: not in the head)."""
         m, end = self.m, at + len(h)
         self.h[at:end] = h
         c = np.full(len(h), -1, np.int64)
@@ -227,13 +276,10 @@ class Scorer:
             k = np.minimum(np.searchsorted(m.head, h), len(m.head) - 1)
             c = np.where(m.head[k] == h, m.head_counts[k], -1)
         self.c[at:end], self.log_c[at:end] = c, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0)
-        q = m.filter.counts(h)
-        self.q[at:end], self.p[at:end] = q, np.where(q > 0, np.minimum(1, q / max(1, m.n)), m.rest)
-        self.short[at:end] = [x in m.short for x in h.tolist()]
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """For each text: tokens, known tokens and sum of log10(count + 1) in the head, the model's log10 probability, and the
-        other tokens' hashes and numbers."""
+    def add(self, ids: list, texts: list[str | None]) -> None:
+        """Keeps for each text: id, tokens, known tokens and sum of log10(count + 1) in the head, the other tokens' hashes and
+        numbers; and the hashes of all tokens."""
         words = [tokens_of(t) for t in texts]
         total = sum(map(len, words))
         if len(self.known) + total > len(self.h):
@@ -246,16 +292,7 @@ class Scorer:
             known.fresh = []
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        c, p = self.c[at], self.p[at]
-        # Every text ends with an end, so that one also stands before the next text's first token.
-        before = np.concatenate(([0], at[:-1]))
-        pairs = np.flatnonzero(self.short[at] & self.short[before])
-        if len(pairs):
-            different, which = np.unique(before[pairs] * len(self.h) + at[pairs], return_inverse=True)
-            a, b = different // len(self.h), different % len(self.h)
-            q = self.m.filter.counts(bigram_key(self.h[a], self.h[b]))
-            share = np.minimum(1, q / np.maximum(np.maximum(self.q[a], q), 1e-9))
-            p[pairs] = MIXTURE * share[which] + (1 - MIXTURE) * p[pairs]
+        c = self.c[at]
         rest = np.flatnonzero(c < 0)
         text, h = np.repeat(np.arange(len(words)), sizes)[rest], self.h[at[rest]]
         order = np.lexsort((h, text))
@@ -265,7 +302,25 @@ class Scorer:
         offsets = np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=len(words))))).astype(np.int32)
         tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[first]), pa.array(numbers)], ["h", "n"]))
         add = lambda x: np.add.reduceat(x, starts)
-        return sizes, add((c > 0).astype(np.int64)), add(self.log_c[at]), add(np.log10(p)), tail
+        self.waiting.append((ids, sizes, add((c > 0).astype(np.int64)), add(self.log_c[at]), tail, self.h[at]))
+        self.tokens += len(at)
+
+    def score(self) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """What add() has kept, with the model's log10 probability of each text before the other tokens."""
+        ids, sizes, known, log_c, tail, h = zip(*self.waiting)
+        self.waiting, self.tokens = [], 0
+        sizes, h, m = np.concatenate(sizes), np.concatenate(h), self.m
+        # Every text ends with an end, so that one also stands before the next text's first token.
+        keys, pair = np.unique(bigram_key(np.concatenate(([END], h[:-1])), h), return_inverse=True)
+        tokens, token = np.unique(h, return_inverse=True)
+        one, two = m.filter.counts(tokens, keys)
+        p = np.where(one > 0, np.minimum(1, one / max(1, m.n)), m.rest)[token]
+        one, two = one[token], two[pair]
+        before = np.concatenate(([one[-1]], one[:-1]))
+        share = two / np.maximum(np.maximum(before, two), 1e-9)
+        p = np.where(before > 0, MIXTURE * share + (1 - MIXTURE) * p, p)
+        score = np.add.reduceat(np.log10(p), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        return list(chain.from_iterable(ids)), sizes, np.concatenate(known), np.concatenate(log_c), score, pa.concat_arrays(tail)
 
 
 def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,15 +344,21 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     def make():
         scorer, row = Scorer(model), [TaskContext.get().partitionId() << 36]
 
-        def call(ids, texts):
-            sizes, known, log_c, score, tail = scorer.score(texts)
-            rows = list(range(row[0], row[0] + len(ids)))
+        def flush():
+            ids, *found, tail = scorer.score()
+            rows = range(row[0], row[0] + len(ids))
             row[0] += len(ids)
-            return rows, ids, pa.array(sizes), pa.array(known), pa.array(log_c), pa.array(score), tail
+            return list(rows), ids, *map(pa.array, found), tail
+
+        def call(ids, texts):
+            scorer.add(ids, texts)
+            return flush() if scorer.tokens > PASS else None
 
+        call.finish = lambda: [flush()] if scorer.waiting else []
         return call
 
     scored = materialise(map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id", "text"], schema, make), "scored")
+    _delete(docs.sparkSession, model.filter.folder)
     rest = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("k"))
     rest = rest.join(counts, "h").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum("k").alias("more_known"))
     each = np.log10(model.n + 1 * (model.v + 1))

@@ -272,6 +272,31 @@ def test_scoring_against_exact_counts(spark, odd, empty):
     assert scoring.score_texts(empty, F.lit(True)).count() == 0
 
 
+def test_scoring_knows_repeated_bigrams_of_rare_words(spark):
+    filler = " ".join(f"w{i}" for i in range(9_000))
+    texts = [filler] * 3 + ["ra rb"] * 2 + ["rd"] * 2
+    tried = ["w1 ra rb w2", "w1 ra rd w2"]
+    df = spark.createDataFrame([*enumerate(texts), *enumerate(tried, 100)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in scoring.score_texts(df, F.col("doc_id") < 100).collect()}
+    # All of ra, rb and rd occur twice, so only the pair can tell the texts apart.
+    assert found[100] > found[101] + 0.5
+
+
+def test_filter_in_segments_keeps_every_repeated_ngram(spark):
+    rng = np.random.default_rng(4)
+    keys, counts = rng.integers(-(1 << 63), (1 << 63) - 2, 20_000), rng.integers(2, 2_000, 20_000)
+    rows = spark.createDataFrame(list(zip(keys.tolist(), counts.tolist())), "h long, n long")
+    old = scoring.SEGMENT
+    scoring.SEGMENT = 3_000
+    try:
+        segments = scoring.build_segments(rows)
+    finally:
+        scoring.SEGMENT = old
+    found, strangers = segments.counts(keys, keys + 1)
+    assert segments.total == len(segments.sizes) == 7
+    assert (found > counts / scoring.BASE).all() and (found < counts * scoring.BASE).mean() > 0.95 and (strangers > 0).mean() < 0.02
+
+
 def test_filter_reads_counts_back_within_a_level():
     rng = np.random.default_rng(9)
     keys, counts = rng.integers(0, 1 << 62, 5000), rng.integers(2, 100_000, 5000)
