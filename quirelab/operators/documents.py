@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelab.session import materialise, ship
+
 #: Thresholds of the fuzzy rules, and the sizes of a batch.
 FUZZY_TITLE, CARRY_OVER, PDF_SYNC, QUOTE = 0.92, 0.90, 0.85, 0.8
 BATCH_BLOCKS, BATCH_TOKENS = 8, 2800
+#: Titles in a tile of comparisons, and parts to which a title's equals are dealt.
+TITLES, SALTS = 4_000, 16
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
 
@@ -191,21 +197,81 @@ def reference_fields(text: Column) -> dict[str, Column]:
     }
 
 
+def _common_at_least(masks: dict[str, int], full: int, b: str, least: float) -> bool:
+    """Whether the longest common subsequence of b and the text of the masks has `least` characters; bit-parallel, and given up
+    as soon as what is left of b cannot make up for what is missing."""
+    v = full
+    for k, c in enumerate(b, 1):
+        u = v & masks.get(c, 0)
+        v = (v + u | v - u) & full
+        if not k & 31 and (full ^ v).bit_count() + len(b) - k < least:
+            return False
+    return (full ^ v).bit_count() >= least
+
+
+def near_titles(left: list[str], right: list[str], same: list[bool], wanted: float) -> list[tuple[str, str, float]]:
+    """(a, b, ratio) and (b, a, ratio), where it reaches `wanted`, of a in left and b in right; only a < b where `same` is set.
+
+    SequenceMatcher matches a common subsequence, so that neither lengths, nor counts of characters, nor the longest common
+    subsequence may fall short of wanted; only what passes all three is given to it."""
+    out: list[tuple[str, str, float]] = []
+    count = lambda texts: np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in texts], np.int32).reshape(len(texts), 128)
+    order = sorted(range(len(right)), key=lambda k: len(right[k]))
+    right, same = [right[k] for k in order], [same[k] for k in order]
+    sizes, x, y = np.array([len(t) for t in right], np.int64), count(left), count(right)
+    used = np.flatnonzero(x.any(0) & y.any(0))
+    x, y = np.ascontiguousarray(x[:, used]), np.ascontiguousarray(y[:, used])
+    for a, h in zip(left, x):
+        n = len(a)
+        lo, hi = np.searchsorted(sizes, [int(n * wanted / (2 - wanted)) - 1, int(n * (2 - wanted) / wanted) + 2])
+        enough = 2 * np.minimum(y[lo:hi], h).sum(1) >= wanted * (n + sizes[lo:hi]) - 1e-6
+        masks: dict[str, int] = {}
+        for k in (lo + np.flatnonzero(enough)).tolist():
+            b = right[k]
+            if a == b or same[k] and a > b:
+                continue
+            if not masks:
+                for at, c in enumerate(a):
+                    masks[c] = masks.get(c, 0) | 1 << at
+            if _common_at_least(masks, (1 << n) - 1, b, wanted * (n + len(b)) / 2 - 1e-6):
+                out += [(p, q, r) for p, q in ((a, b), (b, a)) if (r := SequenceMatcher(None, p, q).ratio()) >= wanted]
+    return out
+
+
 def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, year: str, wanted: float = FUZZY_TITLE) -> DataFrame:
     """(a, b, ratio): pairs of one surname, at most a year apart, whose titles' sorted tokens are alike.
 
-    Surname, year and the titles' least token in common block the pairs before the ratio is computed."""
+    Different titles of a surname are compared once each, within bands of length between which the ratio cannot reach `wanted`;
+    bands of many titles are dealt to tiles of about TITLES. Equal titles need no comparison."""
+    ship(rows.sparkSession)
     normal = F.trim(F.regexp_replace(F.lower(nfkc(title)), "[^a-z0-9]+", " "))
-    base = rows.select(F.col(id_col).alias("id"), F.array_join(F.array_sort(F.split(normal, " ")), " ").alias("t"), F.lower(surname).alias("s"), F.col(year).alias("y")).where("s IS NOT NULL")
-    near = base.withColumn("k", F.explode(F.when(F.col("y").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.array(F.col("y"), F.col("y") + 1))))
-    a, b = near.select([F.col(c).alias(f"a_{c}") for c in near.columns]), near.select([F.col(c).alias(f"b_{c}") for c in near.columns])
-    pairs = a.join(b, (F.col("a_s") == F.col("b_s")) & F.col("a_k").eqNullSafe(F.col("b_k")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id", "a_t", "b_t").distinct()
-
-    @F.pandas_udf(T.DoubleType())
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
-
-    return pairs.withColumn("ratio", ratio("a_t", "b_t")).where(F.col("ratio") >= wanted).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("ratio", 6).alias("ratio"))
+    base = rows.select(F.col(id_col).alias("id"), F.array_join(F.array_sort(F.split(normal, " ")), " ").alias("t"), F.lower(surname).alias("s"), F.col(year).alias("y"))
+    base = materialise(base.where("s IS NOT NULL AND t IS NOT NULL"), "titles")
+    band = F.floor(F.log(F.length("t")) / math.log((2 - wanted) / wanted * 1.0001)).cast("int")
+    titles = base.where("t <> ''").select("s", "t").distinct().withColumn("band", band)
+    sizes = titles.groupBy("s", "band").agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("g"))
+    sizes = sizes.groupBy("s", "g").agg(F.ceil(F.sum("n") / TITLES).cast("int").alias("k"))
+    # A band's titles stand on the left of its own group, and on the right of that and the shorter band's.
+    role = lambda shift, is_left: F.struct((F.col("band") - shift).alias("g"), F.lit(is_left).alias("is_left"), F.lit(shift == 0).alias("same"))
+    placed = titles.select("s", "t", F.explode(F.array(role(0, True), role(0, False), role(1, False))).alias("r")).select("s", "t", "r.*").join(sizes, ["s", "g"])
+    own, other = F.pmod(F.xxhash64("t"), F.col("k")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    placed = placed.select("s", "g", "t", "is_left", "same", own.alias("own"), other.alias("other"))
+    tiles = placed.select("s", "g", F.when(F.col("is_left"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("is_left"), F.col("other")).otherwise(F.col("own")).alias("j"), "t", "is_left", "same")
+
+    def compare(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        r = tile[~tile["is_left"]]
+        found = near_titles(tile["t"][tile["is_left"]].tolist(), r["t"].tolist(), r["same"].tolist(), wanted)
+        return pd.DataFrame([(key[0], *x) for x in found], columns=["s", "p", "q", "ratio"])
+
+    near = tiles.groupBy("s", "g", "i", "j").applyInPandas(compare, "s string, p string, q string, ratio double")
+    near = near.select("s", F.md5("p").alias("p"), F.md5("q").alias("q"), "ratio")
+    held = base.select("id", F.md5("t").alias("t"), "s", "y")
+    a, b = held.select([F.col(c).alias(f"a_{c}") for c in held.columns]), held.select([F.col(c).alias(f"b_{c}") for c in held.columns])
+    ordered = (F.col("a_id") < F.col("b_id")) & (F.col("a_y").eqNullSafe(F.col("b_y")) | (F.abs(F.col("a_y") - F.col("b_y")) <= 1))
+    alike = near.join(a, (F.col("s") == F.col("a_s")) & (F.col("p") == F.col("a_t"))).join(b, (F.col("s") == F.col("b_s")) & (F.col("q") == F.col("b_t")) & ordered)
+    salted = a.withColumn("a_k", F.pmod(F.xxhash64("a_id"), F.lit(SALTS))).join(b.withColumn("b_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), (F.col("a_s") == F.col("b_s")) & (F.col("a_t") == F.col("b_t")) & (F.col("a_k") == F.col("b_k")) & ordered)
+    pair = lambda ratio: [F.col("a_id").alias("a"), F.col("b_id").alias("b"), ratio.alias("ratio")]
+    return alike.select(pair(F.round("ratio", 6))).union(salted.select(pair(F.lit(1.0)))).distinct()
 
 
 def greedy_batches(blocks: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def exact_duplicates(spark, sf):
 def fuzzy_duplicates(spark, sf):
     """Documents whose first lines are alike, from one source, as titles of one author."""
     d = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "source", F.lit(2020).alias("year"))
-    return ops.fuzzy_duplicates(d.where(F.length("title") > 20).withColumn("source", F.concat_ws("/", "source", F.substring("title", 1, 6))), "doc_id", "title", "source", "year")
+    return ops.fuzzy_duplicates(d, "doc_id", "title", "source", "year")
 
 
 @query(

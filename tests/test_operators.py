@@ -1,8 +1,11 @@
 """Hand-computed cases, and random cases against plain restatements."""
 
 import datetime as dt
+import itertools
 import math
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
@@ -144,6 +147,28 @@ def test_fuzzy_duplicates(spark):
     assert found[0][2] == round(SequenceMatcher(None, "all attention is need you", "all attention is need you").ratio(), 6)
 
 
+def test_fuzzy_duplicates_against_all_pairs(spark, sf, monkeypatch):
+    from quirelab.plans import catalog
+
+    def plain(data):
+        normal = lambda t: " ".join(sorted(re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKC", t).lower()).split()))
+        data = sorted((i, normal(t), s) for i, t, s in data)
+        return {(i, j): round(r, 6) for (i, x, s), (j, y, z) in itertools.combinations(data, 2) if s == z and (r := SequenceMatcher(None, x, y).ratio()) >= 0.92}
+
+    found = lambda df: {(r["a"], r["b"]): r["ratio"] for r in df.collect()}
+    docs = [(r["doc_id"], r["text"].split("\n")[0], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert found(catalog.QUERIES["fuzzy_duplicates"](spark, sf)) == plain(docs)
+    rng = random.Random(3)
+    data = []
+    for i in range(300):
+        words = [rng.choice(["deep", "nets", "of", "graph", "models", "x1"]) for _ in range(rng.choice([1, 2, 3, 8, 40]))]
+        data.append((i, " ".join(words), "s"))
+        data.append((i + 1000, "".join(c for c in " ".join(reversed(words)) if rng.random() > 0.03), "s"))
+    monkeypatch.setattr(documents, "TITLES", 150)
+    rows_ = spark.createDataFrame(data, "id int, t string, s string").withColumn("y", F.lit(2020))
+    assert found(documents.fuzzy_duplicates(rows_, "id", "t", "s", "y")) == plain(data)
+
+
 def test_quality_flags(spark):
     data = [("a 1,000 and 2", "b 1000 und 2"), ("x" * 80, "y" * 10), ("same 5", "same 5"), ("3 4", "4 4")]
     found = spark.createDataFrame(data, "s string, t string").select(documents.quality_flags(F.col("s"), F.col("t"))).collect()
