@@ -114,6 +114,10 @@ def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) ->
     def normal(t: str) -> str:
         return "".join(c for c in t.lower() if c.isalnum())
 
+    def alike(head: str, page: str) -> bool:
+        m = SequenceMatcher(None, head, page)
+        return max(m.find_longest_match(0, len(head), 0, len(page)).size / len(head), m.ratio()) >= wanted
+
     @F.pandas_udf("array<int>")
     def found(blocks: pd.Series, pages: pd.Series) -> pd.Series:
         out = []
@@ -122,9 +126,7 @@ def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) ->
             for b in bs:
                 head, page = normal(b)[:prefix], None
                 for k in range(at, len(ps)) if head else ():
-                    m = SequenceMatcher(None, head, ps[k])
-                    longest = m.find_longest_match(0, len(head), 0, len(ps[k])).size / len(head)
-                    if head in ps[k] or max(longest, m.ratio()) >= wanted:
+                    if head in ps[k] or alike(head, ps[k]):
                         page = at = k
                         break
                 row.append(page)

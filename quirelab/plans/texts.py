@@ -65,6 +65,6 @@ def monotonic_segments(spark, sf):
 
 @query()
 def page_positions(spark, sf):
-    b = blocks(spark, sf).where("doc_id < 100 AND position < 20").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("blocks"))
+    b = blocks(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("blocks"))
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("blocks") - 1) / 5).cast("int")), lambda k: F.array_join(F.slice("blocks", k * 5 + 1, F.lit(5)), " "))
     return ops.page_positions(b.withColumn("pages", pages))

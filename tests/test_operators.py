@@ -169,6 +169,25 @@ def test_fuzzy_duplicates_against_all_pairs(spark, sf, monkeypatch):
     assert found(documents.fuzzy_duplicates(rows_, "id", "t", "s", "y")) == plain(data)
 
 
+def test_page_positions_of_every_block(spark, sf):
+    from quirelab.plans import catalog
+
+    alnum = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    found = {r["doc_id"]: r["pages"] for r in catalog.QUERIES["page_positions"](spark, sf).collect()}
+    docs = {r["doc_id"]: r["text"].split("\n") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert found.keys() == docs.keys() and any(len(b) > 20 for b in docs.values())
+    for i, lines in docs.items():
+        pages = [alnum(" ".join(lines[k : k + 5])) for k in range(0, len(lines), 5)]
+        at, wanted = 0, []
+        for line in lines:
+            head = alnum(line)[:80]
+            # Each block stands on a page of its own text, so that it is found by containment or an earlier likeness.
+            hits = [k for k in range(at, len(pages)) if head and (head in pages[k] or max((m := SequenceMatcher(None, head, pages[k])).find_longest_match(0, len(head), 0, len(pages[k])).size / len(head), m.ratio()) >= 0.85)]
+            wanted.append(hits[0] if hits else None)
+            at = hits[0] if hits else at
+        assert found[i] == wanted
+
+
 def test_quality_flags(spark):
     data = [("a 1,000 and 2", "b 1000 und 2"), ("x" * 80, "y" * 10), ("same 5", "same 5"), ("3 4", "4 4")]
     found = spark.createDataFrame(data, "s string, t string").select(documents.quality_flags(F.col("s"), F.col("t"))).collect()
