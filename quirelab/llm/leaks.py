@@ -82,8 +82,8 @@ class Index:
         self.hashes, self.owner = every[order], owner[order]
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[self.hashes >> np.uint64(42)] = True
-        # Weights lie between 1 and 2 a place: a similar window has at least this many of the item's different shingles.
-        self.least = np.array([0.5 * wanted * len(h) for h, _ in self.bags])
+        # A similar window shares at least this weight with the item, which the item's own weights of shared shingles bound.
+        self.least = np.array([wanted * w.sum() - 1e-6 for _, w in self.bags])
         self.short = sorted({n for n in self.sizes if n < SHINGLE})
         self.by_size = {n: np.flatnonzero(self.size == n) for n in set(self.sizes)}
         self.tables: dict[tuple[int, int, int], np.ndarray] = {}
@@ -149,7 +149,8 @@ class Index:
         by_size: dict[int, list[np.ndarray]] = {}
         for item in np.unique(own).tolist():
             hit = at[own == item]
-            if len(np.unique(h[hit])) >= self.least[item]:
+            different, weights = self.bags[item]
+            if weights[np.isin(different, h[hit])].sum() >= self.least[item]:
                 by_size.setdefault(self.sizes[item], []).append(hit)
         for size, hits in by_size.items():
             n = size - k + 1

@@ -347,6 +347,13 @@ def test_leaks_against_all_windows(spark, odd, empty):
     assert leaks.find_leaks(empty, bench).count() == 0 and leaks.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leak_that_repeats_a_stretch():
+    cycle = " ".join(f"c{k}" for k in range(6))
+    item, text = (" ".join([cycle] * 20 + [f"{x}{k}" for k in range(14)]) for x in "ab")
+    assert similarity(Shingler(NONE).bag(words_of(item)), Shingler(NONE).bag(words_of(text))) >= 0.8
+    assert [x[0] for x in leaks.Index([(1, item)], NONE, 0.8).find(text)] == [1]
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(11)
     items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 99, 20))) for k in range(100)]
