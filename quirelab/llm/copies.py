@@ -1,4 +1,4 @@
-"""Near copies among texts by improved consistent weighted sampling over weighted shingles.
+"""Near copies among texts by improved consistent weighted sampling over TF-IDF shingles.
 
 Texts with the same words in the same order are one class from the start. Each class has SAMPLES consistent weighted samples
 (Ioffe's improved scheme: two texts agree in a sample with a probability that is their weighted Jaccard similarity), banded
@@ -6,7 +6,8 @@ by ROWS: at a similarity of 0.8, fewer than 3 in 100,000 pairs agree in no band.
 
 In a first round each member of a bucket is compared with the bucket's most central member only, the one that meets the most
 others over all its buckets; a large group of copies is mostly linked by that. In a second round, buckets that still hold
-several components compare their members across components, in tiles. Pairs whose samples agree too rarely are left out in
+several components compare their members across components, in tiles of sketches, and texts are sent only for members whose
+sketches agree. Pairs whose samples agree too rarely are left out in
 both rounds; at 0.8 that takes an agreement over three and a half standard deviations below the mean. All others are
 compared exactly by weighted Jaccard similarity. Components of the links are the groups; every text in a group has its id.
 
@@ -154,32 +155,67 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, floor: int) -> DataFrame:
     return map_rows(pairs, ["a", "b", "sa", "sb"], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), make)
 
 
-def _across(buckets: DataFrame, frequencies, floor: int, wanted: float) -> DataFrame:
-    """Links between members of a bucket (h, band, n, node, component, short, text) that are in different components.
-
-    A tile takes its pairs that agree in at least `floor` samples, each in the first band in which the two meet, the likeliest
-    first, and compares them exactly; a pair that links of the same tile already connect needs no comparison."""
-    ship(buckets.sparkSession)
-    chunks = F.ceil(F.col("n") / TILE).cast("int")
-    chunked = buckets.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = chunked.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).select("h", "i", "j", "band", "node", "component", "short", "text", "chunk")
+def _tiles(placed: DataFrame) -> DataFrame:
+    """placed: (h, band, node, component). Rows (h, i, j, band, node, component, chunk) of the tiles in which members of a bucket
+    from different components meet. A bucket's largest component need not meet itself: its members are dealt into chunks of
+    their own, and only the other members meet all chunks, so that a bucket costs (other members) x (members) at most."""
+    parts = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    chunks = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = sizes.select("h", F.col("top.main").alias("main"), chunks(F.col("n") - F.col("top.n")).alias("others"), chunks(F.col("top.n")).alias("mains"))
+    # Written first, so that Spark can split the bucket that holds very many members.
+    sizes = materialise(sizes, "open")
+    main = F.col("component") == F.col("main")
+    chunk = F.when(main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    dealt = placed.join(sizes, "h").withColumn("chunk", chunk).withColumn("other", F.explode(meets))
+    return dealt.select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "band", "node", "component", "chunk")
+
+
+def _meetings(table: pa.Table, floor: int):
+    """For members of a tile in the order of the left side: (left member, right members that it meets, their agreeing
+    samples); those of other components that agree in `floor` samples, in the first band in which the two meet."""
+    i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
+    node, component, chunk = (table[c].to_numpy() for c in ("node", "component", "chunk"))
+    short = np.frombuffer(b"".join(table["short"].to_pylist()), "<u2").reshape(-1, SAMPLES)
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    for x in left.tolist():
+        ys = right[component[right] != component[x]]
+        if i == j:
+            ys = ys[node[ys] > node[x]]
+        if len(ys):
+            same = short[ys] == short[x]
+            agree = same.sum(1)
+            near = np.flatnonzero(agree >= floor)
+            near = near[same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+            if len(near):
+                yield x, ys[near], agree[near]
+
+
+_TILE_KEY = ["h", "i", "j"]
+
+
+def _across(tiles: DataFrame, sketches: DataFrame, texts: DataFrame, frequencies, floor: int, wanted: float) -> DataFrame:
+    """Links between members of tiles that are in different components.
+
+    Tiles of sketches alone tell which members meet another; only those come together again with their texts. A tile compares
+    its pairs exactly, the likeliest first; a pair that links of the same tile already connect needs no comparison."""
+    ship(tiles.sparkSession)
+    tiles = tiles.join(sketches.select("node", "short"), "node")
+
+    def members(table: pa.Table) -> pa.Table:
+        met = np.zeros(table.num_rows, bool)
+        for x, ys, _ in _meetings(table, floor):
+            met[x] = True
+            met[ys] = True
+        return table.select([*_TILE_KEY, "band", "node", "component", "chunk", "short"]).filter(pa.array(met))
+
+    kept = tiles.groupBy(*_TILE_KEY).applyInArrow(members, "h long, i int, j int, band int, node long, component long, chunk int, short binary")
+    kept = materialise(kept, "meeting")
 
     def run(table: pa.Table) -> pa.Table:
-        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
-        node, component, chunk = (table[c].to_numpy() for c in ("node", "component", "chunk"))
-        short = np.frombuffer(b"".join(table["short"].to_pylist()), "<u2").reshape(-1, SAMPLES)
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        pairs = []
-        for x in left.tolist():
-            ys = right[component[right] != component[x]]
-            if i == j:
-                ys = ys[node[ys] > node[x]]
-            if len(ys):
-                same = short[ys] == short[x]
-                agree = same.sum(1)
-                near = np.flatnonzero(agree >= floor)
-                near = near[same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
-                pairs.append(np.column_stack([-agree[near], np.full(len(near), x), ys[near]]))
+        node, component = (table[c].to_numpy() for c in ("node", "component"))
+        pairs = [np.column_stack([-agree, np.full(len(ys), x), ys]) for x, ys, agree in _meetings(table, floor)]
         every = np.concatenate(pairs) if pairs else np.empty((0, 3), np.int64)
         every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
         shingler = _shingler(frequencies)
@@ -214,18 +250,17 @@ def _across(buckets: DataFrame, frequencies, floor: int, wanted: float) -> DataF
                 sims.append(sim)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sims, pa.float64())})
 
-    return tiles.groupBy("h", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+    return kept.join(texts, "node").groupBy(*_TILE_KEY).applyInArrow(run, "a long, b long, similarity double")
 
 
 @lru_cache(maxsize=1)
-def _shingler_of(key: bytes, hashes: bytes, weights: bytes) -> Shingler:
-    return Shingler((np.frombuffer(hashes, np.uint64), np.frombuffer(weights)))
+def _shingler_of(frequencies: bytes) -> Shingler:
+    return Shingler(np.frombuffer(frequencies, np.uint8))
 
 
 def _shingler(frequencies) -> Shingler:
     """One for a worker, so that tiles share what it knows of words."""
-    hashes, weights = frequencies
-    return _shingler_of(xxhash.xxh3_128_digest(hashes.tobytes() + weights.tobytes()), hashes.tobytes(), weights.tobytes())
+    return _shingler_of(frequencies.tobytes())
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, frequencies, wanted: float) -> DataFrame:
@@ -265,7 +300,9 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("node", F.posexplode("bands").alias("band", "h"))
-    several = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first: a join of two written tables can be split where one bucket holds very many classes.
+    banded = materialise(banded, "banded")
+    several = materialise(banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     buckets = materialise(banded.join(several, "h"), "buckets")
     central = buckets.groupBy("node").agg(F.sum("n").alias("met"))
     hubs = materialise(buckets.join(central, "node").groupBy("h").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("hub")), "hubs")
@@ -280,9 +317,9 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
     links = materialise(_compared(star, texts, frequencies, wanted), "links")
     reached = components(links.select("a", "b"))
     placed = buckets.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    still_open = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    placed = placed.join(still_open, "h").join(classes.select("node", "short"), "node").join(texts, "node")
-    more = materialise(_across(placed, frequencies, floor, wanted), "links")
+    placed = materialise(placed.select("h", "band", "node", "component"), "placed")
+    tiles = _tiles(placed)
+    more = materialise(_across(tiles, classes, texts, frequencies, floor, wanted), "links")
     all_reached = components(links.select("a", "b").union(more.select("a", "b")))
 
     grouped = classes.select("class", "node", "first", "copies").join(all_reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -290,7 +327,7 @@ def _grouped(docs: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("rows")).where("rows > 1")
     told = grouped.join(heads, "component").select("class", F.col("head.id").alias("group_id"), F.col("head.text_hash").alias("keep_hash"))
     told = materialise(told, "told")
-    for used in (classes, buckets, hubs, star, texts, links, reached, more, all_reached, grouped):
+    for used in (classes, banded, several, placed, buckets, hubs, star, texts, links, reached, more, all_reached, grouped):
         discard(used)
     return rows, told
 

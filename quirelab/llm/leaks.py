@@ -5,9 +5,9 @@ item are fingerprinted; the fingerprints are split into blocks of 16 bits, and s
 each other differ by at most RADIUS / blocks bits in one block at least, looking up each block's value among the items'
 within that many bits finds all items within RADIUS. Those are compared exactly by weighted Jaccard similarity of shingles.
 
-A window that shares too few shingles with every item cannot pass the comparison, because weights lie between 1 and 2; so
-only windows around shared shingles are fingerprinted, and this loses none. Items are taken in blocks of ITEMS, so that what
-is broadcast has a fixed bound whatever the size of the benchmark.
+A window can be similar to an item only if the item's shingles that stand anywhere in the document have at least that share of
+the item's weight; only windows around such shingles are fingerprinted, and this loses none. Items are taken in blocks of
+ITEMS, so that what is broadcast has a fixed bound whatever the size of the benchmark.
 
 Cases: null and empty texts, and items without words, match nothing. Items of one to four words are one shingle and match
 where the same words stand in a row. Repeated items and rows each give their own results. A null id stays null. Columns

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,16 +15,22 @@ from pyspark.sql import types as T
 from quirelab.llm.rows import map_rows
 from quirelab.session import discard, materialise
 
-#: Words of a shingle, and how much more one of rare words weighs than one of words that all documents hold.
+#: Words of a shingle, and how much more a rare one weighs than one that all documents hold.
 SHINGLE, RANGE = 5, 0.5
-#: Words in fewer than this share of the documents all weigh as much as words in this share; it bounds the table that is
-#: broadcast to (distinct words of a mean document) / RARE entries, and LARGEST bounds it whatever the documents are like.
-RARE, LARGEST = 1e-3, 1_000_000
-#: Words whose hashes a worker keeps, and different words that it counts before it passes the counts on.
-KEPT, COUNTED = 200_000, 200_000
+#: Shingles in fewer than this share of the documents all weigh as much as those in this share.
+RARE = 1e-3
+#: Document frequencies are kept by this many buckets of the shingles' hashes, whatever the corpus: one byte for each is
+#: broadcast. A shingle's bucket overstates its frequency by (shingles of a mean document) / BUCKETS of the documents, which
+#: is below RARE up to 2,000 shingles.
+BUCKETS = 1 << 21
+#: Buckets in a row of counts, and rows of a part that are summed in one task before parts are summed.
+PART, FIRST = 1 << 16, 64
+#: Words whose hashes a worker keeps.
+KEPT = 200_000
 
 #: A-Z become lower case; what is neither an ASCII letter or digit nor beyond ASCII separates words.
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+_SHIFT = np.uint64(64 - (BUCKETS - 1).bit_length())
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,41 +58,6 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(step >= least) if least is not None else counts.limit(0)
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and weights from 0 to 1, of the words that more than RARE of the documents hold; all others weigh 1.
-
-    A word's weight is ln(documents / documents that hold it) / ln(1 / RARE). Counted over all documents."""
-
-    def make():
-        seen: Counter = Counter()
-        total = [0]
-
-        def flush():
-            out = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in seen], list(seen.values())
-            seen.clear()
-            return out
-
-        def call(texts):
-            for t in texts:
-                seen.update(set(words_of(t)))
-            total[0] += len(texts)
-            return flush() if len(seen) > COUNTED else None
-
-        call.finish = lambda: [flush(), ([None], total)]
-        return call
-
-    schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("n", T.LongType())])
-    counts = materialise(map_rows(docs, [text_col], schema, make).groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
-    # The row without a word has the number of documents.
-    total = counts.where("w IS NULL").agg(F.sum("n")).first()[0] or 0
-    top = most_frequent(counts.where(F.col("w").isNotNull() & (F.col("n") > RARE * total)), LARGEST).select("w", "n").toArrow()
-    discard(counts)
-    h = top["w"].to_numpy().astype(np.uint64) + np.uint64(1 << 63)
-    w = np.clip(np.log(total / top["n"].to_numpy().astype(np.float64)) / np.log(1 / RARE), 0, 1)
-    order = h.argsort()
-    return h[order], w[order]
-
-
 class Numbers(dict):
     """Numbers words as they are first asked for."""
 
@@ -98,46 +71,113 @@ class Numbers(dict):
         return k
 
 
-class Shingler:
-    """Weighted shingles of texts: a shingle weighs its number of places times (1 + RANGE times the mean weight of its words).
-    So a shingle's weight follows the rarity of its words, but neither a passage that very many documents share nor a word
-    that occurs once can decide a comparison alone. A text of one to four words is one shingle; one without words has none."""
+class Hasher:
+    """Hashes of texts' shingles; what is known of a word is looked up once while the worker keeps it."""
 
-    def __init__(self, frequencies: tuple[np.ndarray, np.ndarray]):
-        self.hashes, self.weights = frequencies
+    def __init__(self):
         self.known = Numbers()
-        self.h, self.w = np.empty(KEPT, np.uint64), np.empty(KEPT)
+        self.h = np.empty(KEPT, np.uint64)
 
-    def _look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _look(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) + len(words) > len(self.h):
             self.known = Numbers()
             if len(words) > len(self.h):
-                self.h, self.w = np.empty(len(words), np.uint64), np.empty(len(words))
+                self.h = np.empty(len(words), np.uint64)
         known = self.known
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if known.fresh:
-            h = np.array(list(map(xxhash.xxh64_intdigest, known.fresh)), np.uint64)
-            weight = np.ones(len(h))
-            if len(self.hashes):
-                k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                weight = np.where(self.hashes[k] == h, self.weights[k], 1.0)
-            start = len(known) - len(h)
-            self.h[start : len(known)], self.w[start : len(known)] = h, weight
+            self.h[len(known) - len(known.fresh) : len(known)] = np.array(list(map(xxhash.xxh64_intdigest, known.fresh)), np.uint64)
             known.fresh = []
-        return self.h[at], self.w[at]
+        return self.h[at]
 
-    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and weight of the shingle that starts at each word."""
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Of the shingle that starts at each word. A text of one to four words is one shingle; one without words has none."""
         if not words:
-            return np.empty(0, np.uint64), np.empty(0)
-        h, w = self._look(words)
+            return np.empty(0, np.uint64)
+        h = self._look(words)
         n = max(1, len(words) - SHINGLE + 1)
-        k = min(SHINGLE, len(words))
-        out, weight = np.zeros(n, np.uint64), np.zeros(n)
-        for i in range(k):
+        out = np.zeros(n, np.uint64)
+        for i in range(min(SHINGLE, len(words))):
             out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
-            weight += w[i : i + n]
-        return mix(out), 1 + RANGE / k * weight
+        return mix(out)
+
+
+def _summed(rows: pa.Table) -> np.ndarray:
+    total = np.zeros(PART, np.int64)
+    for data in rows["counts"]:
+        total += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+    return total
+
+
+def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The weight of each bucket of shingles, from 0 to 255 for 0 to 1: ln(documents / documents that hold a shingle of the
+    bucket) / ln(1 / RARE), 1 at most. Counted over all documents; a document counts once for each of its shingles.
+
+    Tasks count in arrays and pass them on in parts, compressed; parts are summed by task number first, so that no task sums
+    more than about the square root of all, and BUCKETS bytes come to the driver."""
+
+    def make():
+        hasher, counts, total = Hasher(), np.zeros(BUCKETS, np.int64), [0]
+
+        def call(texts):
+            for t in texts:
+                h = hasher.hashes(words_of(t))
+                if len(h):
+                    h = h >> _SHIFT
+                    h.sort()
+                    counts[h[np.concatenate(([True], h[1:] != h[:-1]))]] += 1
+            total[0] += len(texts)
+
+        def finish():
+            task = TaskContext.get().partitionId()
+            for k in range(0, BUCKETS, PART):
+                part = counts[k : k + PART]
+                if part.any():
+                    yield [k // PART], [task // FIRST], [zlib.compress(part.tobytes(), 1)], [0]
+            yield [None], [task // FIRST], [None], total
+
+        call.finish = finish
+        return call
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("batch", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("n", T.LongType())])
+    counted = materialise(map_rows(docs, [text_col], schema, make), "shingle-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+
+    def add(rows: pa.Table) -> pa.Table:
+        return pa.table({"part": rows["part"][:1], "counts": pa.array([zlib.compress(_summed(rows).tobytes(), 1)])})
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        n = np.maximum(_summed(rows), 1)
+        w = np.clip(np.log(total / n) / np.log(1 / RARE), 0, 1)
+        return pa.table({"part": rows["part"][:1], "weights": pa.array([np.rint(255 * w).astype(np.uint8).tobytes()])})
+
+    some = counted.where("part IS NOT NULL")
+    batches = some.groupBy("part", "batch").applyInArrow(add, "part int, counts binary")
+    out = np.full(BUCKETS, 255, np.uint8)
+    for r in batches.groupBy("part").applyInArrow(weigh, "part int, weights binary").toLocalIterator():
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["weights"], np.uint8)
+    discard(counted)
+    return out
+
+
+#: Weights with which every shingle counts as rare.
+ALL_RARE = np.full(BUCKETS, 255, np.uint8)
+
+
+class Shingler(Hasher):
+    """TF-IDF shingles of texts: a shingle weighs its number of places times (1 + RANGE times its inverse document frequency,
+    scaled to 0 to 1). The bound below keeps large groups of copies together: their shared shingles are frequent and would
+    weigh almost nothing beside the words in which two copies differ."""
+
+    def __init__(self, frequencies: np.ndarray):
+        super().__init__()
+        self.frequencies = frequencies
+        self.scale = 1 + RANGE / 255 * np.arange(256)
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and weight of the shingle that starts at each word."""
+        h = self.hashes(words)
+        return h, self.scale[self.frequencies[h >> _SHIFT]]
 
     def bag(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The different shingles, ascending, and their weights."""

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelab.llm import bpe, copies, graph, languages, leaks, licences, pages, queries, scoring, toxicity, token_files, vectors
-from quirelab.llm.words import Shingler, inverse_frequencies, similarity, words_of
+from quirelab.llm.words import ALL_RARE, BUCKETS, RANGE, Shingler, inverse_frequencies, similarity, words_of
 
 NONE = (np.empty(0, np.uint64), np.empty(0))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -189,6 +189,62 @@ def test_copies_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if find(i) == i] and kept.columns == df.columns
 
 
+def test_shingle_weights_are_inverse_document_frequencies(spark, odd, empty):
+    texts = ["a b c d e", "A, b c d e! f", "x y", "x y", None, "", "g h i j k l"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingler = Shingler(inverse_frequencies(clashing(df)))
+    for text, n in (("a b c d e", 2), ("b c d e f", 1), ("x y", 2), ("h i j k l", 1)):
+        assert shingler.places(words_of(text))[1][0] == pytest.approx(1 + RANGE * math.log(7 / n) / math.log(1000), abs=RANGE / 255)
+    assert (inverse_frequencies(empty) == 255).all() and len(inverse_frequencies(odd)) == BUCKETS
+
+
+def test_a_bucket_of_many_components_loses_no_link(spark):
+    """Groups around one stem of words, all in shared buckets, compared in tiles of three members."""
+    rng = random.Random(21)
+    stem = [f"s{k}" for k in range(60)]
+    texts = []
+    for g in range(8):
+        own = [f"g{g}x{k}" for k in range(18)]
+        for _ in range(5):
+            words = stem + own
+            words[rng.randrange(60, 78)] = f"n{rng.randint(0, 10**9)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingler = Shingler(inverse_frequencies(df))
+    bags = [shingler.bag(words_of(t)) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similarity(bags[a], bags[b]) >= copies.SIMILARITY]
+    wanted = dict(by(graph.components(spark.createDataFrame(links, "a long, b long")), "node", "component"))
+    tile = copies.TILE
+    copies.TILE = 3
+    try:
+        found = dict(by(copies.near_copies(df), "doc_id", "class_id"))
+    finally:
+        copies.TILE = tile
+    assert found == {k: wanted.get(k, k) for k in range(len(texts))} and len(set(found.values())) < len(texts)
+
+
+@pytest.mark.parametrize("level", [0.8, 0.9])
+def test_banding_recall(level):
+    """Share of pairs of at least this similarity that agree in a band and in enough samples."""
+    rng = np.random.default_rng(int(level * 100))
+    floor, met, total = copies._floor(copies.SIMILARITY), 0, 0
+    for _ in range(150):
+        n = int(rng.integers(20, 300))
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        w = rng.uniform(1, 1.5, len(h))
+        order = rng.permutation(len(h))
+        gone = int(np.searchsorted(np.cumsum(w[order]) / w.sum(), 1 - level - 1e-9))
+        keep = np.sort(order[gone:])
+        a, b = (h, w), (h[keep], w[keep])
+        if similarity(a, b) < copies.SIMILARITY:
+            continue
+        x, y = copies.samples(a), copies.samples(b)
+        total += 1
+        met += bool(((x == y).reshape(copies.BANDS, copies.ROWS).all(1)).any() and (x == y).sum() >= floor)
+    assert total > 100 and met / total >= 0.98
+
+
 def test_copies_of_odd_rows(spark, odd, empty):
     found = copies.near_copies(odd)
     assert found.count() == odd.count()
@@ -350,14 +406,32 @@ def test_leaks_against_all_windows(spark, odd, empty):
 def test_leak_that_repeats_a_stretch():
     cycle = " ".join(f"c{k}" for k in range(6))
     item, text = (" ".join([cycle] * 20 + [f"{x}{k}" for k in range(14)]) for x in "ab")
-    assert similarity(Shingler(NONE).bag(words_of(item)), Shingler(NONE).bag(words_of(text))) >= 0.8
-    assert [x[0] for x in leaks.Index([(1, item)], NONE, 0.8).find(text)] == [1]
+    assert similarity(Shingler(ALL_RARE).bag(words_of(item)), Shingler(ALL_RARE).bag(words_of(text))) >= 0.8
+    assert [x[0] for x in leaks.Index([(1, item)], ALL_RARE, 0.8).find(text)] == [1]
+
+
+def test_radius_finds_similar_windows():
+    """Share of windows of at least the wanted similarity whose fingerprints are within the radius."""
+    rng = np.random.default_rng(5)
+    near = total = 0
+    for _ in range(400):
+        n = int(rng.integers(12, 120))
+        words = [b"w%d" % k for k in rng.integers(0, 1 << 40, n)]
+        other = list(words)
+        at = int(rng.integers(0, n))
+        for k in range(int(rng.integers(0, 4))):
+            other[(at + k * int(rng.integers(1, 9))) % n] = b"x%d" % k
+        index = leaks.Index([(0, b" ".join(words).decode()), (1, b" ".join(other).decode())], ALL_RARE, 0.8)
+        if similarity(*index.bags) >= 0.8:
+            total += 1
+            near += int(np.bitwise_count(index.prints[0] ^ index.prints[1]).sum() <= leaks.RADIUS)
+    assert total > 100 and near / total >= 0.99
 
 
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(11)
     items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 99, 20))) for k in range(100)]
-    index = leaks.Index(items, NONE, 0.8)
+    index = leaks.Index(items, ALL_RARE, 0.8)
     prints = index.prints[rng.integers(0, 100, 300)].copy()
     for p in prints:
         for bit in rng.choice(256, rng.integers(0, 90), replace=False):
