@@ -3,9 +3,15 @@
 All unigrams and bigrams of the training texts are counted in Spark. Those that occur LEAST times or more, however large the
 corpus, go into a Bloom filter with their counts on a logarithmic scale: an n-gram of level q is put in once for each level
 from 1 to q, so that a count is read back by asking for level after level until one is missing. The filter grows with the
-corpus: it consists of segments of about SEGMENT n-grams each by the n-grams' hash, which tasks build and write into the shared
-folder. A task reads one segment after the other and asks it for the n-grams of up to PASS tokens. A token's probability mixes
-the bigram's share with the unigram's; tokens that occur less than LEAST times share what probability the others leave.
+corpus: it consists of segments of about SEGMENT entries each by their hashes, which tasks build and write into the shared
+folder. A task reads one segment after the other and asks it for the n-grams of up to PASS tokens.
+
+The probabilities add up to 1. With l(x) and u(x) the least and the greatest count of a level, a bigram's share of its context
+is P(w | c) = l(c w) / u(c) + rest(c) P(w), where rest(c) is what the kept bigrams of c leave: 1 - sum of l(c w) / u(c), which
+is above 0. It is in the filter, too, on a finer scale of its own. P(w) = l(w) / Z for kept unigrams; the others share equally,
+with one place for words never seen, what occurrences they have in training. Two things differ from this by a bounded amount:
+rest(c) is read back within a factor of REST, and each pair of kept tokens that is not in the filter is found in it with
+the filter's share of false positives (below 0.0005) as a pair of the lowest level.
 
 The base score needs every token's exact count. Counts of the HEAD most frequent tokens are broadcast; each text's other
 tokens are joined with the table of all counts by shuffle and summed.
@@ -39,12 +45,10 @@ from quirelab.session import _delete, discard, fresh_path, materialise, ship
 LEAST = 2
 #: Most frequent tokens whose exact counts are broadcast (16 bytes each).
 HEAD = 1 << 18
-#: N-grams in a segment of the filter, tokens that are scored in one pass over the segments, bigrams that a task counts at once.
+#: Entries in a segment of the filter, tokens that are scored in one pass over the segments, bigrams that a task counts at once.
 SEGMENT, PASS, COUNTED = 1 << 20, 1 << 21, 1 << 21
-#: Bits of the filter for each entry, hash functions, the scale's base.
-BITS, HASHES, BASE = 12, 6, 1.5
-#: Weight of the bigram's share where its first token is known.
-MIXTURE = 0.6
+#: Bits of the filter for each entry, bits that an entry sets in its word of 64; the scale's base, and that of what contexts leave.
+BITS, HASHES, BASE, REST = 32, 8, 1.5, 1.1
 #: Words that a worker keeps.
 KEPT = 400_000
 
@@ -64,6 +68,7 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 _COUNT = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
+_PAIRS = T.StructType([*_COUNT, T.StructField("c", T.LongType())])
 
 
 def unigram_counts(texts: DataFrame) -> DataFrame:
@@ -103,16 +108,17 @@ class Hashes(dict):
 
 
 def bigram_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of the pairs of neighbouring tokens; before the first stands an end."""
+    """(h, n, c) of the pairs of neighbouring tokens, c the first one's hash; before the first stands an end."""
 
     def make():
         known = Hashes()
-        kept: list[np.ndarray] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            pairs, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.empty(0, np.int64), np.empty(0, np.int64))
+            before = np.concatenate([c for _, c in kept]) if kept else np.empty(0, np.int64)
+            pairs, first, n = np.unique(np.concatenate([h for h, _ in kept]) if kept else before, return_index=True, return_counts=True)
             kept.clear()
-            return pa.array(pairs), pa.array(n)
+            return pa.array(pairs), pa.array(n), pa.array(before[first])
 
         def call(texts):
             if len(known) > KEPT:
@@ -121,107 +127,108 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
             words = [tokens_of(t) for t in texts]
             flat = chain((None,), chain.from_iterable(chain(w, (None,)) for w in words))
             x = np.fromiter(map(known.__getitem__, flat), np.int64, 1 + sum(map(len, words)) + len(words))
-            kept.append(bigram_key(x[:-1], x[1:]))
-            return flush() if sum(map(len, kept)) > COUNTED else None
+            kept.append((bigram_key(x[:-1], x[1:]), x[:-1]))
+            return flush() if sum(len(h) for h, _ in kept) > COUNTED else None
 
         call.finish = lambda: [flush()]
         return call
 
-    return _sums(map_rows(texts, ["text"], _COUNT, make))
+    return map_rows(texts, ["text"], _PAIRS, make).groupBy("h").agg(F.sum("n").alias("n"), F.first("c").alias("c"))
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """1 for counts from LEAST, one more for each factor BASE."""
+    return 1 + np.floor(np.log(np.maximum(np.asarray(counts) / LEAST, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
+
+
+def least_of(levels: np.ndarray) -> np.ndarray:
+    """The least count of each level; 0 for level 0."""
+    return np.where(levels > 0, LEAST * BASE ** (np.maximum(levels, 1) - 1.0), 0.0)
+
+
+def rest_key(h: np.ndarray) -> np.ndarray:
+    return mix(h.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).astype(np.int64)
 
 
 class LogFrequencyFilter:
-    """A Bloom filter of (n-gram, level) for levels 1 to the n-gram's own."""
+    """A Bloom filter of (key, level) for levels 1 to the key's own. An entry sets HASHES bits of one word of 64, so that a
+    question reads one word."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: float):
-        self.least = least
-        levels = self.level(counts)
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
         self.levels = int(levels.max(initial=0))
-        entries = int(levels.sum())
-        self.size = max(64, entries * BITS)
-        self.bits = np.zeros(-(-self.size // 8), np.uint8)
+        self.words = np.zeros(max(1, -(-int(levels.sum()) * BITS // 64)), np.uint64)
         for q in range(1, self.levels + 1):
-            for at in self._places(keys[levels >= q], q):
-                np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            at, mask = self._places(keys[levels >= q], q)
+            np.bitwise_or.at(self.words, at, mask)
 
     @classmethod
-    def stored(cls, least: float, levels: int, size: int, bits: bytes) -> LogFrequencyFilter:
+    def stored(cls, levels: int, words: bytes) -> LogFrequencyFilter:
         out = cls.__new__(cls)
-        out.least, out.levels, out.size, out.bits = least, levels, size, np.frombuffer(bits, np.uint8)
+        out.levels, out.words = levels, np.frombuffer(words, np.uint64)
         return out
 
-    def level(self, counts: np.ndarray) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(counts / self.least, 1)) / np.log(BASE) + 1e-12).astype(np.int64)
-
-    def _places(self, keys: np.ndarray, level: int):
+    def _places(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(keys.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
-        step = mix(h) | np.uint64(1)
+        bits, mask = mix(h), np.zeros(len(h), np.uint64)
         for k in range(HASHES):
-            yield ((h + np.uint64(k) * step) % np.uint64(self.size)).astype(np.int64)
+            mask |= np.uint64(1) << (bits >> np.uint64(6 * k) & np.uint64(63))
+        return ((h >> np.uint64(32)) * np.uint64(len(self.words)) >> np.uint64(32)).astype(np.int64), mask
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of each key's level, 0 for keys that are not in."""
-        out = np.zeros(len(keys))
+    def read(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's level, 0 for keys that are not in."""
+        out = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         for q in range(1, self.levels + 1):
-            inside = live
-            h = mix(keys[inside].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * q & (1 << 64) - 1))
-            step = mix(h) | np.uint64(1)
-            for k in range(HASHES):
-                at = ((h + np.uint64(k) * step) % np.uint64(self.size)).astype(np.int64)
-                ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                inside, h, step = inside[ok], h[ok], step[ok]
-                if not len(inside):
-                    break
-            if not len(inside):
+            at, mask = self._places(keys[live], q)
+            live = live[self.words[at] & mask == mask]
+            if not len(live):
                 break
-            out[inside] = self.least * BASE ** (q - 0.5)
-            live = inside
+            out[live] = q
         return out
 
 
 @dataclass
 class Segments:
-    """The filter in the shared folder: `total` parts of the range of hashes, (levels, size) of those that hold n-grams."""
+    """The filter in the shared folder: `total` parts of the range of hashes, and the levels of those that hold entries."""
 
     folder: str
     total: int
-    sizes: dict[int, tuple[int, int]]
+    levels: dict[int, int]
 
-    def counts(self, *asked: np.ndarray) -> list[np.ndarray]:
-        """For arrays of different keys, their counts; one segment is held at a time."""
-        out = [np.zeros(len(keys)) for keys in asked]
+    def read(self, *asked: np.ndarray) -> list[np.ndarray]:
+        """For arrays of keys, their levels; one segment is held at a time."""
+        out = [np.zeros(len(keys), np.int64) for keys in asked]
         orders, places = [], []
         for keys in asked:
             of = (keys.astype(np.uint64) >> np.uint64(32)) * np.uint64(self.total) >> np.uint64(32)
             orders.append(of.argsort(kind="stable"))
             places.append(np.searchsorted(of[orders[-1]], np.arange(self.total + 1, dtype=np.uint64)))
-        for k, (levels, size) in self.sizes.items():
+        for k, levels in self.levels.items():
             at = [order[place[k] : place[k + 1]] for order, place in zip(orders, places)]
             if any(map(len, at)):
-                part = LogFrequencyFilter.stored(LEAST, levels, size, _get(self.folder, f"{k}.bits"))
+                part = LogFrequencyFilter.stored(levels, _get(self.folder, f"{k}.bits"))
                 for keys, found, i in zip(asked, out, at):
-                    found[i] = part.counts(keys[i])
+                    found[i] = part.read(keys[i])
         return out
 
 
-def build_segments(ngrams: DataFrame) -> Segments:
-    """ngrams: (h, n), written."""
-    ship(ngrams.sparkSession)
-    folder = fresh_path(ngrams.sparkSession, "filter")
-    total = max(1, -(-ngrams.count() // SEGMENT))
+def build_segments(entries: DataFrame) -> Segments:
+    """entries: (h, level), written; one row for each key, levels from 1."""
+    ship(entries.sparkSession)
+    folder = fresh_path(entries.sparkSession, "filter")
+    total = max(1, -(-(entries.agg(F.sum("level")).first()[0] or 0) // SEGMENT))
 
     def build(rows: pa.Table) -> pa.Table:
         k = rows["segment"][0].as_py()
-        part = LogFrequencyFilter(rows["h"].to_numpy(), rows["n"].to_numpy(), LEAST)
+        part = LogFrequencyFilter(rows["h"].to_numpy(), rows["level"].to_numpy().astype(np.int64))
         fs, path = _open(folder)
         fs.create_dir(path, recursive=True)
-        _put(folder, f"{k}.bits", part.bits.tobytes())
-        return pa.table({"segment": [k], "levels": [part.levels], "size": [part.size]})
+        _put(folder, f"{k}.bits", part.words.tobytes())
+        return pa.table({"segment": [k], "levels": [part.levels]})
 
     segment = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(total).cast("long"), 32)
-    built = ngrams.withColumn("segment", segment).groupBy("segment").applyInArrow(build, "segment long, levels long, size long").collect()
-    return Segments(folder, total, {r["segment"]: (r["levels"], r["size"]) for r in sorted(built)})
+    built = entries.withColumn("segment", segment).groupBy("segment").applyInArrow(build, "segment long, levels long").collect()
+    return Segments(folder, total, {r["segment"]: r["levels"] for r in sorted(built)})
 
 
 @dataclass
@@ -231,23 +238,51 @@ class Model:
     head_counts: np.ndarray
     n: int
     v: int
-    #: Probability of a token that is not in the filter.
-    rest: float
+    #: Sum of what kept unigrams count and the occurrences of the others, and each other token's part of it.
+    z: float
+    other: float
+
+    def probabilities(self, before: np.ndarray, own: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """P(own | before) from the levels of both tokens, of the pair and of what the context leaves."""
+        p = np.where(own > 0, least_of(own), self.other) / self.z
+        # A pair that is kept has kept tokens, and its context at least its count.
+        pair = np.where((before > 0) & (own > 0), np.minimum(pair, before), 0)
+        return np.where(before > 0, least_of(pair) / (least_of(before) * BASE) + REST ** -(rest + 0.5 * (rest > 0)) * p, p)
+
+
+def _level(n) -> Column:
+    """level_of in Spark."""
+    return (1 + F.floor(F.log(F.greatest(n / float(LEAST), F.lit(1.0))) / float(np.log(BASE)) + 1e-9)).cast("int")
+
+
+def _least(level) -> Column:
+    return LEAST * F.pow(F.lit(float(BASE)), level - 1)
 
 
 def train(texts: DataFrame, counts: DataFrame) -> Model:
-    """counts: those of unigram_counts(texts), written. To the driver come HEAD counts and the sizes of the segments."""
+    """counts: those of unigram_counts(texts), written. To the driver come HEAD counts and the levels of the segments."""
     often = F.col("n") >= LEAST
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    n, v, n_kept, v_kept = counts.agg(total(F.col("n")), F.count(F.lit(1)), total(F.when(often, F.col("n"))), F.count_if(often)).first()
+    n, v, n_kept, v_kept, kept = counts.agg(total(F.col("n")), F.count(F.lit(1)), total(F.when(often, F.col("n"))), F.count_if(often), total(F.when(often, _least(_level(F.col("n")))))).first()
     top = most_frequent(counts, HEAD).select("h", "n").toArrow()
     h, c = top["h"].to_numpy(), top["n"].to_numpy()
-    ngrams = materialise(counts.where(often).select("h", "n").union(bigram_counts(texts).where(often)), "ngrams")
-    filter = build_segments(ngrams)
-    discard(ngrams)
-    left = max(1, n - n_kept) / max(1, n)
+    unigrams = counts.where(often).select("h", _level(F.col("n")).alias("level"))
+    bigrams = materialise(bigram_counts(texts).where(often).select("h", "c", _level(F.col("n")).alias("level")), "bigrams")
+    shares = bigrams.groupBy(F.col("c").alias("h")).agg(F.sum(_least(F.col("level"))).alias("kept")).join(unigrams, "h")
+    # Of a context that loses more than rounding allows, next to nothing is left; l and u make this impossible but for rounding.
+    left = F.greatest(1 - F.col("kept") / (_least(F.col("level")) * BASE), F.lit(1e-6))
+    rests = shares.select("h", F.floor(-F.log(left) / float(np.log(REST))).cast("int").alias("level")).where("level > 0")
+    keyed = map_rows(rests, ["h", "level"], _ENTRY, lambda: lambda h, level: (pa.array(rest_key(np.array(h, np.int64))), level))
+    entries = materialise(unigrams.unionByName(bigrams.select("h", "level")).unionByName(keyed), "ngrams")
+    filter = build_segments(entries)
+    discard(entries)
+    discard(bigrams)
+    others = float(max(1, n - n_kept))
     order = h.argsort()
-    return Model(filter, h[order], c[order], n, v, left / (v - v_kept + 1))
+    return Model(filter, h[order], c[order], n, v, float(kept) + others, others / (v - v_kept + 1))
+
+
+_ENTRY = T.StructType([T.StructField("h", T.LongType()), T.StructField("level", T.IntegerType())])
 
 
 class Scorer:
@@ -313,12 +348,11 @@ class Scorer:
         # Every text ends with an end, so that one also stands before the next text's first token.
         keys, pair = np.unique(bigram_key(np.concatenate(([END], h[:-1])), h), return_inverse=True)
         tokens, token = np.unique(h, return_inverse=True)
-        one, two = m.filter.counts(tokens, keys)
-        p = np.where(one > 0, np.minimum(1, one / max(1, m.n)), m.rest)[token]
-        one, two = one[token], two[pair]
-        before = np.concatenate(([one[-1]], one[:-1]))
-        share = two / np.maximum(np.maximum(before, two), 1e-9)
-        p = np.where(before > 0, MIXTURE * share + (1 - MIXTURE) * p, p)
+        one, two, left = m.filter.read(tokens, keys, rest_key(tokens))
+        own, left = one[token], left[token]
+        # The last text's end stands before the first token.
+        shifted = lambda x: np.concatenate((x[-1:], x[:-1]))
+        p = m.probabilities(shifted(own), own, two[pair], shifted(left))
         score = np.add.reduceat(np.log10(p), np.concatenate(([0], np.cumsum(sizes)[:-1])))
         return list(chain.from_iterable(ids)), sizes, np.concatenate(known), np.concatenate(log_c), score, pa.concat_arrays(tail)
 

@@ -154,7 +154,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     some = counted.where("part IS NOT NULL")
     batches = some.groupBy("part", "batch").applyInArrow(add, "part int, counts binary")
     out = np.full(BUCKETS, 255, np.uint8)
-    for r in batches.groupBy("part").applyInArrow(weigh, "part int, weights binary").toLocalIterator():
+    for r in batches.groupBy("part").applyInArrow(weigh, "part int, weights binary").collect():
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["weights"], np.uint8)
     discard(counted)
     return out
