@@ -1,15 +1,18 @@
 """Token ids in raw binary shards with keyed access through minimal perfect hashing.
 
-A folder holds manifest.json and, for each shard n of the ascending ids:
+A folder holds manifest.json and, for each shard of the ascending ids:
 
-    shard-n.ids    the documents' token ids one after another, little-endian unsigned, 16 or 32 bits as the manifest says
-    shard-n.keys   an Arrow IPC file with the documents' ids in the order of the payload
-    shard-n.idx    the index: an .npz of the arrays of `PerfectHash`, and for each slot fingerprint, offset and count
+    NAME.ids    the documents' token ids one after another, little-endian unsigned, 16 or 32 bits as the manifest says
+    NAME.keys   an Arrow IPC file with the documents' ids in the order of the payload
+    NAME.idx    the index, little-endian: the sizes of LEVELS levels of bits (64 bits each, 0 beyond the last); for each 512 bits
+                of all levels the number of bits set before them (64 bits) and the bits; for each slot fingerprint and count
+                (32 bits each) and offset in the payload (64 bits)
 
-Shards are ranges of the ids in ascending order (null first), so shard n's documents all stand before those of shard n + 1.
-A document's key is its id and the number of equal ids before it in its shard. A look-up hashes the key, probes at most a
-fixed number of levels for its slot, compares the stored fingerprint and reads one stretch of the payload, whatever the
-number of documents.
+Shards are ranges of the ids in ascending order (null first), so a shard's documents all stand before those of the next one; a
+shard is closed at SHARD_DOCS documents or SHARD_BYTES of payload. A document's key is its id and the number of equal ids before
+it in its shard. A look-up hashes the key, reads 72 bytes of the index for each level that it probes (LEVELS at most, two on
+average), 16 bytes for the slot, compares the stored fingerprint and reads one stretch of the payload, whatever the number of
+documents in the shard.
 
 Cases: a null or empty text is the end id alone. Null ids are one key. Equal ids are all kept, in an order that depends on
 their texts only, and a look-up returns all of them. An empty table makes a manifest without shards. Texts of any length are
@@ -35,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema, to_arrow_type
 
 from quirelab.llm.rows import slices
 from quirelab.session import fresh_path, ship
@@ -44,6 +47,10 @@ from quirelab.session import fresh_path, ship
 KEPT = 1_000_000
 #: Bits of a level for each key that it gets, levels, and keys from which a level is worth its bits.
 SPREAD, LEVELS = 2, 40
+#: Documents and payload bytes at which a shard is closed.
+SHARD_DOCS, SHARD_BYTES = 1 << 20, 1 << 28
+_BLOCK = np.dtype([("before", "<u8"), ("bits", "u1", 64)])
+_SLOT = np.dtype([("fingerprint", "<u4"), ("count", "<u4"), ("offset", "<u8")])
 #: Beyond these characters, or with these, a text goes to the library as a whole: normalisation or white space could differ.
 _RARE = re.compile("[\x00\x1c-\x1fİɐ-\U0010ffff]")
 _MARKS = ".,!?;:%&$*#|"
@@ -200,6 +207,17 @@ class PerfectHash:
         return out
 
 
+def _indexed(perfect: PerfectHash, h2: np.ndarray, slot: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> bytes:
+    """The index file of documents in payload order, whose keys have these slots."""
+    sizes = np.zeros(LEVELS, "<u8")
+    sizes[: len(perfect.sizes)] = perfect.sizes
+    blocks = np.zeros(len(perfect.bits) // 64, _BLOCK)
+    blocks["before"], blocks["bits"] = perfect.before[:-1], perfect.bits.reshape(-1, 64)
+    slots = np.zeros(len(slot), _SLOT)
+    slots["fingerprint"][slot], slots["count"][slot], slots["offset"][slot] = h2 >> np.uint64(32), counts, starts
+    return sizes.tobytes() + blocks.tobytes() + slots.tobytes()
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (pafs.LocalFileSystem(), uri)
 
@@ -245,51 +263,31 @@ def _bound(i: Any) -> str:
     return json.dumps([i is not None, i if isinstance(i, int | float | str) else str(i)])
 
 
-def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | Callable[[], str] = default_path, end_id: int = 2) -> dict:
+def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | Callable[[], str] = default_path, end_id: int = 2, shard_docs: int = SHARD_DOCS) -> dict:
     """Encode, append end_id, write the shards, and the manifest, which is returned. To the driver comes a row for each shard."""
     spark = docs.sparkSession
     ship(spark)
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     fs, where = _open(folder)
     fs.create_dir(where, recursive=True)
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType())])
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path() if callable(path) else path)
-        shard = TaskContext.get().partitionId()
-        name, end = f"shard-{shard:06d}", np.array([end_id], encoder.dtype).tobytes()
-        ids: list[Any] = []
-        counts: list[int] = []
-        fs, base = _open(folder)
-        payload = f"{base}/.{name}.ids.{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(payload) as out:
-            for batch in batches:
-                for part in slices(batch, 256):
-                    encoded = encoder.encode(part.column(1).to_pylist())
-                    ids += part.column(0).to_pylist()
-                    counts += [len(e) // encoder.dtype.itemsize + 1 for e in encoded]
-                    out.write(b"".join(e + end for e in encoded))
-        if not ids:
-            fs.delete_file(payload)
-            return
-        _settle(fs, payload, f"{base}/{name}.ids")
-        keys = pa.table({"id": pa.array(ids, id_type)})
-        sink = io.BytesIO()
-        with pa.ipc.new_file(sink, keys.schema) as w:
-            w.write_table(keys)
-        _put(folder, f"{name}.keys", sink.getvalue())
-        h1, h2 = key_hashes(_numbered(ids))
-        perfect = PerfectHash.build(h1, h2)
-        slot = perfect.slots(h1, h2)
-        sizes = np.array(counts, np.uint32)
-        starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.uint64)[:-1])).astype(np.uint64)
-        by_slot = np.empty(len(ids), np.int64)
-        by_slot[slot] = np.arange(len(ids))
-        sink = io.BytesIO()
-        np.savez(sink, sizes=perfect.sizes, bits=perfect.bits, fingerprint=(h2[by_slot] >> np.uint64(32)).astype(np.uint32), offset=starts[by_slot], count=sizes[by_slot])
-        _put(folder, f"{name}.idx", sink.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([8 * encoder.dtype.itemsize], pa.int32()), pa.array([_bound(ids[0])]), pa.array([_bound(ids[-1])])], names=schema.names)
-
+        end = np.array([end_id], encoder.dtype).tobytes()
+        row = lambda w: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(w.close(), arrow)], schema=arrow)
+        number, writer = 0, None
+        for batch in batches:
+            for part in slices(batch, 256):
+                writer = writer or _Writer(folder, f"shard-{TaskContext.get().partitionId():06d}-{number:04d}", encoder.dtype, id_type, shard_docs)
+                writer.add(part.column(0).to_pylist(), [e + end for e in encoder.encode(part.column(1).to_pylist())])
+                if writer.full:
+                    yield row(writer)
+                    number, writer = number + 1, None
+        if writer:
+            yield row(writer)
+
+    arrow = to_arrow_schema(schema)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     # Equal ids are split by their texts' hash, so that one frequent id cannot fill a shard alone unless the texts are equal, too.
@@ -297,40 +295,98 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     shards = sorted(tuple(r) for r in sharded.mapInArrow(run, schema).collect())
     manifest = {"bits": shards[0][3] if shards else 32, "end_id": end_id, "id_type": str(id_type), "shards": []}
     start = 0
-    for shard, n_docs, n_ids, _, first, last in shards:
-        manifest["shards"].append({"name": f"shard-{shard:06d}", "n_docs": n_docs, "n_ids": n_ids, "start": start, "first": json.loads(first), "last": json.loads(last)})
+    for name, n_docs, n_ids, _, first, last in shards:
+        manifest["shards"].append({"name": name, "n_docs": n_docs, "n_ids": n_ids, "start": start, "first": json.loads(first), "last": json.loads(last)})
         start += n_ids
     _put(folder, "manifest.json", json.dumps(manifest).encode())
     return manifest
 
 
 class Shard:
-    """A shard that is open for look-ups; only the index is read as a whole."""
+    """A shard that is open for look-ups, which read stretches of fixed size."""
 
     def __init__(self, folder: str, name: str, bits: int):
-        self.dtype = np.dtype(f"<u{bits // 8}")
-        arrays = np.load(io.BytesIO(_get(folder, f"{name}.idx")))
-        self.perfect = PerfectHash(arrays["sizes"], arrays["bits"])
-        self.fingerprint, self.offset, self.count = arrays["fingerprint"], arrays["offset"].astype(np.int64), arrays["count"].astype(np.int64)
-        fs, path = _open(folder)
-        self.payload = fs.open_input_file(f"{path}/{name}.ids")
-        self.folder, self.name = folder, name
+        self.folder, self.name, self.dtype = folder, name, np.dtype(f"<u{bits // 8}")
+        self.fs, path = _open(folder)
+        self.index, self.payload = self.fs.open_input_file(f"{path}/{name}.idx"), self.fs.open_input_file(f"{path}/{name}.ids")
+        sizes = np.frombuffer(self._read(self.index, 0, 8 * LEVELS), "<u8").astype(np.int64)
+        self.sizes = sizes[sizes > 0]
+        self.blocks = -(-int(self.sizes.sum()) // 512)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+
+    @staticmethod
+    def _read(file, at: int, size: int) -> bytes:
+        file.seek(at)
+        return file.read(size)
 
     def keys(self) -> list[Any]:
         return pa.ipc.open_file(pa.BufferReader(_get(self.folder, f"{self.name}.keys"))).read_all().column("id").to_pylist()
 
-    def find(self, keys: list[tuple[Any, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Offset and count of each key, -1 and 0 where the shard has no such key."""
+    def locate(self, key: tuple[Any, int]) -> tuple[int, int] | None:
+        """Offset and count of a key, None where the shard has no such key."""
+        h1, h2 = key_hashes([key])
+        for level, size in enumerate(self.sizes.tolist()):
+            at = int(self.starts[level]) + int(_mixed(h1, h2, level)[0] % np.uint64(size))
+            block = np.frombuffer(self._read(self.index, 8 * LEVELS + (at >> 9) * _BLOCK.itemsize, _BLOCK.itemsize), _BLOCK)[0]
+            bits = np.unpackbits(block["bits"], bitorder="little")
+            if bits[at & 511]:
+                slot = int(block["before"]) + int(bits[: at & 511].sum())
+                found = np.frombuffer(self._read(self.index, 8 * LEVELS + self.blocks * _BLOCK.itemsize + slot * _SLOT.itemsize, _SLOT.itemsize), _SLOT)[0]
+                return (int(found["offset"]), int(found["count"])) if found["fingerprint"] == h2[0] >> np.uint64(32) else None
+        return None
+
+    def locate_all(self, keys: list[tuple[Any, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and counts of keys that the shard has; the index is read once."""
+        data = self._read(self.index, 8 * LEVELS, self.blocks * _BLOCK.itemsize + len(keys) * _SLOT.itemsize)
+        bits = np.frombuffer(data, _BLOCK, self.blocks)["bits"].ravel()
+        slots = np.frombuffer(data, _SLOT, len(keys), self.blocks * _BLOCK.itemsize)
         h1, h2 = key_hashes(keys)
-        slot = self.perfect.slots(h1, h2)
-        ok = (slot >= 0) & (slot < len(self.fingerprint))
-        ok[ok] = self.fingerprint[slot[ok]] == (h2[ok] >> np.uint64(32)).astype(np.uint32)
-        slot[~ok] = 0
-        return np.where(ok, self.offset[slot], -1), np.where(ok, self.count[slot], 0)
+        found = slots[PerfectHash(self.sizes, bits).slots(h1, h2)]
+        if (found["fingerprint"] != h2 >> np.uint64(32)).any():
+            raise ValueError(f"{self.name}: the index does not have all keys")
+        return found["offset"].astype(np.int64), found["count"].astype(np.int64)
 
     def ids(self, offset: int, count: int) -> np.ndarray:
-        self.payload.seek(offset * self.dtype.itemsize)
-        return np.frombuffer(self.payload.read(count * self.dtype.itemsize), self.dtype).astype("<u4")
+        size = self.dtype.itemsize
+        return np.frombuffer(self._read(self.payload, offset * size, count * size), self.dtype).astype("<u4")
+
+
+class _Writer:
+    """A shard that is being written."""
+
+    def __init__(self, folder: str, name: str, dtype: np.dtype, id_type: pa.DataType, most: int):
+        self.folder, self.name, self.dtype, self.id_type, self.most = folder, name, dtype, id_type, most
+        self.fs, self.base = _open(folder)
+        self.part = f"{self.base}/.{name}.ids.{TaskContext.get().taskAttemptId()}"
+        self.out = self.fs.open_output_stream(self.part)
+        self.docs: list[Any] = []
+        self.counts: list[int] = []
+        self.bytes = 0
+
+    def add(self, docs: list[Any], encoded: list[bytes]) -> None:
+        self.docs += docs
+        self.counts += [len(e) // self.dtype.itemsize for e in encoded]
+        self.bytes += sum(map(len, encoded))
+        self.out.write(b"".join(encoded))
+
+    @property
+    def full(self) -> bool:
+        return len(self.docs) >= self.most or self.bytes >= SHARD_BYTES
+
+    def close(self) -> tuple:
+        """Write keys and index; the shard's row of the manifest."""
+        self.out.close()
+        _settle(self.fs, self.part, f"{self.base}/{self.name}.ids")
+        keys = pa.table({"id": pa.array(self.docs, self.id_type)})
+        sink = io.BytesIO()
+        with pa.ipc.new_file(sink, keys.schema) as w:
+            w.write_table(keys)
+        _put(self.folder, f"{self.name}.keys", sink.getvalue())
+        h1, h2 = key_hashes(_numbered(self.docs))
+        perfect = PerfectHash.build(h1, h2)
+        counts = np.array(self.counts, np.int64)
+        _put(self.folder, f"{self.name}.idx", _indexed(perfect, h2, perfect.slots(h1, h2), np.cumsum(counts) - counts, counts))
+        return self.name, len(self.docs), int(counts.sum()), 8 * self.dtype.itemsize, _bound(self.docs[0]), _bound(self.docs[-1])
 
 
 def lookup(folder: str, wanted: Any) -> list[np.ndarray]:
@@ -343,8 +399,8 @@ def lookup(folder: str, wanted: Any) -> list[np.ndarray]:
         if s["first"] > key:
             break
         shard, k = Shard(folder, s["name"], manifest["bits"]), 0
-        while (at := shard.find([(wanted, k)]))[0][0] >= 0:
-            out.append(shard.ids(int(at[0][0]), int(at[1][0])))
+        while at := shard.locate((wanted, k)):
+            out.append(shard.ids(*at))
             k += 1
     return out
 
@@ -364,9 +420,9 @@ def read(spark: SparkSession, folder: str, manifest: dict | None = None, id_col:
             for n in batch.column(0).to_pylist():
                 shard = Shard(folder, shards[n]["name"], bits)
                 keys = _numbered(shard.keys())
+                offsets, counts = shard.locate_all(keys)
                 for at in range(0, len(keys), 512):
-                    part = keys[at : at + 512]
-                    offset, count = shard.find(part)
+                    part, offset, count = (x[at : at + 512] for x in (keys, offsets, counts))
                     ids = [shard.ids(o, c) for o, c in zip(offset.tolist(), count.tolist())]
                     crc = [zlib.crc32(x.tobytes()) for x in ids]
                     columns = [pa.array([k for k, _ in part], id_type), pa.array(offset + shards[n]["start"]), pa.array(count), pa.array(crc, pa.int64())]

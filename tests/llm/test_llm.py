@@ -147,6 +147,33 @@ def test_token_files_against_the_library(spark, odd, empty, tmp_path):
     assert token_files.read(spark, folder).count() == 0 and token_files.lookup(folder, 1) == []
 
 
+def test_look_ups_read_stretches_of_fixed_size(spark, tmp_path):
+    """The bytes that a look-up reads do not depend on the number of documents; shards are closed at their bound."""
+    reads = []
+
+    class Counted(token_files.Shard):
+        @staticmethod
+        def _read(file, at, size):
+            reads[-1] += size
+            return token_files.Shard._read(file, at, size)
+
+    library = token_files.word_encoder(token_files.default_path()).library
+    for n in (20, 3000):
+        folder = str(tmp_path / str(n))
+        df = spark.range(n).selectExpr("id * 3 AS doc_id", "concat('text number ', id) AS text").coalesce(1)
+        manifest = token_files.write(df, folder, shard_docs=1000)
+        assert sum(s["n_docs"] for s in manifest["shards"]) == n and all(s["n_docs"] < 1300 for s in manifest["shards"])
+        for k in (0, n // 2, n - 1):
+            (found,) = token_files.lookup(folder, 3 * k)
+            assert found.tolist() == [*library.encode(f"text number {k}", add_special_tokens=False).ids, 2]
+            assert token_files.lookup(folder, 3 * k + 1) == []
+        for s in manifest["shards"]:
+            reads.append(0)
+            assert Counted(folder, s["name"], manifest["bits"]).locate((s["last"][1], 0))
+        assert max(reads) <= 8 * token_files.LEVELS + 10 * token_files._BLOCK.itemsize + 16
+        assert token_files.read(spark, folder, with_ids=True).count() == n
+
+
 def test_perfect_hash_is_minimal():
     h1, h2 = token_files.key_hashes([(i, 0) for i in range(5000)])
     assert sorted(token_files.PerfectHash.build(h1, h2).slots(h1, h2).tolist()) == list(range(5000))
