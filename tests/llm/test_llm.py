@@ -560,37 +560,67 @@ def test_blocks_find_all_fingerprints_within_the_radius():
 # toxicity
 
 
-def test_toxicity(spark, odd, empty, sf):
+def test_toxicity(spark, odd, empty):
+    sf = "/root/testdata/sf0.1"
     found = queries.op8_toxicity(spark, sf)
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    joined = found.join(labels, "doc_id")
-    assert joined.where("predicted = toxic").count() >= 0.95 * joined.count()
+    held = found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    toxic, other = (held.where(f"toxic = {k}") for k in (1, 0))
+    assert toxic.where("predicted = 1").count() >= 0.8 * toxic.count() > 0
+    assert other.where("predicted = 0").count() >= 0.99 * other.count()
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (3, 0), (4, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
     scored = toxicity.score(clashing(odd), model)
     assert scored.count() == odd.count() and all(0 <= r["score"] <= 1 for r in scored.collect())
+    # A brute-force twin of a score: the weights of the different words and beginnings, hashed.
+    for r in scored.collect():
+        words = set(re.findall(r"[^\W\d_]+", (dict(by(odd, "doc_id", "text")).get(r["doc_id"]) or "").lower()))
+        places = {toxicity.xxhash.xxh64_intdigest(f) % toxicity.DIMENSIONS for w in words for f in ([w, w[:5] + "*"] if len(w) > 5 else [w])}
+        if r["doc_id"] not in (1, None):
+            assert r["score"] == pytest.approx(1 / (1 + math.exp(-model.bias - sum(model.weights[k] for k in places))))
     for frame in (odd, empty):
         constant = toxicity.fit(frame, labels.limit(0))
-        assert constant.score("x") == 0
+        assert constant.scorer()(["x", None]) == [0, 0]
     assert toxicity.score(empty, model).count() == 0
 
 
-def test_swapped_identity_terms_change_little():
+def test_identity_terms_decide_little_on_held_out_rows(spark):
+    """In the labelled rows most toxic texts name one group; neutral texts on held-out rows that name it stay below the limit."""
     rng = random.Random(12)
-    kinds = toxicity.IDENTITY[1]
-    names, rows, labels, pairs = {}, [], [], []
-    index = lambda words: [names.setdefault(f, len(names)) for f in sorted(toxicity.features_of(words))]
-    for _ in range(400):
+    common = [f"word{k}" for k in range(300)]
+    kinds = toxicity.IDENTITY[0]
+    rows = []
+    for k in range(1200):
         toxic = rng.random() < 0.3
-        words = {rng.choice(["good", "day", "walk"]), "awful" if toxic and rng.random() < 0.9 else "nice"}
-        words.add(kinds[0] if toxic or rng.random() < 0.1 else kinds[1])
-        rows.append(index(words))
-        labels.append(float(toxic))
-        pairs += [(rows[-1], index(x)) for x in toxicity.counterfactuals(words)]
-    y = np.array(labels)
-    fair, unfair = (toxicity._train(y, rows, p, len(names))[1] for p in (pairs, []))
-    gap = lambda w: abs(w[names[kinds[0]]] - w[names[kinds[1]]])
-    assert gap(fair) < 0.2 * gap(unfair)
+        words = rng.choices(common, k=20)
+        if rng.random() < (0.9 if toxic else 0.15):
+            words.insert(3, kinds[0])
+        elif rng.random() < 0.5:
+            words.insert(3, rng.choice(kinds[1:]))
+        if toxic and rng.random() < 0.7:
+            words.insert(9, "loathsome")
+        rows.append((k, "One two. " + " ".join(words) + ".", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = [f"{' '.join(rng.choices(common, k=12))} {{}} {' '.join(rng.choices(common, k=8))}" for _ in range(200)]
+
+    def told(fairness):
+        old = toxicity.FAIRNESS
+        toxicity.FAIRNESS = fairness
+        try:
+            score = toxicity.fit(df, df).scorer()
+        finally:
+            toxicity.FAIRNESS = old
+        logit = lambda ts: np.log(np.array(score(ts)) / (1 - np.array(score(ts))))
+        gap = float(np.abs(logit([t.format(kinds[0]) for t in texts]) - logit([t.format(kinds[1]) for t in texts])).mean())
+        return gap, float(np.array(score([t.format(kinds[0]) for t in texts])).mean()), float((np.array(score([t.format("loathsome " + kinds[1]) for t in texts])) >= 0.5).mean())
+
+    (fair_gap, fair_score, fair_caught), (gap, score, _) = told(toxicity.FAIRNESS), told(0.0)
+    assert fair_gap < 0.3 * gap and fair_score < score and fair_score < 0.3 and fair_caught > 0.9
+
+
+def test_swaps_are_of_sentences():
+    found = toxicity.counterfactuals("No group here. Some women met women! Men, too")
+    assert found == [(["some", "women", "met", "women"], ["some", "men", "met", "men"]), (["men", "too"], ["women", "too"])]
+    assert toxicity.counterfactuals(None) == []
 
 
 # pages
