@@ -2,7 +2,8 @@
 
 Each page's containers are scored by how much clean text they hold and how little else; the scores are votes for the
 containers' generalised tag-class paths, summed per host in Spark. Then every page is extracted anew from the container
-at its host's winning path, or from its own best container where the page has none at that path or no host.
+at its host's winning path, or from its own best container where the page has none at that path or no host. With it come its
+siblings on the same path and, if it has no title of its own, the title before it and what stands between the two.
 
 Cases: null or empty html, and html without text, give an empty text and n_chars 0. A null or relative url has no host.
 Open tags, quotes and comments at the end of a page end with it. Repeated rows give repeated results. Columns besides the
@@ -29,20 +30,30 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements and class words whose text is not the article's.
 _DROP = frozenset("nav footer aside form button select option dialog menu svg canvas object audio video script style textarea title noscript iframe xmp noembed noframes template head".split())
-_DROP_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|aside|nav|navbar|navigation|menu|breadcrumbs?|foot|footer|masthead|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend\w*|widget|toolbar|pagination|pager|skip-link|disclaimer|copyright|paywall)(?:$|[\s_-])",
-    re.I,
+_CHROME = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs foot footer masthead "
+    "comment comments commentlist disqus replies reply respond cookie cookies consent notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login social share sharing shares "
+    "related recommended recommendations widget widgets toolbar pagination pager disclaimer copyright paywall topbar".split()
 )
-#: Class words that say what else a page has or lacks.
-_ABOUT = re.compile(r"(?<![\w-])(?:has|with|no|without|is|show|hide)-[\w-]+", re.I)
+#: With one of the above first, these leave a class word about other parts of a page: ad-box, related-posts, but not related-work.
+_PLAIN = frozenset(
+    "0 a ad ads area articles banner bar block body bottom box button buttons center col column container content form group header holder icons inner inline item items left link links list main module outer panel part posts primary "
+    "region right row secondary section slot small stories side thread text title top unit widget wide wrap wrapper".split()
+)
+#: Class words with one of these say what else a page has or lacks.
+_ABOUT = frozenset("has with no without is show hide hidden".split())
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_HEADER_CLASS = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header|top-?bar|head)(?:$|[\s_-])", re.I)
+_HEADER_CLASS = re.compile(r"(?:^|\s)(?:(?:site|page|main|global)[-_]?)?(?:header|head)(?:$|\s)|(?:^|\s)top-?bar(?:$|\s)", re.I)
 _GOOD_CLASS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 #: A start tag on the left ends an open element on the right.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article main body td th blockquote".split())
 #: A page's containers below this share of its best one's score are not voted for.
 VOTE_FLOOR = 0.3
+_TITLES, _LEAD = frozenset(("h1", "h2", "hgroup")), frozenset("h1 h2 h3 h4 hgroup p blockquote figure ul ol dl pre table div section header".split())
+#: What stands between title and container must be text at least by this share, the rest being links.
+LEAD = 0.5
 #: Up to this many hosts the winning paths are broadcast (well below 100 MB); beyond it Spark joins by shuffle.
 BROADCAST_HOSTS = 200_000
 
@@ -55,6 +66,18 @@ class Node:
         self.clean = self.total = 0
 
 
+def chrome(names: str) -> bool:
+    """Whether a class word or id, taken as a whole, says that an element is not the article's: a word of _CHROME, one that
+    ends with such a word (site-footer), or one that begins with one and goes on with _PLAIN words (share-buttons)."""
+    for name in names.split():
+        parts = [re.sub(r"\d+", "0", x.lower()) for x in _PARTS.split(name) if x]
+        if not parts or _ABOUT.intersection(parts):
+            continue
+        if parts[-1] in _CHROME or parts[0] in _CHROME and all(x in _PLAIN or x in _CHROME for x in parts[1:]):
+            return True
+    return False
+
+
 def _segment(tag: str, classes: str, name: str) -> str:
     """The tag with its classes and id, numbers in them made equal."""
     general = sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})
@@ -67,7 +90,7 @@ def _join(path: str, segment: str) -> str:
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
-    """Text pieces (text, whether it is the article's or not; "" ends a block), and the containers, with their ranges of pieces."""
+    """Text pieces (text, whether it is the article's or not; "" ends a block), and the elements, with their ranges of pieces."""
     root = Node("#root", None, False, 0.2, "", 0, False)
     stack, nodes, pieces = [root], [root], []
     pos, n, closed = 0, len(page), True
@@ -148,13 +171,13 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
             continue
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
         classes, role = attrs.get("class", ""), attrs.get("role", "").lower()
-        named = _ABOUT.sub("", f"{classes} {attrs.get('id', '')}")
+        named = f"{classes} {attrs.get('id', '')}"
         parent = stack[-1]
         inside = parent.inside or tag in ("article", "main") or role == "main"
         whole = tag in ("html", "body", "article", "main")
         drop = parent.drop or tag in _DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true"
         if not drop and not whole:
-            drop = role in _DROP_ROLE or bool(named.strip() and _DROP_CLASS.search(named)) or (not parent.inside and (tag == "header" or bool(named.strip() and _HEADER_CLASS.search(named))))
+            drop = role in _DROP_ROLE or chrome(named) or (not parent.inside and (tag == "header" or bool(named.strip() and _HEADER_CLASS.search(named))))
         bonus = 1.3 if tag in ("article", "main") or role == "main" else 1.15 if named.strip() and _GOOD_CLASS.search(named) else 1.0
         node = Node(tag, parent, drop, bonus, "" if drop or not block else _join(parent.path, _segment(tag, classes, attrs.get("id", ""))), len(pieces), inside)
         if not block:
@@ -167,7 +190,14 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
             pos = end.start() if end else n
     pop(1)
     root.end = len(pieces)
-    return pieces, [x for x in nodes if x is root or not x.drop and x.tag not in _INLINE and x.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "html", "tr")]
+    return pieces, nodes
+
+
+_PARTS_OF = frozenset("p h1 h2 h3 h4 h5 h6 li pre html tr".split())
+
+
+def containers(nodes: list[Node]) -> list[Node]:
+    return [x for x in nodes if x.parent is None or not x.drop and x.tag not in _INLINE and x.tag not in _PARTS_OF]
 
 
 def score(node: Node) -> float:
@@ -183,16 +213,38 @@ def best(nodes: list[Node]) -> Node:
     return top
 
 
-def render(pieces: list[tuple[str, bool]], node: Node) -> str:
-    return " ".join("".join(value or " " for value, kept in pieces[node.start : node.end] if kept).split())
+def whole(nodes: list[Node], found: Node) -> list[Node]:
+    """A container, its siblings on its path, and the title before it with what stands between."""
+    if found.parent is None or found.tag in ("html", "body"):
+        return [found]
+    kept = [x for x in nodes if x is found or x.parent is found.parent and x.path == found.path and x.tag == found.tag and x.clean]
+    first, level = kept[0], found
+    if any(x.tag == "h1" and not x.drop and x.clean for k in kept for x in nodes if k.start <= x.start < k.end):
+        return kept
+    while level.parent is not None:
+        before = [x for x in nodes if x.parent is level.parent and not x.drop and x.tag in _LEAD and x.end <= first.start and x.clean >= LEAD * x.total > 0]
+        titles = [k for k, x in enumerate(before) if x.tag in _TITLES or x.tag in ("header", "div", "section") and any(y.tag in _TITLES and not y.drop and x.start <= y.start < x.end for y in nodes)]
+        if titles:
+            # The last title of the highest rank that this level has before the container.
+            top = min((before[k].tag not in ("h1",), -k) for k in titles)
+            return before[-top[1] :] + kept
+        level = level.parent
+        if level.tag == "body":
+            break
+    return kept
+
+
+def render(pieces: list[tuple[str, bool]], nodes: list[Node]) -> str:
+    return " ".join("".join("".join(value or " " for value, kept in pieces[x.start : x.end] if kept) + " " for x in nodes).split())
 
 
 def extract(page: str | None, path: str | None = None) -> str:
     if not page:
         return ""
     pieces, nodes = parse(page)
-    at_path = [x for x in nodes if path is not None and x.path == path and x.clean]
-    return render(pieces, best(at_path or nodes))
+    some = containers(nodes)
+    at_path = [x for x in some if path is not None and x.path == path and x.clean]
+    return render(pieces, whole(nodes, best(at_path or some)))
 
 
 def _host(url_col: str):
@@ -215,7 +267,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             for host, page in zip(hosts, pages):
                 if host is None or not page:
                     continue
-                nodes = [x for x in parse(page)[1] if x.path]
+                nodes = [x for x in containers(parse(page)[1]) if x.path]
                 most = max(map(score, nodes), default=0)
                 if most:
                     for path, value in {x.path: score(x) / most for x in sorted(nodes, key=score)}.items():

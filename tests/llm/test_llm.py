@@ -643,6 +643,34 @@ def test_pages(spark):
     assert pages.extract_pages(df.limit(0)).count() == 0
 
 
+def test_host_vote_against_brute_force(spark):
+    """Votes of all pages summed in plain Python choose the same paths; pages whose own best container is another follow them."""
+    rng = random.Random(40)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    data = []
+    for k in range(120):
+        host = f"h{rng.randint(0, 5)}.example"
+        long_extra = rng.random() < 0.2
+        body = f"<div class='c{int(host[1]) % 3}x'><p>{words(rng.randint(10, 40))}</p></div><div class='extra'>{f'<p>{words(90)}</p>' if long_extra else f'<a>{words(40)}</a>'}</div>"
+        data.append((k, f"https://{host}/{k}", f"<html><body><div class='w'>{body}</div></body></html>"))
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, html in data:
+        best = {}
+        for x in pages.containers(pages.parse(html)[1]):
+            if x.path:
+                best[x.path] = max(best.get(x.path, 0), pages.score(x))
+        top = max(best.values())
+        for path, value in best.items():
+            if value >= pages.VOTE_FLOOR * top:
+                votes[url.split("/")[2]][path] += round(1000 * value / top)
+    wanted = {host: min(c, key=lambda p: (-c[p], p)) for host, c in votes.items()}
+    assert dict(by(pages.host_paths(df), "host", "path")) == wanted
+    texts = {r["page_id"]: r["text"] for r in pages.extract_pages(df).collect()}
+    assert texts == {k: pages.extract(html, wanted[url.split("/")[2]]) for k, url, html in data}
+    assert any(texts[k] != pages.extract(html) for k, _, html in data)
+
+
 # vectors
 
 
@@ -710,6 +738,11 @@ def test_pipeline_stages(spark, sf):
         ("<main><section><p>One.</p></section><form><input><p>no</p></form><section id='comments'><p>said a reader</p></section><div class='share'>share</div></main>", "One."),
         ("<article><header><h1>Title</h1></header><p>A<sup>2</sup>&nbsp;&lt;b&gt; x</p><p hidden>no</p><noscript>no</noscript></article>", "Title A2 <b> x"),
         ("<article data-id='7'><p title='a hidden gem' data-class=ad>kept <i class='hidden-xs'>too</i></p></article>", "kept too"),
+        ("<article><h1>T</h1><section id='related-work'><h2>Related work</h2><p>Others did.</p></section><div class='social-history'><p>Of towns.</p></div><div id='copyright-law'><p>Acts.</p></div><div class='related-posts'><p>More</p></div><div class='site-footer'>end</div></article>", "T Related work Others did. Of towns. Acts."),
+        ("<body><div class='wrap'><h1>T</h1><div class='content'><p>The first and somewhat longer part.</p></div><div class='ad-box'>Buy this</div><div class='content'><p>The second part.</p></div></div></body>", "T The first and somewhat longer part. The second part."),
+        ("<body><nav><a href='/'>Home</a></nav><div class='page'><h1>The title</h1><p class='lead'>A lead paragraph.</p><div class='post'><p>The text itself goes on for some time, with words.</p></div><div class='box'><a href='x'>a link to another text altogether</a> <a href='y'>and to one more of these</a></div></div></body>", "The title A lead paragraph. The text itself goes on for some time, with words."),
+        ("<body><div><h1>Outer</h1><div class='row'><div class='menu-left'>menu</div><div class='entry'><p>Text that is long enough to win the score.</p></div></div></div></body>", "Outer Text that is long enough to win the score."),
+        ("<body class='has-sidebar no-comments'><div class='main-content'><p>All the text.</p></div><div id='pageFooter'>foot</div></body>", "All the text."),
         ("<article><p>cut <a href=\"x>y\">link</a> in <!-- not > this --> two", "cut link in two"),
     ],
 )
