@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelab.llm.filters import keep_rows
+from quirelab.llm.filters import add_columns
 from quirelab.llm.rows import map_rows
+from quirelab.session import materialise
 
 NGRAM, DIMENSIONS, SEED = 3, 1024, 20_240_607
 #: n-gram vectors that a worker keeps (int8, so at most 40 MB), and codes of n-grams that it counts at once.
 KEPT = 40_000
 UNKNOWN = "und"
+#: keep_known: the share of a language's own texts that stand for its least typical ones, by what factor a text may lie below
+#: them, the texts that a size needs for a limit of its own, and steps of the cosine.
+LEAST_TYPICAL, FACTOR, ENOUGH, STEPS = 0.005, 0.6, 50, 500
 
 _LOWER_LETTER: np.ndarray | None = None
 
@@ -166,16 +170,48 @@ def _matrix(profiles: dict[str, np.ndarray]) -> tuple[np.ndarray, list[str]]:
     return np.array([profiles[k] for k in names]).reshape(len(names), DIMENSIONS), names
 
 
-def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, enough: int, text_col: str = "text") -> DataFrame:
-    """docs without texts that have no letters, and without texts of at least `enough` n-grams whose cosine with every
-    language is below `least`; without languages, only the former go."""
+def limits(counts: list[tuple[int, int, int]]) -> list[float]:
+    """counts: (size, step of the cosine, texts) of labelled texts. The least cosine for each size up to the largest: FACTOR
+    times what LEAST_TYPICAL of its texts stay below; for sizes with few texts that of the next smaller size, or 0."""
+    by_size: dict[int, dict[int, int]] = {}
+    for size, step, n in counts:
+        by_size.setdefault(size, {})[step] = n
+    out, last = [], 0.0
+    for size in range(max(by_size, default=-1) + 1):
+        steps = by_size.get(size, {})
+        total = sum(steps.values())
+        if total >= ENOUGH:
+            below = 0
+            for step in sorted(steps):
+                below += steps[step]
+                if below > LEAST_TYPICAL * total:
+                    last = FACTOR * step / STEPS
+                    break
+        out.append(last)
+    return out
+
+
+def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """docs without texts that have no letters and texts that are in none of the languages: their best cosine is below a limit
+    that all texts with a language teach, by the doubling of their number of different n-grams, so that short texts are judged
+    like short texts and a text that repeats itself like a short one. Without languages, only texts without letters go."""
     matrix, names = _matrix(profiles)
+    cosine, size = (f"{name}_{'_'.join(docs.columns)}" for name in ("cosine", "size"))
 
-    def known(text: str | None) -> bool:
-        counts = ngram_counts(text)[1]
-        return len(counts) > 0 and (not names or counts.sum() < enough or _best(matrix, names, text)[1] >= least)
+    def make():
+        def call(texts):
+            found = [_best(matrix, names, t)[1] for t in texts]
+            return found, [len(ngram_counts(t)[0]).bit_length() - 1 for t in texts]
+
+        return call
 
-    return keep_rows(docs, text_col, lambda: lambda texts: [known(t) for t in texts])
+    told = materialise(add_columns(docs, text_col, [T.StructField(cosine, T.DoubleType()), T.StructField(size, T.IntegerType())], make), "languages")
+    step = F.floor(F.col(f"`{cosine}`") * STEPS).cast("int")
+    counted = told.where(F.col(f"`{lang_col}`").isNotNull() & (F.col(f"`{size}`") >= 0)).groupBy(F.col(f"`{size}`").alias("size"), step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    least = limits([tuple(r) for r in counted.collect()]) if names else []
+    # A size beyond all labelled ones has the limit of the largest.
+    limit = F.element_at(F.array(*map(F.lit, least)), F.least(F.col(f"`{size}`") + 1, F.lit(len(least)))) if least else F.lit(0.0)
+    return told.where((F.col(f"`{size}`") >= 0) & (F.col(f"`{cosine}`") >= limit)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

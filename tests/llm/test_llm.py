@@ -361,7 +361,44 @@ def test_languages(spark, odd, empty, sf):
     assert all(0 <= r["score"] <= 1 and r["lang_pred"] in (*profiles, "und") for r in rows.values())
     assert languages.prototypes(empty) == {} and languages.identify(empty, {}).count() == 0
     assert {r["lang_pred"] for r in languages.identify(odd, {}).collect()} == {"und"}
-    assert languages.keep_known(odd, profiles, 0.15, 100).columns == odd.columns
+    kept = languages.keep_known(clashing(odd), profiles)
+    assert kept.columns == clashing(odd).columns and None not in {r["text"] for r in kept.collect()}
+    assert languages.keep_known(empty, {}).count() == 0 and languages.keep_known(odd, {}).count() == odd.where("text IS NOT NULL AND text <> '' AND doc_id <> 5 OR doc_id IS NULL").count()
+
+
+def test_prototypes_and_predictions_against_sums_of_texts(spark):
+    """Each text bundled alone, summed by language, and compared with every sum."""
+    rng = random.Random(50)
+    letters = {"aa": "abcdeé", "bb": "edxyzß", "cc": "日本語のはa"}
+    text = lambda lang: " ".join("".join(rng.choices(letters[lang], k=rng.randint(2, 6))) for _ in range(rng.randint(1, 30)))
+    data = [(k, text(lang), lang if rng.random() < 0.8 else None) for k, lang in enumerate(rng.choices(list(letters), k=90))] + [(90, None, "aa"), (91, "12 !", "aa"), (92, "a", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    space = languages.Space()
+
+    def vector(t):
+        codes, counts = languages.ngram_counts(t)
+        return sum((n * space.ngram(c).astype(float) for c, n in zip(codes.tolist(), counts.tolist())), np.zeros(languages.DIMENSIONS)) / max(1e-12, math.sqrt((counts * counts).sum())) if len(codes) else None
+
+    sums = {lang: sum(v for _, t, x in data if x == lang and (v := vector(t)) is not None) for lang in letters}
+    profiles = languages.prototypes(df)
+    assert list(profiles) == sorted(letters)
+    for lang in letters:
+        assert np.allclose(profiles[lang], sums[lang] / np.linalg.norm(sums[lang]), atol=1e-4)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in languages.identify(df, profiles).collect()}
+    for k, t, _ in data:
+        v = vector(t)
+        cosines = {x: float(p @ v / np.linalg.norm(v)) for x, p in profiles.items()} if v is not None else {}
+        assert found[k][0] == max(cosines, key=cosines.get, default="und") and found[k][1] == pytest.approx(min(1, max(0, max(cosines.values(), default=0))), abs=1e-5)
+
+
+def test_texts_in_no_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    strange = ["Mae hen wlad fy nhadau yn annwyl i mi, gwlad beirdd a chantorion enwogion o fri", "国家主席今天在北京会见了外宾并发表讲话", "Это русский текст, который не входит в обучение", "zxq vbn qwrt pqzx kjhg wvvx zzxq"]
+    both = docs.unionByName(spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(strange)], docs.schema))
+    kept = languages.keep_known(both, languages.prototypes(docs))
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.count() >= 0.998 * docs.count()
+    assert languages.limits([(3, 100, 49), (4, 50, 1), (4, 100, 399), (6, 10, 5)]) == [0, 0, 0, 0, languages.FACTOR * 100 / languages.STEPS] + [languages.FACTOR * 100 / languages.STEPS] * 2 and languages.limits([]) == []
 
 
 def test_bundles_are_sums_of_bound_letters():
@@ -715,21 +752,38 @@ def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    # Nulls in every column, empty texts, repeated rows and ids, and columns by names that stages use inside.
+    extra = spark.createDataFrame([(None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", None, 0), (None, "Of the and that it was in on.", None, None, None), (7, "Of the and that it was in on.", "en", "s", 1), (7, "Of the and that it was in on.", "en", "s", 1), (8, "1234 !!", "en", "s", 1)], docs.schema)
+    docs = clashing(docs.unionByName(extra))
     kept = docs
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, kept, sf)
-        assert out.schema == docs.schema, name
-        assert out.join(kept, "doc_id", "left_anti").count() == 0
-        kept = spark.createDataFrame(out.collect(), docs.schema)
-    ids = {r["doc_id"]: r["ids"] for r in p.STAGES[-1][1](spark, kept, sf).collect()}
+        assert out.dtypes == docs.dtypes, name
+        rows, before = collections.Counter(map(tuple, out.collect())), collections.Counter(map(tuple, kept.collect()))
+        assert not rows - before and rows, name
+        if name == "language":
+            assert not any(t[1] in (None, "", "1234 !!") for t in rows)
+        if name == "near copies":
+            assert sum(n for t, n in rows.items() if t[1].startswith("Of the and that it was")) == 1
+        kept = spark.createDataFrame(list(rows.elements()), docs.schema)
+    ids = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in p.STAGES[-1][1](spark, kept, sf).collect())
     v = bpe.vocabulary(bpe.default_path())
-    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {i: v.decode(x) for i, x in ids.items()}
-    assert sorted(r["doc_id"] for r in p.run(spark, sf).collect()) == sorted(ids)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter({(i, v.decode(list(x))): n for (i, x), n in ids.items()})
     empty = docs.limit(0)
     for name, stage in p.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
 
 
+def test_pipeline_run(spark, sf):
+    import corpus_pipeline as p
+
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, sf).collect(), kept.schema)
+    wanted = sorted((r["doc_id"], r["ids"]) for r in p.STAGES[-1][1](spark, kept, sf).collect())
+    assert sorted((r["doc_id"], r["ids"]) for r in p.run(spark, sf).collect()) == wanted and wanted
+
+
 @pytest.mark.parametrize(
     "page, wanted",
     [
