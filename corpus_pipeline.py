@@ -1,7 +1,13 @@
 """The corpus pipeline: language, toxicity, near copies, benchmark passages, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
-of documents. run() applies them to the table documents, writing and rereading each stage's rows in the shared folder.
+of documents. run() applies them to the table documents, writing and rereading each stage's rows in the shared folder; a
+stage's table is deleted once the next one is written.
+
+Cases, alike in all stages: a null or empty text goes in the first stage, since it is in no language. Nulls in other columns,
+null ids and columns besides doc_id, text and lang, whatever their names, stay as they are. Of repeated rows the near-copies
+stage keeps one. Ties: of a group of near copies the least (doc_id, text hash) stays. A stage on an empty table gives an empty
+table of the same columns, the last one of its own.
 """
 
 from __future__ import annotations
@@ -9,19 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelab.llm import bpe, copies, languages, leaks, toxicity
-from quirelab.session import materialise, table
+from quirelab.session import discard, materialise, table
 
-#: A text of enough n-grams whose cosine with every language is below this is in none of them; one without letters goes, too.
-LEAST_COSINE, LEAST_NGRAMS = 0.1, 100
 #: A text that is at least this likely to be toxic goes.
 TOXIC = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the documents' own lang column teaches. Without any lang, only texts without
-    letters go."""
-    profiles = languages.prototypes(docs)
-    return languages.keep_known(docs, profiles, LEAST_COSINE, LEAST_NGRAMS)
+    """Documents in one of the languages that the documents' own lang column teaches, short ones too: a text must be about as
+    near to one of them as texts of its size that have a lang are. Texts without letters go; without any lang, only they."""
+    return languages.keep_known(docs, languages.prototypes(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else materialise(out, f"stage{k}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
