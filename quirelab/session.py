@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
-#: Tables that materialise() has written and nobody has deleted.
+#: Paths that fresh_path() has given and nobody has deleted.
 _written: set[str] = set()
 
 
@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quirelab-shared-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -61,7 +63,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quirelab-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is deleted by cleanup() at the latest."""
+    path = f"{shared_dir(spark)}/quirelab-{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -73,7 +78,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelab_path = path
-    _written.add(path)
     return out
 
 
@@ -85,7 +89,7 @@ def discard(df: DataFrame) -> None:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete all tables of materialise() that are left, once no result that reads them is needed any more."""
+    """Delete everything below fresh_path() that is left, once no result that reads them is needed any more."""
     for path in sorted(_written):
         _delete(spark, path)
 
