@@ -151,15 +151,31 @@ def sequence_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", diff("old", "new").alias("d")).select("doc_id", "d.*")
 
 
+#: Quotes that are broadcast at once.
+KEYLESS = 1000
+
+
 def contained_quotes(quotes: DataFrame, quote_id: str, quote: str, rows: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, quote_id, at): quotes that stand in a text, with their first place. Joined through the quotes' first 24
-    characters at word starts, so that a text is compared only with quotes of which it has the beginning."""
+    """(row_id, quote_id, at): quotes that stand in a text, whole words or not, with their first place. Null and empty quotes
+    stand nowhere.
+
+    Joined through a quote's first 24 characters that begin a word inside it, which then begin a word of the text, too; texts
+    come in only for the pairs found. Quotes without such a stretch are tried on all texts, KEYLESS of them at a time."""
     size = 24
     starts = F.regexp_extract_all(F.col(text), F.lit(r"(?s)(?=((?<![\p{L}\p{N}])[\p{L}\p{N}].{%d}))" % (size - 1)), 1)
-    long_quotes = quotes.where(F.length(quote) >= size).select(F.col(quote_id), F.col(quote).alias("_quote"), F.substring(quote, 1, size).alias("_key"))
-    keyed = rows.select(row_id, F.col(text).alias("_text"), F.explode(F.array_distinct(starts)).alias("_key"))
-    hits = keyed.join(long_quotes, "_key").where(F.contains("_text", F.col("_quote")))
-    return hits.select(row_id, quote_id, F.expr("instr(_text, _quote)").cast("long").alias("at")).distinct()
+    key = F.regexp_extract(F.col(quote), r"(?s)(?<=[^\p{L}\p{N}])([\p{L}\p{N}].{%d})" % (size - 1), 1)
+    given = quotes.where(F.length(quote) > 0).select(F.col(quote_id).alias("_id"), F.col(quote).alias("_quote"), key.alias("_key"))
+    keyed = rows.select(F.col(row_id).alias("_row"), F.explode(F.array_distinct(starts)).alias("_key"))
+    pairs = keyed.join(given.where("_key <> ''"), "_key").select("_row", "_id", "_quote").distinct()
+    hits = rows.select(row_id, F.col(text).alias("_text")).join(pairs, F.col(row_id).eqNullSafe(F.col("_row")))
+    found = hits.where(F.contains("_text", F.col("_quote"))).select(row_id, "_id", "_quote", "_text")
+    short = given.where("_key = ''")
+    parts = -(-short.count() // KEYLESS)
+    for k in range(parts):
+        some = short.where(F.pmod(F.xxhash64("_quote"), F.lit(parts)) == k).select("_id", "_quote")
+        tried = rows.select(row_id, F.col(text).alias("_text")).join(F.broadcast(some), F.contains("_text", F.col("_quote")))
+        found = found.unionByName(tried.select(row_id, "_id", "_quote", "_text"))
+    return found.select(row_id, F.col("_id").alias(quote_id), F.expr("instr(_text, _quote)").cast("long").alias("at")).distinct()
 
 
 def url_host(url: Column) -> Column:

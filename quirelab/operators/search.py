@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,13 +22,20 @@ def normalised_query(raw: str) -> str:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits, in order. Operators in a query are never interpreted."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    """Lower-case runs of letters and digits of any script, in order. Operators in a query are never interpreted."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def query_tokens(raw: str) -> list[str]:
+    """The different tokens of a query, which are cut like a text's."""
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", normalised_query(raw).lower())))
 
 
 def match(rows: DataFrame, text_col: str, raw_query: str) -> DataFrame:
-    """Rows that hold every word of the query, with score: how often its words stand there."""
-    words = list(dict.fromkeys(normalised_query(raw_query).lower().split()))
+    """Rows that hold every word of the query, with score: how often its words stand there. A query of marks matches nothing."""
+    words = query_tokens(raw_query)
+    if not words:
+        return rows.where(F.lit(False)).withColumn("score", F.lit(0).cast("long"))
     # The substring test is cheap and lets few rows through to tokenising.
     maybe = reduce(lambda a, b: a & b, (F.contains(F.lower(F.col(text_col)), F.lit(w)) for w in words))
     found = rows.where(maybe).withColumn("_tokens", tokens(F.col(text_col)))
@@ -91,14 +99,17 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, t
     partitions x top_k rows, whatever the number of vectors."""
     n = queries.count()
     parts = max(1, -(-n // QUERIES_AT_ONCE))
+    # Vectors are scaled once, so that a pair costs one product; a zero vector has cosine 0 with all.
+    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.coalesce(F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)), F.lit(1.0)))
+    queries, rows = (r.select(id_col, unit(F.col(vector_col)).alias(vector_col)) for r in (queries, rows))
     out = None
     for k in range(parts):
         part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == k).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
         pairs = rows.join(F.broadcast(part), F.lit(True))
-        pairs = pairs.where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.round(cosine(F.col("_q"), F.col(vector_col)), 6).alias("similarity"), cosine(F.col("_q"), F.col(vector_col)).alias("_s"))
+        pairs = pairs.where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, dot(F.col("_q"), F.col(vector_col)).alias("_s"))
         out = pairs if out is None else out.unionByName(pairs)
     w = Window.partitionBy("query_id").orderBy(F.desc("_s"), id_col)
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k).select("query_id", id_col, "similarity", "rank")
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k).select("query_id", id_col, F.round("_s", 6).alias("similarity"), "rank")
 
 
 def ranked(rows: DataFrame, id_col: str, order: Sequence[Column]) -> DataFrame:
@@ -119,3 +130,20 @@ def match_types(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     a, b = lexical.select("id", F.lit(1).alias("_l")), semantic.select("id", F.lit(1).alias("_s"))
     kind = F.when(F.col("_l").isNull(), "semantic").when(F.col("_s").isNull(), "lexical").otherwise("both")
     return a.join(b, "id", "full").select("id", kind.alias("match_type"))
+
+
+def searched(streams: Sequence[DataFrame], raw_query: str, near: DataFrame | None = None) -> DataFrame:
+    """Items that any of the streams (kind, item, id, text) holds the query for, or that are near by meaning (item, rank from 0):
+    item, fused, score, hits, top, match_type, the best first.
+
+    An item's lexical rank is that of its best hit, ties by item; both rankings are fused. Items that are only near have score 0
+    and no hits. Without `near` the lexical ranking decides alone."""
+    hits = match(reduce(DataFrame.unionByName, streams), "text", raw_query)
+    top = F.max_by("kind", F.struct("score", "kind")).alias("top")
+    groups = hits.groupBy("item").agg(F.max("score").cast("double").alias("score"), F.count(F.lit(1)).alias("hits"), top)
+    lexical = ranked(groups, "item", [F.desc("score"), F.col("item")])
+    semantic = (near if near is not None else lexical.limit(0).withColumnRenamed("id", "item")).select(F.col("item").alias("id"), "rank")
+    fused = fuse([lexical, semantic]).join(match_types(lexical, semantic), "id").select(F.col("id").alias("item"), F.round("score", 9).alias("fused"), "match_type")
+    found = fused.join(groups, "item", "left")
+    score, hits = F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits")
+    return found.select("item", "fused", score, hits, "top", "match_type").orderBy(F.desc("fused"), "item")

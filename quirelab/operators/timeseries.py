@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +46,26 @@ def rate_limited(requests: DataFrame, key: str, ts: str, seconds: int, limit: in
     return rows.withColumn("allowed", F.row_number().over(Window.partitionBy(key, "window").orderBy(ts, tie)) <= limit)
 
 
-def ttl_deduplicated(rows: DataFrame, keys: list[str], ts: str, days: int) -> DataFrame:
-    """One row for each key and fixed window of days, the first."""
-    window = F.floor(F.unix_date(F.col(ts).cast("date")) / days)
-    w = Window.partitionBy(*keys, "_window").orderBy(ts)
-    return rows.withColumn("_window", window).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_window", "_k")
+def ttl_deduplicated(rows: DataFrame, keys: list[str], ts: str, days: int, tie: str | None = None) -> DataFrame:
+    """Of each key the first row, and then each first row that is `days` or more after the last one kept; ties by `tie`.
+
+    A key's rows are sorted in one task and walked batch by batch; only the last key and its last kept time are held."""
+    step = days * 86_400_000_000
+    # null keys are keys; rows without a time are not kept.
+    marked = rows.where(F.col(ts).isNotNull()).withColumns({"_key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
+    ordered = marked.repartition("_key").sortWithinPartitions("_key", "_us", *([tie] if tie else []))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, 0
+        for batch in batches:
+            keep = []
+            for key, us in zip(batch.column("_key").to_pylist(), batch.column("_us").to_pylist()):
+                keep.append(key != last or us >= until)
+                if keep[-1]:
+                    last, until = key, us + step
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(walk, ordered.schema).drop("_key", "_us")
 
 
 def review(stage: Column, mastered: Column, good: Column) -> tuple[Column, Column]:

@@ -34,15 +34,14 @@ def reading_order(spark, sf):
     return layout.reading_order(lines(spark, sf)).select("doc_id", "position", "order")
 
 
-@query(f"WITH {BLOCKS}, m AS (SELECT doc_id, position, CASE WHEN position % 3 = 0 THEN '[' || (position // 3 + 1) || '] ' || text ELSE text END AS text FROM blocks WHERE doc_id < 100), n AS (SELECT *, sum(CASE WHEN regexp_matches(text, '^\\s*(\\[[0-9]+\\]|[0-9]+\\.|\\([0-9]+\\))\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position) AS reference FROM m) SELECT doc_id, CAST(reference AS BIGINT) AS reference, count(*) AS n FROM n GROUP BY doc_id, reference")
+@query(
+    f"""WITH {BLOCKS}, m AS (SELECT doc_id, position, CASE WHEN position % 3 = 0 THEN '[' || (position // 3 + 1) || '] ' || text ELSE text END AS text FROM blocks), n AS (SELECT *, sum(CASE WHEN regexp_matches(text, '^\\s*(\\[[0-9]+\\]|[0-9]+\\.|\\([0-9]+\\))\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position) AS reference FROM m),
+ j AS (SELECT doc_id, reference, string_agg(text, chr(10) ORDER BY position) AS t FROM n GROUP BY doc_id, reference) SELECT doc_id, CAST(reference AS BIGINT) AS reference, trim(regexp_replace(regexp_replace(t, '(\\pL)-\\n(\\p{{Ll}})', '\\1\\2', 'g'), '\\s*\\n\\s*', ' ', 'g')) AS text FROM j"""
+)
 def reference_groups(spark, sf):
-    marked = F.when(F.col("position") % 3 == 0, F.concat(F.lit("["), (F.floor(F.col("position") / 3) + 1).cast("string"), F.lit("] "), F.col("text"))).otherwise(F.col("text"))
-    rows = blocks(spark, sf).where("doc_id < 100").select("doc_id", "position", marked.alias("text"))
-    starts = F.col("text").rlike(r"^\s*(\[[0-9]+\]|[0-9]+\.|\([0-9]+\))\s").cast("int")
-    from pyspark.sql import Window
-
-    numbered = rows.withColumn("reference", F.sum(starts).over(Window.partitionBy("doc_id").orderBy("position")))
-    return numbered.groupBy("doc_id", "reference").agg(F.count(F.lit(1)).alias("n"))
+    p = F.col("position")
+    marked = F.when(p % 3 == 0, F.concat(F.lit("["), (F.floor(p / 3) + 1).cast("string"), F.lit("] "), F.col("text"))).otherwise(F.col("text"))
+    return layout.grouped_references(blocks(spark, sf).select("doc_id", "position", marked.alias("text")))
 
 
 @query(
@@ -60,14 +59,14 @@ def thumbnail_choice(spark, sf):
     return layout.thumbnail(f)
 
 
-_NOTES = f"""{BLOCKS}, notes AS (SELECT doc_id * 100 + position AS note_id, doc_id, position, substr(text, 1, 12) AS quote FROM blocks WHERE position % 5 = 1 AND position < 100), fresh AS (SELECT doc_id, position + CASE WHEN position % 5 = 1 AND position % 2 = 0 THEN 1000 ELSE 0 END AS position, text FROM blocks WHERE NOT (position % 5 = 1 AND position % 3 = 0))"""
+_NOTES = f"""{BLOCKS}, notes AS (SELECT doc_id * 1000000 + position AS note_id, doc_id, position, text AS quote FROM blocks WHERE position % 5 = 1), fresh AS (SELECT doc_id, position + CASE WHEN position % 5 = 1 AND position % 2 = 0 THEN 1000000 ELSE 0 END AS position, text FROM blocks WHERE NOT (position % 5 = 1 AND position % 3 = 0))"""
 
 
 @query(f"WITH {_NOTES}, k AS (SELECT n.*, EXISTS (SELECT 1 FROM fresh f WHERE f.doc_id = n.doc_id AND f.position = n.position) AS alive FROM notes n), m AS (SELECT k.note_id, min(f.position) AS p FROM k JOIN fresh f ON f.doc_id = k.doc_id AND contains(f.text, k.quote) WHERE NOT alive AND quote <> '' GROUP BY k.note_id) SELECT note_id, doc_id, CASE WHEN alive THEN position ELSE m.p END AS block_id, CASE WHEN alive THEN 'kept' WHEN m.p IS NOT NULL THEN 'moved' ELSE 'orphaned' END AS how FROM k LEFT JOIN m USING (note_id)")
 def reanchor(spark, sf):
     b, p = blocks(spark, sf), F.col("position")
-    notes = b.where("position % 5 = 1 AND position < 100").select((F.col("doc_id") * 100 + p).alias("note_id"), "doc_id", p.alias("block_id"), F.substring("text", 1, 12).alias("quote"))
-    fresh = b.where("NOT (position % 5 = 1 AND position % 3 = 0)").withColumn("position", p + F.when((p % 5 == 1) & (p % 2 == 0), 1000).otherwise(0))
+    notes = b.where("position % 5 = 1").select((F.col("doc_id") * 1_000_000 + p).alias("note_id"), "doc_id", p.alias("block_id"), F.col("text").alias("quote"))
+    fresh = b.where("NOT (position % 5 = 1 AND position % 3 = 0)").withColumn("position", p + F.when((p % 5 == 1) & (p % 2 == 0), 1_000_000).otherwise(0))
     return anchors.reanchor(notes, fresh.withColumn("block_id", F.col("position")))
 
 
@@ -79,12 +78,11 @@ def scope_blocks(spark, sf):
     return anchors.in_scope(b, heads).select("doc_id", "position", "scope")
 
 
-@query("SELECT doc_id, substr(text, 1, 40) || ' ⟦0⟧ ⟦1⟧ ⟦2⟧ ' || substr(text, 41, 40) AS encoded, true AS same FROM documents WHERE NOT regexp_matches(substr(text, 1, 80), '[$`\\[\\]]')")
+@query()
 def placeholders(spark, sf):
-    plain = table(spark, sf, "documents").where(~F.substring("text", 1, 80).rlike(r"[$`\[\]]"))
-    d = plain.select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" $x_1$ `code` [1, 2] "), F.substring("text", 41, 40)).alias("text"))
-    e = d.withColumn("e", anchors.with_placeholders(F.col("text")))
-    return e.select("doc_id", F.col("e.text").alias("encoded"), (anchors.restored(F.col("e.text"), F.col("e.values")) == F.col("text")).alias("same"))
+    """Whole texts with formulas, code and citations put out of a translator's reach and back; tests hold it against a plain walk."""
+    e = table(spark, sf, "documents").select("doc_id", "text", anchors.with_placeholders(F.col("text")).alias("e"))
+    return e.select("doc_id", F.col("e.text").alias("encoded"), F.size("e.values").alias("n"), (anchors.restored(F.col("e.text"), F.col("e.values")) == F.col("text")).alias("same"))
 
 
 @query(f"WITH {BLOCKS}, s AS (SELECT doc_id, position, CAST(2 * (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'that') THEN 1 ELSE 0 END) AS INTEGER) AS score FROM blocks WHERE length(text) >= 40 AND NOT regexp_matches(text, '[a-z0-9]_[a-z0-9]|[a-z][A-Z]')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS k FROM s WHERE score > 0) SELECT doc_id, position, score FROM r WHERE k <= 30")

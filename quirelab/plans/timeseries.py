@@ -56,9 +56,12 @@ def rate_limit_windows(spark, sf):
     return ops.rate_limited(sessions(spark, sf), "user_id", "ts", 86400, 3, "event_id").select("event_id", "allowed")
 
 
-@query(f"WITH {SESSIONS}, r AS (SELECT event_id, user_id, kind, row_number() OVER (PARTITION BY user_id, kind, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7 ORDER BY ts) AS k FROM sessions) SELECT event_id, user_id, kind FROM r WHERE k = 1")
+@query(
+    f"""WITH RECURSIVE {SESSIONS}, k(user_id, kind, ts) AS (SELECT user_id, kind, min(ts) FROM sessions GROUP BY user_id, kind UNION ALL
+ SELECT k.user_id, k.kind, min(s.ts) FROM k JOIN sessions s ON s.user_id = k.user_id AND s.kind = k.kind AND s.ts >= k.ts + INTERVAL 7 DAY GROUP BY k.user_id, k.kind) SELECT user_id, kind, ts FROM k"""
+)
 def ttl_dedupe(spark, sf):
-    return ops.ttl_deduplicated(sessions(spark, sf), ["user_id", "kind"], "ts", 7).select("event_id", "user_id", "kind")
+    return ops.ttl_deduplicated(sessions(spark, sf), ["user_id", "kind"], "ts", 7, "event_id").select("user_id", "kind", "ts")
 
 
 @query(

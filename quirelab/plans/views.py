@@ -23,9 +23,9 @@ def vocabulary_due(spark, sf):
     return ops.vocabulary_view(v, "2024-01-20", "ECONOMY", True, "RING").select("id")
 
 
-@query(f"WITH {SESSIONS} SELECT event_id AS id FROM sessions WHERE user_id < 40 ORDER BY kind = 'error', CASE WHEN kind <> 'error' THEN seconds END, CASE WHEN kind <> 'error' THEN user_id END, CASE WHEN kind <> 'error' THEN ts END, CASE WHEN kind = 'error' THEN ts END DESC, event_id LIMIT 200")
+@query(f"WITH {SESSIONS} SELECT event_id AS id FROM sessions ORDER BY kind = 'error', CASE WHEN kind <> 'error' THEN seconds END, CASE WHEN kind <> 'error' THEN user_id END, CASE WHEN kind <> 'error' THEN ts END, CASE WHEN kind = 'error' THEN ts END DESC, event_id LIMIT 200")
 def annotation_order(spark, sf):
-    a = sessions(spark, sf).where("user_id < 40").select(F.col("event_id").alias("id"), (F.col("kind") == "error").alias("orphaned"), F.col("seconds").alias("position"), F.col("user_id").alias("start"), F.col("ts").alias("created"))
+    a = sessions(spark, sf).select(F.col("event_id").alias("id"), (F.col("kind") == "error").alias("orphaned"), F.col("seconds").alias("position"), F.col("user_id").alias("start"), F.col("ts").alias("created"))
     return a.orderBy(*ops.annotation_order()).limit(200).select("id")
 
 
@@ -44,11 +44,11 @@ def matched_sides(spark, sf):
     return table(spark, sf, "documents").where(a | b).select("doc_id", F.array_join(sides, ",").alias("sides"), lang.alias("lang"))
 
 
-@query(f"WITH {BLOCKS} SELECT doc_id, position, CASE kind WHEN 'figure' THEN 'Fig. ' || position WHEN 'heading' THEN 'S' || section ELSE 'S' || section || ' ¶' || position END || CASE WHEN doc_id % 2 = 1 THEN ' · p. ' || section ELSE '' END AS label FROM blocks WHERE doc_id < 100")
+@query(f"WITH {BLOCKS} SELECT doc_id, position, CASE kind WHEN 'figure' THEN 'Fig. ' || position WHEN 'heading' THEN 'S' || section ELSE 'S' || section || ' ¶' || position END || CASE WHEN doc_id % 2 = 1 THEN ' · p. ' || section ELSE '' END AS label FROM blocks")
 def display_labels(spark, sf):
     head = F.concat(F.lit("S"), F.col("section").cast("string"))
     quality = F.when(F.col("doc_id") % 2 == 1, "B").otherwise("A")
-    return blocks(spark, sf).where("doc_id < 100").select("doc_id", "position", ops.display_label(F.col("kind"), F.col("position"), head, F.col("section"), quality).alias("label"))
+    return blocks(spark, sf).select("doc_id", "position", ops.display_label(F.col("kind"), F.col("position"), head, F.col("section"), quality).alias("label"))
 
 
 @query("SELECT item_id, lower(split_part(text, ' ', 3)) AS term, strpos(lower(text), lower(split_part(text, ' ', 3))) > 0 AS found FROM benchmark WHERE NOT regexp_matches(split_part(text, ' ', 3), '[.!?\n]')")
@@ -108,9 +108,9 @@ def slide_material(spark, sf):
     return ops.slide_material(blocks(spark, sf), {"heading": 0, "figure": 1, "paragraph": 2}, 1200)
 
 
-@query(f"WITH {BLOCKS}, s AS (SELECT doc_id, section, '## ' || section || chr(10) || string_agg('[' || position || '] ' || text, chr(10) ORDER BY position) AS t FROM blocks WHERE doc_id < 60 GROUP BY doc_id, section) SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY section) AS context FROM s GROUP BY doc_id")
+@query(f"WITH {BLOCKS}, s AS (SELECT doc_id, section, '## ' || section || chr(10) || string_agg('[' || position || '] ' || text, chr(10) ORDER BY position) AS t FROM blocks GROUP BY doc_id, section) SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY section) AS context FROM s GROUP BY doc_id")
 def rendered_context(spark, sf):
-    return ops.rendered_context(blocks(spark, sf).where("doc_id < 60"))
+    return ops.rendered_context(blocks(spark, sf))
 
 
 @query("WITH t AS (SELECT conv_id, turn, text, lag(text) OVER w AS before, lead(text) OVER w AS after, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN concat_ws(' — ', text, substr(before, 1, 60)) ELSE concat_ws(' — ', text, substr(after, 1, 60)) END AS snippet FROM t WHERE role <> 'system'")

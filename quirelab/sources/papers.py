@@ -54,8 +54,9 @@ _JATS_KINDS = {"p": "paragraph", "title": "heading", "list-item": "list", "disp-
 
 
 def jats_body(data: str | None) -> list[tuple[int, str, str, str]]:
-    """(position, section path, kind, text) of an article's body and references; a document type is refused."""
-    if not data or "<!DOCTYPE" in data or "<!ENTITY" in data:
+    """(position, section path, kind, text) of an article's body and references. A document type that only names an external
+    one, which is never fetched, is fine; declarations of its own and entities are refused."""
+    if not data or "<!ENTITY" in data or re.search(r"<!DOCTYPE[^>]*\[", data):
         return []
     try:
         root = ElementTree.fromstring(data)

@@ -27,10 +27,17 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything that is there now, written to the shared folder and read back; complete results replace earlier ones."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
-    how = "overwrite" if mode == "complete" else "append"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, f"{name}-offsets"))
-    writer.foreachBatch(lambda rows, _: rows.write.mode(how).parquet(path)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    folders: set[str] = set()
+
+    def write(rows: DataFrame, batch: int) -> None:
+        # A batch that is repeated after a failure writes over what it has left.
+        folder = path if mode == "complete" else f"{path}/batch-{batch}"
+        rows.write.mode("overwrite").parquet(folder)
+        folders.add(folder)
+
+    writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*sorted(folders)) if folders else spark.createDataFrame([], stream.schema)
 
 
 def weekly_seconds(events: DataFrame) -> DataFrame:

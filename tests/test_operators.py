@@ -12,8 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quirelab.operators import documents, library, search, timeseries
-from quirelab.sources import exports, html
+from quirelab.operators import anchors, documents, library, records, search, timeseries
+from quirelab.sources import exports, html, papers
 from quirelab.streaming import streams
 
 
@@ -330,3 +330,73 @@ def test_written_tables_can_be_deleted(spark):
     assert [p.exists() for p in paths] == [False, True]
     session.cleanup(spark)
     assert not any(p.exists() for p in paths)
+
+
+def test_search_tokens_of_any_script(spark):
+    data = [(1, "Un café noir"), (2, "state-of-the-art methods"), (3, "cafe"), (4, "日本 語 test"), (5, None), (6, "the state art")]
+    df = spark.createDataFrame(data, "id int, t string")
+    ids = lambda q: sorted(r["id"] for r in search.match(df, "t", q).collect())
+    assert ids("café") == [1] and ids("CAFÉ noir") == [1] and ids("state-of-the-art") == [2] and ids("日本") == [4] and ids("!!!") == []
+
+
+def test_quotes_of_any_length_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gam", "de", "(x)", "“so", "it”", "—", "été", "a.b"]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(60, None), (61, ""), (7, "alpha beta")]
+    quotes = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for k in range(60)]
+    for k in range(40):
+        t = rng.choice(texts[:60])[1]
+        at = rng.randrange(max(1, len(t)))
+        quotes.append((100 + k, t[at : at + rng.choice([1, 5, 23, 24, 30, 80])]))
+    quotes += [(200, None), (201, "")]
+    found = documents.contained_quotes(spark.createDataFrame(quotes, "q int, quote string"), "q", "quote", spark.createDataFrame(texts, "id int, t string"), "id", "t")
+    wanted = {(i, q, t.index(quote) + 1) for i, t in texts if t for q, quote in quotes if quote and quote in t}
+    assert {tuple(r) for r in found.collect()} == wanted and len(wanted) > 100
+
+
+def test_time_to_live_slides(spark):
+    day = "2024-01-%02d 12:00:00"
+    data = [("a", day % 6, 1), ("a", "2024-01-06 14:00:00", 2), ("a", day % 12, 3), ("a", day % 13, 4), ("a", day % 14, 5), ("b", day % 13, 6), (None, day % 1, 7), (None, day % 2, 8), ("b", None, 9), ("b", day % 13, 6)]
+    df = spark.createDataFrame(data, "k string, ts string, id int")
+    kept = sorted(r["id"] for r in timeseries.ttl_deduplicated(df, ["k"], "ts", 7, "id").collect())
+    assert kept == [1, 4, 6, 7]
+    assert timeseries.ttl_deduplicated(df.limit(0), ["k"], "ts", 7).count() == 0
+
+
+def test_jats_with_an_external_document_type():
+    article = "<article><body><sec><title>T</title><p>Text here.</p></sec></body></article>"
+    external = '<!DOCTYPE article PUBLIC "-//NLM//DTD JATS 1.2//EN" "JATS-archivearticle1.dtd">'
+    assert papers.jats_body(external + article) == papers.jats_body(article) != []
+    assert papers.jats_body('<!DOCTYPE article [<!ENTITY x "y">]>' + article) == []
+
+
+def test_placeholders_against_a_walk(spark):
+    texts = ["plain", "a $x_1$ b `code` c [1, 2] d", "$$ open [x] [12]", "", "two\nlines $a\nb$ end", "`a``b`"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("e", anchors.with_placeholders(F.col("t")))
+    for r in df.withColumn("back", anchors.restored(F.col("e.text"), F.col("e.values"))).collect():
+        values = re.findall(r"(\$[^$]+\$|`[^`]+`|\[[0-9, ]+\])", r["t"])
+        out = r["t"]
+        for k, v in enumerate(values):
+            out = out.replace(v, f"⟦{k}⟧", 1)
+        assert (r["e"]["text"], r["e"]["values"], r["back"]) == (out, values, r["t"])
+
+
+def test_records_by_hand(spark):
+    notes = spark.createDataFrame([(1, "yellow", "hi", 5, "note"), (1, "blue", " ", None, "note"), (1, None, None, None, "x"), (None, "pink", "y", 1, "note")], "item int, colour string, comment string, block_id int, kind string")
+    counts = {r["item"]: r for r in records.annotation_counts(notes, "item").collect()}
+    assert (counts[1]["total"], counts[1]["yellow"], counts[1]["blue"], counts[1]["with_comment"], counts[1]["unplaced"]) == (3, 1, 1, 1, 2) and counts[None]["pink"] == 1
+    assert records.filtered_annotations(notes).count() == 4 and records.filtered_annotations(notes, has_comment=False).count() == 2
+    jobs = spark.createDataFrame([(1, "q", "queued", 3), (2, "q", "queued", 1), (3, "q", "running", 0), (4, "r", "queued", 9)], "job int, queue string, status string, since int")
+    assert {r["job"]: r["status"] for r in records.claimed(jobs, 1, "queue", "since").collect()} == {1: "queued", 2: "running", 3: "running", 4: "running"}
+    tries = spark.createDataFrame([(1, 1, "a", False, 5), (1, 2, "a", False, 6), (1, 3, "a", True, 7), (1, 4, "b", True, 8), (1, 5, "b", True, 9)], "r int, n int, provider string, ok boolean, tokens int")
+    assert sorted((r["attempt"], r["provider"], r["tokens"]) for r in records.attempt_usage(tries, "r", "n", 2).collect()) == [(1, "a", 5), (2, "a", 6), (3, "b", 8)]
+    nested = spark.createDataFrame([(1, '{"a":[{"asset_key":"k1"},{"b":{"asset_key":"k2"}}],"asset_key":"k1"}'), (2, None), (3, "{}")], "id int, j string")
+    assert [(r["id"], r["value"]) for r in records.json_strings(nested, "id", "j", "asset_key").collect()] == [(1, "k1"), (1, "k2")]
+
+
+def test_repeated_batches_write_once(spark, sf):
+    from quirelab.streaming import streams
+
+    found = streams.run_once(streams.read_events(spark, sf), "repeat")
+    again = streams.run_once(streams.read_events(spark, sf), "repeat")
+    assert found.count() == again.count() == spark.read.parquet(f"{sf}/events.parquet").count()
