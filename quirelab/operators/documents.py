@@ -39,6 +39,12 @@ def without_markdown(text: Column) -> Column:
     return collapsed(text)
 
 
+def block_text(kind: Column, number: Column, title: Column, body: Column, caption: Column) -> Column:
+    """Plain text of a block for search: headings by number and title, figures and tables by caption, others by body."""
+    found = F.when(kind == "heading", F.concat_ws(" ", number, title)).when(kind.isin("figure", "table"), caption).otherwise(body)
+    return collapsed(F.coalesce(found, F.lit("")))
+
+
 def paragraph_ordinals(blocks: DataFrame) -> DataFrame:
     """ordinal: 1, 2, 3 … over the paragraphs of a section, null for other blocks."""
     w = Window.partitionBy("doc_id", "section").orderBy("position")

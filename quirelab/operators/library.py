@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,17 @@ def sort_columns(key: str, descending: bool, id_col: str) -> list[Column]:
     return [F.col(key).desc_nulls_last(), F.col(id_col).desc()] if descending else [F.col(key).asc_nulls_last(), F.col(id_col).asc()]
 
 
+def sorted_heads(rows: DataFrame, keys: dict[str, Column], id_col: str, n: int) -> DataFrame:
+    """(sort, descending, place, id): the first n rows in each order. Each is a top-n of its own, so nothing is sorted whole."""
+    heads = []
+    for name, key in keys.items():
+        for descending in (False, True):
+            top = rows.select(key.alias("_k"), id_col).orderBy(*sort_columns("_k", descending, id_col)).limit(n)
+            place = F.row_number().over(Window.orderBy(*sort_columns("_k", descending, id_col)))
+            heads.append(top.select(F.lit(name).alias("sort"), F.lit(descending).alias("descending"), place.alias("place"), F.col(id_col)))
+    return reduce(DataFrame.unionAll, heads)
+
+
 def encode_cursor(key, row_id) -> str:
     return base64.urlsafe_b64encode(json.dumps([key, row_id], default=str).encode()).decode()
 

@@ -21,6 +21,12 @@ def normalised_query(raw: str) -> str:
     return found
 
 
+def normalised_queries(raw: Column) -> Column:
+    """normalised_query for a column; null where it would raise an error."""
+    found = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    return F.when(F.length(found).between(1, 200), found)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of any script, in order. Operators in a query are never interpreted."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)

@@ -17,6 +17,12 @@ STAGE_PROGRESS = {"fetching": 5, "parsing": 20, "structuring": 35, "abstract": 5
 READING_SECONDS, REACHED_END = 180, 0.90
 
 
+def stage_progress(stage: Column) -> Column:
+    """Per cent that a stage stands for, null for unknown ones."""
+    known = F.create_map(*[F.lit(x) for pair in STAGE_PROGRESS.items() for x in pair])
+    return F.try_element_at(known, stage)
+
+
 def weekly_hours(sessions: DataFrame, end: str, weeks: int = 12) -> DataFrame:
     """(week, hours): the weeks up to the one that holds `end`, oldest first, 0 where nothing was read; Mondays, UTC.
 

@@ -51,13 +51,13 @@ def search_facets(spark, sf):
 @query(
     f"""WITH h AS (SELECT source AS grp, doc_id AS id, {TOKENS} AS tokens FROM documents), m AS (SELECT grp, id, CAST(len(list_filter(tokens, lambda x: x = 'from')) AS BIGINT) AS score FROM h WHERE list_contains(tokens, 'from')),
  g AS (SELECT grp, max(score) AS best, max(id) AS latest, count(*) AS n FROM m GROUP BY grp), r AS (SELECT m.*, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id DESC) AS k FROM m)
- SELECT r.grp, r.id, r.score, g.best, g.n FROM r JOIN g USING (grp) WHERE k <= 5"""
+ SELECT r.grp, r.id, r.score, g.best, g.latest, g.n FROM r JOIN g USING (grp) WHERE k <= 5"""
 )
 def group_and_sort(spark, sf):
     hits = ops.match(table(spark, sf, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text"), "text", "from")
     w = Window.partitionBy("grp")
-    ranked = hits.withColumns({"best": F.max("score").over(w), "n": F.count(F.lit(1)).over(w)})
-    return best_per_key(ranked, ["grp"], [F.desc("score"), F.desc("id")], 5).select("grp", "id", "score", "best", "n")
+    ranked = hits.withColumns({"best": F.max("score").over(w), "latest": F.max("id").over(w), "n": F.count(F.lit(1)).over(w)})
+    return best_per_key(ranked, ["grp"], [F.desc("score"), F.desc("id")], 5).select("grp", "id", "score", "best", "latest", "n")
 
 
 @query(
@@ -79,11 +79,11 @@ def asof_user_message(spark, sf):
 
 @query(
     f"""WITH p AS (SELECT conv_id, turn, text, coalesce(CASE WHEN role = 'assistant' THEN last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, turn) AS pair_turn FROM conversations WHERE role <> 'system'),
- t AS (SELECT conv_id, turn, pair_turn, {TOKENS} AS tokens FROM p) SELECT conv_id, pair_turn, min(turn) AS first_turn, CAST(sum(len(list_filter(tokens, lambda x: x = 'that'))) AS BIGINT) AS score FROM t WHERE list_contains(tokens, 'that') GROUP BY conv_id, pair_turn"""
+ t AS (SELECT conv_id, turn, pair_turn, {TOKENS} AS tokens FROM p) SELECT conv_id, pair_turn, min(turn) AS first_turn, max(turn) AS last_turn, CAST(sum(len(list_filter(tokens, lambda x: x = 'that'))) AS BIGINT) AS score FROM t WHERE list_contains(tokens, 'that') GROUP BY conv_id, pair_turn"""
 )
 def chat_pair_hits(spark, sf):
     pairs = ops.paired_messages(table(spark, sf, "conversations").where("role <> 'system'"))
-    return ops.match(pairs, "text", "that").groupBy("conv_id", "pair_turn").agg(F.min("turn").alias("first_turn"), F.sum("score").alias("score"))
+    return ops.match(pairs, "text", "that").groupBy("conv_id", "pair_turn").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum("score").alias("score"))
 
 
 @query("WITH w AS (SELECT *, lead(role) OVER v AS next_role, lead(turn) OVER v AS next_turn FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn AS question, next_turn AS answer FROM w WHERE role = 'user' AND next_role = 'assistant'")

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Columns of the library's CSV, in order. Fixed values.
+CSV_COLUMNS = ("title", "authors", "year", "venue", "arxiv_id", "doi", "status", "priority", "deadline", "tags", "quality", "added_at", "finished_at", "reading_hours", "comprehension", "importance")
+
+
+def library_csv(items: DataFrame) -> DataFrame:
+    """CSV_COLUMNS as strings; a column that items lacks is empty, reading_hours come from `seconds`."""
+    hours = items.withColumn("reading_hours", (F.coalesce("seconds", F.lit(0)) / 3600).cast("double"))
+    return csv_rows(hours.select(*(F.col(c) if c in hours.columns else F.lit(None).cast("string").alias(c) for c in CSV_COLUMNS)))
+
+
 def csv_rows(items: DataFrame) -> DataFrame:
     """Export columns as strings: lists joined by "; ", hours with two decimals, nulls empty."""
     out = []
