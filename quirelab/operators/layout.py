@@ -34,6 +34,40 @@ def reading_order(lines: DataFrame, middle: float = 300) -> DataFrame:
     return ordered.withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "column", "y", "x", "position")))
 
 
+def column_order(lines: DataFrame) -> DataFrame:
+    """order: places of lines (doc_id, page, position, x0, x1, y0, y1, width). A page has two columns where 85 % of its lines do
+    not cross the middle band (12 % of the width on either side) and 16 points or more lie between those left and right of it;
+    else it is read by y, then x. Of two columns the left comes first; lines that cross, or stand in the band, come before both
+    if they end above them, and after both otherwise."""
+    page = Window.partitionBy("doc_id", "page")
+    half, centre = F.col("width") / 2, (F.col("x0") + F.col("x1")) / 2
+    low, high = F.col("width") * 0.38, F.col("width") * 0.62
+    crosses = (F.col("x0") < low) & (F.col("x1") > high)
+    banded = lines.withColumns({"_crosses": crosses, "_between": crosses | centre.between(low, high), "_right": centre >= half})
+    side = lambda right, value: F.when(~F.col("_between") & (F.col("_right") == right), value)
+    gutter = F.min(side(True, F.col("x0"))).over(page) - F.max(side(False, F.col("x1"))).over(page)
+    two = (F.avg((~F.col("_crosses")).cast("double")).over(page) >= 0.85) & (gutter >= 16)
+    top = F.min(F.when(~F.col("_between"), F.col("y0"))).over(page)
+    known = banded.withColumns({"_two": F.coalesce(two, F.lit(False)), "_top": top})
+    part = F.when(~F.col("_two"), 0).when(F.col("_between"), F.when(F.col("y1") <= F.col("_top") + 1e-6, 0).otherwise(3)).when(F.col("_right"), 2).otherwise(1)
+    y = F.when(F.col("_two"), F.col("y0")).otherwise(F.round("y0", 1))
+    placed = known.withColumns({"_part": part, "_y": y}).withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "_part", "_y", "x0", "position")))
+    return placed.select(*lines.columns, F.col("_two").alias("two_columns"), "order")
+
+
+def running_lines(lines: DataFrame, text: Column) -> DataFrame:
+    """lines (doc_id, page, y0, y1, height …) with `running`: page numbers, and texts that stand on 60 % of the document's pages
+    or more with digits taken as equal, in the upper 56 or lower 48 points of a page."""
+    band = (F.col("y1") <= 56) | (F.col("y0") >= F.col("height") - 48)
+    same = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"\p{Nd}", "#")
+    number = F.trim(text).rlike(r"^[0-9]{1,4}$")
+    marked = lines.withColumns({"_same": F.when(band & ~number, F.nullif(same, F.lit(""))), "_number": band & number})
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("_all"))
+    often = marked.where("_same IS NOT NULL").groupBy("doc_id", "_same").agg(F.countDistinct("page").alias("_n")).join(pages, "doc_id").where("_n * 10 >= _all * 6")
+    found = marked.join(often.select("doc_id", "_same", F.lit(True).alias("_often")), ["doc_id", "_same"], "left")
+    return found.withColumn("running", F.coalesce(F.col("_number") | F.col("_often"), F.col("_number"), F.col("_often"), F.lit(False))).select(*lines.columns, "running")
+
+
 def is_heading(text: Column, size: Column, body: Column, bold: Column) -> Column:
     plain = F.lower(F.trim(F.regexp_replace(text, r"^[0-9.\s]+", "")))
     numbered = text.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+\S")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -115,6 +116,10 @@ def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) ->
         return "".join(c for c in t.lower() if c.isalnum())
 
     def alike(head: str, page: str) -> bool:
+        # A match of that many characters holds the beginning's middle; a ratio cannot exceed what the lengths allow.
+        least = math.ceil(wanted * len(head) - 1e-9)
+        if head[len(head) - least : least] not in page and 2 * min(len(head), len(page)) < wanted * (len(head) + len(page)) - 1e-9:
+            return False
         m = SequenceMatcher(None, head, page)
         return max(m.find_longest_match(0, len(head), 0, len(page)).size / len(head), m.ratio()) >= wanted
 

@@ -160,3 +160,37 @@ def library_csv(spark, sf):
         ((i % 1000) * 36).alias("seconds"), (i % 5).alias("comprehension"),
     )
     return exports.library_csv(rows)
+
+
+_BOXES = f"""{BLOCKS}, boxes AS (SELECT doc_id, position, CAST(position // 12 AS INTEGER) AS page, CASE WHEN position % 12 = 0 OR position % 36 > 30 THEN 60.0 WHEN position % 12 < 7 THEN 50.0 ELSE 310.0 END AS x0, CASE WHEN position % 12 = 0 OR position % 36 > 30 THEN 540.0 WHEN position % 12 < 7 THEN 290.0 ELSE 550.0 END AS x1,
+ CASE WHEN position % 12 = 0 THEN 40.0 ELSE 60.0 + (position % 12 % 6) * 14 END AS y0, text FROM blocks)"""
+
+
+def _boxes(spark, sf):
+    """Blocks as lines of two columns with one line over both; every third page has lines across the middle."""
+    p = F.col("position")
+    across, left = (p % 12 == 0) | (p % 36 > 30), p % 12 < 7
+    y0 = F.when(p % 12 == 0, 40.0).otherwise(60.0 + (p % 12 % 6) * 14)
+    found = blocks(spark, sf).select("doc_id", "position", F.floor(p / 12).cast("int").alias("page"), F.when(across, 60.0).when(left, 50.0).otherwise(310.0).alias("x0"), F.when(across, 540.0).when(left, 290.0).otherwise(550.0).alias("x1"), y0.alias("y0"), "text")
+    return found.withColumns({"y1": F.col("y0") + 12, "width": F.lit(600.0), "height": F.lit(800.0)})
+
+
+@query(
+    f"""WITH {_BOXES}, c AS (SELECT *, x0 < 228 AND x1 > 372 AS crossing, (x0 + x1) / 2 >= 300 AS r FROM boxes), w AS (SELECT *, avg(CASE WHEN crossing THEN 0.0 ELSE 1.0 END) OVER p AS share, min(CASE WHEN NOT crossing AND r THEN x0 END) OVER p - max(CASE WHEN NOT crossing AND NOT r THEN x1 END) OVER p AS gutter, min(CASE WHEN NOT crossing THEN y0 END) OVER p AS top FROM c WINDOW p AS (PARTITION BY doc_id, page)),
+ t AS (SELECT *, coalesce(share >= 0.85 AND gutter >= 16, false) AS two FROM w), o AS (SELECT *, CASE WHEN NOT two THEN 0 WHEN crossing THEN CASE WHEN y0 + 12 <= top THEN 0 ELSE 3 END WHEN r THEN 2 ELSE 1 END AS part FROM t)
+ SELECT doc_id, position, two AS two_columns, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, part, y0, x0, position) AS INTEGER) AS "order" FROM o"""
+)
+def column_order(spark, sf):
+    return layout.column_order(_boxes(spark, sf)).select("doc_id", "position", "two_columns", "order")
+
+
+@query(
+    f"""WITH {_BOXES}, l AS (SELECT doc_id, position, page, y0, CASE WHEN position % 12 = 0 THEN 'Page  ' || page || ' of a journal' WHEN position % 12 = 5 THEN CAST(page AS VARCHAR) ELSE text END AS t FROM boxes), b AS (SELECT *, y0 = 40 OR position % 12 = 5 AS band FROM l), s AS (SELECT *, CASE WHEN band AND NOT regexp_matches(trim(t), '^[0-9]{{1,4}}$') THEN regexp_replace(trim(regexp_replace(t, '[ \t\n]+', ' ', 'g')), '[0-9]', '#', 'g') END AS same FROM b),
+ n AS (SELECT doc_id, same, count(DISTINCT page) AS n FROM s WHERE same <> '' GROUP BY doc_id, same), a AS (SELECT doc_id, count(DISTINCT page) AS a FROM s GROUP BY doc_id) SELECT s.doc_id, position, coalesce(band AND regexp_matches(trim(t), '^[0-9]{{1,4}}$') OR n.n * 10 >= a.a * 6, false) AS running FROM s JOIN a USING (doc_id) LEFT JOIN n ON n.doc_id = s.doc_id AND n.same = s.same"""
+)
+def running_lines(spark, sf):
+    """Lines with a running title above and a page number below."""
+    p, page = F.col("position"), F.col("page").cast("string")
+    text = F.when(p % 12 == 0, F.concat(F.lit("Page  "), page, F.lit(" of a journal"))).when(p % 12 == 5, page).otherwise(F.col("text"))
+    given = _boxes(spark, sf).withColumns({"text": text, "y0": F.when(p % 12 == 5, 770.0).otherwise(F.col("y0"))}).withColumn("y1", F.col("y0") + 12)
+    return layout.running_lines(given, F.col("text")).select("doc_id", "position", "running")

@@ -400,3 +400,19 @@ def test_repeated_batches_write_once(spark, sf):
     found = streams.run_once(streams.read_events(spark, sf), "repeat")
     again = streams.run_once(streams.read_events(spark, sf), "repeat")
     assert found.count() == again.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_running_lines_and_column_order(spark):
+    from quirelab.operators import layout
+
+    schema = "doc_id int, position int, page int, x0 double, x1 double, y0 double, y1 double, width double, height double, text string"
+    line = lambda position, page, x0, x1, y0, text: (1, position, page, x0, x1, y0, y0 + 10, 600.0, 800.0, text)
+    data = [line(0, 0, 50.0, 550.0, 20.0, "Journal 1"), line(10, 1, 50.0, 200.0, 20.0, "Journal 2"), line(11, 1, 290.0, 310.0, 770.0, " 12 "), line(12, 1, 50.0, 200.0, 400.0, "Journal 3"), line(13, 1, 50.0, 200.0, 30.0, None)]
+    data += [line(k, 0, 50.0 if k % 2 else 320.0, 280.0 if k % 2 else 550.0, 30.0 + 12 * k, f"t{k}") for k in range(1, 8)]
+    df = spark.createDataFrame(data, schema)
+    assert {r["position"] for r in layout.running_lines(df, df["text"]).where("running").collect()} == {0, 10, 11}
+    found = layout.column_order(df.where("page = 0")).orderBy("order").collect()
+    assert [r["position"] for r in found] == [0, 1, 3, 5, 7, 2, 4, 6] and found[0]["two_columns"]
+    # One column: by y, whatever the side.
+    assert [r["position"] for r in layout.column_order(df.where("page = 1")).orderBy("order").collect()] == [10, 13, 12, 11]
+    assert layout.running_lines(df.limit(0), df["text"]).count() == layout.column_order(df.limit(0)).count() == 0
