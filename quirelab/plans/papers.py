@@ -63,3 +63,32 @@ def deep_merge(spark, sf):
     own = F.map_filter(F.create_map(F.lit("theme"), F.when(F.col("user_id") % 2 == 0, "dark"), F.lit("lang"), F.when(F.col("user_id") % 3 == 0, "ja")), lambda _, v: v.isNotNull())
     merged = ops.filled(own, F.create_map(F.lit("theme"), F.lit("light"), F.lit("lang"), F.lit("en")))
     return users.select("user_id", merged["theme"].alias("theme"), merged["lang"].alias("lang"))
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9,.;:]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {_PLAIN} AS t FROM documents), b AS (SELECT doc_id, unnest([{{'position': 0, 'section': 's1', 'kind': 'heading', 'text': 'Paper ' || doc_id}}, {{'position': 1, 'section': 's1', 'kind': 'paragraph', 'text': 'x ' || t}}, {{'position': 2, 'section': 's1/s1', 'kind': 'paragraph', 'text': 'Inner part'}}, {{'position': 3, 'section': 'back', 'kind': 'reference_entry', 'text': 'Ref ' || doc_id}}]) AS b FROM d) SELECT doc_id, b.position, b.section, b.kind, b.text FROM b WHERE b.text IS NOT NULL"
+)
+def jats_blocks(spark, sf):
+    i, plain = F.col("doc_id").cast("string"), F.regexp_replace("text", "[^A-Za-z0-9,.;:]", " ")
+    xml = F.concat(F.lit("<article><body><sec><title>Paper "), i, F.lit("</title><p>x "), plain, F.lit("</p><sec><p>Inner <b>part</b></p></sec></sec></body><back><ref-list><ref>Ref "), i, F.lit("</ref></ref-list></back></article>"))
+    return ops.bodies(table(spark, sf, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml", "jats")
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {_PLAIN} AS t FROM documents), b AS (SELECT doc_id, unnest([{{'position': 0, 'section': 's1', 'kind': 'heading', 'text': 'Paper ' || doc_id}}, {{'position': 1, 'section': 's1', 'kind': 'paragraph', 'text': 'x ' || t}}, {{'position': 2, 'section': 's1', 'kind': 'equation', 'text': 'a = b'}}, {{'position': 3, 'section': 's1/s1', 'kind': 'heading', 'text': 'our method'}}, {{'position': 4, 'section': 's1/s1', 'kind': 'list', 'text': 'one two'}}]) AS b FROM d) SELECT doc_id, b.position, b.section, b.kind, b.text FROM b WHERE b.text IS NOT NULL"
+)
+def latex_blocks(spark, sf):
+    i, plain = F.col("doc_id").cast("string"), F.regexp_replace("text", "[^A-Za-z0-9,.;:]", " ")
+    tex = F.concat(F.lit("\\newcommand{\\us}{our method}\n\\begin{document}\\section{Paper "), i, F.lit("}\nx "), plain, F.lit(" % no\n\\begin{equation}a = b\\end{equation}\n\\subsection{\\us}\\begin{itemize}\\item one \\item two\\end{itemize}\\end{document}"))
+    return ops.bodies(table(spark, sf, "documents").select("doc_id", tex.alias("tex")), "doc_id", "tex", "latex")
+
+
+@query("SELECT doc_id, '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv_id, 'On ' || source AS title, 'A ' || lang || ', B C' AS authors, DATE '2024-01-31' AS published FROM documents")
+def atom_entries(spark, sf):
+    m = ops.atom_metadata(F.col("xml"))
+    xml = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.'), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v2</id><title> On\n  "), F.col("source"), F.lit("</title><author><name>A "), F.col("lang"), F.lit("</name></author><author><name>B C</name></author><published>2024-01-31T00:00:00Z</published></entry></feed>"))
+    d = table(spark, sf, "documents").select("doc_id", xml.alias("xml"))
+    return d.select("doc_id", m["arxiv_id"].alias("arxiv_id"), m["title"].alias("title"), F.array_join(m["authors"], ", ").alias("authors"), m["published"].alias("published"))

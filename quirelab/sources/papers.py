@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelab.session import ship
+
 #: Bounds of what an archive may hold: members, bytes unpacked, bytes unpacked for each packed one.
 MEMBERS, UNPACKED, RATIO = 2_000, 200 << 20, 200
 #: Files of code that are read, and folders that are not.
@@ -137,6 +139,35 @@ def main_tex(files: dict[str, str]) -> str | None:
     return min(roots, key=lambda n: (-len(re.findall(r"\\(?:input|include)\b", files[n])), n.count("/"), n), default=None)
 
 
+def whole_tex(files: dict[str, str]) -> str | None:
+    """The main file with the files that it includes in their places, names without .tex too; a file that is missing, or would
+    include itself, is left out."""
+
+    def of(name: str, above: tuple[str, ...]) -> str:
+        def put(m: re.Match) -> str:
+            found = next((n for n in (m[1].strip(), m[1].strip() + ".tex") if n in files and n not in above), None)
+            return of(found, (*above, found)) if found else ""
+
+        text = re.sub(r"(?<!\\)%.*", "", files[name])
+        return re.sub(r"\\(?:input|include)\s*\{([^}]*)\}", put, text)
+
+    main = main_tex(files)
+    return None if main is None else of(main, (main,))
+
+
+def bodies(rows: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """(id, position, section, kind, text) of the blocks of each whole text, which is JATS or LaTeX by `kind`; a null text, or
+    one that cannot be parsed, has none. A text is parsed alone, in batches of a task."""
+    ship(rows.sparkSession)
+    parse = {"jats": jats_body, "latex": latex_body}[kind]
+
+    @F.pandas_udf("array<struct<position: int, section: string, kind: string, text: string>>")
+    def blocks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("position", "section", "kind", "text"), b)) for b in parse(t)])
+
+    return rows.select(F.col(id_col).alias("id"), F.explode(blocks(text_col)).alias("b")).select(F.col("id").alias(id_col), "b.*")
+
+
 def unpacked(name: str, data: bytes) -> list[tuple[str, bytes, str]]:
     """(path, content, problem) of an archive's files: tar (also gzip, bzip2, xz) or zip. Paths that lead outside are refused, and
     reading ends where a bound is passed; a problem is told in a row without content."""

@@ -416,3 +416,14 @@ def test_running_lines_and_column_order(spark):
     # One column: by y, whatever the side.
     assert [r["position"] for r in layout.column_order(df.where("page = 1")).orderBy("order").collect()] == [10, 13, 12, 11]
     assert layout.running_lines(df.limit(0), df["text"]).count() == layout.column_order(df.limit(0)).count() == 0
+
+
+def test_included_tex_and_bodies(spark):
+    from quirelab.sources import papers
+
+    files = {"main.tex": "\\documentclass{a}\\begin{document}\\input{one}\\include{two.tex}\\input{none}% \\input{one}\n\\end{document}", "one.tex": "First \\input{main} \\input{two}", "two.tex": "second"}
+    assert papers.whole_tex(files) == "\\documentclass{a}\\begin{document}First  secondsecond\n\\end{document}"
+    assert papers.whole_tex({"a.tex": "no"}) is None
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "<article"), (4, "<article><body><p>x</p></body></article>")], "id int, t string")
+    assert [tuple(r) for r in papers.bodies(df, "id", "t", "jats").collect()] == [(4, 0, "", "paragraph", "x")]
+    assert papers.bodies(df.limit(0), "id", "t", "latex").count() == 0
