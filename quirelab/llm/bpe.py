@@ -88,7 +88,7 @@ class Vocabulary:
         self.tokens = list(range(size))
         #: 1 where merging a token's own bytes gives the token, 0 where not, -1 where nobody has asked.
         self.whole = np.full(size, -1, np.int8)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str | bytes, tuple[int, ...]] = {}
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) << 20 | b
@@ -197,20 +197,23 @@ class Vocabulary:
         failed[word[1:][inner][~self.compatible(pairs >> 20, pairs & 0xFFFFF)[which]]] = True
         return [self.exact(w) if bad else tuple(ids) for w, ids, bad in zip(words, proposed, failed.tolist())]
 
-    def _keys(self, text: str) -> list[str]:
+    def _keys(self, text: str) -> list[str | bytes]:
         """What the word table is asked for: a word after a space by itself, "\\n" + a word after a line feed, "\\0" + a
-        word that stands first, "\\1" + a piece of a text that needs the pattern as a whole."""
+        word that stands first (texts with U+0000 take no such key), and as bytes, which equal no string, a piece of a text
+        that needs the pattern as a whole."""
         if _RARE.search(text):
             pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
-            return ["\1" + text[a:b] for _, (a, b) in pieces]
+            return [text[a:b].encode("utf-8", "replace") for _, (a, b) in pieces]
         if _OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return ["\1" + p for p in _PIECES.findall(text)]
+            return [p.encode() for p in _PIECES.findall(text)]
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = "\0" + keys[0]
         return keys
 
     @staticmethod
-    def _pieces(key: str) -> list[bytes]:
+    def _pieces(key: str | bytes) -> list[bytes]:
+        if isinstance(key, bytes):
+            return [key]
         first = key[0]
         if first > "\n":
             if key.isalpha():
@@ -218,8 +221,6 @@ class Vocabulary:
             if key[-1] in ".," and key[:-1].isalpha():
                 return [b" " + key[:-1].encode(), key[-1:].encode()]
             return [p.encode() for p in _PIECES.findall(" " + key)]
-        if first == "\1":
-            return [key[1:].encode("utf-8", "replace")]
         found = [p.encode() for p in _PIECES.findall(key[1:] if first in "\0\n" else " " + key)]
         return [b"\n", *found] if first == "\n" else found
 
@@ -244,7 +245,7 @@ class Vocabulary:
             missing = {k: tuple(chain.from_iterable(tokens[p] for p in ps)) for k, ps in pieces.items()}
             if len(known) < KEPT:
                 known.update((k, v) for k, v in missing.items() if len(k) < 64)
-        look = lambda k: known.get(k) or missing[k]
+        look = lambda k: known[k] if k in known else missing[k]
         return [list(chain.from_iterable((self.specials[p],) if isinstance(p, str) else chain.from_iterable(map(look, p)) for p in parts)) for parts in asked]
 
     def decode(self, ids: list[int | None] | None) -> str:

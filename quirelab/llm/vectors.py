@@ -131,8 +131,9 @@ def _tile(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
     n = vectors.shape[1]
     limit = 2 - 2 * cosine
     q, blocks = rotation(n)
-    unit = _unit(vectors)
-    rotated = unit @ q
+    rotated = _unit(vectors) @ q
+    # Powers of two leave the digits as they are and keep the squares within range.
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
     links = np.zeros(len(nodes), np.int64)
     group = np.arange(len(nodes))
@@ -168,7 +169,8 @@ def _tile(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         for k in range(b):
             keep[keep] = share(k, px[keep], py[keep]) > budget(k)
         px, py = px[keep], py[keep]
-        exact = np.einsum("ij,ij->i", vectors[px], vectors[py]) / (np.sqrt(np.einsum("ij,ij->i", vectors[px], vectors[px])) * np.sqrt(np.einsum("ij,ij->i", vectors[py], vectors[py])))
+        x, y = scaled[px], scaled[py]
+        exact = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
         linked = exact >= cosine
         px, py = px[linked], py[linked]
         np.add.at(links, px, copies[py])

@@ -213,6 +213,18 @@ def test_bpe_against_the_library(spark, odd, empty):
     assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
 
 
+def test_bpe_of_control_characters(spark):
+    v = bpe.vocabulary(bpe.default_path())
+    rng = random.Random(23)
+    odd = [*map(chr, range(0x20)), *map(chr, range(0x7F, 0xA1)), *"ab c,.' \n", "<|endoftext|>", " the", " é", "日"]
+    texts = ["x \x01 y", "hello \x01world", "\x01", "\x01 \x01"] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    assert v.encode(texts) == [e.ids for e in v.library.encode_batch(texts, add_special_tokens=False)]
+    twice = spark.createDataFrame([(1, "x \x01 y"), (2, "x \x01 y"), (3, "hello \x01world")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["decoded"] for r in bpe.encode(twice, with_decoded=True).collect()} == {1: "x \x01 y", 2: "x \x01 y", 3: "hello \x01world"}
+    encoder = token_files.word_encoder(token_files.default_path())
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_proposals_are_verified_exactly():
     v = bpe.vocabulary(bpe.default_path())
     rng = random.Random(4)
@@ -745,6 +757,13 @@ def test_vectors_against_all_pairs(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in again) == [(5, 1, 5), (5, 1, 5), (6, 0, 6)]
 
 
+def test_vectors_of_any_magnitude(spark):
+    base = np.array([[1.0, 2, 3, 4, 5, 6, 7, 8], [1.0, 2, 3, 4, 5, 6, 7, 9]])
+    data = [(2 * k + i, (v * scale).tolist(), k) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e300)) for i, v in enumerate(base)]
+    found = vectors.near_copies(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    assert [r["n_links"] for r in found] == [1] * 8
+
+
 # pipeline
 
 
@@ -753,7 +772,7 @@ def test_pipeline_stages(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     # Nulls in every column, empty texts, repeated rows and ids, and columns by names that stages use inside.
-    extra = spark.createDataFrame([(None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", None, 0), (None, "Of the and that it was in on.", None, None, None), (7, "Of the and that it was in on.", "en", "s", 1), (7, "Of the and that it was in on.", "en", "s", 1), (8, "1234 !!", "en", "s", 1)], docs.schema)
+    extra = spark.createDataFrame([(None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", None, 0), (None, "Of the and that it was in on.", None, None, None), (7, "Of the and that it was in on.", "en", "s", 1), (7, "Of the and that it was in on.", "en", "s", 1), (8, "1234 !!", "en", "s", 1), (9, "Of the \x01 and that it was", "en", "s", 1), (10, "The \x01 on the in of a \x01 it", "en", "s", 1)], docs.schema)
     docs = clashing(docs.unionByName(extra))
     kept = docs
     for name, stage in p.STAGES[:-1]:
