@@ -80,6 +80,32 @@ def op10_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_token_files, op3_bpe, op4_near_copies, op5_language_id, op6_lm_scoring, op7_decontamination, op8_toxicity, op9_extract_pages, op10_vector_copies)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import chat
 
-SQL: dict[str, str] = {}
+    return chat.digest(chat.format_conversations(table(spark, sf_dir, "conversations")), "conv_id")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelab.llm import prefix_trie
+
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (op1_licence_scan, op2_token_files, op3_bpe, op4_near_copies, op5_language_id, op6_lm_scoring, op7_decontamination, op8_toxicity, op9_extract_pages, op10_vector_copies, op11_chat_format, op12_source_divergence, op13_prefix_trie)
+QUERIES = {f.__name__: f for f in OPERATORS}
+
+
+def _sql() -> dict[str, str]:
+    from quirelab.llm import chat, divergence, prefix_trie
+
+    return {"op11_chat_format": chat.SQL, "op12_source_divergence": divergence.SQL, "op13_prefix_trie": prefix_trie.SQL}
+
+
+SQL: dict[str, str] = _sql()
