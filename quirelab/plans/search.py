@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quirelab.operators import neighbours
 from quirelab.operators import search as ops
 from quirelab.operators.library import best_per_key
 from quirelab.plans.model import BLOCKS, blocks
@@ -128,6 +129,13 @@ def cosine_topk(spark, sf):
     return ops.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
 
 
+@query()
+def ann_topk(spark, sf):
+    """Neighbours of the same query set by an index over all vectors. Tests hold it against the exact neighbours."""
+    e = table(spark, sf, "embeddings")
+    return neighbours.search(neighbours.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+
+
 @query(
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT b.vec_id, list_cosine_similarity(a.e, b.e) AS sim FROM v a, v b WHERE a.vec_id = 7 AND b.vec_id <> 7), r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id) AS k FROM s) SELECT vec_id, round(sim, 4) AS similarity FROM r WHERE k <= 10"""
 )
