@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelab.session import materialise
+
 #: Words that say nothing about a claim. Fixed values of this library's own.
 COMMON = ("the", "and", "for", "that", "with")
 RRF_K = 60
@@ -119,8 +121,13 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, t
 
 
 def ranked(rows: DataFrame, id_col: str, order: Sequence[Column]) -> DataFrame:
-    """(id, rank from 0) of a result list; its length is the page's, not the input's."""
-    return rows.select(F.col(id_col).alias("id"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
+    """(id, rank from 0) of a result list of any length: sorted by ranges, each range counted on from those before it."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("_at"))
+    dealt = materialise(dealt, "ranked").select("id", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row"))
+    counts = dealt.groupBy("_range").agg((F.max("_row") + 1).alias("_n"))
+    # A row for each range, so as many as there are shuffle partitions at most.
+    earlier = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    return dealt.join(F.broadcast(earlier), "_range").select("id", (F.col("_n") + F.col("_row")).alias("rank"))
 
 
 def fuse(lists: Sequence[DataFrame], weights: Sequence[float] | None = None, k: int = RRF_K) -> DataFrame:

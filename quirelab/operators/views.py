@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelab.operators.search import ranked
+
 #: Licence policies: whether figures may be embedded, a credit is needed, and the same licence must be given. Fixed values.
 LICENCES = (
     ("cc-by-4.0", "allow", True, False),
@@ -44,11 +46,11 @@ def annotation_order() -> list[Column]:
 
 
 def after_group(groups: DataFrame, order: list[Column], id_col: str, last_id, limit: int) -> DataFrame:
-    """The page of a ranked result list after an id; from the top where the id is not in the list. The list is a page's
-    candidates, already grouped."""
-    ranked = groups.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-    start = ranked.agg(F.coalesce(F.max(F.when(F.col(id_col) == last_id, F.col("_rank"))), F.lit(0)).alias("_start"))
-    return ranked.join(F.broadcast(start), F.col("_rank") > F.col("_start")).where(F.col("_rank") <= F.col("_start") + limit).drop("_rank", "_start")
+    """The page of a ranked result list of any length after an id; from the top where the id is not in the list."""
+    places = ranked(groups, id_col, order)
+    start = places.agg(F.coalesce(F.max(F.when(F.col("id") == last_id, F.col("rank") + 1)), F.lit(0)).alias("_start"))
+    page = places.join(F.broadcast(start), (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + limit))
+    return groups.join(F.broadcast(page.select(F.col("id").alias(id_col))), id_col)
 
 
 def matched_in(source: Column, translation: Column) -> tuple[Column, Column]:

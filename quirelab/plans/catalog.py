@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelab.plans import documents, exports, layout, library, papers, pieces, records, search, streams, texts, timeseries, views  # noqa: F401  they register
+from quirelab.plans import documents, exports, indexes, layout, library, papers, pieces, records, search, streams, texts, timeseries, views  # noqa: F401  they register
 from quirelab.plans.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "search_documents"

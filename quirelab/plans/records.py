@@ -139,10 +139,15 @@ def composed_search(spark, sf):
     """Search over all six streams, grouped by item and fused with the nearest vectors: the first page."""
     from quirelab.operators import search
 
+    return search.searched(hit_streams(spark, sf), "from that", near_first(spark, sf)).limit(20)
+
+
+def hit_streams(spark, sf):
+    """The six streams of things that can be found: kind, item, id, text."""
     d, c, b = (table(spark, sf, n) for n in ("documents", "conversations", "benchmark"))
     hit = lambda rows, kind, item, i, text: rows.select(F.lit(kind).alias("kind"), item.alias("item"), i.alias("id"), F.col(text).alias("text"))
     doc, turn = F.col("doc_id"), F.col("conv_id") * 100 + F.col("turn")
-    streams = [
+    return [
         hit(d, "source", doc, doc, "text"),
         hit(d.where("doc_id % 2 = 1"), "translation", doc - 1, doc, "text"),
         hit(c.where("role <> 'user'"), "chat", F.col("conv_id"), turn, "text"),
@@ -150,6 +155,12 @@ def composed_search(spark, sf):
         hit(b, "note", F.col("item_id"), F.col("item_id"), "text"),
         hit(d, "annotation", doc, doc, "source"),
     ]
+
+
+def near_first(spark, sf):
+    """The fifty items that are nearest to item 0: item, rank from 0."""
+    from quirelab.operators import search
+
     e = table(spark, sf, "embeddings")
     near = search.nearest(e.where("vec_id = 0"), e, "vec_id", "embedding", 50).select(F.col("vec_id").alias("item"), F.col("rank").alias("_r"))
-    return search.searched(streams, "from that", near.withColumn("rank", F.col("_r") - 1)).limit(20)
+    return near.select("item", (F.col("_r") - 1).alias("rank"))
