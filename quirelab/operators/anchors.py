@@ -38,8 +38,9 @@ def in_scope(blocks: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def with_placeholders(text: Column) -> Column:
-    """struct(text, values): inline math, code and citations become ⟦0⟧, ⟦1⟧ …, and their texts are listed."""
-    pattern = r"(\$[^$]+\$|`[^`]+`|\[[0-9, ]+\])"
+    """struct(text, values): inline math, code and citations become ⟦0⟧, ⟦1⟧ …, and their texts are listed. So does what looks
+    like such a mark in the text itself, so that every mark of the result is one of these."""
+    pattern = r"(\$[^$]+\$|`[^`]+`|\[[0-9, ]+\]|⟦[0-9]+⟧)"
     values = F.regexp_extract_all(text, F.lit(pattern), 1)
     # Split at the pattern; between the parts stand the placeholders in order.
     parts = F.split(text, pattern)
@@ -48,8 +49,10 @@ def with_placeholders(text: Column) -> Column:
 
 
 def restored(text: Column, values: Column) -> Column:
-    """The text with its placeholders replaced by their values."""
-    return F.aggregate(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), text, lambda s, x: F.replace(s, F.concat(F.lit("⟦"), x["i"].cast("string"), F.lit("⟧")), x["v"]))
+    """The text with its placeholders replaced by their values, all at once; a mark without a value stays."""
+    marks = F.regexp_extract_all(text, F.lit("⟦([0-9]+)⟧"), 1)
+    value = lambda m: F.coalesce(F.get(values, m.try_cast("int")), F.concat(F.lit("⟦"), m, F.lit("⟧")))
+    return F.array_join(F.zip_with(F.split(text, "⟦[0-9]+⟧"), marks, lambda p, m: F.concat(p, F.when(m.isNull(), "").otherwise(value(m)))), "")
 
 
 def placeholders_intact(encoded: Column, translated: Column) -> Column:

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -299,14 +300,27 @@ def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, yea
 def greedy_batches(blocks: DataFrame) -> DataFrame:
     """batch: a new one at BATCH_BLOCKS blocks or where BATCH_TOKENS estimated tokens would be passed, in order of position.
 
-    A fold over each document's ordered array of sizes, so it stays in the JVM; an array holds a document's positions only."""
-    tokens = F.ceil(F.length("text") / 4 * 1.1).cast("int")
-    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", tokens.alias("tokens")))).alias("r"))
-    fold = """aggregate(r, named_struct('b', 0, 'n', 0, 't', 0, 'out', cast(array() as array<struct<position: int, batch: int>>)), (s, x) ->
-      CASE WHEN s.n > 0 AND (s.n >= {blocks} OR s.t + x.tokens > {tokens})
-      THEN named_struct('b', s.b + 1, 'n', 1, 't', x.tokens, 'out', array_append(s.out, named_struct('position', x.position, 'batch', s.b + 1)))
-      ELSE named_struct('b', s.b, 'n', s.n + 1, 't', s.t + x.tokens, 'out', array_append(s.out, named_struct('position', x.position, 'batch', s.b))) END).out"""
-    return rows.select("doc_id", F.explode(F.expr(fold.format(blocks=BATCH_BLOCKS, tokens=BATCH_TOKENS))).alias("x")).select("doc_id", "x.*")
+    One pass over each document's sizes in order, of which a task keeps the running batch only. Null texts count as empty;
+    blocks of equal position come in any order."""
+    ship(blocks.sparkSession)
+    tokens = F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4 * 1.1).cast("int")
+    rows = blocks.select("doc_id", "position", tokens.alias("tokens")).repartition("doc_id").sortWithinPartitions("doc_id", "position")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, position {rows.schema['position'].dataType.simpleString()}, batch int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, batch, n, total = object(), 0, 0, 0
+        for rows in batches:
+            out = []
+            for d, t in zip(rows.column("doc_id").to_pylist(), rows.column("tokens").to_pylist()):
+                if d != doc:
+                    doc, batch, n, total = d, 0, 0, 0
+                elif n >= BATCH_BLOCKS or total + t > BATCH_TOKENS:
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + t
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("position"), pa.array(out, pa.int32())], names=["doc_id", "position", "batch"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def budget_cut(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
@@ -323,13 +337,15 @@ def glossary(terms: DataFrame) -> DataFrame:
 
 def carry_over(pairs: DataFrame) -> DataFrame:
     """Of (doc_id, old, new), arrays of (position, text): which old block each new one continues, by equal text that stands
-    once on either side, by order between those, and by likeness of CARRY_OVER or more. An old block is given once."""
+    once on either side, by order between those, and by likeness of CARRY_OVER or more. An old block is given once. A null
+    array is an empty one, a null text the empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, old, new in zip(batch["doc_id"], batch["old"], batch["new"]):
-                out += [(doc, *x) for x in _continued([(r["position"], r["text"]) for r in old], [(r["position"], r["text"]) for r in new])]
+                both = ([(r["position"], r["text"] or "") for r in (side if side is not None else ())] for side in (old, new))
+                out += [(doc, *x) for x in _continued(*both)]
             yield pd.DataFrame(out, columns=["doc_id", "new_position", "old_position", "how"])
 
     return pairs.mapInPandas(run, "doc_id long, new_position int, old_position int, how string")

@@ -86,9 +86,11 @@ def own_copies(own: DataFrame, shared: DataFrame, user: str, entry: str, wanted:
 
 def claimed(jobs: DataFrame, workers: int, queue: str, order: str) -> DataFrame:
     """A step of claiming: of each queue's queued jobs the first `workers` become running, all others stay as they are."""
-    w = Window.partitionBy(queue, F.col("status") == "queued").orderBy(order, "job")
-    takes = (F.col("status") == "queued") & (F.row_number().over(w) <= workers)
-    return jobs.withColumns({"claimed": takes, "status": F.when(takes, "running").otherwise(F.col("status"))})
+    w = Window.partitionBy(queue).orderBy(order, "job")
+    # Each task keeps its own first `workers` of a queue before they meet, so that a long queue is sorted nowhere.
+    first = jobs.where("status = 'queued'").select("job", queue, order).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= workers)
+    taken = jobs.join(first.select("job", F.lit(True).alias("_taken")), "job", "left").withColumn("claimed", F.coalesce("_taken", F.lit(False)))
+    return taken.withColumn("status", F.when(F.col("claimed"), "running").otherwise(F.col("status"))).drop("_taken")
 
 
 def marked_read(notices: DataFrame, users: list, at: str) -> DataFrame:
@@ -106,9 +108,3 @@ def attempt_usage(attempts: DataFrame, request: str, order: str, per_provider: i
     made = tried.withColumn("_won", F.coalesce(F.max(F.col("ok").cast("int")).over(before), F.lit(0))).where("_won = 0")
     number = F.row_number().over(Window.partitionBy(request).orderBy(order)).cast("long")
     return made.select(request, number.alias("attempt"), "provider", "ok", "tokens")
-
-
-def json_strings(rows: DataFrame, id_col: str, json_col: str, key: str) -> DataFrame:
-    """(id, value): the different values of a key anywhere in a JSON text, nested or not, in order of their first place."""
-    found = F.array_distinct(F.regexp_extract_all(json_col, F.lit(r'"%s"\s*:\s*"((?:[^"\\]|\\.)*)"' % key), 1))
-    return rows.select(id_col, F.posexplode(found).alias("place", "value"))

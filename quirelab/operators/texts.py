@@ -110,7 +110,8 @@ def table_cells(tables: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) -> DataFrame:
     """Of (doc_id, blocks array<string>, pages array<string>), the page of each block: the first from the last found page on
-    that holds its beginning (ratio of the longest match, or of all, of `wanted` or more); pages only go forward."""
+    that holds its beginning (ratio of the longest match, or of all, of `wanted` or more); pages only go forward. Null arrays are empty ones, a null
+    text is the empty text, which stands on no page."""
 
     def normal(t: str) -> str:
         return "".join(c for c in t.lower() if c.isalnum())
@@ -127,9 +128,9 @@ def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) ->
     def found(blocks: pd.Series, pages: pd.Series) -> pd.Series:
         out = []
         for bs, ps in zip(blocks, pages):
-            ps, at, row = [normal(p) for p in ps], 0, []
-            for b in bs:
-                head, page = normal(b)[:prefix], None
+            ps, at, row = [normal(p or "") for p in (ps if ps is not None else ())], 0, []
+            for b in bs if bs is not None else ():
+                head, page = normal(b or "")[:prefix], None
                 for k in range(at, len(ps)) if head else ():
                     if head in ps[k] or alike(head, ps[k]):
                         page = at = k

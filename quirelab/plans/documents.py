@@ -150,9 +150,7 @@ def url_normalise(spark, sf):
 
 @query("WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.GitHub.com/o/r' WHEN 1 THEN 'https://youtu.be/x' WHEN 2 THEN 'https://m.youtube.com/live/1' WHEN 3 THEN 'https://a.org/b.PDF' ELSE url END AS u FROM pages) SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'github' WHEN 1 THEN 'youtube' WHEN 2 THEN 'youtube' WHEN 3 THEN 'slides' ELSE 'article' END AS kind FROM x")
 def url_kind(spark, sf):
-    made = F.element_at(F.array(*map(F.lit, ("https://www.GitHub.com/o/r", "https://youtu.be/x", "https://m.youtube.com/live/1", "https://a.org/b.PDF"))), (F.col("page_id") % 5 + 1).cast("int"))
     u = F.when(F.col("page_id") % 5 < 4, F.expr("try_element_at(array('https://www.GitHub.com/o/r', 'https://youtu.be/x', 'https://m.youtube.com/live/1', 'https://a.org/b.PDF'), cast(page_id % 5 + 1 as int))")).otherwise(F.col("url"))
-    del made
     return table(spark, sf, "pages").select("page_id", ops.url_kind(u).alias("kind"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quirelab.operators import anchors, documents, layout
+from quirelab.operators import anchors, documents, layout, threads
 from quirelab.plans.model import BLOCKS, blocks
 from quirelab.plans.registry import query
 from quirelab.session import table
@@ -85,10 +86,9 @@ def placeholders(spark, sf):
     return e.select("doc_id", F.col("e.text").alias("encoded"), F.size("e.values").alias("n"), (anchors.restored(F.col("e.text"), F.col("e.values")) == F.col("text")).alias("same"))
 
 
-@query(f"WITH {BLOCKS}, s AS (SELECT doc_id, position, CAST(2 * (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'that') THEN 1 ELSE 0 END) AS INTEGER) AS score FROM blocks WHERE length(text) >= 40 AND NOT regexp_matches(text, '[a-z0-9]_[a-z0-9]|[a-z][A-Z]')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS k FROM s WHERE score > 0) SELECT doc_id, position, score FROM r WHERE k <= 30")
+@query(rf"WITH {BLOCKS}, s AS (SELECT doc_id, position, CAST(2 * (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'that') THEN 1 ELSE 0 END) + len(list_distinct(regexp_extract_all(text, '\b([a-z]+(?:[A-Z][a-z0-9]+)+|[a-z0-9]+(?:_[a-z0-9]+)+)\b', 1))) AS INTEGER) AS score FROM blocks WHERE length(text) >= 40), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS k FROM s WHERE score > 0) SELECT doc_id, position, score FROM r WHERE k <= 30")
 def claim_scores(spark, sf):
-    plain = blocks(spark, sf).where(~F.col("text").rlike("[a-z0-9]_[a-z0-9]|[a-z][A-Z]"))
-    return anchors.claims(plain, ("the", "that"))
+    return anchors.claims(blocks(spark, sf), ("the", "that"))
 
 
 @query(
@@ -103,23 +103,37 @@ def promoted_sections(spark, sf):
 
 @query()
 def verified_quotes(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 3, 40).alias("quote"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 10, 200)).alias("text"))
-    return anchors.verified_quotes(q).select("id", "how")
+    """Whole items as quotes: from the item as it stands, with its end written anew, and from another item."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    other = b.select((F.col("id") - 1).alias("id"), F.col("text").alias("next"))
+    end = (F.length("text") * 0.1).cast("int")
+    quote = F.when(F.col("id") % 3 == 0, F.col("text")).when(F.col("id") % 3 == 1, F.concat(F.substring("text", F.lit(1), F.length("text") - end), F.repeat(F.lit("#"), end))).otherwise(F.col("next"))
+    return anchors.verified_quotes(b.join(other, "id", "left").withColumn("quote", quote)).select("id", "how")
 
 
-@query("WITH r AS (SELECT item_id AS ref_id, 'ARXIV.' || (item_id % 30) || 'v' || (item_id % 3 + 1) AS a FROM benchmark), p AS (SELECT p_partkey AS paper_id, 'arxiv.' || p_partkey AS a FROM part WHERE p_partkey < 20) SELECT ref_id, paper_id FROM r LEFT JOIN p ON regexp_replace(lower(r.a), 'v[0-9]+$', '') = p.a")
+@query("WITH r AS (SELECT item_id AS ref_id, 'ARXIV.' || (item_id % 30) || 'v' || (item_id % 3 + 1) AS a FROM benchmark), p AS (SELECT p_partkey AS paper_id, 'arxiv.' || p_partkey AS a FROM part) SELECT ref_id, paper_id FROM r LEFT JOIN p ON regexp_replace(lower(r.a), 'v[0-9]+$', '') = p.a")
 def citations_in_library(spark, sf):
     i = F.col("item_id")
     refs = table(spark, sf, "benchmark").select(i.alias("ref_id"), F.concat(F.lit("ARXIV."), (i % 30).cast("string"), F.lit("v"), (i % 3 + 1).cast("string")).alias("arxiv_id"))
-    own = table(spark, sf, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("paper_id"), F.concat(F.lit("arxiv."), F.col("p_partkey").cast("string")).alias("arxiv_id"))
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.concat(F.lit("arxiv."), F.col("p_partkey").cast("string")).alias("arxiv_id"))
     return anchors.reference_matches(refs, own).select("ref_id", "paper_id")
 
 
 @query("WITH RECURSIVE t(conv_id, turn, depth) AS (SELECT conv_id, turn, 0 FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, turn, depth FROM t")
 def comment_threads(spark, sf):
     """Depth in a thread in which each message answers the one before it."""
-    table(spark, sf, "conversations").select("conv_id", "turn").createOrReplaceTempView("quire_messages")
-    return spark.sql("WITH RECURSIVE t(conv_id, turn, depth) AS (SELECT conv_id, turn, 0 FROM quire_messages WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM quire_messages c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, turn, depth FROM t")
+    m = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent"))
+    return threads.threads(m, "conv_id", "turn", "parent").where("root = 0").select("conv_id", "turn", F.col("depth").cast("int").alias("depth"))
+
+
+@query("WITH RECURSIVE m AS (SELECT o_custkey AS thread, o_orderkey AS message, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN -1 ELSE lag(o_orderkey, CAST(1 + o_orderkey % 3 AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS parent FROM orders), t(thread, message, root, depth, how) AS (SELECT thread, message, message, CAST(0 AS BIGINT), CASE WHEN parent IS NULL THEN 'root' ELSE 'orphan' END FROM m WHERE parent IS NULL OR parent = -1 UNION ALL SELECT m.thread, m.message, t.root, t.depth + 1, 'reply' FROM m JOIN t ON t.thread = m.thread AND t.message = m.parent) SELECT thread, message, root, depth, how FROM t")
+def comment_trees(spark, sf):
+    """Threads in which a message answers one of the three before it, with roots and missing parents."""
+    key = F.col("o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before = F.when(key % 3 == 0, F.lag("o_orderkey", 1).over(w)).when(key % 3 == 1, F.lag("o_orderkey", 2).over(w)).otherwise(F.lag("o_orderkey", 3).over(w))
+    parent = F.when(key % 11 == 0, None).when(key % 13 == 0, -1).otherwise(before)
+    return threads.threads(table(spark, sf, "orders").select(F.col("o_custkey").alias("thread"), key.alias("message"), parent.alias("parent")), "thread", "message", "parent")
 
 
 @query(

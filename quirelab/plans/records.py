@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirelab.operators import nested
 from quirelab.operators import records as ops
 from quirelab.plans.model import BLOCKS, SESSIONS, blocks, choose, sessions
 from quirelab.plans.registry import query
@@ -124,7 +125,7 @@ def attempt_usage(spark, sf):
 def asset_key_walk(spark, sf):
     inner = F.struct(F.lower("c_mktsegment").alias("asset_key"), F.lit(1).alias("n"))
     doc = F.to_json(F.struct(F.array(F.struct(inner.alias("image"))).alias("blocks"), F.struct(F.col("c_name").alias("asset_key"), F.lower("c_mktsegment").alias("alt")).alias("cover"), inner.alias("again")))
-    return ops.json_strings(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), doc.alias("doc")), "id", "doc", "asset_key")
+    return nested.key_strings(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), doc.alias("doc")), "id", "doc", ["asset_key"])
 
 
 @query(

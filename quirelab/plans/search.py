@@ -56,9 +56,10 @@ def search_facets(spark, sf):
 )
 def group_and_sort(spark, sf):
     hits = ops.match(table(spark, sf, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text"), "text", "from")
-    w = Window.partitionBy("grp")
-    ranked = hits.withColumns({"best": F.max("score").over(w), "latest": F.max("id").over(w), "n": F.count(F.lit(1)).over(w)})
-    return best_per_key(ranked, ["grp"], [F.desc("score"), F.desc("id")], 5).select("grp", "id", "score", "best", "latest", "n")
+    # Sums combine before they meet, and each task keeps its own five best of a group.
+    groups = hits.groupBy("grp").agg(F.max("score").alias("best"), F.max("id").alias("latest"), F.count(F.lit(1)).alias("n"))
+    best = best_per_key(hits, ["grp"], [F.desc("score"), F.desc("id")], 5)
+    return best.join(groups, "grp").select("grp", "id", "score", "best", "latest", "n")
 
 
 @query(
@@ -144,14 +145,13 @@ def similar_items(spark, sf):
     return ops.nearest(e.where("vec_id = 7"), e, "vec_id", "embedding", 10).select("vec_id", F.bround("similarity", 4).alias("similarity"))
 
 
-_RANKED = """a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents WHERE lang = 'en'), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY source, doc_id) - 1 AS r FROM documents WHERE doc_id % 2 = 0)"""
+_RANKED = """a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars % 1000 DESC, doc_id) - 1 AS r FROM documents)"""
 
 
 def _lists(spark, sf):
     d = table(spark, sf, "documents")
-    a = d.where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(100)
-    b = d.where("doc_id % 2 = 0").orderBy("source", "doc_id").limit(100)
-    return [ops.ranked(a, "doc_id", [F.desc("n_chars"), F.col("doc_id")]), ops.ranked(b, "doc_id", [F.col("source"), F.col("doc_id")])]
+    orders = [F.desc(F.col("n_chars")), F.col("doc_id")], [(F.col("n_chars") % 1000).desc(), F.col("doc_id")]
+    return [ops.ranked(d.orderBy(*o).limit(100), "doc_id", o) for o in orders]
 
 
 @query(f"WITH {_RANKED}, u AS (SELECT id, r FROM a WHERE r < 100 UNION ALL SELECT id, r FROM b WHERE r < 100) SELECT id, round(sum(1.0 / (60 + r + 1)), 9) AS score FROM u GROUP BY id")

@@ -94,10 +94,12 @@ def promoted_terms(spark, sf):
     return ops.promoted_terms(user, paper)
 
 
-@query("WITH e AS (SELECT lower(trim(p_name)) AS k, min(p_partkey) AS entry_id FROM part WHERE p_partkey < 20 GROUP BY 1) SELECT p_partkey AS candidate_id, entry_id, CASE WHEN entry_id IS NULL THEN 'created' ELSE 'linked' END AS action FROM part LEFT JOIN e ON k = lower(trim(p_name)) WHERE p_partkey >= 20")
+@query("WITH e AS (SELECT lower(trim(p_name)) AS k, min(p_partkey) AS entry_id FROM part GROUP BY 1), c AS (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, lower(trim(p_name || CASE WHEN l_linenumber > 4 THEN ' net' ELSE '' END)) AS k FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT candidate_id, entry_id, CASE WHEN entry_id IS NULL THEN 'created' ELSE 'linked' END AS action FROM c LEFT JOIN e USING (k)")
 def accepted_candidates(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.concat(F.lit(" "), F.upper("p_name")).alias("term"))
-    return ops.accepted_candidates(p.where("entry_id >= 20").select(F.col("entry_id").alias("candidate_id"), "term"), p.where("entry_id < 20"))
+    n = F.col("l_linenumber")
+    found = table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("entry_id"))
+    return ops.accepted_candidates(found.select((F.col("l_orderkey") * 10 + n).alias("candidate_id"), F.concat("term", F.when(n > 4, " net").otherwise("")).alias("term")), p)
 
 
 @query(

@@ -2,9 +2,11 @@
 
 import datetime as dt
 import itertools
+import json
 import math
 import random
 import re
+import time
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -12,7 +14,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quirelab.operators import anchors, documents, library, records, search, timeseries
+from quirelab.operators import anchors, documents, library, records, revisions, search, threads, timeseries
+from quirelab.operators import nested as nested_ops
+from quirelab.operators import texts as texts_ops
 from quirelab.sources import exports, html, papers
 from quirelab.streaming import streams
 
@@ -391,7 +395,7 @@ def test_records_by_hand(spark):
     tries = spark.createDataFrame([(1, 1, "a", False, 5), (1, 2, "a", False, 6), (1, 3, "a", True, 7), (1, 4, "b", True, 8), (1, 5, "b", True, 9)], "r int, n int, provider string, ok boolean, tokens int")
     assert sorted((r["attempt"], r["provider"], r["tokens"]) for r in records.attempt_usage(tries, "r", "n", 2).collect()) == [(1, "a", 5), (2, "a", 6), (3, "b", 8)]
     nested = spark.createDataFrame([(1, '{"a":[{"asset_key":"k1"},{"b":{"asset_key":"k2"}}],"asset_key":"k1"}'), (2, None), (3, "{}")], "id int, j string")
-    assert [(r["id"], r["value"]) for r in records.json_strings(nested, "id", "j", "asset_key").collect()] == [(1, "k1"), (1, "k2")]
+    assert [(r["id"], r["value"]) for r in nested_ops.key_strings(nested, "id", "j", ["asset_key"]).collect()] == [(1, "k1"), (1, "k2")]
 
 
 def test_repeated_batches_write_once(spark, sf):
@@ -427,3 +431,108 @@ def test_included_tex_and_bodies(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<article"), (4, "<article><body><p>x</p></body></article>")], "id int, t string")
     assert [tuple(r) for r in papers.bodies(df, "id", "t", "jats").collect()] == [(4, 0, "", "paragraph", "x")]
     assert papers.bodies(df.limit(0), "id", "t", "latex").count() == 0
+
+
+def test_restored_marks_of_the_text_itself(spark):
+    texts = ["⟦0⟧ $x$ ⟦1⟧", "⟦1⟧ `a` ⟦0⟧ [3]", "⟦99999999999999⟧ $y$", "⟦", "⟦a⟧ $z$ ⟧", "$⟦0⟧$"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("e", anchors.with_placeholders(F.col("t")))
+    for r in df.withColumn("back", anchors.restored(F.col("e.text"), F.col("e.values"))).collect():
+        assert r["back"] == r["t"] and re.findall("⟦([0-9]+)⟧", r["e"]["text"]) == [str(k) for k in range(len(r["e"]["values"]))]
+    swapped = spark.createDataFrame([("⟦1⟧ und ⟦0⟧ ⟦7⟧", ["a⟦1⟧", "b"])], "t string, v array<string>")
+    assert swapped.select(anchors.restored(F.col("t"), F.col("v"))).first()[0] == "b und a⟦1⟧ ⟦7⟧"
+
+
+def test_null_arrays_of_blocks(spark):
+    schema = "doc_id long, old array<struct<position: int, text: string>>, new array<struct<position: int, text: string>>"
+    df = spark.createDataFrame([(1, None, [(0, "a")]), (2, [(0, "a")], None), (3, [(0, None)], [(0, None)]), (4, None, None)], schema)
+    assert rows(documents.carry_over(df), "doc_id") == [(3, 0, 0, "hash")]
+    pages = spark.createDataFrame([(1, None, ["a"]), (2, ["a"], None), (3, ["alpha", None], [None, "alpha beta"])], "doc_id long, blocks array<string>, pages array<string>")
+    assert {r["doc_id"]: r["pages"] for r in texts_ops.page_positions(pages).collect()} == {1: [], 2: [None], 3: [1, None]}
+
+
+def test_long_documents_are_batched_in_one_pass(spark):
+    df = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("position"), F.repeat(F.lit("x"), (F.col("id") % 2000).cast("int")).alias("text"))
+    began = time.time()
+    assert documents.greedy_batches(df).agg(F.max("batch")).first()[0] >= 100_000 / 8 - 1
+    assert time.time() - began < 60
+
+
+def test_threads_by_pointer_jumping(spark):
+    rng = random.Random(2)
+    parents = {(t, m): rng.choice([None, rng.randrange(60), rng.randrange(60), 1000]) for t in range(4) for m in range(60)}
+    data = [(t, m, p) for (t, m), p in parents.items()] + [(9, 1, 2), (9, 2, 3), (9, 3, 1), (9, 4, 3), (9, 5, 5), (None, 1, None), (9, None, 1), (8, 1, None), (8, 1, 7)]
+    parents |= {(9, 1): 2, (9, 2): 3, (9, 3): 1, (9, 4): 3, (9, 5): 5, (8, 1): 7}
+    wanted = {}
+    for t, m in parents:
+        at, depth, seen = m, 0, set()
+        while parents.get((t, at)) is not None and (t, parents[t, at]) in parents and at not in seen:
+            seen.add(at)
+            at, depth = parents[t, at], depth + 1
+        p = parents[t, m]
+        wanted[t, m] = (None, None, "cycle") if at in seen else (at, depth, "root" if p is None else "orphan" if (t, p) not in parents else "reply")
+    df = spark.createDataFrame(data, "t int, m int, p int")
+    assert {(r["t"], r["m"]): (r["root"], r["depth"], r["how"]) for r in threads.threads(df, "t", "m", "p").collect()} == wanted
+    chain = spark.range(100_000).select(F.lit(1).alias("t"), F.col("id").alias("m"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    far = threads.threads(chain, "t", "m", "p").agg(F.max("depth"), F.max("root"), F.count(F.lit(1))).first()
+    assert tuple(far) == (99_999, 0, 100_000)
+    assert threads.threads(df.limit(0), "t", "m", "p").count() == 0
+
+
+def test_nested_json(spark):
+    texts = ['{"asset_key": "k1"}', '{"a": [{"asset_key": "k2"}, {"b": {"asset_key": ["k3", "k2", 7, {"c": "no"}], "x": {"asset_key": "k4"}}}]}', '{"asset_key": "\\u00e9\\"\\\\/"}', "{", None, "[]", '"asset_key"', '{"z": {"thumbnail_key": "t"}, "asset_key": ""}', "[" * 5000 + "]" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    found = sorted((r["id"], r["place"], r["value"]) for r in nested_ops.key_strings(df, "id", "j", ["asset_key", "thumbnail_key"]).collect())
+    assert found == [(0, 0, "k1"), (1, 0, "k2"), (1, 1, "k3"), (1, 2, "k4"), (2, 0, 'é"\\/'), (7, 0, "t")]
+    pairs = [('{"a": {"b": 1, "n": null}, "c": [1]}', '{"a": {"b": 2, "d": {"e": 3}, "n": 4}, "c": [1, 2], "f": "é"}'), (None, '{"a": 1}'), ('{"a": 1}', None), (None, None), ("[1]", '{"a": 1}'), ("{bad", '{"a": 1.50}'), ('{"a": 1}', '{"a": {"b": 1}}')]
+    merged = spark.createDataFrame(pairs, "t string, s string").select(nested_ops.filled_json(F.col("t"), F.col("s")).alias("m"))
+    assert [json.loads(r["m"]) if r["m"] else None for r in merged.collect()] == [{"a": {"b": 1, "n": None, "d": {"e": 3}}, "c": [1], "f": "é"}, {"a": 1}, {"a": 1}, None, [1], {"a": 1.5}, {"a": 1}]
+
+
+def _longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_revisions_are_aligned(spark):
+    rng = random.Random(6)
+    old, new = {}, {}
+    for d in range(30):
+        ids = [f"b{k}" for k in range(rng.randint(0, 40))]
+        old[d] = list(ids)
+        for _ in range(rng.randint(0, 5)):
+            if ids:
+                at, n = rng.randrange(len(ids)), rng.randint(1, 6)
+                moved = ids[at : at + n]
+                del ids[at : at + n]
+                to = rng.randint(0, len(ids))
+                ids[to:to] = moved
+        new[d] = [x for x in ids if rng.random() > 0.1] + ([f"new{d}"] if d % 3 else [])
+    del new[7], old[8]
+    table = lambda side, tag: spark.createDataFrame([(d, b, k, f"{b}{tag if hash((d, k)) % 5 == 0 else ''}") for d, bs in side.items() for k, b in enumerate(bs)], "doc int, block string, position int, text string").withColumn("change", F.lit("x"))
+    a, b = table(old, "!"), table(new, "?")
+    changes = revisions.aligned_diff(a, b, "doc", "block", "text").collect()
+    texts = [{(r["doc"], r["block"]): r["text"] for r in t.collect()} for t in (a, b)]
+    for d in range(30):
+        own, x, y = [r for r in changes if r["doc"] == d], old.get(d, []), new.get(d, [])
+        kept = sorted(((r["old_position"], r["new_position"]) for r in own if r["change"] in ("changed", "unchanged")))
+        assert len(kept) == _longest_common(x, y) and all(p[1] < q[1] for p, q in zip(kept, kept[1:])), d
+        assert sorted([p for p, _ in kept] + [r["old_position"] for r in own if r["change"] == "removed"]) == list(range(len(x)))
+        assert sorted([q for _, q in kept] + [r["new_position"] for r in own if r["change"] == "added"]) == list(range(len(y)))
+        for r in own:
+            if r["change"] in ("changed", "unchanged"):
+                assert x[r["old_position"]] == y[r["new_position"]] == r["block"]
+                assert (r["change"] == "unchanged") == (texts[0][d, r["block"]] == texts[1][d, r["block"]])
+    odd = spark.createDataFrame([(1, None, 0, "a"), (1, "d", 1, "x"), (1, "d", 2, "x"), (None, "n", 0, "y")], "doc int, block string, position int, text string")
+    assert sorted((r["doc"], r["block"], r["change"]) for r in revisions.aligned_diff(odd, odd.where("block IS NOT NULL"), "doc", "block", "text").where("doc IS NOT NULL").collect() if r["block"]) == [(1, "d", "added")] * 2 + [(1, "d", "removed")] * 2
+    assert [r["change"] for r in revisions.aligned_diff(odd, odd, "doc", "block", "text").where("doc IS NULL").collect()] == ["unchanged"]
+    assert revisions.aligned_diff(odd.limit(0), odd.limit(0), "doc", "block", "text").count() == 0
+
+
+def test_long_revisions_are_aligned_fast(spark):
+    old = spark.range(100_000).select(F.lit(1).alias("doc"), F.col("id").alias("block"), F.col("id").alias("position"), F.lit("t").alias("text"))
+    new = old.withColumn("position", (F.col("position") + 50_000) % 100_000)
+    counts = {r["change"]: r["count"] for r in revisions.aligned_diff(old, new, "doc", "block", "text").groupBy("change").count().collect()}
+    assert counts == {"unchanged": 50_000, "removed": 50_000, "added": 50_000}
