@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelab.session import materialise, ship
+from quirelab.session import discard, materialise, ship
 
 #: Thresholds of the fuzzy rules, and the sizes of a batch.
 FUZZY_TITLE, CARRY_OVER, PDF_SYNC, QUOTE = 0.92, 0.90, 0.85, 0.8
 BATCH_BLOCKS, BATCH_TOKENS = 8, 2800
-#: Titles in a tile of comparisons, and parts to which a title's equals are dealt.
-TITLES, SALTS = 4_000, 16
+#: Titles in a tile of comparisons.
+TITLES = 4_000
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
 
@@ -232,46 +232,74 @@ def _common_at_least(masks: dict[str, int], full: int, b: str, least: float) ->
     return (full ^ v).bit_count() >= least
 
 
+#: Levels of a character's count that are told apart when counts are compared.
+LEVELS = 8
+
+
+def _levels(texts: list[str], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a row of zeros and ones, a one for each character and level that its count reaches, so that the product of
+    two rows is the sum of the lesser counts; what counts have beyond LEVELS, summed; and the characters that occur at all."""
+    counts = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in texts], np.int32).reshape(len(texts), 128)
+    used = np.flatnonzero(counts.any(0)) if used is None else used
+    rows = (counts[:, used, None] > np.arange(LEVELS)).reshape(len(texts), -1).astype(np.float32)
+    return rows, np.maximum(counts - LEVELS, 0).sum(1), used
+
+
 def near_titles(left: list[str], right: list[str], same: list[bool], wanted: float) -> list[tuple[str, str, float]]:
     """(a, b, ratio) and (b, a, ratio), where it reaches `wanted`, of a in left and b in right; only a < b where `same` is set.
 
     SequenceMatcher matches a common subsequence, so that neither lengths, nor counts of characters, nor the longest common
-    subsequence may fall short of wanted; only what passes all three is given to it."""
+    subsequence may fall short of wanted; only what passes all three is given to it. Counts of many pairs are compared by one
+    product of matrices."""
     out: list[tuple[str, str, float]] = []
-    count = lambda texts: np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in texts], np.int32).reshape(len(texts), 128)
+    left = sorted(left, key=len)
     order = sorted(range(len(right)), key=lambda k: len(right[k]))
     right, same = [right[k] for k in order], [same[k] for k in order]
-    sizes, x, y = np.array([len(t) for t in right], np.int64), count(left), count(right)
-    used = np.flatnonzero(x.any(0) & y.any(0))
-    x, y = np.ascontiguousarray(x[:, used]), np.ascontiguousarray(y[:, used])
-    for a, h in zip(left, x):
-        n = len(a)
-        lo, hi = np.searchsorted(sizes, [int(n * wanted / (2 - wanted)) - 1, int(n * (2 - wanted) / wanted) + 2])
-        enough = 2 * np.minimum(y[lo:hi], h).sum(1) >= wanted * (n + sizes[lo:hi]) - 1e-6
+    if not left or not right:
+        return out
+    lengths, sizes = np.array([len(t) for t in left]), np.array([len(t) for t in right])
+    y, beyond_y, used = _levels(right)
+    for at in range(0, len(left), 256):
+        part = left[at : at + 256]
+        n = lengths[at : at + 256]
+        lo, hi = np.searchsorted(sizes, [int(n[0] * wanted / (2 - wanted)) - 1, int(n[-1] * (2 - wanted) / wanted) + 2])
+        if lo >= hi:
+            continue
+        x, beyond_x, _ = _levels(part, used)
+        common = x @ y[lo:hi].T + np.minimum(beyond_x[:, None], beyond_y[None, lo:hi])
+        rows, columns = np.nonzero(2 * common >= wanted * (n[:, None] + sizes[None, lo:hi]) - 1e-6)
         masks: dict[str, int] = {}
-        for k in (lo + np.flatnonzero(enough)).tolist():
-            b = right[k]
-            if a == b or same[k] and a > b:
+        last = -1
+        for i, j in zip(rows.tolist(), (lo + columns).tolist()):
+            p, q = part[i], right[j]
+            if p == q or same[j] and p > q:
                 continue
-            if not masks:
-                for at, c in enumerate(a):
-                    masks[c] = masks.get(c, 0) | 1 << at
-            if _common_at_least(masks, (1 << n) - 1, b, wanted * (n + len(b)) / 2 - 1e-6):
-                out += [(p, q, r) for p, q in ((a, b), (b, a)) if (r := SequenceMatcher(None, p, q).ratio()) >= wanted]
+            if i != last:
+                last, masks = i, {}
+                for k, c in enumerate(p):
+                    masks[c] = masks.get(c, 0) | 1 << k
+            if _common_at_least(masks, (1 << len(p)) - 1, q, wanted * (len(p) + len(q)) / 2 - 1e-6):
+                out += [(u, v, r) for u, v in ((p, q), (q, p)) if (r := SequenceMatcher(None, u, v).ratio()) >= wanted]
     return out
 
 
 def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, year: str, wanted: float = FUZZY_TITLE) -> DataFrame:
-    """(a, b, ratio): pairs of one surname, at most a year apart, whose titles' sorted tokens are alike.
-
-    Different titles of a surname are compared once each, within bands of length between which the ratio cannot reach `wanted`;
-    bands of many titles are dealt to tiles of about TITLES. Equal titles need no comparison."""
+    """(id, n_links, first_id, ratio) of every row: how many others it is a duplicate of, of those the one with the least id, and
+    how alike its title is. Duplicates have one surname, years at most one apart or unknown, and titles whose sorted tokens
+    have a ratio of `wanted` or more, the row's own title first.
+
+    Rows of equal surname, title and year are one class, so that copies are never paired. Different titles of a surname are
+    compared once each, within bands of length between which the ratio cannot reach `wanted`; bands of many titles are dealt to
+    tiles of about TITLES. A row without a surname or title has no links; titles without letters or digits are all equal. Ids
+    are taken to be unique, null ids are no first ones."""
     ship(rows.sparkSession)
     normal = F.trim(F.regexp_replace(F.lower(nfkc(title)), "[^a-z0-9]+", " "))
-    base = rows.select(F.col(id_col).alias("id"), F.array_join(F.array_sort(F.split(normal, " ")), " ").alias("t"), F.lower(surname).alias("s"), F.col(year).alias("y"))
-    base = materialise(base.where("s IS NOT NULL AND t IS NOT NULL"), "titles")
+    sorted_tokens = F.array_join(F.array_sort(F.split(normal, " ")), " ")
+    base = rows.select(F.col(id_col).alias("id"), sorted_tokens.alias("t"), F.lower(surname).alias("s"), F.col(year).cast("int").alias("y"))
+    base = materialise(base.withColumn("h", F.md5(F.col("t").cast("binary"))), "titles")
+    known = base.where("s IS NOT NULL AND t IS NOT NULL")
     band = F.floor(F.log(F.length("t")) / math.log((2 - wanted) / wanted * 1.0001)).cast("int")
-    titles = base.where("t <> ''").select("s", "t").distinct().withColumn("band", band)
+    titles = known.where("t <> ''").select("s", "t").distinct().withColumn("band", band)
     sizes = titles.groupBy("s", "band").agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("g"))
     sizes = sizes.groupBy("s", "g").agg(F.ceil(F.sum("n") / TITLES).cast("int").alias("k"))
     # A band's titles stand on the left of its own group, and on the right of that and the shorter band's.
@@ -287,14 +315,30 @@ def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, yea
         return pd.DataFrame([(key[0], *x) for x in found], columns=["s", "p", "q", "ratio"])
 
     near = tiles.groupBy("s", "g", "i", "j").applyInPandas(compare, "s string, p string, q string, ratio double")
-    near = near.select("s", F.md5("p").alias("p"), F.md5("q").alias("q"), "ratio")
-    held = base.select("id", F.md5("t").alias("t"), "s", "y")
-    a, b = held.select([F.col(c).alias(f"a_{c}") for c in held.columns]), held.select([F.col(c).alias(f"b_{c}") for c in held.columns])
-    ordered = (F.col("a_id") < F.col("b_id")) & (F.col("a_y").eqNullSafe(F.col("b_y")) | (F.abs(F.col("a_y") - F.col("b_y")) <= 1))
-    alike = near.join(a, (F.col("s") == F.col("a_s")) & (F.col("p") == F.col("a_t"))).join(b, (F.col("s") == F.col("b_s")) & (F.col("q") == F.col("b_t")) & ordered)
-    salted = a.withColumn("a_k", F.pmod(F.xxhash64("a_id"), F.lit(SALTS))).join(b.withColumn("b_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), (F.col("a_s") == F.col("b_s")) & (F.col("a_t") == F.col("b_t")) & (F.col("a_k") == F.col("b_k")) & ordered)
-    pair = lambda ratio: [F.col("a_id").alias("a"), F.col("b_id").alias("b"), ratio.alias("ratio")]
-    return alike.select(pair(F.round("ratio", 6))).union(salted.select(pair(F.lit(1.0)))).distinct()
+    near = materialise(near.select("s", F.md5(F.col("p").cast("binary")).alias("h"), F.md5(F.col("q").cast("binary")).alias("other"), "ratio"), "near-titles")
+
+    # Of each class its size and its two least ids; a task keeps its own two before they meet.
+    key = ["s", "h", "y"]
+    least = known.where("id IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("k <= 2")
+    least = least.groupBy(*key).agg(F.min("id").alias("first"), F.max(F.when(F.col("k") == 2, F.col("id"))).alias("second")).withColumnsRenamed({k: f"_{k}" for k in key})
+    classes = known.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    equal = (F.col("s") == F.col("_s")) & (F.col("h") == F.col("_h")) & F.col("y").eqNullSafe(F.col("_y"))
+    classes = materialise(classes.join(least, equal, "left").select(*key, "n", "first", "second"), "title-classes")
+    b = classes.select(F.col("s").alias("b_s"), F.col("h").alias("other"), F.col("y").alias("b_y"), F.col("n").alias("b_n"), F.col("first").alias("b_first"))
+    near_years = F.col("y").isNull() | F.col("b_y").isNull() | (F.abs(F.col("y") - F.col("b_y")) <= 1)
+    across = classes.join(near, ["s", "h"]).join(b, ["other"]).where((F.col("s") == F.col("b_s")) & near_years)
+    within = classes.join(b, (F.col("s") == F.col("b_s")) & (F.col("h") == F.col("other")) & near_years & ~F.col("y").eqNullSafe(F.col("b_y"))).withColumn("ratio", F.lit(1.0))
+    columns = [*key, "b_n", "b_first", "ratio"]
+    links = across.select(columns).union(within.select(columns)).groupBy(*key).agg(F.sum("b_n").alias("more"), F.min("b_first").alias("b_first"), F.min_by("ratio", "b_first").alias("b_ratio"))
+    links = links.withColumnsRenamed({k: f"_{k}" for k in key})
+    classes = materialise(classes.join(links, equal, "left").drop("_s", "_h", "_y").withColumnsRenamed({k: f"_{k}" for k in key}), "title-links")
+    out = base.join(classes, equal, "left")
+    own = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    nearer = F.col("own").isNotNull() & (F.col("b_first").isNull() | (F.col("own") < F.col("b_first")))
+    count = F.coalesce(F.col("n") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long")
+    out = out.withColumn("own", own).select(F.col("id").alias(id_col), count.alias("n_links"), F.when(nearer, F.col("own")).otherwise(F.col("b_first")).alias("first_id"), F.when(nearer, F.lit(1.0)).otherwise(F.round("b_ratio", 6)).alias("ratio"))
+    discard(near)
+    return out
 
 
 def greedy_batches(blocks: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Search over positional postings in files.
 
-An index has, for each segment, a table of rows (numbered; kind, item, id, at, text) and postings partitioned by a hash of the
-term: a row for each term and block of 2^BLOCK rows, with the rows that hold the term, how often and where, and the largest
-such count. hits() reads the terms of its query only; top() first reads the largest counts, which bound what a block can
+An index has, for each segment, a table of rows (numbered; kind, item, id, at) and postings partitioned by a hash of the term: a
+row for each term and block of 2^BLOCK rows, with the rows that hold the term (their places in the block), how often, where
+(for each row the first place and the gaps to the next ones, one row's after the other's), and the largest count. hits() reads the terms of its query only; top() first reads the largest counts, which bound what a block can
 score, and then the postings of those blocks that can still reach the k best. Items are replaced by writing another segment:
-rows of an item in older segments are no hits any more. merged() writes one segment of what is left.
+rows of an item in older segments are no hits any more.
 
 Matching and scores are those of search.match: every word of the query must stand in the text, and the score says how often
 its words do.
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelab.operators import search
-from quirelab.session import fresh_path, materialise, ship
+from quirelab.session import discard, fresh_path, materialise, ship
 
 #: Rows of a block are 2^BLOCK; postings lie in so many folders of a segment.
 BLOCK, BUCKETS = 6, 64
 #: Tokens that are grouped at once, about.
 TOKENS = 1 << 20
-ENTRY = "array<struct<row: long, n: int, places: array<int>>>"
-POSTINGS = f"term string, block long, most int, entries {ENTRY}, segment int, bucket int"
+MADE = "term string, block long, most int, rows array<tinyint>, counts array<int>, gaps array<int>"
+POSTINGS = f"{MADE}, segment int, bucket int"
 #: Which kinds of hits a facet counts.
 FACETS = {"body": ("source", "translation", "semantic"), "notes": ("note", "annotation"), "chat": ("chat", "question"), "article": ("article",)}
 FACET_ITEMS = 20
@@ -70,24 +70,28 @@ def _blocks(numbers: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch:
     place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     order = np.lexsort((place, row, code, row >> BLOCK))
     code, row, place = code[order], row[order], place[order].astype(np.int32)
-    new_cell = np.ones(len(code), bool)
+    new_cell, new_row = np.ones(len(code), bool), np.ones(len(code), bool)
     new_cell[1:] = (code[1:] != code[:-1]) | (row[1:] >> BLOCK != row[:-1] >> BLOCK)
-    posting = np.flatnonzero(new_cell | np.concatenate([[True], row[1:] != row[:-1]])[: len(code)])
+    new_row[1:] = new_cell[1:] | (row[1:] != row[:-1])
+    gaps = np.diff(place, prepend=np.int32(0))
+    gaps[new_row] = place[new_row]
+    posting = np.flatnonzero(new_row)
     n = np.diff(posting, append=len(code)).astype(np.int32)
     cell = np.flatnonzero(new_cell[posting])
-    offsets = lambda x, end: pa.array(np.append(x, end).astype(np.int32))
-    places = pa.ListArray.from_arrays(offsets(posting, len(code)), pa.array(place))
-    entries = pa.ListArray.from_arrays(offsets(cell, len(posting)), pa.StructArray.from_arrays([pa.array(row[posting]), pa.array(n), places], ["row", "n", "places"]))
     first = posting[cell]
+    lists = lambda starts, end, x: pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), pa.array(x))
     most = np.maximum.reduceat(n, cell) if len(cell) else n
-    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(row[first] >> BLOCK), pa.array(most), entries], names=["term", "block", "most", "entries"])
+    inside = (row[posting] & ((1 << BLOCK) - 1)).astype(np.int8)
+    columns = [coded.dictionary.take(pa.array(code[first])), pa.array(row[first] >> BLOCK), pa.array(most), lists(cell, len(posting), inside), lists(cell, len(posting), n), lists(first, len(code), gaps)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "most", "rows", "counts", "gaps"])
 
 
 def _write(rows: DataFrame, path: str, segment: int) -> None:
     spark = rows.sparkSession
     ship(spark)
-    numbered = f"{path}/rows/segment={segment}"
-    rows.select("kind", "item", "id", "at", "text").withColumn("row", F.monotonically_increasing_id()).write.parquet(numbered)
+    # Numbers are fixed once the table is written; it goes when the postings are there.
+    numbered = materialise(rows.select("kind", "item", "id", "at", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered.drop("text").write.parquet(f"{path}/rows/segment={segment}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +104,13 @@ def _write(rows: DataFrame, path: str, segment: int) -> None:
                 yield _blocks(part.column("row").to_numpy(), pa.ListArray.from_arrays(*_rebased(part.column("tokens"))))
                 at = to
 
-    tokens = spark.read.parquet(numbered).where("text <> ''").select("row", search.tokens(F.col("text")).alias("tokens"))
-    postings = tokens.mapInArrow(run, f"term string, block long, most int, entries {ENTRY}")
+    postings = numbered.where("text <> ''").select("row", search.tokens(F.col("text")).alias("tokens")).mapInArrow(run, MADE)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
-    # Ranges of (bucket, term, block): a term of very many blocks is written by several tasks.
-    dealt = postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    # A folder's blocks are dealt to several tasks where there are more tasks than folders, those of a frequent term, too.
+    spread = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
+    dealt = postings.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    discard(numbered)
 
 
 def _rebased(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
@@ -114,6 +119,12 @@ def _rebased(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     return pa.array((offsets - offsets[0]).astype(np.int32)), lists.flatten()
 
 
+def _scored(postings: DataFrame, words: int) -> DataFrame:
+    """segment, row, score of the rows that hold every word."""
+    each = postings.select("segment", "block", F.explode(F.arrays_zip("rows", "counts")).alias("e")).select("segment", (F.shiftleft("block", BLOCK) + F.col("e.rows")).alias("row"), F.col("e.counts").alias("n"))
+    return each.groupBy("segment", "row").agg(F.count(F.lit(1)).alias("_words"), F.sum("n").alias("score")).where(F.col("_words") == words).drop("_words")
+
+
 def build(rows: DataFrame, path: str | None = None) -> Index:
     """An index of rows (kind, item, id, at, text) at path, a folder of the shared one if none is given."""
     path = path or fresh_path(rows.sparkSession, "postings")
@@ -127,18 +138,11 @@ def replace(index: Index, rows: DataFrame) -> Index:
     return Index(index.spark, index.path, index.segments + 1)
 
 
-def merged(index: Index, path: str | None = None) -> Index:
-    """The same index in one segment."""
-    return build(index.alive(index.rows()).drop("row", "segment"), path)
-
-
 def hits(index: Index, raw_query: str) -> DataFrame:
     """kind, item, id, at, score, segment, row: as search.match finds them, without reading a text."""
     words = search.query_tokens(raw_query)
     # Without words no folder is asked for.
-    found = index.postings(words).select("segment", F.explode("entries").alias("e")).groupBy("segment", F.col("e.row").alias("row")).agg(F.count(F.lit(1)).alias("_words"), F.sum("e.n").alias("score"))
-    found = found.where(F.col("_words") == len(words)).drop("_words")
-    return index.alive(index.rows().drop("text").join(found, ["segment", "row"]))
+    return index.alive(index.rows().join(_scored(index.postings(words), len(words)), ["segment", "row"]))
 
 
 def top(index: Index, raw_query: str, k: int) -> tuple[DataFrame, dict[str, int]]:
@@ -155,8 +159,8 @@ def top(index: Index, raw_query: str, k: int) -> tuple[DataFrame, dict[str, int]
     bounds = materialise(bounds.where(F.col("_words") == len(words)).drop("_words"), "bounds")
 
     def read(blocks: DataFrame) -> DataFrame:
-        found = postings.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi").select("segment", F.explode("entries").alias("e")).groupBy("segment", F.col("e.row").alias("row")).agg(F.count(F.lit(1)).alias("_words"), F.sum("e.n").alias("score"))
-        return index.alive(index.rows().drop("text").join(found.where(F.col("_words") == len(words)).drop("_words"), ["segment", "row"])).orderBy(*order).limit(k)
+        found = _scored(postings.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi"), len(words))
+        return index.alive(index.rows().join(found, ["segment", "row"])).orderBy(*order).limit(k)
 
     first = read(bounds.orderBy(F.desc("bound"), "segment", "block").limit(k)).collect()
     least = first[-1]["score"] if len(first) == k else 0

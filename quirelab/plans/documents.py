@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirelab.operators import documents as ops
+from quirelab.operators import revisions
 from quirelab.plans.model import BLOCKS, blocks
 from quirelab.plans.registry import query
 from quirelab.session import table
@@ -100,6 +101,17 @@ def revision_diff(spark, sf):
     return changes.groupBy("doc_id").agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed", "unchanged")))
 
 
+@query()
+def aligned_revisions(spark, sf):
+    """Changes of each document between two revisions in which some blocks also moved down by six places. Tests hold the
+    alignment against the longest common subsequence."""
+    old, new = _revisions(spark, sf)
+    at = F.col("position")
+    place = F.when(at % 10 == 3, at * 10 + 65).otherwise(at * 10)
+    old, new = (side.withColumn("block", at) for side in (old, new))
+    return revisions.aligned_diff(old, new.withColumn("position", place), "doc_id", "block", "text")
+
+
 @query(f"WITH {_TWO}, a AS (SELECT doc_id, text, min(position) AS old_position FROM old GROUP BY doc_id, text HAVING count(*) = 1), b AS (SELECT doc_id, text, min(position) AS new_position FROM new GROUP BY doc_id, text HAVING count(*) = 1) SELECT doc_id, old_position, new_position FROM a JOIN b USING (doc_id, text)")
 def unique_hash_matches(spark, sf):
     return ops.unique_matches(*_revisions(spark, sf), "doc_id", "text").select("doc_id", "old_position", "new_position")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirelab.operators import nested
 from quirelab.plans.registry import query
 from quirelab.session import table
 from quirelab.sources import papers as ops
@@ -65,6 +67,21 @@ def deep_merge(spark, sf):
     return users.select("user_id", merged["theme"].alias("theme"), merged["lang"].alias("lang"))
 
 
+_OWN = """own AS (SELECT event_id, '{"view": {"zoom": ' || (event_id % 7) || ', "panes": {"left": "' || event_type || '"}}, "tags": ["t' || user_id || '"]' || CASE WHEN event_id % 3 = 0 THEN ', "lang": "fr"' ELSE '' END || '}' AS own, '{"view": {"zoom": 9, "panes": {"left": "none", "right": ' || props || '}}, "lang": "en", "tags": []}' AS defaults FROM events)"""
+
+
+@query(f"WITH {_OWN}, m AS (SELECT event_id, json_merge_patch(defaults, own) AS j FROM own) SELECT event_id, CAST(j ->> '$.view.zoom' AS BIGINT) AS zoom, j ->> '$.view.panes.left' AS pane, CAST(j ->> '$.view.panes.right.k' AS BIGINT) AS k, j ->> '$.lang' AS lang, j ->> '$.tags[0]' AS tag FROM m")
+def nested_settings(spark, sf):
+    """Nested settings of each event, with what they lack filled from nested defaults."""
+    e, text = table(spark, sf, "events"), lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    i = F.col("event_id")
+    own = text('{"view": {"zoom": ', (i % 7).cast("string"), ', "panes": {"left": "', F.col("event_type"), '"}}, "tags": ["t', F.col("user_id").cast("string"), '"]', F.when(i % 3 == 0, ', "lang": "fr"').otherwise(""), "}")
+    defaults = text('{"view": {"zoom": 9, "panes": {"left": "none", "right": ', F.col("props"), '}}, "lang": "en", "tags": []}')
+    merged = e.select("event_id", nested.filled_json(own, defaults).alias("j"))
+    at = lambda path: F.get_json_object("j", path)
+    return merged.select("event_id", at("$.view.zoom").cast("long").alias("zoom"), at("$.view.panes.left").alias("pane"), at("$.view.panes.right.k").cast("long").alias("k"), at("$.lang").alias("lang"), at("$.tags[0]").alias("tag"))
+
+
 _PLAIN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9,.;:]', ' ', 'g'), ' +', ' ', 'g'))"
 
 

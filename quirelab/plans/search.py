@@ -145,21 +145,25 @@ def similar_items(spark, sf):
     return ops.nearest(e.where("vec_id = 7"), e, "vec_id", "embedding", 10).select("vec_id", F.bround("similarity", 4).alias("similarity"))
 
 
-_RANKED = """a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars % 1000 DESC, doc_id) - 1 AS r FROM documents)"""
+def _ranked_sql(name: str, word: str) -> str:
+    return f"{name} AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) - 1 AS r FROM (SELECT doc_id, len(list_filter({TOKENS}, lambda x: x = '{word}')) AS s FROM documents) WHERE s > 0)"
+
+
+_RANKED = f"{_ranked_sql('a', 'that')}, {_ranked_sql('b', 'from')}"
 
 
 def _lists(spark, sf):
-    d = table(spark, sf, "documents")
-    orders = [F.desc(F.col("n_chars")), F.col("doc_id")], [(F.col("n_chars") % 1000).desc(), F.col("doc_id")]
-    return [ops.ranked(d.orderBy(*o).limit(100), "doc_id", o) for o in orders]
+    """The rankings of all hits of two searches."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return [ops.ranked(ops.match(d, "text", word), "doc_id", [F.desc("score"), F.col("doc_id")]) for word in ("that", "from")]
 
 
-@query(f"WITH {_RANKED}, u AS (SELECT id, r FROM a WHERE r < 100 UNION ALL SELECT id, r FROM b WHERE r < 100) SELECT id, round(sum(1.0 / (60 + r + 1)), 9) AS score FROM u GROUP BY id")
+@query(f"WITH {_RANKED}, u AS (SELECT id, r FROM a UNION ALL SELECT id, r FROM b) SELECT id, round(sum(1.0 / (60 + r + 1)), 9) AS score FROM u GROUP BY id")
 def rrf_fuse(spark, sf):
     return ops.fuse(_lists(spark, sf)).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_RANKED} SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL THEN 'semantic' WHEN y.id IS NULL THEN 'lexical' ELSE 'both' END AS match_type FROM (SELECT id FROM a WHERE r < 100) x FULL JOIN (SELECT id FROM b WHERE r < 100) y ON x.id = y.id")
+@query(f"WITH {_RANKED} SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL THEN 'semantic' WHEN y.id IS NULL THEN 'lexical' ELSE 'both' END AS match_type FROM (SELECT id FROM a) x FULL JOIN (SELECT id FROM b) y ON x.id = y.id")
 def match_type(spark, sf):
     lexical, semantic = _lists(spark, sf)
     return ops.match_types(lexical, semantic)

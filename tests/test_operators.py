@@ -144,33 +144,48 @@ def test_sequence_diff(spark):
     assert rows(documents.sequence_diff(df), "doc_id") == [(1, 3, 1, 1), (2, 0, 0, 1), (3, 0, 0, 0)]
 
 
+def _plain_duplicates(data):
+    """(n_links, first_id, ratio) of each id, of rows (id, title, surname, year)."""
+    normal = lambda t: " ".join(sorted(re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKC", t).lower()).split()))
+    data = [(i, normal(t) if t is not None else None, s and s.lower(), y) for i, t, s, y in data]
+    ratios, out = {}, {}
+    for i, x, s, y in data:
+        links = []
+        for j, z, u, v in data:
+            if i != j and None not in (x, z, s) and s == u and (y is None or v is None or abs(y - v) <= 1):
+                if (x, z) not in ratios:
+                    ratios[x, z] = SequenceMatcher(None, x, z).ratio()
+                if ratios[x, z] >= 0.92:
+                    links.append((j, round(ratios[x, z], 6)))
+        out[i] = (len(links), *(min(links) if links else (None, None)))
+    return out
+
+
+def _duplicates(df):
+    return {r[0]: (r["n_links"], r["first_id"], r["ratio"]) for r in df.collect()}
+
+
 def test_fuzzy_duplicates(spark):
-    data = [(1, "Attention Is All You Need", "Vaswani", 2017), (2, "All you need is attention!", "vaswani", 2018), (3, "Attention Is All You Need", "Other", 2017), (4, "Attention is all you need", "Vaswani", 2020)]
-    found = rows(documents.fuzzy_duplicates(spark.createDataFrame(data, "id int, t string, s string, y int"), "id", "t", "s", "y"))
-    assert [(a, b) for a, b, _ in found] == [(1, 2)]
-    assert found[0][2] == round(SequenceMatcher(None, "all attention is need you", "all attention is need you").ratio(), 6)
+    data = [(1, "Attention Is All You Need", "Vaswani", 2017), (2, "All you need is attention!", "vaswani", 2018), (3, "Attention Is All You Need", "Other", 2017), (4, "Attention is all you need", "Vaswani", 2020), (5, None, "Vaswani", 2017), (6, "Attention is all you need", None, 2017), (7, "attention is all we need", "VASWANI", None), (8, "--", "x", 1), (9, "", "x", 2), (10, "??", "x", 9)]
+    found = _duplicates(documents.fuzzy_duplicates(spark.createDataFrame(data, "id int, t string, s string, y int"), "id", "t", "s", "y"))
+    assert found == _plain_duplicates(data) and found[1] == (1, 2, 1.0) and found[4] == (0, None, None) and found[5] == found[6] == (0, None, None) and found[8] == (1, 9, 1.0)
 
 
 def test_fuzzy_duplicates_against_all_pairs(spark, sf, monkeypatch):
     from quirelab.plans import catalog
 
-    def plain(data):
-        normal = lambda t: " ".join(sorted(re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKC", t).lower()).split()))
-        data = sorted((i, normal(t), s) for i, t, s in data)
-        return {(i, j): round(r, 6) for (i, x, s), (j, y, z) in itertools.combinations(data, 2) if s == z and (r := SequenceMatcher(None, x, y).ratio()) >= 0.92}
-
-    found = lambda df: {(r["a"], r["b"]): r["ratio"] for r in df.collect()}
-    docs = [(r["doc_id"], r["text"].split("\n")[0], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert found(catalog.QUERIES["fuzzy_duplicates"](spark, sf)) == plain(docs)
+    docs = [(r["doc_id"], r["text"].split("\n")[0], r["source"], 2020) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert _duplicates(catalog.QUERIES["fuzzy_duplicates"](spark, sf)) == _plain_duplicates(docs)
     rng = random.Random(3)
     data = []
-    for i in range(300):
+    for i in range(250):
         words = [rng.choice(["deep", "nets", "of", "graph", "models", "x1"]) for _ in range(rng.choice([1, 2, 3, 8, 40]))]
-        data.append((i, " ".join(words), "s"))
-        data.append((i + 1000, "".join(c for c in " ".join(reversed(words)) if rng.random() > 0.03), "s"))
+        data.append((i, " ".join(words), "s", rng.choice([2019, 2020, 2021, 2022, None])))
+        data.append((i + 1000, "".join(c for c in " ".join(reversed(words)) if rng.random() > 0.03), "S", 2020))
     monkeypatch.setattr(documents, "TITLES", 150)
-    rows_ = spark.createDataFrame(data, "id int, t string, s string").withColumn("y", F.lit(2020))
-    assert found(documents.fuzzy_duplicates(rows_, "id", "t", "s", "y")) == plain(data)
+    rows_ = spark.createDataFrame(data, "id int, t string, s string, y int").withColumn("n", F.lit("x")).withColumn("h", F.lit("x"))
+    assert _duplicates(documents.fuzzy_duplicates(rows_, "id", "t", "s", "y")) == _plain_duplicates(data)
+    assert documents.fuzzy_duplicates(rows_.limit(0), "id", "t", "s", "y").count() == 0
 
 
 def test_page_positions_of_every_block(spark, sf):

@@ -29,7 +29,7 @@ def test_hits_are_those_of_match(spark, sf):
         assert listed(ops.hits(index, raw), "kind", "item", "id", "score") == listed(search.match(rows, "text", raw), "kind", "item", "id", "score"), raw
     plan = ops.hits(index, "from that")._jdf.queryExecution().toString()
     # Only the folders of the words' hashes, only their terms, and no places.
-    assert "PartitionFilters: [bucket" in plan and "In(term, [from,that])" in plan and "places" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert "PartitionFilters: [bucket" in plan and "In(term, [from,that])" in plan and "gaps" not in plan.split("ReadSchema")[1].split("\n")[0]
     for raw, k in (("that", 5), ("from that", 3), ("the", 1), ("the", 10_000), ("none_at_all", 4)):
         best, counts = ops.top(index, raw, k)
         wanted = sorted(((-r["score"], -r["at"].timestamp(), r["id"], r["kind"]) for r in search.match(rows, "text", raw).collect()))[:k]
@@ -44,12 +44,28 @@ def test_blocks_are_skipped(spark):
     assert best.count() == 5 and counts["blocks"] >= 60 and counts["read"] <= 12
 
 
+def test_places_are_kept(spark):
+    texts = ["a b a  a-c", "c", "b a"]
+    index = ops.build(made(spark, [("source", k, k, t) for k, t in enumerate(texts)]).coalesce(1))
+    found = {}
+    for r in index.postings(["a", "b", "c"]).collect():
+        gaps = iter(r["gaps"])
+        for row, n in zip(r["rows"], r["counts"]):
+            at, places = 0, []
+            for _ in range(n):
+                at += next(gaps)
+                places.append(at)
+            found[r["term"], row] = places
+        assert r["most"] == max(r["counts"])
+    assert found == {("a", 0): [0, 2, 3], ("b", 0): [1], ("c", 0): [4], ("c", 1): [0], ("b", 2): [0], ("a", 2): [1]}
+
+
 def test_replaced_items_and_odd_rows(spark):
     old = [("source", k, k, f"alpha beta {'alpha ' * (k % 3)}") for k in range(200)] + [("note", 1, 1000, "alpha"), ("note", None, 1001, "alpha beta"), ("note", 2, 1002, None), ("note", 2, 1003, ""), ("chat", 3, None, "ALPHA-beta"), ("source", 5, 5, "alpha beta"), ("source", 6, 6, "日本 alpha ñ")]
     new = [("source", 1, 1, "gamma beta"), ("source", 2, 2, ""), ("note", 300, 1, "beta alpha alpha"), ("note", None, 7, "alpha")]
     index = ops.replace(ops.build(made(spark, old)), made(spark, new))
     stays = [r for r in old if r[1] not in (1, 2)] + new
-    for i in (index, ops.merged(index)):
+    for i in (index, ops.build(made(spark, stays))):
         for raw in ("alpha", "alpha beta", "gamma", "日本"):
             assert listed(ops.hits(i, raw), "kind", "item", "id", "score") == listed(search.match(made(spark, stays), "text", raw), "kind", "item", "id", "score"), raw
             got, _ = ops.top(i, raw, 4)
