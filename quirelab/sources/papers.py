@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelab.session import ship
+from quirelab.sources.tex_macros import expanded
 
 #: Bounds of what an archive may hold: members, bytes unpacked, bytes unpacked for each packed one.
 MEMBERS, UNPACKED, RATIO = 2_000, 200 << 20, 200
@@ -92,14 +93,12 @@ def jats_body(data: str | None) -> list[tuple[int, str, str, str]]:
 _ENV = {"equation": "equation", "align": "equation", "figure": "figure", "table": "table", "itemize": "list", "enumerate": "list", "theorem": "theorem", "lemma": "theorem", "verbatim": "code", "lstlisting": "code", "quote": "quote", "algorithm": "algorithm"}
 
 
-def latex_body(source: str | None, macros: int = 200) -> list[tuple[int, str, str, str]]:
-    """(position, section path, kind, text) of a LaTeX file: simple macros expanded within a budget, sections, environments
-    and paragraphs; markup that is not known is dropped, its argument kept."""
+def latex_body(source: str | None) -> list[tuple[int, str, str, str]]:
+    """(position, section path, kind, text) of a LaTeX file: macros expanded within a budget, sections, environments and
+    paragraphs; markup that is not known is dropped, its argument kept."""
     if not source:
         return []
-    text = re.sub(r"(?<!\\)%.*", "", source)
-    for name, body in re.findall(r"\\(?:re)?newcommand\*?\{?\\([A-Za-z]+)\}?\{((?:[^{}]|\{[^{}]*\})*)\}", text)[:macros]:
-        text = re.sub(rf"\\{name}(?![A-Za-z])", lambda _, b=body: b, text)
+    text = expanded(re.sub(r"(?<!\\)%.*", "", source))
     found = re.search(r"\\begin\{document\}(.*?)(?:\\end\{document\}|\Z)", text, re.S)
     text = found[1] if found else text
     rows: list[tuple[int, str, str, str]] = []
