@@ -109,3 +109,34 @@ def atom_entries(spark, sf):
     xml = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.'), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v2</id><title> On\n  "), F.col("source"), F.lit("</title><author><name>A "), F.col("lang"), F.lit("</name></author><author><name>B C</name></author><published>2024-01-31T00:00:00Z</published></entry></feed>"))
     d = table(spark, sf, "documents").select("doc_id", xml.alias("xml"))
     return d.select("doc_id", m["arxiv_id"].alias("arxiv_id"), m["title"].alias("title"), F.array_join(m["authors"], ", ").alias("authors"), m["published"].alias("published"))
+
+
+_PY_LINE = "CASE i % 9 WHEN 0 THEN 'def f' || i || '(x):' WHEN 5 THEN '@wrapped' WHEN 6 THEN 'class C' || i || ':' WHEN 8 THEN 'x = ' || i ELSE '    ' || l END"
+_JS_LINE = "CASE i % 9 WHEN 0 THEN 'export function f' || i || '() {' WHEN 4 THEN '}' WHEN 6 THEN 'let s = \"{\"; // {' ELSE '  ' || l END"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM d),
+ r AS (SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.js' ELSE '.txt' END AS path, doc_id % 3 AS lang, i AS n, CASE doc_id % 3 WHEN 0 THEN {_PY_LINE} WHEN 1 THEN {_JS_LINE} ELSE l END AS line FROM x),
+ c AS (SELECT *, regexp_replace(line, '//.*$|"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''', '', 'g') AS code FROM r),
+ p AS (SELECT *, coalesce(sum(length(replace(code, '}}', '')) - length(replace(code, '{{', ''))) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM c),
+ m AS (SELECT *, CASE lang WHEN 0 THEN regexp_matches(line, '^[^\s#)\]}}]') WHEN 1 THEN depth <= 0 AND regexp_matches(line, '^\s*[^\s{{}}]') ELSE n = 0 END AS margin,
+  nullif(CASE lang WHEN 0 THEN regexp_extract(line, '^(?:async +)?(?:def|class) +([A-Za-z_][A-Za-z0-9_]*)', 1) WHEN 1 THEN CASE WHEN depth <= 0 THEN regexp_extract(line, '^ *(?:(?:export|default|public|private|protected|static|final|abstract|async|pub|unsafe|inline) +)*(?:function|class|struct|interface|enum|trait|impl|fn|func|namespace) *\*? +([A-Za-z_][A-Za-z0-9_]*)', 1) END END, '') AS name, lang = 0 AND starts_with(line, '@') AS decorator FROM p),
+ b AS (SELECT *, margin AND NOT coalesce(last_value(CASE WHEN margin THEN decorator END IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begins FROM m),
+ k AS (SELECT *, CASE WHEN begins THEN name IS NOT NULL OR decorator END AS kind FROM b),
+ s AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS symbol, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM k),
+ q AS (SELECT *, sum(CASE WHEN begins AND (symbol OR before) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM s),
+ g AS (SELECT *, (n - min(n) OVER (PARTITION BY path, run)) // 4 AS part, CASE WHEN symbol THEN arg_min(name, n) FILTER (name IS NOT NULL) OVER (PARTITION BY path, run) END AS named FROM q)
+ SELECT path, CAST(min(n) + 1 AS INTEGER) AS first_line, CAST(max(n) + 1 AS INTEGER) AS last_line, max(named) AS symbol, string_agg(line, chr(10) ORDER BY n) AS text FROM g GROUP BY path, run, part"""
+)
+def symbol_chunks(spark, sf):
+    """Chunks of four lines at most of files made of the documents' lines, with functions, classes, decorators and braces."""
+    i, l = F.col("i"), F.col("l")
+    number = i.cast("string")
+    python = F.when(i % 9 == 0, F.concat(F.lit("def f"), number, F.lit("(x):"))).when(i % 9 == 5, "@wrapped").when(i % 9 == 6, F.concat(F.lit("class C"), number, F.lit(":"))).when(i % 9 == 8, F.concat(F.lit("x = "), number)).otherwise(F.concat(F.lit("    "), l))
+    script = F.when(i % 9 == 0, F.concat(F.lit("export function f"), number, F.lit("() {"))).when(i % 9 == 4, "}").when(i % 9 == 6, 'let s = "{"; // {').otherwise(F.concat(F.lit("  "), l))
+    x = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    kind = F.col("doc_id") % 3
+    x = x.withColumn("line", F.when(kind == 0, python).when(kind == 1, script).otherwise(l))
+    files = x.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    return ops.symbol_chunks(files.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(kind == 0, ".py").when(kind == 1, ".js").otherwise(".txt")).alias("path"), "text"), 4)

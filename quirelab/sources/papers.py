@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelab.session import ship
@@ -225,6 +225,43 @@ def code_chunks(files: DataFrame, lines: int = 60) -> DataFrame:
     return starts.select("path", F.floor((F.col("first_line") - 1) / lines).cast("int").alias("chunk"), "first_line", last.alias("last_line"), F.array_join(F.slice("_l", F.col("first_line"), F.lit(lines)), "\n").alias("text"))
 
 
+#: Endings of languages whose symbols are told by indentation and by braces, and what a symbol begins with.
+INDENTED, BRACED = ("py", "pyi"), ("js", "jsx", "ts", "tsx", "java", "c", "h", "cc", "cpp", "hpp", "cs", "go", "rs", "swift", "kt", "php")
+_PY_NAME = r"^(?:async +)?(?:def|class) +([A-Za-z_][A-Za-z0-9_]*)"
+_BRACE_NAME = r"^ *(?:(?:export|default|public|private|protected|static|final|abstract|async|pub|unsafe|inline) +)*(?:function|class|struct|interface|enum|trait|impl|fn|func|namespace) *\*? +([A-Za-z_][A-Za-z0-9_]*)"
+_QUOTED = r"""//.*$|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
+
+
+def symbol_chunks(files: DataFrame, lines: int = 60) -> DataFrame:
+    """(path, first_line, last_line, symbol, text): every line of every file in exactly one chunk. A top-level function or class
+    is a chunk of its own, decorators included, what stands between two of them another; only what has more than `lines`
+    lines is cut into windows, which keep the symbol's name.
+
+    Symbols of indented languages end before the next line that begins at the margin, those of braced ones where no brace is
+    open; strings and line comments open none. Other files are cut into windows. Null texts have no lines, an empty one has
+    one; of a path that stands in several rows the rows are taken together, line by line."""
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    rows = files.where("text IS NOT NULL").select("path", ending.alias("e"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    w = Window.partitionBy("path").orderBy("n")
+    above, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    line, indented, braced = F.col("line"), F.col("e").isin(*INDENTED), F.col("e").isin(*BRACED)
+    code = F.regexp_replace(line, _QUOTED, "")
+    count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
+    rows = rows.withColumn("depth", F.coalesce(F.sum(count("{") - count("}")).over(above), F.lit(0)))
+    margin = F.when(indented, line.rlike(r"^[^\s#)\]}]")).when(braced, (F.col("depth") <= 0) & line.rlike(r"^\s*[^\s{}]")).otherwise(F.col("n") == 0)
+    name = F.when(indented, F.regexp_extract("line", _PY_NAME, 1)).when(braced & (F.col("depth") <= 0), F.regexp_extract("line", _BRACE_NAME, 1))
+    rows = rows.withColumns({"margin": margin, "name": F.nullif(name, F.lit("")), "decorator": indented & F.startswith(line, F.lit("@"))})
+    # What follows a decorator at the margin belongs to it.
+    rows = rows.withColumn("begins", F.col("margin") & ~F.coalesce(F.last(F.when(F.col("margin"), F.col("decorator")), ignorenulls=True).over(above), F.lit(False)))
+    kind = F.last(F.when(F.col("begins"), F.col("name").isNotNull() | F.col("decorator")), ignorenulls=True)
+    rows = rows.withColumns({"symbol": F.coalesce(kind.over(so_far), F.lit(False)), "before": F.coalesce(kind.over(above), F.lit(False))})
+    rows = rows.withColumn("run", F.count_if(F.col("begins") & (F.col("symbol") | F.col("before"))).over(so_far))
+    run = Window.partitionBy("path", "run")
+    rows = rows.withColumns({"part": F.floor((F.col("n") - F.min("n").over(run)) / lines), "named": F.when(F.col("symbol"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("n"))).over(run))})
+    chunks = rows.groupBy("path", "run", "part").agg((F.min("n") + 1).alias("first_line"), (F.max("n") + 1).alias("last_line"), F.max("named").alias("symbol"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    return chunks.select("path", "first_line", "last_line", "symbol", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
 def site_adapter(url: Column) -> Column:
     """Which site's rules a URL falls under; the first that fits."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^www\.", "")

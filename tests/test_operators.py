@@ -551,3 +551,17 @@ def test_long_revisions_are_aligned_fast(spark):
     new = old.withColumn("position", (F.col("position") + 50_000) % 100_000)
     counts = {r["change"]: r["count"] for r in revisions.aligned_diff(old, new, "doc", "block", "text").groupBy("change").count().collect()}
     assert counts == {"unchanged": 50_000, "removed": 50_000, "added": 50_000}
+
+
+def test_symbol_chunks_cover_every_line_once(spark):
+    py = "import os\n\nX = 1\n@deco\n@other\nclass A(B):\n    def m(self):\n        return {\n}\n\n# note\ndef f(a,\n      b):\n    pass\nasync def g():\n    pass\nprint(1)\nprint(2)"
+    js = 'import x from "{";\nexport default class C {\n  m() { return "}"; }\n}\nfunction f()\n{\n  // {\n}\nlet y = 1;\nfn big() {\n' + "  a;\n" * 25 + "}"
+    files = spark.createDataFrame([("a.py", py), ("b.JS", js), ("c.txt", "1\n2\n3"), ("d.py", ""), ("e.py", None), ("f.py", "    x\n  y")], "path string, text string")
+    found = papers.symbol_chunks(files, 20).orderBy("path", "first_line").collect()
+    of = lambda path: [(r["first_line"], r["last_line"], r["symbol"]) for r in found if r["path"] == path]
+    assert of("a.py") == [(1, 3, None), (4, 11, "A"), (12, 14, "f"), (15, 16, "g"), (17, 18, None)]
+    assert of("b.JS") == [(1, 1, None), (2, 4, "C"), (5, 8, "f"), (9, 9, None), (10, 29, "big"), (30, 36, "big")]
+    assert of("c.txt") == [(1, 3, None)] and of("d.py") == [(1, 1, None)] and of("e.py") == [] and of("f.py") == [(1, 2, None)]
+    for path, text in (("a.py", py), ("b.JS", js)):
+        assert "\n".join(r["text"] for r in found if r["path"] == path) == text
+    assert papers.symbol_chunks(files.limit(0)).count() == 0
