@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,99 +246,104 @@ def _levels(texts: list[str], used: np.ndarray | None = None) -> tuple[np.ndarra
     return rows, np.maximum(counts - LEVELS, 0).sum(1), used
 
 
-def near_titles(left: list[str], right: list[str], same: list[bool], wanted: float) -> list[tuple[str, str, float]]:
-    """(a, b, ratio) and (b, a, ratio), where it reaches `wanted`, of a in left and b in right; only a < b where `same` is set.
+def first_near(titles: list[str], candidates: list[str], fits: Callable[[int, int], bool], wanted: float) -> list[tuple[int, int, float]]:
+    """(title, candidate, ratio) by their places: for each title the first other candidate in the given order that fits and is alike.
 
     SequenceMatcher matches a common subsequence, so that neither lengths, nor counts of characters, nor the longest common
     subsequence may fall short of wanted; only what passes all three is given to it. Counts of many pairs are compared by one
     product of matrices."""
-    out: list[tuple[str, str, float]] = []
-    left = sorted(left, key=len)
-    order = sorted(range(len(right)), key=lambda k: len(right[k]))
-    right, same = [right[k] for k in order], [same[k] for k in order]
-    if not left or not right:
+    out: list[tuple[int, int, float]] = []
+    if not titles or not candidates:
         return out
-    lengths, sizes = np.array([len(t) for t in left]), np.array([len(t) for t in right])
-    y, beyond_y, used = _levels(right)
-    for at in range(0, len(left), 256):
-        part = left[at : at + 256]
-        n = lengths[at : at + 256]
+    by_length = sorted(range(len(candidates)), key=lambda k: len(candidates[k]))
+    places = np.array(by_length)
+    sizes = np.array([len(candidates[k]) for k in by_length])
+    y, beyond_y, used = _levels([candidates[k] for k in by_length])
+    order = sorted(range(len(titles)), key=lambda k: len(titles[k]))
+    for at in range(0, len(order), 256):
+        part = [titles[k] for k in order[at : at + 256]]
+        n = np.array([len(t) for t in part])
         lo, hi = np.searchsorted(sizes, [int(n[0] * wanted / (2 - wanted)) - 1, int(n[-1] * (2 - wanted) / wanted) + 2])
         if lo >= hi:
             continue
         x, beyond_x, _ = _levels(part, used)
         common = x @ y[lo:hi].T + np.minimum(beyond_x[:, None], beyond_y[None, lo:hi])
-        rows, columns = np.nonzero(2 * common >= wanted * (n[:, None] + sizes[None, lo:hi]) - 1e-6)
-        masks: dict[str, int] = {}
-        last = -1
-        for i, j in zip(rows.tolist(), (lo + columns).tolist()):
-            p, q = part[i], right[j]
-            if p == q or same[j] and p > q:
-                continue
-            if i != last:
-                last, masks = i, {}
-                for k, c in enumerate(p):
-                    masks[c] = masks.get(c, 0) | 1 << k
-            if _common_at_least(masks, (1 << len(p)) - 1, q, wanted * (len(p) + len(q)) / 2 - 1e-6):
-                out += [(u, v, r) for u, v in ((p, q), (q, p)) if (r := SequenceMatcher(None, u, v).ratio()) >= wanted]
+        enough = 2 * common >= wanted * (n[:, None] + sizes[None, lo:hi]) - 1e-6
+        for row, p in enumerate(part):
+            found = np.sort(places[lo:hi][enough[row]])
+            masks: dict[str, int] = {}
+            for j in found.tolist():
+                q = candidates[j]
+                if p == q or not fits(order[at + row], j):
+                    continue
+                if not masks:
+                    for k, c in enumerate(p):
+                        masks[c] = masks.get(c, 0) | 1 << k
+                if _common_at_least(masks, (1 << len(p)) - 1, q, wanted * (len(p) + len(q)) / 2 - 1e-6) and (r := SequenceMatcher(None, p, q).ratio()) >= wanted:
+                    out.append((order[at + row], j, r))
+                    break
     return out
 
 
 def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, year: str, wanted: float = FUZZY_TITLE) -> DataFrame:
-    """(id, n_links, first_id, ratio) of every row: how many others it is a duplicate of, of those the one with the least id, and
-    how alike its title is. Duplicates have one surname, years at most one apart or unknown, and titles whose sorted tokens
-    have a ratio of `wanted` or more, the row's own title first.
-
-    Rows of equal surname, title and year are one class, so that copies are never paired. Different titles of a surname are
-    compared once each, within bands of length between which the ratio cannot reach `wanted`; bands of many titles are dealt to
-    tiles of about TITLES. A row without a surname or title has no links; titles without letters or digits are all equal. Ids
-    are taken to be unique, null ids are no first ones."""
+    """(id, first_id, ratio) of every row: the row of the least id that it is a duplicate of, null without one, and how alike
+    their titles are. Duplicates have one surname, years at most one apart or unknown, and titles whose sorted tokens have a
+    ratio of `wanted` or more, the row's own title first.
+
+    Rows of equal surname, title and year are one class, so that copies are never compared. The titles of a surname are looked
+    for within bands of length between which the ratio cannot reach `wanted`; bands of many titles are dealt to tiles of about
+    TITLES, in which a title's search ends with the first hit. A row without a surname or title has no duplicate; titles
+    without letters or digits are all equal. Ids are taken to be unique; a null id is nobody's first one."""
     ship(rows.sparkSession)
     normal = F.trim(F.regexp_replace(F.lower(nfkc(title)), "[^a-z0-9]+", " "))
     sorted_tokens = F.array_join(F.array_sort(F.split(normal, " ")), " ")
     base = rows.select(F.col(id_col).alias("id"), sorted_tokens.alias("t"), F.lower(surname).alias("s"), F.col(year).cast("int").alias("y"))
     base = materialise(base.withColumn("h", F.md5(F.col("t").cast("binary"))), "titles")
     known = base.where("s IS NOT NULL AND t IS NOT NULL")
+    # Of each class its title and its two least ids; a task keeps its own two before they meet.
+    key = ["s", "h", "y"]
+    least = known.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("id").asc_nulls_last()))).where("k <= 2")
+    classes = least.groupBy(*key).agg(F.first("t").alias("t"), F.min("id").alias("first"), F.max(F.when(F.col("k") == 2, F.col("id"))).alias("second"))
+    classes = materialise(classes, "title-classes")
+
     band = F.floor(F.log(F.length("t")) / math.log((2 - wanted) / wanted * 1.0001)).cast("int")
-    titles = known.where("t <> ''").select("s", "t").distinct().withColumn("band", band)
-    sizes = titles.groupBy("s", "band").agg(F.count(F.lit(1)).alias("n")).select("s", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("g"))
+    titles = classes.where("t <> ''").withColumn("band", band)
+    sides = lambda c: F.explode(F.array(*(c + F.lit(k) for k in (-1, 0, 1))))
+    sizes = titles.groupBy("s", "band").agg(F.count(F.lit(1)).alias("n")).select("s", "n", sides(F.col("band")).alias("g"))
     sizes = sizes.groupBy("s", "g").agg(F.ceil(F.sum("n") / TITLES).cast("int").alias("k"))
-    # A band's titles stand on the left of its own group, and on the right of that and the shorter band's.
-    role = lambda shift, is_left: F.struct((F.col("band") - shift).alias("g"), F.lit(is_left).alias("is_left"), F.lit(shift == 0).alias("same"))
-    placed = titles.select("s", "t", F.explode(F.array(role(0, True), role(0, False), role(1, False))).alias("r")).select("s", "t", "r.*").join(sizes, ["s", "g"])
+    # A band's titles search their own band and the two beside it.
+    role = lambda shift, asks: F.struct((F.col("band") + shift).alias("g"), F.lit(asks).alias("asks"))
+    placed = titles.select(*key, "t", "first", F.explode(F.array(role(0, True), *(role(k, False) for k in (-1, 0, 1)))).alias("r")).select(*key, "t", "first", "r.*").join(sizes, ["s", "g"])
     own, other = F.pmod(F.xxhash64("t"), F.col("k")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    placed = placed.select("s", "g", "t", "is_left", "same", own.alias("own"), other.alias("other"))
-    tiles = placed.select("s", "g", F.when(F.col("is_left"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("is_left"), F.col("other")).otherwise(F.col("own")).alias("j"), "t", "is_left", "same")
-
-    def compare(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
-        r = tile[~tile["is_left"]]
-        found = near_titles(tile["t"][tile["is_left"]].tolist(), r["t"].tolist(), r["same"].tolist(), wanted)
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["s", "p", "q", "ratio"])
-
-    near = tiles.groupBy("s", "g", "i", "j").applyInPandas(compare, "s string, p string, q string, ratio double")
-    near = materialise(near.select("s", F.md5(F.col("p").cast("binary")).alias("h"), F.md5(F.col("q").cast("binary")).alias("other"), "ratio"), "near-titles")
-
-    # Of each class its size and its two least ids; a task keeps its own two before they meet.
-    key = ["s", "h", "y"]
-    least = known.where("id IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("k <= 2")
-    least = least.groupBy(*key).agg(F.min("id").alias("first"), F.max(F.when(F.col("k") == 2, F.col("id"))).alias("second")).withColumnsRenamed({k: f"_{k}" for k in key})
-    classes = known.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    placed = placed.select(*key, "g", "t", "first", "asks", own.alias("own"), other.alias("other"))
+    asks = F.col("asks")
+    tiles = placed.select(*key, "g", F.when(asks, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(asks, F.col("other")).otherwise(F.col("own")).alias("j"), "t", "first", "asks")
+    id_type = base.schema["id"].dataType.simpleString()
+
+    def compare(tile: pa.Table) -> pa.Table:
+        asking = tile.filter(tile["asks"])
+        held = tile.filter(pa.compute.and_(pa.compute.invert(tile["asks"]), pa.compute.is_valid(tile["first"]))).sort_by("first")
+        a, b = asking["y"].to_pylist(), held["y"].to_pylist()
+        near = lambda i, j: a[i] is None or b[j] is None or abs(a[i] - b[j]) <= 1
+        found = first_near(asking["t"].to_pylist(), held["t"].to_pylist(), near, wanted)
+        left, right = pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())
+        return pa.table([*(asking[c].take(left) for c in key), held["first"].take(right), pa.array([x[2] for x in found], pa.float64())], names=[*key, "other", "ratio"])
+
+    hits = tiles.groupBy("s", "g", "i", "j").applyInArrow(compare, f"s string, h string, y int, other {id_type}, ratio double")
+    # Equal titles of other years.
+    b = classes.select(F.col("s").alias("b_s"), F.col("h").alias("b_h"), F.col("y").alias("b_y"), F.col("first").alias("other"))
+    beside = F.col("y").isNull() | F.col("b_y").isNull() | (F.abs(F.col("y") - F.col("b_y")) <= 1)
+    within = classes.join(b, (F.col("s") == F.col("b_s")) & (F.col("h") == F.col("b_h")) & beside & ~F.col("y").eqNullSafe(F.col("b_y"))).where("other IS NOT NULL")
+    hits = hits.union(within.select(*key, "other", F.lit(1.0).alias("ratio"))).groupBy(*key).agg(F.min("other").alias("other"), F.min_by("ratio", "other").alias("ratio"))
+    renamed = {k: f"_{k}" for k in key}
     equal = (F.col("s") == F.col("_s")) & (F.col("h") == F.col("_h")) & F.col("y").eqNullSafe(F.col("_y"))
-    classes = materialise(classes.join(least, equal, "left").select(*key, "n", "first", "second"), "title-classes")
-    b = classes.select(F.col("s").alias("b_s"), F.col("h").alias("other"), F.col("y").alias("b_y"), F.col("n").alias("b_n"), F.col("first").alias("b_first"))
-    near_years = F.col("y").isNull() | F.col("b_y").isNull() | (F.abs(F.col("y") - F.col("b_y")) <= 1)
-    across = classes.join(near, ["s", "h"]).join(b, ["other"]).where((F.col("s") == F.col("b_s")) & near_years)
-    within = classes.join(b, (F.col("s") == F.col("b_s")) & (F.col("h") == F.col("other")) & near_years & ~F.col("y").eqNullSafe(F.col("b_y"))).withColumn("ratio", F.lit(1.0))
-    columns = [*key, "b_n", "b_first", "ratio"]
-    links = across.select(columns).union(within.select(columns)).groupBy(*key).agg(F.sum("b_n").alias("more"), F.min("b_first").alias("b_first"), F.min_by("ratio", "b_first").alias("b_ratio"))
-    links = links.withColumnsRenamed({k: f"_{k}" for k in key})
-    classes = materialise(classes.join(links, equal, "left").drop("_s", "_h", "_y").withColumnsRenamed({k: f"_{k}" for k in key}), "title-links")
-    out = base.join(classes, equal, "left")
-    own = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    nearer = F.col("own").isNotNull() & (F.col("b_first").isNull() | (F.col("own") < F.col("b_first")))
-    count = F.coalesce(F.col("n") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long")
-    out = out.withColumn("own", own).select(F.col("id").alias(id_col), count.alias("n_links"), F.when(nearer, F.col("own")).otherwise(F.col("b_first")).alias("first_id"), F.when(nearer, F.lit(1.0)).otherwise(F.round("b_ratio", 6)).alias("ratio"))
-    discard(near)
+    told = classes.drop("t").join(hits.withColumnsRenamed(renamed), equal, "left").drop(*renamed.values()).withColumnsRenamed(renamed)
+    told = materialise(told, "title-hits")
+    out = base.join(told, equal, "left")
+    twin = F.when(F.col("id").eqNullSafe(F.col("first")), F.col("second")).otherwise(F.col("first"))
+    nearer = F.col("twin").isNotNull() & (F.col("other").isNull() | (F.col("twin") < F.col("other")))
+    out = out.withColumn("twin", twin).select(F.col("id").alias(id_col), F.when(nearer, F.col("twin")).otherwise(F.col("other")).alias("first_id"), F.when(nearer, F.lit(1.0)).otherwise(F.round("ratio", 6)).alias("ratio"))
+    discard(classes)
     return out
 
 

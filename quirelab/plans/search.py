@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quirelab.operators import neighbours
+from quirelab.operators import fragments, neighbours
 from quirelab.operators import search as ops
 from quirelab.operators.library import best_per_key
 from quirelab.plans.model import BLOCKS, blocks
@@ -110,6 +110,13 @@ def snippets(spark, sf):
     return hits.select("doc_id", ops.snippet(F.col("text"), "theation").alias("snippet"))
 
 
+@query()
+def best_snippets(spark, sf):
+    """The fragment of each hit that holds the most words of the search; tests hold it against every window."""
+    hits = ops.match(table(spark, sf, "documents").select("doc_id", "text"), "text", "that from")
+    return hits.select("doc_id", fragments.best_fragment(F.col("text"), ("that", "from")).alias("snippet"))
+
+
 @query(
     """WITH c AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}'), lambda x: x NOT IN ('the', 'and', 'for', 'that', 'with'))) AS t FROM benchmark),
  d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}'), lambda x: x NOT IN ('the', 'and', 'for', 'that', 'with'))) AS t FROM documents),
