@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,9 @@ _PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _HEADER_CLASS = re.compile(r"(?:^|\s)(?:(?:site|page|main|global)[-_]?)?(?:header|head)(?:$|\s)|(?:^|\s)top-?bar(?:$|\s)", re.I)
 _GOOD_CLASS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+#: What calls itself this is not the article's if it holds links only, or talk with several authors or dates.
+_LINKS, _TALK = frozenset("links linklist tags tagcloud".split()), frozenset("discussion responses reactions feedback thread conversation".split())
+_BYLINE = frozenset("author user username byline date time timestamp posted avatar".split())
 #: A start tag on the left ends an open element on the right.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article main body td th blockquote".split())
@@ -59,11 +63,12 @@ BROADCAST_HOSTS = 200_000
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "clean", "total", "bonus", "path", "start", "end", "inside")
+    __slots__ = ("tag", "parent", "drop", "clean", "total", "bonus", "path", "start", "end", "inside", "kind", "place", "anchors", "bylines")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, bonus: float, path: str, start: int, inside: bool):
+    def __init__(self, tag: str, parent: Node | None, drop: bool, bonus: float, path: str, start: int, inside: bool, kind: str = "", place: int = 0):
         self.tag, self.parent, self.drop, self.bonus, self.path, self.start, self.end, self.inside = tag, parent, drop, bonus, path, start, -1, inside
-        self.clean = self.total = 0
+        self.kind, self.place = kind, place
+        self.clean = self.total = self.anchors = self.bylines = 0
 
 
 def chrome(names: str) -> bool:
@@ -78,6 +83,10 @@ def chrome(names: str) -> bool:
     return False
 
 
+def _words(names: str) -> set[str]:
+    return {x.lower() for x in _PARTS.split(names.replace(" ", "-"))}
+
+
 def _segment(tag: str, classes: str, name: str) -> str:
     """The tag with its classes and id, numbers in them made equal."""
     general = sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})
@@ -95,6 +104,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
     stack, nodes, pieces = [root], [root], []
     pos, n, closed = 0, len(page), True
     links = 0
+    opened: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if not raw:
@@ -114,6 +124,14 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
             node = stack.pop()
             node.end = len(pieces)
             links -= node.tag == "a"
+            opened[node.tag] -= 1
+            above = node.parent
+            if not node.drop and (node.kind == "links" and node.anchors > 1 and not node.clean or node.kind == "talk" and node.bylines > 1 and (node.inside or above.clean)):
+                pieces[node.start :] = [(x, False) for x, _ in pieces[node.start :]]
+                for x in nodes[node.place :]:
+                    x.drop, x.clean = True, 0
+            above.anchors += node.anchors + (node.tag == "a")
+            above.bylines += node.bylines
             node.parent.total += node.total
             node.parent.clean += node.clean
 
@@ -144,7 +162,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
         if m[1]:
             if tag == "br":
                 pieces.append(("", True))
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     if block:
                         pieces.append(("", True))
@@ -160,7 +178,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
             pieces.append(("", True))
             if tag != "br":
                 ends = _ENDS.get(tag)
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends or ("p",)) else ():
                     open_tag = stack[k].tag
                     if ends and open_tag in ends or not ends and open_tag == "p" and tag not in _VOID:
                         pop(k)
@@ -179,7 +197,11 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Node]]:
         if not drop and not whole:
             drop = role in _DROP_ROLE or chrome(named) or (not parent.inside and (tag == "header" or bool(named.strip() and _HEADER_CLASS.search(named))))
         bonus = 1.3 if tag in ("article", "main") or role == "main" else 1.15 if named.strip() and _GOOD_CLASS.search(named) else 1.0
-        node = Node(tag, parent, drop, bonus, "" if drop or not block else _join(parent.path, _segment(tag, classes, attrs.get("id", ""))), len(pieces), inside)
+        words = _words(named) if named.strip() and not drop else ()
+        kind = "" if not words or whole or not block else "links" if not _LINKS.isdisjoint(words) else "talk" if not _TALK.isdisjoint(words) else ""
+        node = Node(tag, parent, drop, bonus, "" if drop or not block else _join(parent.path, _segment(tag, classes, attrs.get("id", ""))), len(pieces), inside, kind, len(nodes))
+        parent.bylines += bool(words and not _BYLINE.isdisjoint(words))
+        opened[tag] += 1
         if not block:
             node.path = parent.path
         nodes.append(node)

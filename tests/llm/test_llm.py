@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -692,6 +693,13 @@ def test_pages(spark):
     assert pages.extract_pages(df.limit(0)).count() == 0
 
 
+def test_deep_nesting_takes_linear_time():
+    began = time.time()
+    for page in ("<b>" * 20_000 + "<p>x" * 20_000, "<i>" * 20_000 + "</b>" * 20_000 + "x", "<li>" * 20_000 + "<i>" * 20_000 + "</p>" * 20_000):
+        pages.parse(page)
+    assert time.time() - began < 10
+
+
 def test_host_vote_against_brute_force(spark):
     """Votes of all pages summed in plain Python choose the same paths; pages whose own best container is another follow them."""
     rng = random.Random(40)
@@ -816,6 +824,9 @@ def test_pipeline_run(spark, sf):
         ("<body><nav><a href='/'>Home</a></nav><div class='page'><h1>The title</h1><p class='lead'>A lead paragraph.</p><div class='post'><p>The text itself goes on for some time, with words.</p></div><div class='box'><a href='x'>a link to another text altogether</a> <a href='y'>and to one more of these</a></div></div></body>", "The title A lead paragraph. The text itself goes on for some time, with words."),
         ("<body><div><h1>Outer</h1><div class='row'><div class='menu-left'>menu</div><div class='entry'><p>Text that is long enough to win the score.</p></div></div></div></body>", "Outer Text that is long enough to win the score."),
         ("<body class='has-sidebar no-comments'><div class='main-content'><p>All the text.</p></div><div id='pageFooter'>foot</div></body>", "All the text."),
+        ("<article><p>Text here.</p><div class='links'><a href='x'>one</a> | <a href='y'>two</a></div><p>More.</p><div class='links'>Words and <a href='z'>a</a> <a href='q'>b</a></div></article>".replace(" | ", " "), "Text here. More. Words and a b"),
+        ("<article><h1>T</h1><p>Text.</p><div id='discussion'><div><span class='author'>Ann</span> <time class='date'>May</time><p>Nice!</p></div><div><span class='author'>Bo</span><p>No.</p></div></div></article>", "T Text."),
+        ("<article><h1>T</h1><p>Text.</p><section id='discussion'><h2>Discussion</h2><p>We discuss the results.</p></section></article>", "T Text. Discussion We discuss the results."),
         ("<article><p>cut <a href=\"x>y\">link</a> in <!-- not > this --> two", "cut link in two"),
     ],
 )
