@@ -233,32 +233,47 @@ def _common_at_least(masks: dict[str, int], full: int, b: str, least: float) ->
     return (full ^ v).bit_count() >= least
 
 
-#: Levels of a character's count that are told apart when counts are compared.
-LEVELS = 8
+#: Levels of a character's count that are told apart by the product of matrices.
+LEVELS = 64
 
 
-def _levels(texts: list[str], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text a row of zeros and ones, a one for each character and level that its count reaches, so that the product of
-    two rows is the sum of the lesser counts; what counts have beyond LEVELS, summed; and the characters that occur at all."""
-    counts = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in texts], np.int32).reshape(len(texts), 128)
-    used = np.flatnonzero(counts.any(0)) if used is None else used
-    rows = (counts[:, used, None] > np.arange(LEVELS)).reshape(len(texts), -1).astype(np.float32)
-    return rows, np.maximum(counts - LEVELS, 0).sum(1), used
+def _counts(texts: list[str]) -> np.ndarray:
+    return np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in texts], np.int32).reshape(len(texts), 128)
+
+
+def _levels(counts: np.ndarray, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of zeros and ones for each character and level that `reached` says occurs, so that the product of two texts' rows
+    is the sum of the lesser counts, but for what counts have beyond LEVELS; and the sum of that."""
+    columns = [(counts[:, c, None] > np.arange(min(n, LEVELS))) for c, n in enumerate(reached.tolist()) if n]
+    return np.concatenate(columns, axis=1).astype(np.float32) if columns else np.zeros((len(counts), 1), np.float32), np.maximum(counts - LEVELS, 0).sum(1)
+
+
+_CODES = np.zeros(128, np.int64)
+_CODES[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 37)
+
+
+def _pairs(texts: list[str]) -> np.ndarray:
+    """How often each pair of neighbouring characters stands in a text."""
+    codes = [_CODES[np.frombuffer(t.encode(), np.uint8)] for t in texts]
+    return np.array([np.bincount(c[:-1] * 37 + c[1:], minlength=37 * 37) for c in codes]).reshape(len(texts), 37 * 37).astype(np.uint16 if max(map(len, texts)) < 65536 else np.int64)
 
 
 def first_near(titles: list[str], candidates: list[str], fits: Callable[[int, int], bool], wanted: float) -> list[tuple[int, int, float]]:
     """(title, candidate, ratio) by their places: for each title the first other candidate in the given order that fits and is alike.
 
     SequenceMatcher matches a common subsequence, so that neither lengths, nor counts of characters, nor the longest common
-    subsequence may fall short of wanted; only what passes all three is given to it. Counts of many pairs are compared by one
-    product of matrices."""
+    subsequence may fall short of wanted. Nor may counts of neighbouring characters: of a text's pairs a character that is not
+    common breaks two, and one of the other text's breaks one, which leaves 3 x common - both lengths - 1 at least. Only what
+    passes all is given to it. Counts of characters are compared by a product of matrices."""
     out: list[tuple[int, int, float]] = []
     if not titles or not candidates:
         return out
     by_length = sorted(range(len(candidates)), key=lambda k: len(candidates[k]))
     places = np.array(by_length)
     sizes = np.array([len(candidates[k]) for k in by_length])
-    y, beyond_y, used = _levels([candidates[k] for k in by_length])
+    held = _counts([candidates[k] for k in by_length])
+    y, beyond_y = _levels(held, held.max(0))
+    held_pairs = _pairs([candidates[k] for k in by_length])
     order = sorted(range(len(titles)), key=lambda k: len(titles[k]))
     for at in range(0, len(order), 256):
         part = [titles[k] for k in order[at : at + 256]]
@@ -266,9 +281,16 @@ def first_near(titles: list[str], candidates: list[str], fits: Callable[[int, in
         lo, hi = np.searchsorted(sizes, [int(n[0] * wanted / (2 - wanted)) - 1, int(n[-1] * (2 - wanted) / wanted) + 2])
         if lo >= hi:
             continue
-        x, beyond_x, _ = _levels(part, used)
+        asked = _counts(part)
+        x, beyond_x = _levels(asked, held.max(0))
         common = x @ y[lo:hi].T + np.minimum(beyond_x[:, None], beyond_y[None, lo:hi])
         enough = 2 * common >= wanted * (n[:, None] + sizes[None, lo:hi]) - 1e-6
+        asked_pairs = _pairs(part)
+        rows, columns = np.nonzero(enough)
+        for k in range(0, len(rows), 4096):
+            i, j = rows[k : k + 4096], columns[k : k + 4096]
+            common = np.minimum(asked_pairs[i], held_pairs[lo + j]).sum(1, dtype=np.int64)
+            enough[i, j] = common >= (1.5 * wanted - 1) * (n[i] + sizes[lo + j]) - 1 - 1e-6
         for row, p in enumerate(part):
             found = np.sort(places[lo:hi][enough[row]])
             masks: dict[str, int] = {}
