@@ -1,8 +1,10 @@
 """Search over positional postings in files.
 
-An index has, for each segment, a table of rows (numbered; kind, item, id, at) and postings partitioned by a hash of the term: a
-row for each term and block of 2^BLOCK rows, with the rows that hold the term (their places in the block), how often, where
-(for each row the first place and the gaps to the next ones, one row's after the other's), and the largest count. hits() reads the terms of its query only; top() first reads the largest counts, which bound what a block can
+An index has, for each segment, a table of rows (numbered; kind, item, id, at) and postings in folders by a hash of the term. A
+row of postings has up to TERMS neighbouring terms of a folder and a block of rows: the terms, for each its largest count and
+the sizes of what follows, the rows that hold it (steps from row to row, then how often), and its places (for each row the
+first place and the gaps to the next ones); all whole numbers stand in seven bits a byte, terms and sizes are compressed. hits() reads the folders of its
+query's words, of them the rows whose first and last term lie around a word, and no places. top() first reads the largest counts, which bound what a block can
 score, and then the postings of those blocks that can still reach the k best. Items are replaced by writing another segment:
 rows of an item in older segments are no hits any more.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,13 @@ from quirelab.operators import search
 from quirelab.session import discard, fresh_path, materialise, ship
 
 #: Rows of a block are 2^BLOCK; postings lie in so many folders of a segment.
-BLOCK, BUCKETS = 6, 64
+BLOCK, BUCKETS = 10, 64
 #: Tokens that are grouped at once, about.
-TOKENS = 1 << 20
-MADE = "term string, block long, most int, rows array<tinyint>, counts array<int>, gaps array<int>"
+TOKENS = 1 << 19
+MADE = "block long, first string, last string, terms binary, sizes binary, coded binary, gaps binary"
 POSTINGS = f"{MADE}, segment int, bucket int"
+#: Terms of a row of postings.
+TERMS = 64
 #: Which kinds of hits a facet counts.
 FACETS = {"body": ("source", "translation", "semantic"), "notes": ("note", "annotation"), "chat": ("chat", "question"), "article": ("article",)}
 FACET_ITEMS = 20
@@ -44,14 +49,16 @@ class Index:
     spark: SparkSession
     path: str
     segments: int
+    bits: int = BLOCK
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
 
     def postings(self, words: Sequence[str]) -> DataFrame:
-        """The postings of these terms: folders and row groups of others are not read."""
-        buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(words)))
+        """Rows of postings that may have these terms: folders, row groups and rows of others are not read."""
+        held = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+        some = [(F.col("bucket") == zlib.crc32(w.encode()) % BUCKETS) & (F.col("first") <= w) & (F.col("last") >= w) for w in words]
+        return held.where(reduce(lambda a, b: a | b, some, F.lit(False)))
 
     def alive(self, rows: DataFrame) -> DataFrame:
         """Of rows (segment, item) those of the newest segment that has the item."""
@@ -61,55 +68,145 @@ class Index:
         return rows.join(newest, rows["item"].eqNullSafe(newest["item"]), "left").where(rows["item"].isNull() | (F.col("segment") == F.col("_newest"))).select(rows["*"])
 
 
-def _blocks(numbers: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch:
-    """Postings of consecutive rows, grouped by block and term."""
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of whole numbers from 0, and where each number's begin (and the end)."""
+    sizes = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(sizes)
+    start = ends - sizes
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        more = np.flatnonzero(sizes > k)
+        out[start[more] + k] = values[more] >> 7 * k & 0x7F | np.where(sizes[more] > k + 1, 0x80, 0)
+    return out, np.append(start, len(out))
+
+
+def unpacked(data: bytes | np.ndarray) -> np.ndarray:
+    """The whole numbers of packed bytes."""
+    data = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(data < 0x80)
+    start = np.append(0, last[:-1] + 1)[: len(last)]
+    out = np.zeros(len(last), np.int64)
+    for k in range(5):
+        more = np.flatnonzero(last - start >= k)
+        out[more] |= (data[start[more] + k] & 0x7F).astype(np.int64) << 7 * k
+    return out
+
+
+def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary column of the bytes from each start to the next."""
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _blocks(numbers: np.ndarray, tokens: pa.ListArray, bits: int) -> pa.RecordBatch:
+    """Postings of consecutive rows: for each block and folder its terms in order, TERMS of them a row."""
     lengths = np.diff(tokens.offsets.to_numpy())
     coded = tokens.flatten().dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
+    words = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+    folder = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
+    order = sorted(range(len(words)), key=lambda k: (folder[k], words[k]))
+    words, folder = [words[k] for k in order], folder[order]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.arange(len(order))
+    code = code[coded.indices.to_numpy()]
     row = np.repeat(numbers, lengths)
     place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order = np.lexsort((place, row, code, row >> BLOCK))
-    code, row, place = code[order], row[order], place[order].astype(np.int32)
+    # Rows and places already go up, so a stable sort by block and term is all.
+    order = (((row >> bits) - (row[0] >> bits if len(row) else 0)) * max(1, len(words)) + code).argsort(kind="stable")
+    code, row, place = code[order], row[order], place[order]
     new_cell, new_row = np.ones(len(code), bool), np.ones(len(code), bool)
-    new_cell[1:] = (code[1:] != code[:-1]) | (row[1:] >> BLOCK != row[:-1] >> BLOCK)
+    new_cell[1:] = (code[1:] != code[:-1]) | (row[1:] >> bits != row[:-1] >> bits)
     new_row[1:] = new_cell[1:] | (row[1:] != row[:-1])
-    gaps = np.diff(place, prepend=np.int32(0))
+    gaps = np.diff(place, prepend=0)
     gaps[new_row] = place[new_row]
     posting = np.flatnonzero(new_row)
-    n = np.diff(posting, append=len(code)).astype(np.int32)
+    n = np.diff(posting, append=len(code))
     cell = np.flatnonzero(new_cell[posting])
+    size = np.diff(cell, append=len(posting))
     first = posting[cell]
-    lists = lambda starts, end, x: pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), pa.array(x))
+    inside = row[posting] & ((1 << bits) - 1)
+    steps = np.diff(inside, prepend=0)
+    steps[cell] = inside[cell]
+    # Each term's steps from row to row, then its counts.
+    at = np.arange(len(posting)) + np.repeat(cell, size)
+    both = np.empty(2 * len(posting), np.int64)
+    both[at], both[at + np.repeat(size, size)] = steps, n
     most = np.maximum.reduceat(n, cell) if len(cell) else n
-    inside = (row[posting] & ((1 << BLOCK) - 1)).astype(np.int8)
-    columns = [coded.dictionary.take(pa.array(code[first])), pa.array(row[first] >> BLOCK), pa.array(most), lists(cell, len(posting), inside), lists(cell, len(posting), n), lists(first, len(code), gaps)]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "most", "rows", "counts", "gaps"])
-
-
-def _write(rows: DataFrame, path: str, segment: int) -> None:
+    term, block = code[first], row[first] >> bits
+    group = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (folder[term[1:]] != folder[term[:-1]]))[: len(cell)])
+    rank = np.arange(len(cell)) - np.repeat(group, np.diff(group, append=len(cell)))
+    chunk = np.flatnonzero(rank % TERMS == 0)
+    said = [words[k] for k in term.tolist()]
+    spelled = np.array([len(w) for w in said], np.int64)
+    rows_data, rows_at = packed(both)
+    gaps_data, gaps_at = packed(gaps)
+    rows_at, gaps_at = np.append(rows_at[2 * cell], len(rows_data)), np.append(gaps_at[first], len(gaps_data))
+    sizes_data, sizes_at = packed(np.stack([spelled, most, np.diff(rows_at), np.diff(gaps_at)], 1).ravel())
+    ends = np.append(chunk[1:], len(cell)) - 1 if len(chunk) else chunk
+    spelled_at = np.cumsum(spelled) - spelled
+    columns = [
+        pa.array(folder[term[chunk]].astype(np.int32)),
+        pa.array(block[chunk]),
+        pa.array([said[k].decode("utf-8", "surrogatepass") for k in chunk.tolist()], pa.string()),
+        pa.array([said[k].decode("utf-8", "surrogatepass") for k in ends.tolist()], pa.string()),
+        _squeezed(b"".join(said), spelled_at[chunk]),
+        _squeezed(sizes_data.tobytes(), sizes_at[4 * chunk]),
+        _binary(rows_data, rows_at[chunk]),
+        _binary(gaps_data, gaps_at[chunk]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "first", "last", "terms", "sizes", "coded", "gaps"])
+
+
+def _squeezed(data: bytes, starts: np.ndarray) -> pa.Array:
+    """A binary column of the bytes from each start to the next, compressed."""
+    return pa.array([zlib.compress(data[a:b], 1) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])], pa.binary())
+
+
+def spelled_out(terms: bytes, sizes: bytes, wanted: set[bytes]) -> Iterator[tuple[bytes, int, slice, slice]]:
+    """Of a row of postings those of the wanted terms: term, largest count, and where its rows and its gaps stand."""
+    terms, table = zlib.decompress(terms), unpacked(zlib.decompress(sizes)).reshape(-1, 4)
+    ends = np.cumsum(table[:, [0, 2, 3]], 0).tolist()
+    at = (0, 0, 0)
+    for end, most in zip(ends, table[:, 1].tolist()):
+        if (word := terms[at[0] : end[0]]) in wanted:
+            yield word, most, slice(at[1], end[1]), slice(at[2], end[2])
+        at = end
+
+
+def rows_of(block: int, coded: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and counts of a term's coded postings in a block."""
+    numbers = unpacked(coded)
+    steps, counts = numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :]
+    return (block << bits) + np.cumsum(steps), counts
+
+
+def _write(rows: DataFrame, path: str, segment: int, bits: int) -> None:
     spark = rows.sparkSession
     ship(spark)
     # Numbers are fixed once the table is written; it goes when the postings are there.
-    numbered = materialise(rows.select("kind", "item", "id", "at", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered = materialise(rows.select("kind", "item", "id", "at", "text").withColumn("row", F.monotonically_increasing_id()), "numbered", "zstd")
     numbered.drop("text").write.parquet(f"{path}/rows/segment={segment}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             ends = np.cumsum(np.diff(batch.column("tokens").offsets.to_numpy()))
+            # Cut where a block ends if one does.
+            border = np.flatnonzero(np.diff(batch.column("row").to_numpy() >> bits)) + 1
             while at < batch.num_rows:
                 before = ends[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
+                whole = border[(border > at) & (border <= to)]
+                to = int(whole[-1]) if len(whole) and to < batch.num_rows else to
                 part = batch.slice(at, to - at)
-                yield _blocks(part.column("row").to_numpy(), pa.ListArray.from_arrays(*_rebased(part.column("tokens"))))
+                yield _blocks(part.column("row").to_numpy(), pa.ListArray.from_arrays(*_rebased(part.column("tokens"))), bits)
                 at = to
 
-    postings = numbered.where("text <> ''").select("row", search.tokens(F.col("text")).alias("tokens")).mapInArrow(run, MADE)
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
+    postings = numbered.where("text <> ''").select("row", search.tokens(F.col("text")).alias("tokens")).mapInArrow(run, f"bucket int, {MADE}")
     # A folder's blocks are dealt to several tasks where there are more tasks than folders, those of a frequent term, too.
     spread = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
-    dealt = postings.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "first", "block")
+    dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     discard(numbered)
 
 
@@ -119,30 +216,58 @@ def _rebased(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     return pa.array((offsets - offsets[0]).astype(np.int32)), lists.flatten()
 
 
-def _scored(postings: DataFrame, words: int) -> DataFrame:
+def _scored(postings: DataFrame, words: Sequence[str], bits: int) -> DataFrame:
     """segment, row, score of the rows that hold every word."""
-    each = postings.select("segment", "block", F.explode(F.arrays_zip("rows", "counts")).alias("e")).select("segment", (F.shiftleft("block", BLOCK) + F.col("e.rows")).alias("row"), F.col("e.counts").alias("n"))
-    return each.groupBy("segment", "row").agg(F.count(F.lit(1)).alias("_words"), F.sum("n").alias("score")).where(F.col("_words") == words).drop("_words")
+    wanted = {w.encode() for w in words}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments, rows, counts = [], [], []
+            for segment, block, terms, sizes, coded in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, _, where, _ in spelled_out(terms, sizes, wanted):
+                    r, n = rows_of(block, coded[where], bits)
+                    segments.append(np.full(len(r), segment, np.int32))
+                    rows.append(r)
+                    counts.append(n)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (segments, rows, counts)], names=["segment", "row", "n"])
+
+    each = postings.select("segment", "block", "terms", "sizes", "coded").mapInArrow(run, "segment int, row long, n long")
+    return each.groupBy("segment", "row").agg(F.count(F.lit(1)).alias("_words"), F.sum("n").alias("score")).where(F.col("_words") == len(words)).drop("_words")
+
+
+def _largest(postings: DataFrame, words: Sequence[str]) -> DataFrame:
+    """segment, block, term, most: the largest counts of the words, without reading rows."""
+    wanted = {w.encode() for w in words}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(segment, block, word.decode(), most) for segment, block, terms, sizes in zip(*(c.to_pylist() for c in batch.columns)) for word, most, _, _ in spelled_out(terms, sizes, wanted)]
+            if out:
+                segments, blocks, terms, most = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(blocks, pa.int64()), pa.array(terms, pa.string()), pa.array(most, pa.int64())], names=["segment", "block", "term", "most"])
+
+    return postings.select("segment", "block", "terms", "sizes").mapInArrow(run, "segment int, block long, term string, most long")
 
 
-def build(rows: DataFrame, path: str | None = None) -> Index:
-    """An index of rows (kind, item, id, at, text) at path, a folder of the shared one if none is given."""
+def build(rows: DataFrame, path: str | None = None, bits: int = BLOCK) -> Index:
+    """An index of rows (kind, item, id, at, text) at path, a folder of the shared one if none is given; 2^bits rows a block."""
     path = path or fresh_path(rows.sparkSession, "postings")
-    _write(rows, path, 0)
-    return Index(rows.sparkSession, path, 1)
+    _write(rows, path, 0, bits)
+    return Index(rows.sparkSession, path, 1, bits)
 
 
 def replace(index: Index, rows: DataFrame) -> Index:
     """The index after all rows of the items that rows have are replaced by them (an item's new revision)."""
-    _write(rows, index.path, index.segments)
-    return Index(index.spark, index.path, index.segments + 1)
+    _write(rows, index.path, index.segments, index.bits)
+    return Index(index.spark, index.path, index.segments + 1, index.bits)
 
 
 def hits(index: Index, raw_query: str) -> DataFrame:
     """kind, item, id, at, score, segment, row: as search.match finds them, without reading a text."""
     words = search.query_tokens(raw_query)
     # Without words no folder is asked for.
-    return index.alive(index.rows().join(_scored(index.postings(words), len(words)), ["segment", "row"]))
+    return index.alive(index.rows().join(_scored(index.postings(words), words, index.bits), ["segment", "row"]))
 
 
 def top(index: Index, raw_query: str, k: int) -> tuple[DataFrame, dict[str, int]]:
@@ -155,11 +280,11 @@ def top(index: Index, raw_query: str, k: int) -> tuple[DataFrame, dict[str, int]
     order = [F.desc("score"), F.desc_nulls_last("at"), F.col("id"), F.col("kind")]
     postings = index.postings(words)
     # Parts of a block that two tasks have written count as one.
-    bounds = postings.groupBy("segment", "block", "term").agg(F.max("most").alias("most")).groupBy("segment", "block").agg(F.count(F.lit(1)).alias("_words"), F.sum("most").alias("bound"))
+    bounds = _largest(postings, words).groupBy("segment", "block", "term").agg(F.max("most").alias("most")).groupBy("segment", "block").agg(F.count(F.lit(1)).alias("_words"), F.sum("most").alias("bound"))
     bounds = materialise(bounds.where(F.col("_words") == len(words)).drop("_words"), "bounds")
 
     def read(blocks: DataFrame) -> DataFrame:
-        found = _scored(postings.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi"), len(words))
+        found = _scored(postings.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi"), words, index.bits)
         return index.alive(index.rows().join(found, ["segment", "row"])).orderBy(*order).limit(k)
 
     first = read(bounds.orderBy(F.desc("bound"), "segment", "block").limit(k)).collect()

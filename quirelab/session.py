@@ -69,13 +69,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that lineage ends here and no result is computed twice.
 
     Tables that a returned DataFrame still reads stay until cleanup()."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelab_path = path
     return out

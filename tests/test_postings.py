@@ -3,6 +3,7 @@
 import random
 from functools import reduce
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def test_hits_are_those_of_match(spark, sf):
     for raw in ("from that", "that", "theation", "The  the", "src1 (AND)", "--", "nowhere_in_it"):
         assert listed(ops.hits(index, raw), "kind", "item", "id", "score") == listed(search.match(rows, "text", raw), "kind", "item", "id", "score"), raw
     plan = ops.hits(index, "from that")._jdf.queryExecution().toString()
-    # Only the folders of the words' hashes, only their terms, and no places.
-    assert "PartitionFilters: [bucket" in plan and "In(term, [from,that])" in plan and "gaps" not in plan.split("ReadSchema")[1].split("\n")[0]
+    # Only the folders of the words' hashes, only rows around them, and no places.
+    assert "PartitionFilters: [bucket" in plan.replace("((", "").replace("[(", "[") and "LessThanOrEqual(first,from)" in plan and "gaps" not in plan.split("ReadSchema")[1].split("\n")[0]
     for raw, k in (("that", 5), ("from that", 3), ("the", 1), ("the", 10_000), ("none_at_all", 4)):
         best, counts = ops.top(index, raw, k)
         wanted = sorted(((-r["score"], -r["at"].timestamp(), r["id"], r["kind"]) for r in search.match(rows, "text", raw).collect()))[:k]
@@ -39,7 +40,7 @@ def test_hits_are_those_of_match(spark, sf):
 
 def test_blocks_are_skipped(spark):
     rng = random.Random(4)
-    index = ops.build(made(spark, [("source", k, k, " ".join(["word"] * (1 + (k % 400 == 7) * 9 + rng.randint(0, 2)) + ["x"])) for k in range(4000)]))
+    index = ops.build(made(spark, [("source", k, k, " ".join(["word"] * (1 + (k % 400 == 7) * 9 + rng.randint(0, 2)) + ["x"])) for k in range(4000)]), bits=6)
     best, counts = ops.top(index, "word", 5)
     assert best.count() == 5 and counts["blocks"] >= 60 and counts["read"] <= 12
 
@@ -48,18 +49,30 @@ def test_places_are_kept(spark):
     texts = ["a b a  a-c", "c", "b a"]
     index = ops.build(made(spark, [("source", k, k, t) for k, t in enumerate(texts)]).coalesce(1))
     found = {}
-    for r in index.postings(["a", "b", "c"]).collect():
-        gaps = iter(r["gaps"])
-        for row, n in zip(r["rows"], r["counts"]):
-            at, places = 0, []
-            for _ in range(n):
-                at += next(gaps)
-                places.append(at)
-            found[r["term"], row] = places
-        assert r["most"] == max(r["counts"])
+    for r in index.postings(["a", "b", "c"]).distinct().collect():
+        for word, most, where, there in ops.spelled_out(bytes(r["terms"]), bytes(r["sizes"]), {b"a", b"b", b"c"}):
+            gaps = iter(ops.unpacked(bytes(r["gaps"])[there]).tolist())
+            rows, counts = ops.rows_of(r["block"], bytes(r["coded"])[where], index.bits)
+            for row, n in zip(rows.tolist(), counts.tolist()):
+                at, places = 0, []
+                for _ in range(n):
+                    at += next(gaps)
+                    places.append(at)
+                found[word.decode(), row] = places
+            assert most == max(counts)
     assert found == {("a", 0): [0, 2, 3], ("b", 0): [1], ("c", 0): [4], ("c", 1): [0], ("b", 2): [0], ("a", 2): [1]}
 
 
+def test_numbers_are_packed():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(0, 1 << b, 200) for b in (1, 7, 8, 14, 21, 28, 31)] + [[0, 127, 128, (1 << 31) - 1]])
+    data, at = ops.packed(values)
+    assert ops.unpacked(data).tolist() == values.tolist() and at[-1] == len(data)
+    assert len(ops.unpacked(ops.packed(np.empty(0, np.int64))[0])) == 0
+    rows, counts = ops.rows_of(9, ops.packed(np.array([5, 1, 40, 3, 1, 200]))[0].tobytes(), 6)
+    assert rows.tolist() == [581, 582, 622] and counts.tolist() == [3, 1, 200]
+
+
 def test_replaced_items_and_odd_rows(spark):
     old = [("source", k, k, f"alpha beta {'alpha ' * (k % 3)}") for k in range(200)] + [("note", 1, 1000, "alpha"), ("note", None, 1001, "alpha beta"), ("note", 2, 1002, None), ("note", 2, 1003, ""), ("chat", 3, None, "ALPHA-beta"), ("source", 5, 5, "alpha beta"), ("source", 6, 6, "日本 alpha ñ")]
     new = [("source", 1, 1, "gamma beta"), ("source", 2, 2, ""), ("note", 300, 1, "beta alpha alpha"), ("note", None, 7, "alpha")]
