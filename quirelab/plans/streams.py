@@ -18,12 +18,12 @@ def stream_weekly_buckets(spark, sf):
 
 @query(f"WITH {SESSIONS} SELECT event_id, greatest(0, seconds - coalesce(lag(seconds) OVER (PARTITION BY user_id, kind ORDER BY event_id), 0)) AS delta FROM sessions")
 def stream_heartbeat_delta(spark, sf):
-    return ops.run_once(ops.heartbeat_deltas(ops.read_events(spark, sf)), "heartbeats")
+    return ops.run_batches(ops.read_events(spark, sf), "heartbeats", ops.heartbeat_deltas)
 
 
 @query(f"WITH {SESSIONS} SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) ORDER BY ts, event_id) <= 3 AS allowed FROM sessions")
 def stream_rate_limit(spark, sf):
-    return ops.run_once(ops.rate_limited(ops.read_events(spark, sf), 86400, 3), "limits")
+    return ops.run_batches(ops.read_events(spark, sf), "limits", lambda fresh, state: ops.rate_limited(fresh, state, 86400, 3))
 
 
 @query(f"WITH {SESSIONS} SELECT DISTINCT user_id, kind FROM sessions")
