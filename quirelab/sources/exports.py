@@ -39,10 +39,16 @@ def ascii_slug(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(text, "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ", "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy")), "[^a-z0-9]", "")
 
 
+def character(code: Column) -> Column:
+    """The character of a Unicode code point (`char` takes it modulo 256); surrogates, which are no characters, are passed over."""
+    code = F.when(code >= 0xD800, code + 0x800).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def suffix(n: Column) -> Column:
     """Nothing for 1, then a to z, then aa, ab …"""
     k = n - 2
-    letter = lambda x: F.char(F.lit(97) + x.cast("int"))
+    letter = lambda x: character(F.lit(97) + x.cast("int"))
     return F.when(n <= 1, "").when(k < 26, letter(k)).otherwise(F.concat(letter(F.floor(k / 26) - 1), letter(k % 26)))
 
 
