@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelab.session import materialise
+from quirelab.session import materialise, ship
 
 #: Words that say nothing about a claim. Fixed values of this library's own.
 COMMON = ("the", "and", "for", "that", "with")
@@ -96,26 +100,116 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
-#: Query vectors that are broadcast at once.
-QUERIES_AT_ONCE = 1000
+#: Vectors and queries on the two sides of a tile, and how many vectors of it are multiplied at once.
+ROWS, QUERIES, AT_ONCE = 8192, 2048, 1024
+#: What a product of matrices can differ from a sum in order, of vectors of length one.
+ROUNDING = 1e-9
+
+
+def _units(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of components: places of the vectors without nulls, and these vectors over their lengths, in rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        places = np.nonzero(sizes == n)[0]
+        flat = pc.list_flatten(column.take(pa.array(places))).cast(pa.float64())
+        whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n).any(axis=1) if n else np.ones(len(places), bool)
+        v = flat.to_numpy(zero_copy_only=False).reshape(len(places), n)[whole]
+        norm = np.sqrt(_in_order(v, v))
+        out[n] = places[whole], v / np.where(norm == 0, 1.0, norm)[:, None]
+    return out
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added from the first component to the last, so that equal vectors have equal products everywhere."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _tile_nearest(queries: pa.Table, rows: pa.Table, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score, scored) by places: the tile's top_k rows of each query, with scores of pairs that have one first.
+
+    A product of matrices finds what may be among them; their scores are then added in order."""
+    rank = np.empty(rows.num_rows, np.int64)
+    rank[pc.sort_indices(rows["id"].combine_chunks()).to_numpy()] = np.arange(rows.num_rows)
+    by_rank = np.argsort(rank)
+    ids, own = rows["id"].to_pylist(), {}
+    query_ids = queries["id"].to_pylist()
+    for k, i in enumerate(query_ids):
+        own.setdefault(i, []).append(k)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    held = _units(rows["v"])
+    size = np.full(queries.num_rows, -1)
+    for n, (q_at, q) in _units(queries["v"]).items():
+        size[q_at] = n
+        x_at, x = held.get(n, (np.zeros(0, np.int64), np.zeros((0, n))))
+        place = {int(p): k for k, p in enumerate(q_at)}
+        least = np.full(len(q), -np.inf)
+        for at in range(0, len(x), AT_ONCE):
+            part, part_at = x[at : at + AT_ONCE], x_at[at : at + AT_ONCE]
+            s = q @ part.T
+            odd = ~np.isfinite(s)
+            s[odd] = -np.inf
+            allowed = np.ones(s.shape, bool)
+            for j, p in enumerate(part_at.tolist()):
+                for k in own.get(ids[p], ()):
+                    if k in place:
+                        allowed[place[k], j] = False
+            s[~allowed] = -np.inf
+            if s.shape[1] >= top_k:
+                least = np.maximum(least, np.partition(s, -top_k, axis=1)[:, -top_k])
+            i, j = np.nonzero(((s >= least[:, None] - ROUNDING) | odd) & allowed)
+            for k in range(0, len(i), 1 << 16):
+                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                found.append(_best(q_at[a], part_at[b], _in_order(q[a], part[b]), rank, top_k))
+        found = [_best(*(np.concatenate(c) for c in zip(*found)), rank, top_k)]
+    i, j, s = found[0] if len(found) == 1 else _best(*(np.concatenate(c) for c in zip(*found)), rank, top_k)
+    # Pairs without a score come last, by id.
+    lengths = np.full(rows.num_rows, -1)
+    for n, (x_at, _) in held.items():
+        lengths[x_at] = n
+    counts = np.bincount(i, minlength=queries.num_rows)
+    more = []
+    for k in np.nonzero(counts < top_k)[0].tolist():
+        unscored = (p for p in by_rank.tolist() if (size[k] < 0 or lengths[p] != size[k]) and ids[p] != query_ids[k])
+        more += [(k, p) for p in islice(unscored, top_k - int(counts[k]))]
+    more = np.array(more, np.int64).reshape(-1, 2)
+    scored = np.concatenate([np.ones(len(i), bool), np.zeros(len(more), bool)])
+    return np.concatenate([i, more[:, 0]]), np.concatenate([j, more[:, 1]]), np.concatenate([s, np.zeros(len(more))]), scored
+
+
+def _best(i: np.ndarray, j: np.ndarray, s: np.ndarray, rank: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, row, score) the top_k of each query: scores that are no numbers first, as Spark sorts them, ties by rank."""
+    order = np.lexsort((rank[j], -s, ~np.isnan(s), i))
+    i, j, s = i[order], j[order], s[order]
+    starts = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], np.arange(len(i)), 0)) if len(i) else i
+    keep = np.arange(len(i)) - starts < top_k
+    return i[keep], j[keep], s[keep]
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, top_k: int) -> DataFrame:
     """(query_id, id, similarity, rank): exact neighbours of each query vector, itself excluded, ties by id.
 
-    Spark keeps each partition's own top_k of each query before it shuffles (WindowGroupLimit), so what moves is queries x
-    partitions x top_k rows, whatever the number of vectors."""
-    n = queries.count()
-    parts = max(1, -(-n // QUERIES_AT_ONCE))
-    # Vectors are scaled once, so that a pair costs one product; a zero vector has cosine 0 with all.
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.coalesce(F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)), F.lit(1.0)))
-    queries, rows = (r.select(id_col, unit(F.col(vector_col)).alias(vector_col)) for r in (queries, rows))
-    out = None
-    for k in range(parts):
-        part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == k).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
-        pairs = rows.join(F.broadcast(part), F.lit(True))
-        pairs = pairs.where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, dot(F.col("_q"), F.col(vector_col)).alias("_s"))
-        out = pairs if out is None else out.unionByName(pairs)
+    All pairs are compared, in tiles of bounded size that are dealt to tasks; what a tile gives is its top_k of each query. A zero
+    vector has cosine 0 with all. Pairs with a null vector or component, or of different numbers of components, have no cosine
+    and come last. Null ids are in no pair."""
+    ship(rows.sparkSession)
+    sides = [r.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")) for r in (queries, rows)]
+    n, m = (max(1, -(-side.count() // size)) for side, size in zip(sides, (QUERIES, ROWS)))
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left, right = sides[0].select("id", "v", own(n).alias("i"), every(m).alias("j")), sides[1].select("id", "v", own(m).alias("j"), every(n).alias("i"))
+
+    def compare(asking: pa.Table, held: pa.Table) -> pa.Table:
+        with np.errstate(all="ignore"):
+            i, j, s, scored = _tile_nearest(asking, held, top_k)
+        return pa.table([asking["id"].take(pa.array(i)), held["id"].take(pa.array(j)), pa.array(s, pa.float64(), mask=~scored)], names=["query_id", id_col, "_s"])
+
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, `{id_col}` {rows.schema[id_col].dataType.simpleString()}, _s double"
+    out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(compare, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("_s"), id_col)
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k).select("query_id", id_col, F.round("_s", 6).alias("similarity"), "rank")
 
