@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from quirelab.operators.walks import walked
 
 #: Words that are headings by themselves. Fixed values.
 HEADINGS = ("abstract", "introduction", "related work", "method", "methods", "results", "discussion", "conclusion", "conclusions", "references", "acknowledgments", "appendix")
@@ -99,18 +104,22 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     line heights, or a line is indented by more than 8 points against the paragraph's first line.
 
     The last rule looks at the current group's first line, so each document's lines are walked in order."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
-        out, paragraph, above, first_x = [], -1, None, 0.0
-        for r in rows.itertuples():
-            if above is None or r.page != above.page or not 0 <= r.y - above.y - r.height <= 0.9 * r.height or r.x - first_x > 8:
-                paragraph, first_x = paragraph + 1, r.x
-            out.append(paragraph)
-            above = r
-        return pd.DataFrame({"doc_id": rows["doc_id"], "position": rows["position"], "paragraph": out})
-
-    return lines.select("doc_id", "position", "page", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("height").cast("double").alias("height")).groupBy("doc_id").applyInPandas(walk, "doc_id long, position int, paragraph int")
+    def begin() -> Callable:
+        paragraph, above, first_x = -1, None, 0.0
+
+        def step(*values) -> int:
+            nonlocal paragraph, above, first_x
+            # A missing value equals none, so that a line without page, place or height begins a paragraph.
+            page, x, y, height = (math.nan if v is None else v for v in values)
+            if above is None or page != above[0] or not 0 <= y - above[1] - height <= 0.9 * height or x - first_x > 8:
+                paragraph, first_x = paragraph + 1, x
+            above = page, y
+            return paragraph
+
+        return step
+
+    rows = lines.select("doc_id", "position", "page", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "height")))
+    return walked(rows, "doc_id", [F.col("position").asc_nulls_last()], ["page", "x", "y", "height"], begin, "paragraph", IntegerType()).select("doc_id", "position", "paragraph")
 
 
 def continued_paragraphs(rows: DataFrame) -> DataFrame:
