@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelab.operators.walks import walked, within
+
 #: Block kinds that are translated. Fixed values.
 TRANSLATED = ("paragraph", "heading", "figure", "table", "list", "quote", "theorem", "footnote")
 
@@ -77,34 +80,26 @@ def verified_quotes(quotes: DataFrame, wanted: float = 0.8) -> DataFrame:
 def promoted_sections(sections: DataFrame, budget: int) -> DataFrame:
     """promoted: of (doc_id, section, anchored, matches, tokens), those that fit the budget; anchored ones first, then by
     matches, then by place, and a section that does not fit is skipped, not the end."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_a=~rows["anchored"], _m=-rows["matches"]).sort_values(["_a", "_m", "section"])
-        left, out = budget, []
-        for t in rows["tokens"]:
-            fits = t <= left
-            left -= t if fits else 0
-            out.append(fits)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "section": rows["section"], "promoted": out})
-
-    return sections.groupBy("doc_id").applyInPandas(choose, "doc_id long, section int, promoted boolean")
+    found = walked(sections, "doc_id", [F.desc("anchored"), F.desc("matches"), "section"], ["tokens"], within(budget), "promoted", T.BooleanType())
+    return found.select("doc_id", "section", "promoted")
 
 
 def assigned_pairs(pairs: DataFrame) -> DataFrame:
     """Of (doc_id, a, b, score), a one-to-one choice: the best score first, ties by a, then b."""
+    def begin() -> Callable:
+        seen_a, seen_b = set(), set()
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        seen_a, seen_b, keep = set(), set(), []
-        for a, b in zip(rows["a"], rows["b"]):
+        def step(a, b) -> bool:
             ok = a not in seen_a and b not in seen_b
             if ok:
                 seen_a.add(a)
                 seen_b.add(b)
-            keep.append(ok)
-        return rows[keep]
+            return ok
+
+        return step
 
-    return pairs.groupBy("doc_id").applyInPandas(choose, pairs.schema)
+    order = [F.desc("score"), F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()]
+    return walked(pairs, "doc_id", order, ["a", "b"], begin, "_chosen", T.BooleanType()).where("_chosen").drop("_chosen")
 
 
 def claims(blocks: DataFrame, cues: tuple[str, ...], top_n: int = 30) -> DataFrame:
