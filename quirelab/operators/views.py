@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quirelab.operators.search import ranked
+from quirelab.operators.walks import walked, within
 
 #: Licence policies: whether figures may be embedded, a credit is needed, and the same licence must be given. Fixed values.
 LICENCES = (
@@ -119,16 +120,8 @@ def slide_material(blocks: DataFrame, ranks: dict[str, int], budget: int) -> Dat
     """(doc_id, position): blocks by their section's rank and place while the characters last, skipping what does not fit."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), F.col("kind")), F.lit(99))
     rows = blocks.select("doc_id", "position", rank.alias("rank"), F.length("text").alias("n"))
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        part = part.sort_values(["rank", "position"])
-        for n in part["n"]:
-            keep.append(n <= left)
-            left -= n if n <= left else 0
-        return part.loc[keep, ["doc_id", "position"]].sort_values("position")
-
-    return rows.groupBy("doc_id").applyInPandas(choose, "doc_id long, position int")
+    chosen = walked(rows, "doc_id", ["rank", F.col("position").asc_nulls_last()], ["n"], within(budget), "chosen", BooleanType())
+    return chosen.where("chosen").select("doc_id", "position")
 
 
 def rendered_context(blocks: DataFrame) -> DataFrame:
