@@ -20,8 +20,10 @@ from quirelab.session import discard, materialise, ship
 #: Thresholds of the fuzzy rules, and the sizes of a batch.
 FUZZY_TITLE, CARRY_OVER, PDF_SYNC, QUOTE = 0.92, 0.90, 0.85, 0.8
 BATCH_BLOCKS, BATCH_TOKENS = 8, 2800
-#: Titles in a tile of comparisons.
-TITLES = 4_000
+#: Titles in a tile of comparisons, and their characters, about.
+TITLES, TITLE_CHARS = 16_000, 4_000_000
+#: Tasks that tiles are dealt to at most.
+MOST_TASKS = 20_000
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
 
@@ -223,57 +225,79 @@ def reference_fields(text: Column) -> dict[str, Column]:
 
 def _common_at_least(masks: dict[str, int], full: int, b: str, least: float) -> bool:
     """Whether the longest common subsequence of b and the text of the masks has `least` characters; bit-parallel, and given up
-    as soon as what is left of b cannot make up for what is missing."""
-    v = full
+    as soon as what is left of b cannot make up for what is missing. With so many in common the first k characters of b have
+    theirs among the first k of the text and as many more as the text may leave out."""
+    v, out, get = full, int(full.bit_length() - least), masks.get
     for k, c in enumerate(b, 1):
-        u = v & masks.get(c, 0)
+        u = v & get(c, 0)
         v = (v + u | v - u) & full
-        if not k & 31 and (full ^ v).bit_count() + len(b) - k < least:
-            return False
+        if not k & 15:
+            reach = full >> max(0, full.bit_length() - k - out)
+            if (reach ^ v & reach).bit_count() + len(b) - k < least:
+                return False
     return (full ^ v).bit_count() >= least
 
 
-#: Levels of a character's count that are told apart by the product of matrices.
-LEVELS = 64
-
-
 def _counts(texts: list[str]) -> np.ndarray:
     return np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in texts], np.int32).reshape(len(texts), 128)
 
 
-def _levels(counts: np.ndarray, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A column of zeros and ones for each character and level that `reached` says occurs, so that the product of two texts' rows
-    is the sum of the lesser counts, but for what counts have beyond LEVELS; and the sum of that."""
-    columns = [(counts[:, c, None] > np.arange(min(n, LEVELS))) for c, n in enumerate(reached.tolist()) if n]
-    return np.concatenate(columns, axis=1).astype(np.float32) if columns else np.zeros((len(counts), 1), np.float32), np.maximum(counts - LEVELS, 0).sum(1)
+def _levels(counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A column of zeros and ones for each character and level from low to high, so that the product of two texts' rows is the sum
+    of the lesser counts between them."""
+    columns = [counts[:, c, None] > np.arange(low[c], high[c]) for c in np.flatnonzero(high > low).tolist()]
+    return np.concatenate(columns, axis=1).astype(np.float32) if columns else np.zeros((len(counts), 0), np.float32)
 
 
-_CODES = np.zeros(128, np.int64)
-_CODES[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 37)
+#: Neighbouring characters that are counted together.
+GRAM = 4
 
 
-def _pairs(texts: list[str]) -> np.ndarray:
-    """How often each pair of neighbouring characters stands in a text."""
-    codes = [_CODES[np.frombuffer(t.encode(), np.uint8)] for t in texts]
-    return np.array([np.bincount(c[:-1] * 37 + c[1:], minlength=37 * 37) for c in codes]).reshape(len(texts), 37 * 37).astype(np.uint16 if max(map(len, texts)) < 65536 else np.int64)
+def _grams(texts: list[str], places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the place of each GRAM neighbouring characters, hashed into a power of two of places."""
+    lengths = np.array([len(t) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8).astype(np.uint32)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    start = np.flatnonzero(inside + GRAM <= np.repeat(lengths, lengths))
+    code = np.zeros(len(start), np.uint32)
+    for k in range(GRAM):
+        code = code << np.uint32(8) | data[start + k]
+    return text[start], (code * np.uint32(0x9E3779B1) >> np.uint32(33 - places.bit_length())).astype(np.int64)
 
 
 def first_near(titles: list[str], candidates: list[str], fits: Callable[[int, int], bool], wanted: float) -> list[tuple[int, int, float]]:
     """(title, candidate, ratio) by their places: for each title the first other candidate in the given order that fits and is alike.
 
     SequenceMatcher matches a common subsequence, so that neither lengths, nor counts of characters, nor the longest common
-    subsequence may fall short of wanted. Nor may counts of neighbouring characters: of a text's pairs a character that is not
-    common breaks two, and one of the other text's breaks one, which leaves 3 x common - both lengths - 1 at least. Only what
-    passes all is given to it. Counts of characters are compared by a product of matrices."""
+    subsequence may fall short of wanted. Nor may counts of GRAM neighbouring characters: what is common stands in one run more
+    than characters are not, at most, and a run of r characters has r - GRAM + 1 of them. In a candidate of 200 characters or more
+    SequenceMatcher begins no run at a character that makes up more than a hundredth of it (autojunk), but for one run at the
+    very beginning, so that runs are no more than the rarer characters in common and one. Hashed places can only add to what
+    seems common. Only what passes all is given to it. Counts of characters are compared by a product of matrices."""
     out: list[tuple[int, int, float]] = []
     if not titles or not candidates:
         return out
     by_length = sorted(range(len(candidates)), key=lambda k: len(candidates[k]))
     places = np.array(by_length)
-    sizes = np.array([len(candidates[k]) for k in by_length])
-    held = _counts([candidates[k] for k in by_length])
-    y, beyond_y = _levels(held, held.max(0))
-    held_pairs = _pairs([candidates[k] for k in by_length])
+    texts = [candidates[k] for k in by_length]
+    sizes = np.array([len(t) for t in texts])
+    held = _counts(texts)
+    # Levels that nearly all candidates reach are taken as reached; what few have beyond the highest ones counts as a sum.
+    low, high = (np.partition(held, k, axis=0)[k] for k in (len(held) // 50, len(held) - 1 - len(held) // 50))
+    beyond_y = np.maximum(held - high, 0).sum(1).astype(np.float32)
+    short = (wanted / 2 * sizes).astype(np.float32)
+    y = np.concatenate([_levels(held, low, high), np.ones((len(held), 1), np.float32), -short[:, None]], axis=1)
+    spread = 1 << min(15, max(11, int(26 * sizes.mean()).bit_length()))
+    text, gram = _grams(texts, spread)
+    grams = np.zeros((spread, len(texts)), np.uint8)
+    np.add.at(grams, (gram, text), 1)
+    if int(grams.sum(dtype=np.int64)) != len(gram):
+        grams = np.zeros((spread, len(texts)), np.int32)
+        np.add.at(grams, (gram, text), 1)
+    used = np.flatnonzero(held.any(0))
+    rarer = held[:, used]
+    rarer = np.where((rarer <= sizes[:, None] // 100 + 1) | (sizes[:, None] < 200), rarer, 0)
     order = sorted(range(len(titles)), key=lambda k: len(titles[k]))
     for at in range(0, len(order), 256):
         part = [titles[k] for k in order[at : at + 256]]
@@ -282,19 +306,32 @@ def first_near(titles: list[str], candidates: list[str], fits: Callable[[int, in
         if lo >= hi:
             continue
         asked = _counts(part)
-        x, beyond_x = _levels(asked, held.max(0))
-        common = x @ y[lo:hi].T + np.minimum(beyond_x[:, None], beyond_y[None, lo:hi])
-        enough = 2 * common >= wanted * (n[:, None] + sizes[None, lo:hi]) - 1e-6
-        asked_pairs = _pairs(part)
-        rows, columns = np.nonzero(enough)
-        for k in range(0, len(rows), 4096):
-            i, j = rows[k : k + 4096], columns[k : k + 4096]
-            common = np.minimum(asked_pairs[i], held_pairs[lo + j]).sum(1, dtype=np.int64)
-            enough[i, j] = common >= (1.5 * wanted - 1) * (n[i] + sizes[lo + j]) - 1 - 1e-6
+        base = np.minimum(asked, low).sum(1) - wanted / 2 * n
+        x = np.concatenate([_levels(asked, low, high), base[:, None].astype(np.float32), np.ones((len(part), 1), np.float32)], axis=1)
+        slack = x @ y[lo:hi].T
+        beyond_x = np.maximum(asked - high, 0).sum(1).astype(np.float32)
+        for row in np.flatnonzero(beyond_x).tolist():
+            slack[row] += np.minimum(beyond_x[row], beyond_y[lo:hi])
+        # Single precision: far less than this for titles of any length.
+        enough = slack >= -0.01 - 1e-6 * sizes[hi - 1]
+        text, gram = _grams(part, spread)
+        ends = np.searchsorted(text, np.arange(len(part) + 1))
         for row, p in enumerate(part):
-            found = np.sort(places[lo:hi][enough[row]])
+            found = np.flatnonzero(enough[row])
+            found = found[2 * np.minimum(n[row], sizes[lo + found]) >= wanted * (n[row] + sizes[lo + found]) - 1e-6]
+            # A title itself, and titles too short to have so many grams, pass without a count.
+            both = n[row] + sizes[lo + found]
+            runs = np.minimum((1 - wanted) * both, np.minimum(asked[row, used], rarer[lo + found]).sum(1)) + 1
+            least = wanted / 2 * both - (GRAM - 1) * runs - 1e-6
+            if len(found) and least.max() > 0:
+                kinds, times = np.unique(gram[ends[row] : ends[row + 1]], return_counts=True)
+                common = np.zeros(len(found), np.int64)
+                for k in range(0, len(kinds), 512):
+                    some = grams[kinds[k : k + 512, None], (lo + found)[None, :]]
+                    common += np.minimum(some, times[k : k + 512, None].astype(np.int32) if grams.dtype != np.uint8 else np.minimum(times[k : k + 512, None], 255).astype(np.uint8)).sum(0, dtype=np.int64)
+                found = found[common >= least]
             masks: dict[str, int] = {}
-            for j in found.tolist():
+            for j in np.sort(places[lo + found]).tolist():
                 q = candidates[j]
                 if p == q or not fits(order[at + row], j):
                     continue
@@ -314,9 +351,11 @@ def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, yea
 
     Rows of equal surname, title and year are one class, so that copies are never compared. The titles of a surname are looked
     for within bands of length between which the ratio cannot reach `wanted`; bands of many titles are dealt to tiles of about
-    TITLES, in which a title's search ends with the first hit. A row without a surname or title has no duplicate; titles
+    TITLES or TITLE_CHARS, in which a title's search ends with the first hit. There are as many tasks as tiles of cut bands, so
+    that more titles make more tasks, not longer ones. A row without a surname or title has no duplicate; titles
     without letters or digits are all equal. Ids are taken to be unique; a null id is nobody's first one."""
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     normal = F.trim(F.regexp_replace(F.lower(nfkc(title)), "[^a-z0-9]+", " "))
     sorted_tokens = F.array_join(F.array_sort(F.split(normal, " ")), " ")
     base = rows.select(F.col(id_col).alias("id"), sorted_tokens.alias("t"), F.lower(surname).alias("s"), F.col(year).cast("int").alias("y"))
@@ -331,8 +370,10 @@ def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, yea
     band = F.floor(F.log(F.length("t")) / math.log((2 - wanted) / wanted * 1.0001)).cast("int")
     titles = classes.where("t <> ''").withColumn("band", band)
     sides = lambda c: F.explode(F.array(*(c + F.lit(k) for k in (-1, 0, 1))))
-    sizes = titles.groupBy("s", "band").agg(F.count(F.lit(1)).alias("n")).select("s", "n", sides(F.col("band")).alias("g"))
-    sizes = sizes.groupBy("s", "g").agg(F.ceil(F.sum("n") / TITLES).cast("int").alias("k"))
+    sizes = titles.groupBy("s", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("c")).select("s", "n", "c", sides(F.col("band")).alias("g"))
+    sizes = materialise(sizes.groupBy("s", "g").agg(F.ceil(F.greatest(F.sum("n") / TITLES, F.sum("c") / TITLE_CHARS)).cast("int").alias("k")), "title-bands")
+    cut = sizes.where("k > 1").agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(cut, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # A band's titles search their own band and the two beside it.
     role = lambda shift, asks: F.struct((F.col("band") + shift).alias("g"), F.lit(asks).alias("asks"))
     placed = titles.select(*key, "t", "first", F.explode(F.array(role(0, True), *(role(k, False) for k in (-1, 0, 1)))).alias("r")).select(*key, "t", "first", "r.*").join(sizes, ["s", "g"])
@@ -351,7 +392,7 @@ def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, yea
         left, right = pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())
         return pa.table([*(asking[c].take(left) for c in key), held["first"].take(right), pa.array([x[2] for x in found], pa.float64())], names=[*key, "other", "ratio"])
 
-    hits = tiles.groupBy("s", "g", "i", "j").applyInArrow(compare, f"s string, h string, y int, other {id_type}, ratio double")
+    hits = tiles.repartition(tasks, "s", "g", "i", "j").groupBy("s", "g", "i", "j").applyInArrow(compare, f"s string, h string, y int, other {id_type}, ratio double")
     # Equal titles of other years.
     b = classes.select(F.col("s").alias("b_s"), F.col("h").alias("b_h"), F.col("y").alias("b_y"), F.col("first").alias("other"))
     beside = F.col("y").isNull() | F.col("b_y").isNull() | (F.abs(F.col("y") - F.col("b_y")) <= 1)
@@ -366,6 +407,7 @@ def fuzzy_duplicates(rows: DataFrame, id_col: str, title: str, surname: str, yea
     nearer = F.col("twin").isNotNull() & (F.col("other").isNull() | (F.col("twin") < F.col("other")))
     out = out.withColumn("twin", twin).select(F.col("id").alias(id_col), F.when(nearer, F.col("twin")).otherwise(F.col("other")).alias("first_id"), F.when(nearer, F.lit(1.0)).otherwise(F.round("ratio", 6)).alias("ratio"))
     discard(classes)
+    discard(sizes)
     return out
 
 

@@ -188,6 +188,23 @@ def test_fuzzy_duplicates_against_all_pairs(spark, sf, monkeypatch):
     assert documents.fuzzy_duplicates(rows_.limit(0), "id", "t", "s", "y").count() == 0
 
 
+def test_few_titles_of_one_vocabulary_are_compared_in_full(monkeypatch):
+    rng = random.Random(5)
+    syllables = ["th", "er", "ing", "on", "an", "ti", "re", "ed", "ou", "ha", "ble", "wh", "st", "nd", "en"]
+    titles = [" ".join(sorted("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(100))) for _ in range(120)]
+    titles += [t[:-9] for t in titles[:5]] + [t[:190] for t in titles[:5]] + [t[:93] + t[96:190] for t in titles[:5]] + ["a" * 600, "a" * 599 + "b", "abc", "abcd"]
+    wanted = {}
+    for i, t in enumerate(titles):
+        for j, u in enumerate(titles):
+            if t != u and i not in wanted and (m := SequenceMatcher(None, t, u)).quick_ratio() >= 0.92 and m.ratio() >= 0.92:
+                wanted[i] = (j, m.ratio())
+    calls, whole = [], documents._common_at_least
+    monkeypatch.setattr(documents, "_common_at_least", lambda *x: calls.append(1) or whole(*x))
+    found = documents.first_near(titles, titles, lambda i, j: True, 0.92)
+    assert {i: (j, r) for i, j, r in found} == wanted and len(wanted) >= 12
+    assert len(calls) < 0.05 * len(titles) ** 2
+
+
 def test_page_positions_of_every_block(spark, sf):
     from quirelab.plans import catalog
 
