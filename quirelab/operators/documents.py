@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -465,6 +467,43 @@ def carry_over(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "doc_id long, new_position int, old_position int, how string")
 
 
+def _likely(news: list[int], olds: list[int], old: list[tuple[int, str]], new: list[tuple[int, str]]) -> Iterator[tuple[int, int, float]]:
+    """(new, old, ratio) of the pairs of unequal texts of CARRY_OVER or more. What SequenceMatcher matches cannot be more than the shorter text or
+    the lesser counts of characters; of 200 characters or more in the new text, it comes in one run more than characters in
+    common that make up no more than a hundredth of it (see first_near), so that a piece of the old text stands in the new one."""
+    by_length = sorted(olds, key=lambda k: len(old[k][1]))
+    sizes = [len(old[k][1]) for k in by_length]
+    counts: dict[int, Counter] = {}
+    for n in news:
+        b = new[n][1]
+        lo, hi = bisect_left(sizes, len(b) * CARRY_OVER / (2 - CARRY_OVER) - 1), bisect_right(sizes, len(b) * (2 - CARRY_OVER) / CARRY_OVER + 1)
+        if lo >= hi:
+            continue
+        held, matcher = Counter(b), None
+        rare = {c: k for c, k in held.items() if k <= len(b) // 100 + 1} if len(b) >= 200 else held
+        for o in sorted(by_length[lo:hi]):
+            a = old[o][1]
+            if a == b:
+                continue
+            least = CARRY_OVER * (len(a) + len(b)) / 2 - 1e-9
+            if min(len(a), len(b)) < least:
+                continue
+            mine = counts.get(o)
+            if mine is None:
+                mine = counts[o] = Counter(a)
+            if sum(min(k, held[c]) for c, k in mine.items()) < least:
+                continue
+            # So many runs at most, of which one is that long; of a piece of the text half as long one stands in it whole.
+            runs = min(len(a) + len(b) - 2 * least, sum(min(k, mine[c]) for c, k in rare.items())) + 1
+            piece = (math.ceil(least / runs - 1e-6) + 1) // 2
+            if piece > 1 and not any(a[k : k + piece] in b for k in range(0, len(a) - piece + 1, piece)):
+                continue
+            matcher = matcher or SequenceMatcher(None, "", b)
+            matcher.set_seq1(a)
+            if (r := matcher.ratio()) >= CARRY_OVER:
+                yield n, o, r
+
+
 def _continued(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
     def once(rows):
         seen: dict[str, list[int]] = {}
@@ -488,7 +527,16 @@ def _continued(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> list[t
             for n, o in zip(news, olds):
                 found[n] = (o, "order")
                 used.add(o)
-    scored = [(-r, n, o) for n in range(len(new)) if n not in found for o in range(len(old)) if o not in used and (r := SequenceMatcher(None, old[o][1], new[n][1]).ratio()) >= CARRY_OVER]
+    # Equal texts have the best ratio, 1, and no others have: each continues the next one that is left.
+    left: dict[str, deque[int]] = {}
+    for o, (_, text) in enumerate(old):
+        if o not in used:
+            left.setdefault(text, deque()).append(o)
+    for n, (_, text) in enumerate(new):
+        if n not in found and left.get(text):
+            found[n] = (left[text].popleft(), "fuzzy")
+            used.add(found[n][0])
+    scored = [(-r, n, o) for n, o, r in _likely([k for k in range(len(new)) if k not in found], [k for k in range(len(old)) if k not in used], old, new)]
     for _, n, o in sorted(scored):
         if n not in found and o not in used:
             found[n] = (o, "fuzzy")

@@ -139,6 +139,36 @@ def test_carry_over_by_hand():
     assert moved[2] == (1, "fuzzy") and 1 not in moved
 
 
+def test_carry_over_scores_few_pairs(monkeypatch):
+    rng = random.Random(4)
+    words = ["the", "of", "model", "graph", "is", "deep", "and", "loss", "0.25", "ünï"]
+    scored = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            scored.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(documents, "SequenceMatcher", Counted)
+    for size in (3, 12, 60):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(size // 2, size))) for _ in range(25)]
+        old = list(enumerate([rng.choice(texts) for _ in range(50)] + ["", ""]))
+        new = [rng.choice(texts) for _ in range(50)] + [""]
+        new = list(enumerate(t + "!" if rng.random() < 0.2 else t[:40] + t[43:] if rng.random() < 0.2 else t for t in new))
+        found = documents._continued(old, new)
+        fixed = {n: o for n, o, how in found if how != "fuzzy"}
+        ratios = sorted((-r, n, o) for n, t in new if n not in fixed for o, u in old if o not in fixed.values() and (r := SequenceMatcher(None, u, t).ratio()) >= 0.9)
+        wanted, used = {}, set()
+        for _, n, o in ratios:
+            if n not in wanted and o not in used:
+                wanted[n] = o
+                used.add(o)
+        assert {n: o for n, o, how in found if how == "fuzzy"} == wanted and wanted
+    del scored[:]
+    same = list(enumerate(["same line of text"] * 40))
+    assert documents._continued(same, same + [(40, "another")]) == [(k, k, "fuzzy") for k in range(40)] and not scored
+
+
 def test_sequence_diff(spark):
     df = spark.createDataFrame([(1, list("abcd"), list("abxd")), (2, [], ["a"]), (3, None, None)], "doc_id int, old array<string>, new array<string>")
     assert rows(documents.sequence_diff(df), "doc_id") == [(1, 3, 1, 1), (2, 0, 0, 1), (3, 0, 0, 0)]
