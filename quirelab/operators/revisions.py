@@ -12,13 +12,14 @@ that ends earliest in the new revision, and so on backwards. Empty revisions giv
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelab.session import ship
+from quirelab.session import materialise, ship
 
 
 def longest_rise(values: np.ndarray) -> np.ndarray:
@@ -56,19 +57,40 @@ def aligned(old: DataFrame, new: DataFrame, doc: str, block: str, position: str
     pairs = pairs.withColumn("_size", F.count(F.lit(1)).over(sizes))
     columns = [doc, block, "old_position", "new_position"]
 
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_a")
-        return table.select(columns).take(pa.array(longest_rise(table["_b"].to_numpy())))
+    def kept(stretches: pa.Table, ends: list[int]) -> pa.Table:
+        new = stretches["_b"].to_numpy()
+        places = [a + longest_rise(new[a:b]) for a, b in zip([0, *ends], ends)]
+        return stretches.select(columns).take(pa.array(np.concatenate(places)))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of the last stretch are held until another one begins.
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(batch.column(doc).to_pylist(), batch.column("_stretch").to_pylist()))
+            begins = [k for k, (x, y) in enumerate(zip(keys, [last, *keys])) if y is not None and x != y]
+            last = keys[-1] if keys else last
+            table = pa.Table.from_batches([batch])
+            if begins:
+                n = sum(t.num_rows for t in held)
+                done = pa.concat_tables([*held, table.slice(0, begins[-1])])
+                yield from kept(done, [n + k for k in begins]).to_batches()
+                held = []
+            held.append(table.slice(begins[-1] if begins else 0))
+        if n := sum(t.num_rows for t in held):
+            yield from kept(pa.concat_tables(held), [n]).to_batches()
 
     straight, tangled = pairs.where("_size = 1").select(columns), pairs.where("_size > 1")
     schema = straight.schema
-    return straight.unionByName(tangled.select(*columns, "_a", "_b", "_stretch").groupBy(doc, "_stretch").applyInArrow(solve, schema))
+    rows = tangled.select(*columns, "_b", "_stretch", "_a").repartition(doc).sortWithinPartitions(doc, "_stretch", "_a")
+    return straight.unionByName(rows.mapInArrow(solve, schema))
 
 
 def aligned_diff(old: DataFrame, new: DataFrame, doc: str, block: str, content: str, position: str = "position") -> DataFrame:
     """(doc, block, old_position, new_position, change): unchanged and changed blocks of the alignment, and all others, removed
     or added."""
-    pairs = aligned(old, new, doc, block, position)
+    # Read twice, so written once.
+    pairs = materialise(aligned(old, new, doc, block, position), "aligned")
     a = old.select(F.col(doc), F.col(block), F.col(position).alias("old_position"), F.col(content).alias("_a"))
     b = new.select(F.col(doc).alias("_doc"), F.col(block).alias("_block"), F.col(position).alias("new_position"), F.col(content).alias("_b"))
     placed = pairs.select(F.col(doc).alias("_pdoc"), F.col(block).alias("_pblock"), "new_position")

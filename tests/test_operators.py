@@ -593,6 +593,26 @@ def test_revisions_are_aligned(spark):
     assert revisions.aligned_diff(odd.limit(0), odd.limit(0), "doc", "block", "text").count() == 0
 
 
+def test_stretches_are_solved_in_batches(spark):
+    rng = random.Random(6)
+    orders = {d: rng.sample(range(n), n) for d, n in enumerate((1, 2, 3, 7, 8, 20, 41))}
+    old = spark.createDataFrame([(d, f"b{k}", k) for d, o in orders.items() for k in range(len(o))], "doc int, block string, position int")
+    new = spark.createDataFrame([(d, f"b{k}", at) for d, o in orders.items() for at, k in enumerate(o)], "doc int, block string, position int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = revisions.aligned(old, new, "doc", "block")
+        rows_ = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for d, o in orders.items():
+        kept = sorted((r["old_position"], r["new_position"]) for r in rows_ if r["doc"] == d)
+        longest = []
+        for k in o:
+            longest.append(1 + max((n for j, n in zip(o, longest) if j < k), default=0))
+        assert len(kept) == max(longest) and [y for _, y in kept] == sorted(y for _, y in kept)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
 def test_long_revisions_are_aligned_fast(spark):
     old = spark.range(100_000).select(F.lit(1).alias("doc"), F.col("id").alias("block"), F.col("id").alias("position"), F.lit("t").alias("text"))
     new = old.withColumn("position", (F.col("position") + 50_000) % 100_000)
