@@ -60,3 +60,11 @@ def test_texts_without_macros_stay_as_they_are():
 def test_papers_with_macros_of_arguments():
     tex = r"\newcommand{\term}[2][set]{#2 of the #1}\def\see#1;{as in #1}\begin{document}\section{The \term{size}}It is \term[list]{sum}, \see one;.\end{document}"
     assert [(k, t) for _, _, k, t in papers.latex_body(tex)] == [("heading", "The size of the set"), ("paragraph", "It is sum of the list, as in one.")]
+
+
+def test_words_between_marks_are_one_token():
+    from quirelab.sources.tex_macros import Expander
+
+    text = "some words\n of text " * 1000 + "\\newcommand{\\us}[1]{our #1 method}\\us ab and \\newcommand{word}{two words} more word here \\us{word}"
+    assert len(Expander(text).todo) < 30
+    assert Expander(text).run() == "some words\n of text " * 1000 + "our a methodb and  more two words here our two words method"
