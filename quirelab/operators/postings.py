@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +71,18 @@ class Index:
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of whole numbers from 0, and where each number's begin (and the end)."""
-    sizes = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(sizes)
-    start = ends - sizes
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(5):
+    longest = max(1, -(-int(values.max(initial=0)).bit_length() // 7))
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, longest):
+        sizes += values >= 1 << 7 * k
+    start = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(sizes, out=start[1:])
+    out = np.empty(int(start[-1]), np.uint8)
+    out[start[:-1]] = (values & 0x7F) | (sizes > 1) * 0x80
+    for k in range(1, longest):
         more = np.flatnonzero(sizes > k)
         out[start[more] + k] = values[more] >> 7 * k & 0x7F | np.where(sizes[more] > k + 1, 0x80, 0)
-    return out, np.append(start, len(out))
+    return out, start
 
 
 def unpacked(data: bytes | np.ndarray) -> np.ndarray:
@@ -102,29 +107,32 @@ def _blocks(numbers: np.ndarray, tokens: pa.ListArray, bits: int) -> pa.RecordBa
     """Postings of consecutive rows: for each block and folder its terms in order, TERMS of them a row."""
     lengths = np.diff(tokens.offsets.to_numpy())
     coded = tokens.flatten().dictionary_encode()
-    words = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
-    folder = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
-    order = sorted(range(len(words)), key=lambda k: (folder[k], words[k]))
-    words, folder = [words[k] for k in order], folder[order]
+    words = coded.dictionary
+    folder = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(words)) % BUCKETS
+    order = pc.sort_indices(pa.table({"folder": folder, "word": words}), [("folder", "ascending"), ("word", "ascending")]).to_numpy()
+    words, folder = words.take(pa.array(order)), folder[order]
     code = np.empty(len(order), np.int64)
     code[order] = np.arange(len(order))
-    code = code[coded.indices.to_numpy()]
-    row = np.repeat(numbers, lengths)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    # Rows and places already go up, so a stable sort by block and term is all.
-    order = (((row >> bits) - (row[0] >> bits if len(row) else 0)) * max(1, len(words)) + code).argsort(kind="stable")
-    code, row, place = code[order], row[order], place[order]
-    new_cell, new_row = np.ones(len(code), bool), np.ones(len(code), bool)
-    new_cell[1:] = (code[1:] != code[:-1]) | (row[1:] >> bits != row[:-1] >> bits)
+    # Tokens by block and term, those of a term as they stand: the place in the batch is the low part of what is sorted.
+    low = max(1, len(coded)).bit_length()
+    block = np.repeat(np.cumsum(np.diff(numbers >> bits, prepend=numbers[:1] >> bits) != 0), lengths)
+    order = (block * max(1, len(words)) + code[coded.indices.to_numpy()]) << low | np.arange(len(coded))
+    order.sort()
+    cells = order >> low
+    order &= (1 << low) - 1
+    row = np.repeat(np.arange(len(lengths)), lengths)[order]
+    place = order - (np.cumsum(lengths) - lengths)[row]
+    new_cell, new_row = np.ones(len(order), bool), np.ones(len(order), bool)
+    new_cell[1:] = cells[1:] != cells[:-1]
     new_row[1:] = new_cell[1:] | (row[1:] != row[:-1])
-    gaps = np.diff(place, prepend=0)
-    gaps[new_row] = place[new_row]
     posting = np.flatnonzero(new_row)
-    n = np.diff(posting, append=len(code))
+    gaps = np.diff(place, prepend=0)
+    gaps[posting] = place[posting]
+    n = np.diff(posting, append=len(order))
     cell = np.flatnonzero(new_cell[posting])
     size = np.diff(cell, append=len(posting))
     first = posting[cell]
-    inside = row[posting] & ((1 << bits) - 1)
+    inside = numbers[row[posting]] & ((1 << bits) - 1)
     steps = np.diff(inside, prepend=0)
     steps[cell] = inside[cell]
     # Each term's steps from row to row, then its counts.
@@ -132,32 +140,31 @@ def _blocks(numbers: np.ndarray, tokens: pa.ListArray, bits: int) -> pa.RecordBa
     both = np.empty(2 * len(posting), np.int64)
     both[at], both[at + np.repeat(size, size)] = steps, n
     most = np.maximum.reduceat(n, cell) if len(cell) else n
-    term, block = code[first], row[first] >> bits
+    term, block = cells[first] % max(1, len(words)), numbers[row[first]] >> bits
     group = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (folder[term[1:]] != folder[term[:-1]]))[: len(cell)])
     rank = np.arange(len(cell)) - np.repeat(group, np.diff(group, append=len(cell)))
     chunk = np.flatnonzero(rank % TERMS == 0)
-    said = [words[k] for k in term.tolist()]
-    spelled = np.array([len(w) for w in said], np.int64)
+    said = words.take(pa.array(term))
+    said_at = np.frombuffer(said.buffers()[1], np.int32)[: len(said) + 1] if len(said) else np.zeros(1, np.int32)
     rows_data, rows_at = packed(both)
     gaps_data, gaps_at = packed(gaps)
     rows_at, gaps_at = np.append(rows_at[2 * cell], len(rows_data)), np.append(gaps_at[first], len(gaps_data))
-    sizes_data, sizes_at = packed(np.stack([spelled, most, np.diff(rows_at), np.diff(gaps_at)], 1).ravel())
+    sizes_data, sizes_at = packed(np.stack([np.diff(said_at), most, np.diff(rows_at), np.diff(gaps_at)], 1).ravel())
     ends = np.append(chunk[1:], len(cell)) - 1 if len(chunk) else chunk
-    spelled_at = np.cumsum(spelled) - spelled
     columns = [
         pa.array(folder[term[chunk]].astype(np.int32)),
         pa.array(block[chunk]),
-        pa.array([said[k].decode("utf-8", "surrogatepass") for k in chunk.tolist()], pa.string()),
-        pa.array([said[k].decode("utf-8", "surrogatepass") for k in ends.tolist()], pa.string()),
-        _squeezed(b"".join(said), spelled_at[chunk]),
-        _squeezed(sizes_data.tobytes(), sizes_at[4 * chunk]),
+        said.take(pa.array(chunk)),
+        said.take(pa.array(ends)),
+        _squeezed(memoryview(said.buffers()[2] or b""), said_at[chunk]),
+        _squeezed(memoryview(sizes_data), sizes_at[4 * chunk]),
         _binary(rows_data, rows_at[chunk]),
         _binary(gaps_data, gaps_at[chunk]),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "first", "last", "terms", "sizes", "coded", "gaps"])
 
 
-def _squeezed(data: bytes, starts: np.ndarray) -> pa.Array:
+def _squeezed(data: memoryview, starts: np.ndarray) -> pa.Array:
     """A binary column of the bytes from each start to the next, compressed."""
     return pa.array([zlib.compress(data[a:b], 1) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])], pa.binary())
 

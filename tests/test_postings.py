@@ -1,9 +1,12 @@
 """The index of postings against matching by reading every text."""
 
+import cProfile
+import pstats
 import random
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +76,26 @@ def test_numbers_are_packed():
     assert rows.tolist() == [581, 582, 622] and counts.tolist() == [3, 1, 200]
 
 
+def test_postings_are_made_without_a_call_for_each_term():
+    rng = random.Random(8)
+    texts = [[rng.choice(["a", "b", "日本", "ñ", f"w{k}x{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 200))] for k in range(300)]
+    # Rows of several files in one batch: numbers jump, and may go down.
+    numbers = np.arange(300) + np.repeat([5 << 33, 1 << 33, 1 << 53], 100)
+    profile = cProfile.Profile()
+    made = profile.runcall(ops._blocks, numbers, pa.array(texts, pa.list_(pa.string())), 4)
+    terms = {w for t in texts for w in t}
+    assert pstats.Stats(profile).total_calls - 2 * made.num_rows < len(terms) / 2
+    found = {}
+    for r in made.to_pylist():
+        for word, _, where, there in ops.spelled_out(r["terms"], r["sizes"], {w.encode() for w in terms}):
+            assert r["bucket"] == ops.zlib.crc32(word) % ops.BUCKETS and r["first"] <= word.decode() <= r["last"]
+            gaps = ops.unpacked(r["gaps"][there])
+            rows, counts = ops.rows_of(r["block"], r["coded"][where], 4)
+            for row, own in zip(rows.tolist(), np.split(gaps, np.cumsum(counts)[:-1])):
+                found[row, word.decode()] = np.cumsum(own).tolist()
+    assert found == {(n, w): [k for k, x in enumerate(t) if x == w] for n, t in zip(numbers.tolist(), texts) for w in t}
+
+
 def test_replaced_items_and_odd_rows(spark):
     old = [("source", k, k, f"alpha beta {'alpha ' * (k % 3)}") for k in range(200)] + [("note", 1, 1000, "alpha"), ("note", None, 1001, "alpha beta"), ("note", 2, 1002, None), ("note", 2, 1003, ""), ("chat", 3, None, "ALPHA-beta"), ("source", 5, 5, "alpha beta"), ("source", 6, 6, "日本 alpha ñ")]
     new = [("source", 1, 1, "gamma beta"), ("source", 2, 2, ""), ("note", 300, 1, "beta alpha alpha"), ("note", None, 7, "alpha")]
