@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+from quirelab.session import ship
 
 #: Reading speeds a minute, and dollars for a million tokens in and out by model size.
 CJK_CHARACTERS, WORDS = 600, 250
 PRICES = {"small": (0.15, 0.6), "large": (2.5, 10.0)}
 CONFIDENCE = ("high", "medium", "low")
+#: Characters of a text that one row takes to Python at most, and what a row begins there: a document, a page or a block, or nothing.
+PIECE = 2000
+_DOCUMENT, _PAGE, _BLOCK, _ON = range(4)
+#: ASCII characters that are neither letters nor digits.
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def stemmed(token: Column) -> Column:
@@ -108,13 +118,20 @@ def table_cells(tables: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return tables.select(id_col, F.explode(cells(html_col)).alias("c")).select(id_col, "c.*")
 
 
+def _normal(t: str) -> str:
+    t = t.lower()
+    return t.encode().translate(None, _MARKS).decode() if t.isascii() else "".join(filter(str.isalnum, t))
+
+
 def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) -> DataFrame:
     """Of (doc_id, blocks array<string>, pages array<string>), the page of each block: the first from the last found page on
     that holds its beginning (ratio of the longest match, or of all, of `wanted` or more); pages only go forward. Null arrays are empty ones, a null
-    text is the empty text, which stands on no page."""
+    text is the empty text, which stands on no page.
+
+    Python reads a document as rows of PIECE characters at most, its pages before its blocks, so that a batch has a bounded size
+    and a task holds the pages of one document."""
 
-    def normal(t: str) -> str:
-        return "".join(c for c in t.lower() if c.isalnum())
+    ship(pairs.sparkSession)
 
     def alike(head: str, page: str) -> bool:
         # A match of that many characters holds the beginning's middle; a ratio cannot exceed what the lengths allow.
@@ -124,22 +141,50 @@ def page_positions(pairs: DataFrame, wanted: float = 0.85, prefix: int = 80) ->
         m = SequenceMatcher(None, head, page)
         return max(m.find_longest_match(0, len(head), 0, len(page)).size / len(head), m.ratio()) >= wanted
 
-    @F.pandas_udf("array<int>")
-    def found(blocks: pd.Series, pages: pd.Series) -> pd.Series:
-        out = []
-        for bs, ps in zip(blocks, pages):
-            ps, at, row = [normal(p or "") for p in (ps if ps is not None else ())], 0, []
-            for b in bs if bs is not None else ():
-                head, page = normal(b or "")[:prefix], None
-                for k in range(at, len(ps)) if head else ():
-                    if head in ps[k] or alike(head, ps[k]):
-                        page = at = k
-                        break
-                row.append(page)
-            out.append(row)
-        return pd.Series(out)
-
-    return pairs.select("doc_id", found("blocks", "pages").alias("pages"))
+    def place(head: str, pages: list[str], at: int) -> int | None:
+        return next((k for k in range(at, len(pages)) if head in pages[k] or alike(head, pages[k])), None) if head else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the document that is read: its id, its pages, the pages of its blocks, the last one found, and the text that may go on in the next row.
+        key, pages, row, at, kind, text = None, [], [], 0, None, []
+
+        def end() -> None:
+            nonlocal at
+            whole = _normal("".join(text))
+            if kind == _PAGE:
+                pages.append(whole)
+            elif kind == _BLOCK:
+                row.append(place(whole[:prefix], pages, at))
+                at = at if row[-1] is None else row[-1]
+
+        for batch in batches:
+            keys, found = [], []
+            for k, (step, piece) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if step != _ON:
+                    end()
+                    text, kind = [], step
+                if step == _DOCUMENT:
+                    if key is not None:
+                        keys.append(key)
+                        found.append(row)
+                    key, pages, row, at = batch.column(0).slice(k, 1), [], [], 0
+                text.append(piece or "")
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "pages"])
+        if key is not None:
+            end()
+            yield pa.RecordBatch.from_arrays([key, pa.array([row], pa.list_(pa.int32()))], names=["doc_id", "pages"])
+
+    def rows(kind: int, texts: str) -> Column:
+        def pieces(t: Column) -> Column:
+            several = F.regexp_extract_all(t, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1))
+            return F.transform(F.when(F.length(t) > PIECE, several).otherwise(F.array(t)), lambda p, i: F.struct(F.when(i == 0, kind).otherwise(_ON).alias("step"), p.alias("piece")))
+
+        return F.flatten(F.transform(F.coalesce(texts, F.array().cast("array<string>")), pieces))
+
+    head = F.array(F.struct(F.lit(_DOCUMENT).alias("step"), F.lit(None).cast("string").alias("piece")))
+    read = pairs.select("doc_id", F.explode(F.concat(head, rows(_PAGE, "pages"), rows(_BLOCK, "blocks"))).alias("r")).select("doc_id", "r.step", "r.piece")
+    return read.mapInArrow(run, StructType([pairs.schema["doc_id"]]).add("pages", ArrayType(IntegerType())))
 
 
 def verified_output(findings: DataFrame, files: DataFrame) -> DataFrame:

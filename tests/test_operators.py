@@ -254,6 +254,26 @@ def test_page_positions_of_every_block(spark, sf):
         assert found[i] == wanted
 
 
+def test_page_positions_reads_rows_of_bounded_size(spark):
+    size = texts_ops.PIECE
+    # Texts of several rows, cut inside words, between a sigma and the end of its word, and beside characters of four bytes.
+    long = ["x" * (size - 1) + "\u03a3" + "y" * size + " end", "\U0001f600" * size + "beta gamma", "-" * (3 * size) + "Tail\n\u03a3", "a" * size]
+    data = [(1, long, [" ".join(long[:2]), " ".join(long[2:])]), (1, ["tail\u03c3", "none of them", None], ["", *long]), (None, [], ["a"]), (2, None, None), (3, ["b", "a"], ["a", "b"]), (4, ["b" * 90] + ["\u03a3"] * 12, ["a"] * 9 + ["b" * 80])]
+    schema = "doc_id int, blocks array<string>, pages array<string>"
+    wanted = [(1, [0, 0, 1, 1]), (1, [3, None, None]), (None, []), (2, []), (3, [1, None]), (4, [9] + [None] * 12)]
+    for n in ("1", "4", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            found = texts_ops.page_positions(spark.createDataFrame(data, schema).coalesce(1))
+            assert list(map(tuple, found.collect())) == wanted
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Rows of arrays would hold ten thousand documents of any length at once.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan and "Generate explode" in plan
+    assert found.schema == texts_ops.StructType.fromDDL("doc_id int, pages array<int>")
+
+
 def test_quality_flags(spark):
     data = [("a 1,000 and 2", "b 1000 und 2"), ("x" * 80, "y" * 10), ("same 5", "same 5"), ("3 4", "4 4")]
     found = spark.createDataFrame(data, "s string, t string").select(documents.quality_flags(F.col("s"), F.col("t"))).collect()
